@@ -13,6 +13,7 @@ the first level where it is alone under its prefix (a leaf needs no deeper look)
 Subtrees are dealt by a hash of their prefix.  A prefix that many texts share is combined where it
 is read: rows that meet an equal in their own batch are known to repeat, one of them goes to the
 prefix's task as a witness, the others are dealt by row.  So a prefix sends a row for each batch.
+Texts that other rows have whole are found first, by a hash of the text: one row stands for them.
 
 Prefix and edge labels are 64-bit hashes; sending each suffix's 35 words instead would move more
 than thirty times the input.
@@ -24,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,8 @@ def _prefixes(window: int, run: int):
 def _windows(window: int, run: int):
     def go(batches):
         for batch in batches:
+            # copies of a text that another row stands for repeat anyway; one row bears witness
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column(2)), pc.not_equal(pc.fill_null(batch.column(3), 0), 1)))
             texts, ids, places = texts_of(batch), batch.column(0).to_numpy(), batch.column(2)
             keys, rows, poss = [], [], []
             for a, b in chunks(texts):
@@ -124,7 +128,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 def _removed(window: int, with_text: bool):
     def go(batches):
         for batch in batches:
-            texts, places, ids = texts_of(batch), batch.column(2), batch.column(3)
+            texts, places, ids, copy = texts_of(batch), batch.column(2), batch.column(3), batch.column(4).is_valid().to_numpy(False)
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
                 n = words.counts
@@ -134,6 +138,9 @@ def _removed(window: int, with_text: bool):
                 at = part.flatten().to_numpy() + np.repeat(words.first[:-1], sizes)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
+                whole = copy[a:b] & (n >= window)
+                np.add.at(cover, words.first[:-1][whole], 1)
+                np.add.at(cover, words.first[1:][whole], -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
                 kept = []
@@ -161,7 +168,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_t
         raise ValueError("0 < run <= window")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     prefixes = _repeated(rows.select("row_id", "text").mapInArrow(_prefixes(window, run), _KEYS_DDL))
-    deep = rows.join(prefixes, "row_id").select("row_id", "text", "places")
+    copies = _copies(rows)
+    # both joins deal rows by row_id with the same columns, so the texts move once
+    deep = rows.join(prefixes, "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "copy", "doc_id")
     nodes = _repeated(deep.mapInArrow(_windows(window, run), _KEYS_DDL))
-    out = rows.join(nodes, "row_id", "left").select("row_id", "text", "places", "doc_id")
+    out = rows.join(nodes, "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "doc_id", "copy")
     return out.mapInArrow(_removed(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """row_id and copy of rows whose whole text another row has: 0 for one of them, 1 for the others."""
+    named = rows.select("row_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    several = named.groupBy("h", "g").agg(F.min("row_id").alias("one"), F.count("*").alias("n")).filter("n > 1")
+    return named.join(several, ["h", "g"]).select("row_id", (F.col("row_id") != F.col("one")).cast("int").alias("copy"))
