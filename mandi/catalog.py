@@ -1,6 +1,19 @@
-def queries():
-    return {}
+"""All registered queries of the price analytics, and SQL for those that SQL can express."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mandi.plans import measure, temporal
+
+_MODULES = (measure, temporal)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in _MODULES for name, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for m in _MODULES for name, text in m.SQL.items()}
