@@ -25,6 +25,7 @@ from .common import WORD, materialize, word_count
 
 BLOCKS, SHARDS, SEED = 1024, 64, 23
 WEIGHTS = (3, 1, 2)
+MOST_PLAN = 200_000  # rows of what blocks give, in a broadcast
 MOST_SOURCES = 10_000  # rows of metadata on the driver and in a broadcast
 
 
@@ -67,14 +68,8 @@ def by_code_point(sources: list) -> list:
     return sorted(sources, key=lambda s: (s is None, s or ""))
 
 
-def draw(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction(3, 2), most: Fraction = Fraction(2), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """What the mix takes of each row of docs (doc_id, text, source; other columns are dropped).
-
-    Returns doc_id, source, size (words), source_size, target, and draws, an array of (copy, shard,
-    words).  weights: by source; by default 3, 1, 2, repeating over the sources by code point, null
-    last.  Null text has size 0; a null source is a source; null doc_id is in one fixed block.
-    Repeated rows are drawn alike.  Empty table: empty result.
-    """
+def _plan(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of docs by row, the sources (broadcast), and what each block gives: metadata of sources times blocks."""
     spark = docs.sparkSession
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS)).cast("int")
     sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")).withColumn("block", block), "sized")
@@ -106,6 +101,18 @@ def draw(docs: DataFrame, weights: dict | None = None, share: Fraction = Fractio
     drawn = each.groupBy("source_id", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))
     plan = placed.select("source_id", "block", "words", "take", "passes").join(drawn, ["source_id", "block"], "left")
 
+    return sized, known, plan
+
+
+def draw(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction(3, 2), most: Fraction = Fraction(2), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """What the mix takes of each row of docs (doc_id, text, source; other columns are dropped).
+
+    Returns doc_id, source, size (words), source_size, target, and draws, an array of (copy, shard,
+    words).  weights: by source; by default 3, 1, 2, repeating over the sources by code point, null
+    last.  Null text has size 0; a null source is a source; null doc_id is in one fixed block.
+    Repeated rows are drawn alike.  Empty table: empty result.
+    """
+    sized, known, plan = _plan(docs, weights, share, most, shards, seed)
     rows = sized.join(known, sized.source.eqNullSafe(known.known_source)).drop("known_source", "passes", "rest").join(plan, ["source_id", "block"])
     cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
     inside = Window.partitionBy("source_id", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -119,20 +126,39 @@ def taken() -> Column:
     return F.aggregate("draws", F.lit(0).cast("long"), lambda acc, d: acc + d["words"])
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction(3, 2), most: Fraction = Fraction(2), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs as the mix has them: rows of all columns of docs, a row for each time one is taken.
 
     Adds mix_shard and mix_copy.  A document that is taken in part keeps its first words, joined by
-    one space.  Rows are partitioned by shard and in hash order there.  Documents of one doc_id are
-    taken alike; null doc_id rows meet null-safely.  Documents without words are left out (they add
-    no word).
+    one space; rows that repeat that document are cut alike.  Rows are partitioned by shard and in
+    hash order there.  Documents without words are left out (they add no word).
+
+    Texts move once, to their shard: what each block gives, and where each source is cut, is known
+    from sizes alone and is broadcast if it has at most MOST_PLAN rows.
     """
-    each = draw(docs, **options).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.explode("draws").alias("d")).filter(F.col("d.words") > 0)
-    # repeated rows share a doc_id: one draw of each (doc_id, size, copy) stands for all of them but where a cut tells them apart
-    each = each.groupBy("mix_id", "mix_source", "mix_size", F.col("d.copy").alias("mix_copy"), F.col("d.shard").alias("mix_shard")).agg(F.max("d.words").alias("mix_words"))
-    size = word_count(F.col("text").cast("string"))
-    joined = docs.join(each, docs.doc_id.eqNullSafe(each.mix_id) & docs.source.eqNullSafe(each.mix_source) & (size == each.mix_size))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words").cast("int")), " ")
-    text = F.when(F.col("mix_words") < F.col("mix_size"), first).otherwise(F.col("text"))
-    out = joined.withColumn("text", text).drop("mix_id", "mix_source", "mix_size", "mix_words")
+    sized, known, plan = _plan(docs, weights, share, most, shards, seed)
+    cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
+    here = sized.join(known, sized.source.eqNullSafe(known.known_source)).drop("passes", "rest").join(plan.filter(cut).select("source_id", "block", "take"), ["source_id", "block"])
+    upto = F.sum("size").over(Window.partitionBy("source_id").orderBy("place_in_block").rowsBetween(Window.unboundedPreceding, 0))
+    edge = here.withColumn("place_in_block", _place(seed)).withColumn("upto", upto).filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("size") < F.col("take")))
+    edge = edge.select("source_id", "block", F.col("place_in_block").alias("edge"), (F.col("take") - F.col("upto") + F.col("size")).alias("edge_words"))
+    plan = materialize(plan.join(F.broadcast(edge), ["source_id", "block"], "left").filter("drawn IS NOT NULL"), "plan")
+    if plan.limit(MOST_PLAN + 1).count() <= MOST_PLAN:
+        plan = F.broadcast(plan)
+    known = known.select("source_id", "known_source")
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(BLOCKS)).cast("int")
+    # docs' own columns ride in a struct, so that none clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), block.alias("block"), word_count(F.col("text").cast("string")).alias("size"))
+    rows = rows.join(known, rows.source.eqNullSafe(known.known_source)).join(plan, ["source_id", "block"])
+    place = _place(seed)
+    part = F.when(F.col("edge").isNull(), F.when(F.col("take") > 0, F.col("size")).otherwise(0)).when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.col("edge_words")).otherwise(0)
+    each = rows.withColumn("d", F.explode("drawn")).withColumn("mix_words", F.when(F.col("d.copy") < F.col("passes"), F.col("size")).otherwise(part)).filter("mix_words > 0")
+    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words").cast("int")), " ")
+    text = F.when(F.col("mix_words") < F.col("size"), first).otherwise(F.col("row.text"))
+    out = each.select(*(text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns), F.col("d.shard").alias("mix_shard"), F.col("d.copy").alias("mix_copy"))
     return out.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(F.lit(SEED + 3), "mix_copy", "doc_id"))
+
+
+def _place(seed: int) -> Column:
+    """A document's place in its block: a hash, then what tells equal hashes apart."""
+    return F.struct(F.xxhash64(F.lit(seed + 2), F.col("doc_id").cast("long")).alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("size").alias("words"))
