@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mandi.plans import measure, temporal
+from mandi.plans import forecast, measure, temporal
 
-_MODULES = (measure, temporal)
+_MODULES = (measure, temporal, forecast)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -42,7 +42,7 @@ def split_of(date: Column, splits: dict[str, tuple[str, str]]) -> Column:
     return out
 
 
-def severity(x: Column, bounds: tuple[float, ...] = (0.2, 0.5, 1.0), names: tuple[str, ...] = ("low", "moderate", "high", "extreme")) -> Column:
+def severity(x: Column, bounds: tuple[float, ...] = (0.2, 0.5, 1.0), names: tuple[str, ...] = ("below_20pct", "elevated", "high", "extreme")) -> Column:
     """Left-closed buckets of a return."""
     out = F.when(x < bounds[0], names[0])
     for b, name in zip(bounds[1:], names[1:], strict=False):

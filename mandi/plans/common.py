@@ -10,11 +10,12 @@ from mandi.operators import cityday, mapping, quality
 from mandi.sources import given
 
 
-def out(df: DataFrame, digits: int = 8) -> DataFrame:
+def out(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded and small integers as long, so that results compare across engines."""
     def tidy(f: T.StructField):
         if isinstance(f.dataType, T.DoubleType):
-            return F.round(f.name, digits).alias(f.name)
+            # cut a third below a step: means of decimals often lie on its middle, where engines differ
+            return (F.floor(F.col(f.name) * 10.0**digits + 0.3) / 10.0**digits).alias(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             return F.col(f.name).cast("long").alias(f.name)
         return F.col(f.name)
@@ -22,9 +23,9 @@ def out(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*map(tidy, df.schema.fields))
 
 
-def sql(body: str, select: str, longs: str = "", doubles: str = "", digits: int = 8) -> str:
+def sql(body: str, select: str, longs: str = "", doubles: str = "", digits: int = 6) -> str:
     """WITH body SELECT select, with the named columns as BIGINT or rounded."""
-    change = [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in doubles.split()]
+    change = [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [f"floor(CAST({c} AS DOUBLE) * {10**digits}::DOUBLE + 0.3::DOUBLE) / {10**digits}::DOUBLE AS {c}" for c in doubles.split()]
     star = f"* REPLACE ({', '.join(change)})" if change else "*"
     return f"WITH {body}\nSELECT {star} FROM ({select})"
 
