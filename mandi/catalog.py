@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mandi.plans import forecast, measure, temporal
+from mandi.plans import alerts, forecast, landed, measure, shocks, temporal
 
-_MODULES = (measure, temporal, forecast)
+_MODULES = (measure, temporal, forecast, alerts, landed, shocks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

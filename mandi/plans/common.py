@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +32,38 @@ def sql(body: str, select: str, longs: str = "", doubles: str = "", digits: int
     return f"WITH {body}\nSELECT {star} FROM ({select})"
 
 
+_layers: dict = {}
+
+
+def layer(f):
+    """Keep a measured layer (memory, then disk) for the queries of one application that share it."""
+    @wraps(f)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (f.__name__, sf_dir, spark.sparkContext.applicationId)
+        if key not in _layers or not _layers[key].storageLevel.useMemory:
+            _layers[key] = f(spark, sf_dir).persist()
+        return _layers[key]
+
+    return get
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality-flagged quotes with their market's mapping."""
     mapped = mapping.map_markets(given.quotes(spark, sf_dir), given.mapping(spark, sf_dir), check=False)
     return quality.add_quality(mapped, at_least=10, window=90)
 
 
+@layer
 def market_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cityday.market_day(cityday.eligible(flagged(spark, sf_dir)))
 
 
+@layer
 def city_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cityday.city_day(market_days(spark, sf_dir))
 
 
+@layer
 def region_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City-days with the region as the city: dense series (city_id is the region's name)."""
     days = market_days(spark, sf_dir)

@@ -9,7 +9,7 @@ from mandi.functions.scalar import split_of
 from mandi.operators import temporal
 from mandi.sources import given
 
-from .common import REGION_SQL, out, region_days, sql
+from .common import REGION_SQL, layer, out, region_days, sql
 
 Q, SQL = {}, {}
 
@@ -31,6 +31,7 @@ def series(spark, sf_dir) -> DataFrame:
     return region_days(spark, sf_dir).filter("quality <> 'poor'").select("product_id", "city_id", "date", "price", "stale_share", "outlier_share", "reliability")
 
 
+@layer
 def spine(spark, sf_dir) -> DataFrame:
     return temporal.origin_spine(series(spark, sf_dir), START, END, "1 month", HISTORY)
 
@@ -107,6 +108,7 @@ def weekly_pattern(spark, sf_dir):
     return out(temporal.weekly_pattern(targets(spark, sf_dir).select("product_id", "city_id", "origin_date", "target_date"), series(spark, sf_dir)))
 
 
+@layer
 def mart(spark, sf_dir) -> DataFrame:
     return temporal.forecast_mart(series(spark, sf_dir), spine(spark, sf_dir)).withColumn("split", split_of(F.col("target_date"), given.SPLITS))
 
