@@ -95,9 +95,12 @@ def event_rates(df: DataFrame, event: str = "event_label", days: int = 364, lag:
     return out.join(weekly, ["product_id", "origin_day"]).drop("origin_day", "hit")
 
 
-def alert_labels(spine: DataFrame, series: DataFrame, at_least: int = 10, levels: dict[str, int] = LEVELS) -> DataFrame:
-    """Peaks, thresholds, raw and kept events, lead days and past rates of each origin."""
-    df = raw_events(seasonal_thresholds(future_peak(spine, series, at_least=at_least), levels))
+def alert_labels(peaks: DataFrame, levels: dict[str, int] = LEVELS) -> DataFrame:
+    """Thresholds, raw and kept events, lead days and past rates of the origins of future_peak().
+
+    peaks is read once per threshold level: give a written or kept table.
+    """
+    df = raw_events(seasonal_thresholds(peaks, levels))
     df = dedup_events(df.withColumn("primary_raw_event", F.col("raw_abs20_q90")), "primary_raw_event", "event_label")
     return event_rates(event_lead(df)).drop("future")
 

@@ -34,9 +34,14 @@ def weekly_spine(spark, sf_dir) -> DataFrame:
     return temporal.origin_spine(series(spark, sf_dir), "1996-01-01", "2001-10-15", "7 days", 60).select("product_id", "city_id", "origin_date")
 
 
+@layer
+def peaks(spark, sf_dir) -> DataFrame:
+    return alerts.future_peak(weekly_spine(spark, sf_dir), series(spark, sf_dir), at_least=3)
+
+
 @layer
 def labels(spark, sf_dir) -> DataFrame:
-    df = alerts.alert_labels(weekly_spine(spark, sf_dir), series(spark, sf_dir), at_least=3, levels=LEVELS)
+    df = alerts.alert_labels(peaks(spark, sf_dir), levels=LEVELS)
     return df.withColumn("split", split_of(F.col("origin_date"), given.SPLITS))
 
 
@@ -49,7 +54,7 @@ peak AS (SELECT p.*, (SELECT min(date) FROM series s WHERE s.product_id = p.prod
 
 @query(sql(PEAK_SQL, "SELECT * FROM peak", "", "origin_price peak_price peak_return"))
 def future_peak(spark, sf_dir):
-    return out(alerts.future_peak(weekly_spine(spark, sf_dir), series(spark, sf_dir), at_least=3).drop("future"))
+    return out(peaks(spark, sf_dir).drop("future"))
 
 
 def _level(name: str, on: str) -> str:
@@ -90,8 +95,7 @@ def _rec(body: str) -> str:
 
 @query(sql(THRESHOLD_SQL, f"SELECT {K}, threshold_level, threshold_count, threshold_q90, threshold_q95, history_end FROM thr", "", "threshold_q90 threshold_q95"))
 def seasonal_threshold(spark, sf_dir):
-    peaks = alerts.future_peak(weekly_spine(spark, sf_dir), series(spark, sf_dir), at_least=3).drop("future")
-    return out(alerts.seasonal_thresholds(peaks, LEVELS).select(*K.split(", "), "threshold_level", "threshold_count", "threshold_q90", "threshold_q95", "history_end"))
+    return out(alerts.seasonal_thresholds(peaks(spark, sf_dir).drop("future"), LEVELS).select(*K.split(", "), "threshold_level", "threshold_count", "threshold_q90", "threshold_q95", "history_end"))
 
 
 _LABELS = f"{K}, {', '.join(_RAW)}, primary_raw_event, event_label, effective_threshold, crossing_date, lead_days, series_count_52w, series_rate_52w, series_rate_all, product_count_52w, product_rate_52w, split"
