@@ -45,10 +45,10 @@ def seasonal_thresholds(peaks: DataFrame, levels: dict[str, int] = LEVELS, lag:
     wide levels are computed once per distinct origin, not per row, and only from (key, origin) pairs.
     """
     by = {"city_product_month": ["product_id", "city_id", "month"], "city_product_all": ["product_id", "city_id"], "product_month": ["product_id", "month"], "product_all": ["product_id"], "global": []}
-    df = peaks.withColumn("month", F.month("origin_date"))
-    past = df.select("product_id", "city_id", "month", "window_end", "peak_return")
+    base = peaks.withColumn("month", F.month("origin_date"))
+    df, past = base, base.select("product_id", "city_id", "month", "window_end", "peak_return")
     for name, key in by.items():
-        asked = df.select(*key, "origin_date").distinct()
+        asked = base.select(*key, "origin_date").distinct()
         hit = asked.join(past.select(*key, "window_end", "peak_return"), key) if key else asked.join(past.select("window_end", "peak_return"), past.window_end <= asked.origin_date)
         got = hit.filter(F.col("window_end") <= F.col("origin_date")).groupBy(*key, "origin_date").agg(F.count("*").alias(f"n_{name}"), F.percentile("peak_return", F.array(*map(F.lit, QUANTILES))).alias(f"q_{name}"), F.max("window_end").alias(f"end_{name}"))
         df = df.join(got, [*key, "origin_date"], "left")

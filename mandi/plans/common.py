@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,20 +35,39 @@ def sql(body: str, select: str, longs: str = "", doubles: str = "", digits: int
 
 
 _layers: dict = {}
+_own_dirs: dict[str, str] = {}
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(app)
+    return found or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="mandi-"))
 
 
 def layer(f):
-    """Keep a measured layer (memory, then disk) for the queries of one application that share it."""
+    """Write a measured layer once per application and table folder; the queries above read it.
+
+    Plans stay small, and a lost executor costs nothing that is below the layer.
+    """
     @wraps(f)
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (f.__name__, sf_dir, spark.sparkContext.applicationId)
-        if key not in _layers or not _layers[key].storageLevel.useMemory:
-            _layers[key] = f(spark, sf_dir).persist()
+        if key not in _layers:
+            df = f(spark, sf_dir)
+            path = f"{_shared_dir(spark)}/mandi-{f.__name__}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            _layers[key] = spark.read.schema(df.schema).parquet(path)
         return _layers[key]
 
     return get
 
 
+def forget_layers() -> None:
+    """Let the next query measure its layers anew."""
+    _layers.clear()
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality-flagged quotes with their market's mapping."""
     mapped = mapping.map_markets(given.quotes(spark, sf_dir), given.mapping(spark, sf_dir), check=False)
