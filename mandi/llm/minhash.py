@@ -37,6 +37,7 @@ from .common import Words, chunks, materialize, mix, scratch, texts_of
 
 REGISTERS, ROWS = 256, 6
 SMALL = 16  # members of a band whose pairs are all tested
+PART = 8192  # members of a band that one task takes in a round
 MANTISSA = 10
 LOW = np.uint64(2**56 - 1)
 # For each attempt, the bucket that an empty bucket borrows from.
@@ -195,7 +196,7 @@ def connect(links: DataFrame, tag: str = "cc") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 256, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text; others are ignored).
 
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of k-word shingles
@@ -207,12 +208,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     result.
     """
     with scratch(docs.sparkSession) as written:
-        groups = materialize(_groups(docs, k, num, den, leaders), "groups")
+        groups = materialize(_groups(docs, k, num, den, leaders, part), "groups")
         written.pop()
     return groups
 
 
-def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int) -> DataFrame:
+def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int) -> DataFrame:
     sketches = materialize(sketch(docs, k), "sketch")
     usable = sketches.filter(F.col("registers").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
@@ -240,13 +241,10 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int) -> DataFr
         held = materialize(_held(members, labels), "all-held")
         held = materialize(held.join(_mixed(held).select("band"), "band", "left_semi"), "mixed")
         held = held.join(_shared_elsewhere(held, sets), "node").filter(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n"))
-        # leaders first come from small components
-        sizes = Window.partitionBy("band", "component")
-        held = held.withColumn("size", F.count("*").over(sizes))
-        held = materialize(held.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("size", F.desc("weight"), "node"))), "held")
+        held = materialize(_ranked(materialize(held, "sharing"), leaders, part), "held")
         if held.isEmpty():
             break
-        pairs = _leader_pairs(held.join(nodes.select("node", "registers"), "node"), leaders, num, den)
+        pairs = _leader_pairs(held.join(nodes.select("node", "registers"), "node"), leaders, num, den, part)
         links, labels = _linked(pairs, links, labels, sets, num, den)
         members = held.filter(F.col("rank") > leaders).select("band", "nth", "node", "n", "weight")
     named = nodes.select("node", "doc_id").join(labels, "node")
@@ -290,16 +288,38 @@ def _linked(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFra
     return links, connect(links)
 
 
-def _leader_pairs(held: DataFrame, leaders: int, num: int, den: int, part: int = 8192) -> DataFrame:
+def _parts(part: int) -> Column:
+    """The last part of a band that is dealt in parts of about ``part`` members."""
+    return F.floor(F.col("band_size") / part).cast("int")
+
+
+def _deal(part: int) -> Column:
+    return F.pmod(F.xxhash64("node"), _parts(part) + 1).cast("int")
+
+
+def _ranked(held: DataFrame, leaders: int, part: int) -> DataFrame:
+    """held with band_size (members of the band) and rank: 1 to leaders, and leaders + 1 for the rest.
+
+    Leaders first come from small components.  Each part of a band gives its first ones, and the
+    band's are drawn from those, so no task orders a whole band.
+    """
+    held = held.join(held.groupBy("band").agg(F.count("*").alias("band_size")), "band")
+    held = held.join(held.groupBy("band", "component").agg(F.count("*").alias("size")), ["band", "component"])
+    order = ["size", F.desc("weight"), "node"]
+    first = held.select("band", "node", "size", "weight", F.row_number().over(Window.partitionBy("band", _deal(part)).orderBy(*order)).alias("place")).filter(F.col("place") <= leaders)
+    first = first.select("band", "node", F.row_number().over(Window.partitionBy("band").orderBy(*order)).alias("rank")).filter(F.col("rank") <= leaders)
+    return held.join(first, ["band", "node"], "left").withColumn("rank", F.coalesce("rank", F.lit(leaders + 1)))
+
+
+def _leader_pairs(held: DataFrame, leaders: int, num: int, den: int, part: int = PART) -> DataFrame:
     """Pairs a, b of a band's leaders and its members of other components that may be linked.
 
     A large band is dealt in parts; each gets the leaders.  A task holds one band's leaders and
     streams the part's members past them.  A pair passes if sizes fit, if the intersection could be
     large enough (it is at most what either shares with other components), and by its registers.
     """
-    parts = F.floor(F.col("size") / part).cast("int")
-    lead = held.filter(F.col("rank") <= leaders).withColumn("part", F.explode(F.sequence(F.lit(0), parts))).withColumn("passes", F.lit(False))
-    rest = held.withColumn("part", F.pmod(F.xxhash64("node"), parts + 1).cast("int")).withColumn("passes", F.lit(True))
+    lead = held.filter(F.col("rank") <= leaders).withColumn("part", F.explode(F.sequence(F.lit(0), _parts(part)))).withColumn("passes", F.lit(False))
+    rest = held.withColumn("part", _deal(part)).withColumn("passes", F.lit(True))
     columns = ["band", "part", "passes", "rank", "node", "component", "n", "shared", "nth", "registers"]
     dealt = lead.select(*columns).unionByName(rest.select(*columns)).repartition("band", "part").sortWithinPartitions("band", "part", "passes", "rank")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -320,6 +340,10 @@ def _leader_pairs(held: DataFrame, leaders: int, num: int, den: int, part: int =
                     lead = tuple(np.concatenate([x, y]) for x, y in zip(lead, fresh, strict=True)) if same else fresh
                     key = band[a], part_[a]
                     continue
+                if key != (band[a], part_[a]):
+                    key, lead = None, None
+                if lead is None:
+                    continue
                 for c in range(a, b, 256):
                     found = _hopeful_pairs(lead, (numbers[c : min(b, c + 256)], regs[c : min(b, c + 256)]), num, den)
                     if len(found):

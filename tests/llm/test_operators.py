@@ -122,6 +122,25 @@ def test_chain_of_links_is_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_leaders_meet_every_part_of_a_large_band(spark):
+    """A band with one large and many small components, dealt in parts of four members."""
+    same = bytes(2 * minhash.REGISTERS)
+    component = {i: 1000 if i < 40 else 2000 + i // 2 for i in range(56)}
+    rows = [(band, 0, i, 100, i % 7, c, 100, same) for band in (5, 6) for i, c in component.items()]
+    held = spark.createDataFrame(rows, "band long, nth int, node long, n long, weight long, component long, shared long, registers binary")
+    ranked = minhash._ranked(held, 6, 4)
+    order = sorted(range(40, 56), key=lambda i: (-(i % 7), i))[:6]
+    assert {(r.node, r["rank"]) for r in ranked.filter("rank <= 6").collect()} == {(i, k + 1) for k, i in enumerate(order)}
+    assert {(r.band_size, r["size"]) for r in ranked.collect()} == {(56, 40), (56, 2)}
+    want = {(a, b) for k, a in enumerate(order) for b in component if component[a] != component[b] and b not in order[: k + 1]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts in tasks of their own
+    try:
+        got = minhash._leader_pairs(ranked, 6, 85, 100, part=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter((r.a, r.b) for r in got) == Counter(list(want) * 2)
+
+
 # ------------------------------------------------------------------ 2
 
 
