@@ -3,7 +3,7 @@
 Each document's set of word shingles becomes 256 registers.  A register holds what is left of the
 smallest hash of its bucket: the count of leading zeros and ten mantissa bits after them.  Bands of
 six registers find candidates; the share of equal registers, corrected for chance collisions, drops
-hopeless ones; the rest are confirmed on full sets.
+hopeless ones of 64 shingles or more; the rest are confirmed on full sets.
 
 How groups stay linear:
 
@@ -37,6 +37,7 @@ from .common import Words, chunks, materialize, mix, scratch, texts_of
 
 REGISTERS, ROWS = 256, 6
 SMALL = 16  # members of a band whose pairs are all tested
+FEW = 64  # sets of fewer shingles are compared whole: their registers depend on each other
 PART = 8192  # members of a band that one task takes in a round
 MANTISSA = 10
 LOW = np.uint64(2**56 - 1)
@@ -141,10 +142,13 @@ def hopeful(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
 
     The estimate is the share of equal registers, corrected for registers of different values that
     collide: about 0.17 * 2**-10 * 4r / (1 + r)**2 for sets whose sizes have the ratio r.  It may be
-    4.75 standard errors low, as rare as a linked pair without a band.  (Small sets fill fewer buckets, but then most of the set is seen.)
+    4.75 standard errors low, 1e-6 for registers that are independent.  Small sets fill few buckets and
+    the others copy them, so one shingle can own many registers: a pair with a set of fewer than FEW
+    shingles always passes, and its full sets decide.
     """
     chance = 0.169919487159739 / 2**MANTISSA * 4 * (n / m) / (1 + n / m) ** 2
-    return chance + (1 - chance) * (t - 4.75 * (t * (1 - t) / REGISTERS) ** 0.5)
+    least = chance + (1 - chance) * (t - 4.75 * (t * (1 - t) / REGISTERS) ** 0.5)
+    return np.where(np.minimum(n, m) < FEW, 0.0, least)
 
 
 def plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:

@@ -141,6 +141,17 @@ def test_leaders_meet_every_part_of_a_large_band(spark):
     assert Counter((r.a, r.b) for r in got) == Counter(list(want) * 2)
 
 
+@pytest.mark.parametrize("n, m, t", [(7, 6, 0.85), (8, 7, 0.85), (5, 4, 0.8), (10, 8, 0.8)])
+def test_no_linked_pair_of_small_sets_is_judged_hopeless(n, m, t):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    larger = [np.sort(rng.integers(0, 2**56, n, dtype=np.uint64)) for _ in range(2000)]
+    smaller = [np.sort(rng.permutation(x)[:m]) for x in larger]
+    a, b = (minhash.registers(np.concatenate(x), np.arange(len(x) + 1) * len(x[0])) for x in (larger, smaller))
+    assert ((a == b).mean(axis=1) >= minhash.hopeful(np.array([float(n)]), np.array([float(m)]), t)).all()
+
+
 # ------------------------------------------------------------------ 2
 
 
