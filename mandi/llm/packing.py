@@ -13,15 +13,21 @@ Each round is written to the shared folder, so ids and cuts are decided once.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ragged
 
 LENGTH, WINDOWS, FAN_IN = 4096, 16, 32
 EOS = 2
@@ -36,12 +42,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+# The rules under which a text's ids are those of its parts between ASCII white space.
+# These normalisers join nothing across it, and every match of the split is free of it.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(rules: dict) -> bool:
+    """Whether a tokenizer's definition is known to encode parts between ASCII white space on their own."""
+    steps = lambda x, key: [] if not x else x[key] if x["type"] == "Sequence" else [x]
+    normal, pre = steps(rules.get("normalizer"), "normalizers"), steps(rules.get("pre_tokenizer"), "pretokenizers")
+    squeezed = [x for x in normal if x["type"] == "Replace"]
+    return (
+        [x["type"] for x in normal] == _NORMALIZERS and squeezed[0]["pattern"] == {"Regex": r"\s+"} and squeezed[0]["content"] == " "
+        and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": _SPLIT} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+        and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+        and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(c.isspace() for c in x["content"]) for x in rules.get("added_tokens", []))
+        and not rules.get("post_processor") and not rules.get("truncation") and not rules.get("padding")
+    )
+
+
+_ASCII = re.compile(_SPLIT.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("[[", "[").replace("]]", "]"))
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+" + r"|[0-9]|[!-/:-@\[-`{-~]+|'(?:s|t|re|ve|m|ll|d)")
+# Letters that are one code point in every form, and stay such in lower case; then a stop or comma.
+_LATIN = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)([.,]?)")
+
+
+def pieces(part: str) -> list[str]:
+    """A part cut where the tokenizer cuts it, as far as that is plain; a piece's ids don't depend on the others."""
+    if part.isascii() and part.isprintable() and "<|" not in part:
+        return _ASCII.findall(part.lower())
+    found = _LATIN.fullmatch(part)
+    return [found[1].lower(), found[2]] if found and found[2] else [found[1].lower()] if found else [part]
+
+
+def byte_spelling() -> dict[int, str]:
+    """How byte-level models spell a byte: visible Latin-1 as itself, the rest by code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in shown}
+
+
 class Encoder:
     """Token ids of texts, as uint32.
 
-    The tokenizer lower-cases, drops white space and never joins what stands on either side of it,
-    so a text's ids are those of its parts between white space, with A-Z lower-cased, each looked up
-    once per task.  A part that is letters and one full stop or comma is two parts to the tokenizer.
+    Where the tokenizer's rules allow it, each different part between white space is encoded once,
+    whole or cut into pieces, and texts are put together from their parts' ids by array lookups; any other
+    tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -50,34 +97,77 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-
-    def __call__(self, texts: list[str], at_once: int = 128) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), at_once):
-            split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts[a : a + at_once]]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(new)
-            find = self.known.__getitem__
-            for parts in split:
-                yield np.frombuffer(b"".join(map(find, parts)), np.uint32)
-
-    def _learn(self, parts: set[bytes]) -> None:
-        ends, whole = {}, set()
-        for p in parts:
-            core = p[:-1]
-            if p[-1:] in (b".", b",") and core and (97 <= core[-1] <= 122 or core[-1] >= 128 and core.decode("utf-8", "replace")[-1].isalpha()):
-                ends[p] = core
-                whole.update((core, p[-1:]))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.by_part = splits_at_spaces(json.loads(self.tokenizer.to_str()))
+        self._forget()
+
+    def __call__(self, texts: pa.Array, size: int = 1 << 23) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of about ``size`` bytes: its first text, all ids with EOS after each text, and the texts' bounds."""
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, "right")))
+            ids, counts = (self._by_part if self.by_part else self._whole)(texts.slice(a, b - a))
+            ends = np.cumsum(counts)
+            bounds = np.concatenate([[0], ends + np.arange(1, b - a + 1)])
+            yield a, np.insert(ids, ends, np.uint32(EOS)), bounds
+            a = b
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._encode(texts.to_pylist())
+
+    def _by_part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.ascii_split_whitespace(texts)
+        named = parts.flatten().dictionary_encode()
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        places = self._places(named.dictionary.to_pylist())[named.indices.to_numpy()] if len(named) else np.empty(0, np.int64)
+        sizes = self.sizes[places]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[ragged(self.begins[places], sizes)] if len(places) else np.empty(0, np.uint32), np.diff(upto[offsets])
+
+    def _forget(self) -> None:
+        self.known, self.ids_of = {}, {}
+        self.ids, self.begins, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        """Where begins and sizes have each part; unknown ones are learned."""
+        if len(self.known) > self.most:
+            self._forget()
+        new = [p for p in parts if p not in self.known]
+        if new:
+            split = list(map(pieces, new))
+            self._learn(set().union(*split).difference(self.ids_of))
+            find = self.ids_of.__getitem__
+            found = [find(xs[0]) if len(xs) == 1 else b"".join(map(find, xs)) for xs in split]
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def _learn(self, new: set[str]) -> None:
+        tokenize, spelling = self.tokenizer.model.tokenize, byte_spelling()
+        others = []
+        for x in new:
+            if _PLAIN.fullmatch(x):  # one piece in lower case: what the model gets is its bytes' spelling
+                self.ids_of[x] = array("I", [t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(spelling))]).tobytes()
             else:
-                whole.add(p)
-        whole = list(whole.difference(self.known))
-        for p, e in zip(whole, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in whole], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        for p, core in ends.items():
-            self.known[p] = self.known[core] + self.known[p[-1:]]
+                others.append(x)
+        for x, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.ids_of[x] = array("I", e.ids).tobytes()
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: what one task has learned serves the next."""
+    return Encoder(path)
 
 
 class Packer:
@@ -116,11 +206,15 @@ class Packer:
     def _emit(self, pieces: list[tuple], keep_ids: bool = False) -> None:
         offset = 0
         for doc_id, start, ids, doc_tokens in pieces:
-            data = ids.astype("<u4").tobytes()
+            data = ids.astype("<u4", copy=False).tobytes()
             self.out.append((doc_id, start, len(ids), zlib.crc32(data), doc_tokens, self.next, offset, data if keep_ids else None))
             offset += len(ids)
         self.next += 1
 
+    def own(self) -> None:
+        """Copy what open windows hold of a large array, so that it can go."""
+        self.open = [(room, [(d, s, ids.copy() if ids.base is not None else ids, n) for d, s, ids, n in pieces]) for room, pieces in self.open]
+
     def leave(self) -> None:
         """The open windows as left-over pieces with their ids."""
         for _, pieces in self.open:
@@ -174,12 +268,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, wi
         raise ValueError("length must be a power of two")
 
     def first(batches):
-        encode, packer = Encoder(path), Packer(_task(), length, windows)
+        encode, packer = encoder(path), Packer(_task(), length, windows)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                ids = np.append(ids, np.uint32(EOS))
-                packer.add(doc_id, 0, ids, len(ids))
+            doc_ids = batch.column(0).to_pylist()
+            for first, ids, bounds in encode(pc.fill_null(batch.column(1), "")):
+                ends = bounds.tolist()
+                for i, doc_id in enumerate(doc_ids[first : first + len(ends) - 1]):
+                    packer.add(doc_id, 0, ids[ends[i] : ends[i + 1]], ends[i + 1] - ends[i])
+                packer.own()
                 if len(packer.out) > 20_000:
                     yield packer.batch()
         packer.leave()
