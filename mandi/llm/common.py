@@ -73,6 +73,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTES = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64)
+_OTHER_BYTES = np.random.default_rng(20_012).integers(1, 2**63, 256, dtype=np.uint64)
 _P = 0x9E3779B97F4A7C15  # an odd multiplier
 
 
@@ -121,7 +122,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        self.buf = b" ".join(texts) + b" "
+        self.buf, self.lower = b" ".join(texts) + b" ", lower
         raw = np.frombuffer(self.buf, np.uint8)
         if lower:
             raw = _LOWER[raw]
@@ -138,6 +139,11 @@ class Words:
         self.bytes = Rolling(_BYTES[raw])
         self.hashes = self.bytes.slices(self.starts, self.ends)
 
+    def other_hashes(self) -> np.ndarray:
+        """A second hash of each word, from other random numbers."""
+        raw = np.frombuffer(self.buf, np.uint8)
+        return Rolling(_OTHER_BYTES[_LOWER[raw] if self.lower else raw]).slices(self.starts, self.ends)
+
     def owner(self) -> np.ndarray:
         """Text index of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -12,13 +12,20 @@ How groups stay linear:
 * the first round gives each class one candidate, the most central class in any of its bands (the
   one that meets most others): copies of one text mostly join it at once;
 * then bands of at most 16 members test all their pairs of different components;
-* larger bands go on in rounds while they hold two components.  A class whose shingles are mostly
-  found in its own component only can't have a partner and leaves; of the others a fixed number of
-  leaders per band meet the rest, a pair only if what both share with other components could be
-  enough; a leader that met all members retires.
+* in larger bands of several components each member is compared with the band's most central class,
+  the *pivot*, on full sets, and keeps only its differences from it: shingles that one has and the
+  other lacks.  Two members can be linked, and not yet be connected by the pivot, only if they share
+  enough differences (below), so those whose differences no one else has leave at once.  Of the others
+  a fixed number of leaders per pivot meet the rest in each round, exactly, by counting shared
+  differences, and retire; only links that join two components are given out.
 
-Every pair that shares a band is thus tested, excluded by exact counts, or already connected.  A
-band emits at most a fixed multiple of its members in each round.
+Every pair that shares a band is thus tested, excluded by exact counts, or already connected.  What a
+round gives out is at most a fixed multiple of its members, whatever their similarities.
+
+Differences.  Let C be the pivot with c shingles, A lack d of them and have e others, B likewise, and s
+the differences that A and B share.  Then |A and B| = c - d_A - d_B + s.  If B isn't linked with C, a
+link of A and B takes (num + den) * s > num * e_A + den * d_A: about half of what tells A from C.
+If both are linked with C, they are connected.
 
 With similarity 0.85 a linked pair shares no band with probability (1 - 0.85**6)**42, 2e-9; with 0.8,
 3e-6.
@@ -38,7 +45,7 @@ from .common import Words, chunks, materialize, mix, scratch, texts_of
 REGISTERS, ROWS = 256, 6
 SMALL = 16  # members of a band whose pairs are all tested
 FEW = 64  # sets of fewer shingles are compared whole: their registers depend on each other
-PART = 8192  # members of a band that one task takes in a round
+PART = 2048  # partners of one class, or members of a pivot, that one task takes
 MANTISSA = 10
 LOW = np.uint64(2**56 - 1)
 # For each attempt, the bucket that an empty bucket borrows from.
@@ -159,26 +166,34 @@ def plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            n, m = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
+            n, m = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             chance = 0.169919487159739 / 2**MANTISSA * 4 * (n / m) / (1 + n / m) ** 2
             keep = (x == y).mean(axis=1) >= hopeful(n, m, num / den)
             yield common.batch_of(schema, [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))])
 
-    return pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "registers_a", "registers_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
+def _meet(pairs: DataFrame, table: DataFrame, part: int = PART) -> DataFrame:
+    """Pairs a, b with the columns of table (by node) of both, named c_a and c_b.
+
+    A class with many partners is copied to as many tasks as they need.
+    """
+    side = lambda x: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "node"))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    many = pairs.groupBy("a").agg(F.floor(F.count("*") / part).cast("int").alias("last")).filter("last > 0")
+    last = F.coalesce("last", F.lit(0))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), last + 1).cast("int").alias("share"))
+    left = side("a").join(pairs.select("a").distinct(), "a", "left_semi").join(many, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0), last))).drop("last")
+    return dealt.join(left, ["a", "share"]).join(side("b"), "b").drop("share")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs a, b with den * |A and B| >= num * |A or B|, on full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb")).cast("long")
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("s"))
-        .filter(F.lit(den) * F.col("i") >= F.lit(num) * (F.col("s") - F.col("i")))
-        .select("a", "b")
-    )
+    both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
+    met = _meet(pairs, sets).select("a", "b", both.alias("i"), (F.size("hashes_a") + F.size("hashes_b")).cast("long").alias("s"))
+    return met.filter(F.lit(den) * F.col("i") >= F.lit(num) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
 def connect(links: DataFrame, tag: str = "cc") -> DataFrame:
@@ -200,7 +215,7 @@ def connect(links: DataFrame, tag: str = "cc") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 256, part: int = PART) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 512, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text; others are ignored).
 
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of k-word shingles
@@ -240,17 +255,17 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
     labels = connect(links)
     links, labels = _small_bands(members, links, labels, nodes, sets, num, den)
     held = materialize(_held(members, labels), "all-held")
-    members = materialize(held.join(_mixed(held).filter(F.col("size") > SMALL).select("band"), "band", "left_semi").drop("component"), "members")
+    held = held.join(_mixed(held).filter(F.col("size") > SMALL).select("band"), "band", "left_semi").join(central, "band")
+    near = held.select(F.col("top.node").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    rivals = materialize(_differences(near, sets, num, den), "rivals")
+    fresh = rivals.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     while True:
-        held = materialize(_held(members, labels), "all-held")
-        held = materialize(held.join(_mixed(held).select("band"), "band", "left_semi"), "mixed")
-        held = held.join(_shared_elsewhere(held, sets), "node").filter(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n"))
-        held = materialize(_ranked(materialize(held, "sharing"), leaders, part), "held")
-        if held.isEmpty():
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            labels = connect(links)
+        fresh, rivals = _round(rivals, labels, num, den, leaders, part)
+        if fresh.isEmpty():
             break
-        pairs = _leader_pairs(held.join(nodes.select("node", "registers"), "node"), leaders, num, den, part)
-        links, labels = _linked(pairs, links, labels, sets, num, den)
-        members = held.filter(F.col("rank") > leaders).select("band", "nth", "node", "n", "weight")
     named = nodes.select("node", "doc_id").join(labels, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
@@ -270,15 +285,15 @@ def _mixed(held: DataFrame) -> DataFrame:
 
 
 def _sizes_fit(num: int, den: int) -> Column:
-    return F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+    return F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
 
 
 def _small_bands(members: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Test all pairs of different components in bands of at most SMALL members."""
     held = materialize(_held(members, labels), "all-held")
     held = materialize(held.join(_mixed(held).filter(F.col("size") <= SMALL).select("band"), "band"), "held")
-    a = held.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = held.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    a = held.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"))
+    b = held.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"))
     pairs = a.join(b, (a.band == b.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(num, den))
     return _linked(_plausible(pairs.select("a", "b").distinct(), nodes, num, den), links, labels, sets, num, den)
 
@@ -292,93 +307,142 @@ def _linked(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFra
     return links, connect(links)
 
 
-def _parts(part: int) -> Column:
-    """The last part of a band that is dealt in parts of about ``part`` members."""
-    return F.floor(F.col("band_size") / part).cast("int")
+def _differences(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pivot, node, c, n (sizes), lacks, extra (counts), linked, and diff: the shingles that only one of both has."""
+    lacks, extra = F.array_except("hashes_a", "hashes_b"), F.array_except("hashes_b", "hashes_a")
+    met = _meet(near, sets).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.size("hashes_a").cast("long").alias("c"), F.size("hashes_b").cast("long").alias("n"), lacks.alias("l"), extra.alias("e"))
+    met = met.select("pivot", "node", "c", "n", F.size("l").cast("long").alias("lacks"), F.size("e").cast("long").alias("extra"), F.concat("l", "e").alias("diff"))
+    return met.withColumn("linked", F.lit(num + den) * (F.col("c") - F.col("lacks")) >= F.lit(num) * (F.col("c") + F.col("n")))
 
 
-def _deal(part: int) -> Column:
-    return F.pmod(F.xxhash64("node"), _parts(part) + 1).cast("int")
+def _round(rivals: DataFrame, labels: DataFrame, num: int, den: int, leaders: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """Links between components that some leaders find, and the rivals that are left."""
+    while True:
+        live = rivals.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        for _ in range(2):  # whoever leaves takes differences along
+            live = materialize(_sharing(live, num, den), "live")
+        ranked = materialize(_ranked(live, leaders, part), "ranked")
+        if ranked.isEmpty():
+            return ranked.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ranked
+        fresh = materialize(_leader_links(ranked, leaders, num, den, part), "links")
+        rivals = ranked.filter(F.col("rank") > leaders).drop("rank", "parts")
+        if not fresh.isEmpty():
+            return fresh, rivals
+
+
+def _sharing(live: DataFrame, num: int, den: int) -> DataFrame:
+    """Rivals that share enough differences with members of other components; diff keeps the shared ones.
+
+    One of a pair isn't linked with the pivot, so only differences of such members count for a linked one.
+    """
+    each = live.select("pivot", "node", "component", "linked", F.explode("diff").alias("x"))
+    apart, joined = F.when(~F.col("linked"), F.col("component")), F.when(F.col("linked"), F.col("component"))
+    who = each.groupBy("pivot", "x").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.min(joined).alias("joined")).filter("low <> high OR low <> joined")
+    from_apart = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+    from_joined = ~F.col("linked") & F.coalesce(F.col("joined") != F.col("component"), F.lit(False))
+    found = each.join(who, ["pivot", "x"]).filter(from_apart | from_joined).groupBy("pivot", "node").agg(F.collect_list("x").alias("diff"), F.count_if(from_apart).alias("apart"), F.count_if(from_joined).alias("joined"))
+    enough = F.lit(num + den) * F.col("apart") > F.lit(num) * F.col("extra") + F.lit(den) * F.col("lacks")
+    return live.drop("diff").join(found, ["pivot", "node"]).filter(enough | (F.col("joined") > 0)).drop("apart", "joined")
 
 
-def _ranked(held: DataFrame, leaders: int, part: int) -> DataFrame:
-    """held with band_size (members of the band) and rank: 1 to leaders, and leaders + 1 for the rest.
+def _share_of(part: int) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
 
-    Leaders first come from small components.  Each part of a band gives its first ones, and the
-    band's are drawn from those, so no task orders a whole band.
+
+def _ranked(live: DataFrame, leaders: int, part: int) -> DataFrame:
+    """live with parts (that its pivot's members are dealt in) and rank: 1 to leaders, and leaders + 1 for the rest.
+
+    Leaders are members that aren't linked with the pivot.  Each part gives its first ones, and the
+    pivot's are drawn from those, so no task orders all members.
     """
-    held = held.join(held.groupBy("band").agg(F.count("*").alias("band_size")), "band")
-    held = held.join(held.groupBy("band", "component").agg(F.count("*").alias("size")), ["band", "component"])
-    order = ["size", F.desc("weight"), "node"]
-    first = held.select("band", "node", "size", "weight", F.row_number().over(Window.partitionBy("band", _deal(part)).orderBy(*order)).alias("place")).filter(F.col("place") <= leaders)
-    first = first.select("band", "node", F.row_number().over(Window.partitionBy("band").orderBy(*order)).alias("rank")).filter(F.col("rank") <= leaders)
-    return held.join(first, ["band", "node"], "left").withColumn("rank", F.coalesce("rank", F.lit(leaders + 1)))
+    live = live.join(live.groupBy("pivot").agg((F.floor(F.count("*") / part) + 1).cast("int").alias("parts")), "pivot")
+    first = live.filter(~F.col("linked")).select("pivot", "node", F.row_number().over(Window.partitionBy("pivot", _share_of(part)).orderBy("node")).alias("place")).filter(F.col("place") <= leaders)
+    first = first.select("pivot", "node", F.row_number().over(Window.partitionBy("pivot").orderBy("node")).alias("rank")).filter(F.col("rank") <= leaders)
+    return live.join(first, ["pivot", "node"], "left").withColumn("rank", F.coalesce("rank", F.lit(leaders + 1)))
+
 
+_RIVALS = ["pivot", "part", "passes", "node", "component", "c", "n", "lacks", "diff"]
 
-def _leader_pairs(held: DataFrame, leaders: int, num: int, den: int, part: int = PART) -> DataFrame:
-    """Pairs a, b of a band's leaders and its members of other components that may be linked.
 
-    A large band is dealt in parts; each gets the leaders.  A task holds one band's leaders and
-    streams the part's members past them.  A pair passes if sizes fit, if the intersection could be
-    large enough (it is at most what either shares with other components), and by its registers.
+def _leader_links(ranked: DataFrame, leaders: int, num: int, den: int, part: int) -> DataFrame:
+    """Links a, b of a pivot's leaders and members of other components, as many as join components.
+
+    A task holds one pivot's leaders and streams a part's members past them.
     """
-    lead = held.filter(F.col("rank") <= leaders).withColumn("part", F.explode(F.sequence(F.lit(0), _parts(part)))).withColumn("passes", F.lit(False))
-    rest = held.withColumn("part", _deal(part)).withColumn("passes", F.lit(True))
-    columns = ["band", "part", "passes", "rank", "node", "component", "n", "shared", "nth", "registers"]
-    dealt = lead.select(*columns).unionByName(rest.select(*columns)).repartition("band", "part").sortWithinPartitions("band", "part", "passes", "rank")
+    lead = ranked.filter(F.col("rank") <= leaders).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("passes", F.lit(False))
+    rest = ranked.withColumn("part", _share_of(part)).withColumn("passes", F.lit(True))
+    dealt = lead.select(*_RIVALS).unionByName(rest.select(*_RIVALS)).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "passes", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        key, lead = None, None
+        key, held, roots = None, [], {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, part_, passes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            numbers = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3, 9)], axis=1)
-            regs = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            turn = np.flatnonzero((band[1:] != band[:-1]) | (part_[1:] != part_[:-1]) | (passes[1:] != passes[:-1])) + 1
-            for a, b in zip([0, *turn], [*turn, len(band)], strict=True):
+            pivot, part_, passes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            turn = np.flatnonzero((pivot[1:] != pivot[:-1]) | (part_[1:] != part_[:-1]) | (passes[1:] != passes[:-1])) + 1
+            for a, b in zip([0, *turn], [*turn, len(pivot)], strict=True):
+                if key != (pivot[a], part_[a]):
+                    key, held, roots = (pivot[a], part_[a]), [], {}
                 if not passes[a]:
-                    fresh = numbers[a:b], regs[a:b]
-                    same = key == (band[a], part_[a])
-                    lead = tuple(np.concatenate([x, y]) for x, y in zip(lead, fresh, strict=True)) if same else fresh
-                    key = band[a], part_[a]
-                    continue
-                if key != (band[a], part_[a]):
-                    key, lead = None, None
-                if lead is None:
-                    continue
-                for c in range(a, b, 256):
-                    found = _hopeful_pairs(lead, (numbers[c : min(b, c + 256)], regs[c : min(b, c + 256)]), num, den)
-                    if len(found):
-                        yield common.batch_of(schema, [found[:, 0], found[:, 1]])
+                    held.append(_Rivals(batch.slice(a, b - a)))
+                elif held:
+                    if len(held) > 1:
+                        held = [_Rivals.joined(held)]
+                    for c in range(a, b, 64):
+                        found = held[0].links(_Rivals(batch.slice(c, min(b, c + 64) - c)), num, den, roots)
+                        if len(found):
+                            yield common.batch_of(schema, [found[:, 0], found[:, 1]])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _hopeful_pairs(lead: tuple, rest: tuple, num: int, den: int) -> np.ndarray:
-    (rank, node, component, n, shared, nth), (rank_, node_, component_, n_, shared_, _) = lead[0].T[:, :, None], rest[0].T[:, None, :]
-    ok = (component != component_) & (rank < rank_) & (den * np.minimum(n, n_) >= num * np.maximum(n, n_)) & ((num + den) * np.minimum(shared, shared_) >= num * (n + n_))
-    i, j = np.nonzero(ok)
-    good = np.empty(len(i), bool)
-    least = hopeful(lead[0][i, 3].astype(float), rest[0][j, 3].astype(float), num / den)
-    for s in range(0, len(i), 4096):
-        part = slice(s, s + 4096)
-        equal = lead[1][i[part]] == rest[1][j[part]]
-        bands = equal[:, : REGISTERS // ROWS * ROWS].reshape(len(equal), -1, ROWS).all(axis=2)
-        good[part] = (equal.mean(axis=1) >= least[part]) & (bands.argmax(axis=1) == nth.ravel()[0])
-    return np.stack([lead[0][i[good], 1], rest[0][j[good], 1]], axis=1)
-
-
-def _shared_elsewhere(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, shared: how many of its shingles some node of another component has, among the held."""
-    who = held.select("node", "component").distinct()
-    each = sets.join(who, "node").select("node", "component", F.explode("hashes").alias("shingle"))
-    both = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    return each.join(both, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+class _Rivals:
+    """Members of one pivot: numbers (node, component, c, n, lacks), and their differences in one array."""
+
+    def __init__(self, batch: pa.RecordBatch | None = None):
+        if batch is not None:
+            self.numbers = np.stack([batch.column(i).to_numpy() for i in range(3, 8)], axis=1)
+            self.diff = batch.column(8).flatten().to_numpy()
+            self.owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(8).offsets.to_numpy()))
+
+    @classmethod
+    def joined(cls, parts: list[_Rivals]) -> _Rivals:
+        out, before = cls(), np.cumsum([0, *(len(p.numbers) for p in parts)])
+        out.numbers, out.diff = np.concatenate([p.numbers for p in parts]), np.concatenate([p.diff for p in parts])
+        out.owner = np.concatenate([p.owner + n for p, n in zip(parts, before, strict=False)])
+        return out
+
+    def links(self, rest: _Rivals, num: int, den: int, roots: dict) -> np.ndarray:
+        """Linked pairs (one of these, one of rest) that join components which roots has apart; roots is kept up."""
+        if not hasattr(self, "order"):
+            self.order = np.argsort(self.diff, kind="stable")
+            self.sorted = self.diff[self.order]
+        n, m = len(self.numbers), len(rest.numbers)
+        shared = np.zeros(n * m, np.int64)
+        for c in range(0, len(rest.diff), 8192):
+            x, owner = rest.diff[c : c + 8192], rest.owner[c : c + 8192]
+            lo, hi = np.searchsorted(self.sorted, x, "left"), np.searchsorted(self.sorted, x, "right")
+            mine = self.owner[self.order[common.ragged(lo, hi - lo)]]
+            shared += np.bincount(np.repeat(owner, hi - lo) * n + mine, minlength=n * m)
+        (node, component, size, k, lacks), (node_, component_, _, k_, lacks_) = self.numbers.T[:, None, :], rest.numbers.T[:, :, None]
+        both = size - lacks - lacks_ + shared.reshape(m, n)
+        j, i = np.nonzero(((num + den) * both >= num * (k + k_)) & (component != component_))
+        out = []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = _root(roots, int(self.numbers[a, 1])), _root(roots, int(rest.numbers[b, 1]))
+            if x != y:
+                roots[x] = y
+                out.append((self.numbers[a, 0], rest.numbers[b, 0]))
+        return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _root(roots: dict, x: int) -> int:
+    while (up := roots.get(x, x)) != x:
+        roots[x] = roots.get(up, up)
+        x = up
+    return x
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    return plausible(pairs.join(left, "a").join(right, "b").filter(_sizes_fit(num, den)), num, den)
+    return plausible(_meet(pairs, nodes.select("node", "n", "registers")).filter(_sizes_fit(num, den)), num, den)

@@ -1,22 +1,22 @@
-"""Operator 7: substring dedup, by a suffix tree that is split over prefixes.
-
-A window of 35 words that occurs twice is an inner node at depth 35 of the tree of all word
-suffixes.  The tree is built by levels, from prefixes of two lengths, and a suffix leaves the job at
-the first level where it is alone under its prefix (a leaf needs no deeper look):
-
-* depth 10: of each window only the ten-word run with the smallest hash among its 26 is looked
-  up, so equal windows look up the same run at the same offset and about 2 in 27 runs travel.  A
-  run that occurs once makes all windows that chose it leaves;
-* depth 35: the windows that chose a repeated run, by a hash of all 35 words.  Those that meet
-  another are inner nodes; their words are removed.
-
-Subtrees are dealt by a hash of their prefix.  A prefix that many texts share is combined where it
-is read: rows that meet an equal in their own batch are known to repeat, one of them goes to the
-prefix's task as a witness, the others are dealt by row.  So a prefix sends a row for each batch.
-Texts that other rows have whole are found first, by a hash of the text: one row stands for them.
-
-Prefix and edge labels are 64-bit hashes; sending each suffix's 35 words instead would move more
-than thirty times the input.
+"""Operator 7: substring dedup by suffix trees that are split over prefixes.
+
+A window of 35 words that occurs twice is an inner node at depth 35 or more of the tree of all word
+suffixes.  Its suffixes are split over prefixes of variable length, so that each group's subtree fits
+in a task's memory:
+
+* the first prefix is ten words long.  Of each window the ten-word run with the smallest hash among
+  its 26 is taken, so equal windows take the same run at the same offset and about 2 in 27 runs
+  travel.  Windows whose run occurs once are leaves and leave the job (an exact filter: no equal);
+* windows that share a repeated run are a group.  They travel as one stretch of text for each
+  occurrence of the run, words and all.  A group's task sorts the suffixes that begin its windows and
+  takes common prefixes of neighbours: neighbours that share 35 words are under one deep inner node.
+  Words are compared, not hashes;
+* a run with more occurrences than a task should hold takes the longest prefix instead: its windows
+  are groups of their own, named by 128 bits of all 35 words.  Rows of a batch that meet an equal
+  are known to repeat; one of them bears witness to the others, which are dealt by row, so a
+  passage that many texts share sends a row for each batch.
+
+Texts that other rows have whole are found first, by 128 bits of the text: one row stands for them.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, batch_of, chunks, ragged, texts_of
+from .common import Rolling, Words, batch_of, chunks, materialize, ragged, scratch, texts_of
 
 WINDOW, RUN = 35, 10
+MOST = 32_768  # occurrences of a run whose suffixes one task sorts
 _KEYS = pa.schema([("key", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("known", pa.int8())])
 _KEYS_DDL = "key long, row_id long, pos int, known byte"
 
@@ -70,11 +71,17 @@ def _keyed(keys: list, rows: list, poss: list) -> pa.RecordBatch:
 
 
 def _repeated(keyed: DataFrame) -> DataFrame:
-    """row_id, places: the sorted places of keys that occur twice or more."""
+    """key, row_id, pos of keys that occur twice or more."""
     salt = F.when(F.col("known") == 2, F.pmod(F.xxhash64("row_id", "pos"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
     n = F.count("*").over(Window.partitionBy("key", "salt"))
-    hits = keyed.withColumn("salt", salt).withColumn("n", n).filter((F.col("known") > 0) | (F.col("n") > 1))
-    return hits.groupBy("row_id").agg(F.collect_list("pos").alias("places"))
+    return keyed.withColumn("salt", salt).withColumn("n", n).filter((F.col("known") > 0) | (F.col("n") > 1)).select("key", "row_id", "pos")
+
+
+def _places(runs: DataFrame, most: int) -> DataFrame:
+    """row_id, places: where its repeated runs begin, doubled, and one more if the run has over ``most`` occurrences."""
+    deep = runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.lit(1).alias("deep"))
+    at = F.col("pos") * 2 + F.coalesce("deep", F.lit(0))
+    return runs.join(deep, "key", "left").groupBy("row_id").agg(F.collect_list(at).alias("places"))
 
 
 def _prefixes(window: int, run: int):
@@ -97,27 +104,137 @@ def _prefixes(window: int, run: int):
     return go
 
 
+# Stretches of a short prefix (n windows, all their words) and windows of the longest one (no words).
+_GROUPED = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("known", pa.int8()), ("words", pa.binary())])
+_GROUPED_DDL = "key long, key2 long, row_id long, pos int, n int, known byte, words binary"
+
+
 def _windows(window: int, run: int):
     def go(batches):
         for batch in batches:
             # copies of a text that another row stands for repeat anyway; one row bears witness
             batch = batch.filter(pc.and_(pc.is_valid(batch.column(2)), pc.not_equal(pc.fill_null(batch.column(3), 0), 1)))
             texts, ids, places = texts_of(batch), batch.column(0).to_numpy(), batch.column(2)
-            keys, rows, poss = [], [], []
+            deep = []
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
-                at, picked, _ = chosen_runs(words, window, run)
+                at, picked, h = chosen_runs(words, window, run)
                 part = places.slice(a, b - a)
-                shared = np.zeros(len(words.hashes), bool)
-                sizes = np.diff(part.offsets.to_numpy())
-                shared[part.flatten().to_numpy() + np.repeat(words.first[:-1], sizes)] = True
-                at = at[shared[picked]]
-                if len(at):
-                    owner = words.owner()[at]
-                    keys.append(Rolling(words.hashes).slices(at, at + window))
-                    rows.append(ids[a:b][owner])
-                    poss.append(at - words.first[owner])
-            yield _keyed(keys, rows, poss)
+                found, sizes = part.flatten().to_numpy(), np.diff(part.offsets.to_numpy())
+                shared = np.zeros(len(words.hashes), np.int8)
+                shared[(found >> 1) + np.repeat(words.first[:-1], sizes)] = 1 + (found & 1)
+                owner = words.owner()
+                # windows that took one run follow one another
+                near = np.flatnonzero(shared[picked] == 1)
+                if len(near):
+                    fresh = np.flatnonzero(np.concatenate([[True], (picked[near[1:]] != picked[near[:-1]])]))
+                    first, n = near[fresh], np.diff(np.append(fresh, len(near)))
+                    begin = at[first]
+                    one = b" ".join(words.buf.split()) + b" "  # all words, one space after each
+                    upto = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+                    text = [one[i : j - 1] for i, j in zip(upto[begin].tolist(), upto[begin + n + window - 1].tolist(), strict=True)]
+                    zero = np.zeros(len(first), np.int64)
+                    yield batch_of(_GROUPED, [h[first].view(np.int64), zero, ids[a:b][owner[begin]], (begin - words.first[owner[begin]]).astype(np.int32), n.astype(np.int32), zero.astype(np.int8), pa.array(text, pa.binary())])
+                far = at[shared[picked] == 2]
+                if len(far):
+                    keys = (Rolling(x).slices(far, far + window).view(np.int64) for x in (words.hashes, words.other_hashes()))
+                    deep.append((*keys, ids[a:b][owner[far]], far - words.first[owner[far]]))
+            if deep:
+                yield _deep(*(np.concatenate(x) for x in zip(*deep, strict=True)))
+
+    return go
+
+
+def _deep(key: np.ndarray, key2: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Windows of the longest prefix; known: 0 alone in the batch, 1 the witness of several, 2 another of several."""
+    order = np.lexsort((key2, key))
+    a, b = key[order], key2[order]
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    known = np.zeros(len(a), np.int8)
+    known[:-1][same] = 1
+    known[1:][same] = 2
+    return batch_of(_GROUPED, [a, b, row[order], pos[order].astype(np.int32), np.ones(len(a), np.int32), known, pa.nulls(len(a), pa.binary())])
+
+
+def equal_suffixes(codes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Whether the ``window`` codes from each start also begin at another start.
+
+    Suffixes are sorted by their first ``window`` codes; one whose neighbour has them all in common is
+    under a deep inner node of their tree.
+    """
+    if not len(starts):
+        return np.zeros(0, bool)
+    bits = max(1, int(codes.max()).bit_length())
+    per = min(window, 63 // bits)
+    packed = codes[: len(codes) - per + 1].astype(np.int64)
+    for j in range(1, per):
+        packed = (packed << bits) | codes[j : len(codes) - per + 1 + j]
+    keys = [packed[starts + i] for i in [*range(0, window - per, per), window - per]]
+    order = np.lexsort(keys[::-1])
+    same = np.ones(len(order) - 1, bool)
+    for k in keys:
+        k = k[order]
+        same &= k[1:] == k[:-1]
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+_NODES = pa.schema([("row_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+
+
+def _subtrees(window: int):
+    """Windows that repeat, as runs of n that follow one another, of whole groups that come sorted by their keys."""
+
+    def stretches(rows: pa.RecordBatch) -> pa.RecordBatch:
+        words, n = rows.column("words"), rows.column("n").to_numpy().astype(np.int64)
+        raw = b" ".join(words.to_pylist()) + b" "
+        ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        each = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        codes = each.dictionary_encode().indices.to_numpy()
+        size = n + window - 1
+        found = equal_suffixes(codes, ragged(np.cumsum(size) - size, n), window)
+        head = np.zeros(len(found), bool)
+        head[np.cumsum(n) - n] = True
+        before = np.concatenate([[False], found[:-1]])
+        first = np.flatnonzero(found & (head | ~before))
+        after = np.concatenate([found[1:] & ~head[1:], [False]])
+        last = np.flatnonzero(found & ~after)
+        owner = np.searchsorted(np.cumsum(n), first, "right")
+        begin = first - (np.cumsum(n) - n)[owner]
+        return batch_of(_NODES, [rows.column("row_id").to_numpy()[owner], (rows.column("pos").to_numpy()[owner] + begin).astype(np.int32), (last - first + 1).astype(np.int32)])
+
+    def windows(rows: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, known = (rows.column(c).to_numpy() for c in ("key", "key2", "known"))
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        twice = known > 0
+        twice[1:] |= same
+        twice[:-1] |= same
+        return rows.select(["row_id", "pos", "n"]).filter(pa.array(twice))
+
+    def whole(rows: pa.RecordBatch):
+        deep = pc.is_null(rows.column("words"))
+        for part, act in ((rows.filter(pc.invert(deep)), stretches), (rows.filter(deep), windows)):
+            if part.num_rows:
+                yield act(part)
+
+    def go(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if held and (cut or key[0] != held[-1].column("key")[-1].as_py()):
+                yield from whole(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from whole(batch.slice(0, cut))
+            held.append(batch.slice(cut))
+        if held:
+            yield from whole(pa.concat_batches(held))
 
     return go
 
@@ -135,9 +252,10 @@ def _removed(window: int, with_text: bool):
                 part = places.slice(a, b - a)
                 cover = np.zeros(len(words.hashes) + 1, np.int64)
                 sizes = np.where(part.is_valid().to_numpy(False), np.diff(part.offsets.to_numpy()), 0)
-                at = part.flatten().to_numpy() + np.repeat(words.first[:-1], sizes)
+                runs = part.flatten()
+                at = runs.field(0).to_numpy() + np.repeat(words.first[:-1], sizes)
                 np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                np.add.at(cover, at + runs.field(1).to_numpy() + window - 1, -1)
                 whole = copy[a:b] & (n >= window)
                 np.add.at(cover, words.first[:-1][whole], 1)
                 np.add.at(cover, words.first[1:][whole], -1)
@@ -154,11 +272,12 @@ def _removed(window: int, with_text: bool):
     return go
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_text: bool = True, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each row of docs (doc_id, text).
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in the
     same text included.  kept_text joins the other words by one space (null unless with_text).
+    ``most`` occurrences of a run of ``run`` words are sorted by one task; it doesn't change the result.
 
     docs must read the same each time (a scan, or materialize()'s result): rows are told apart by
     their place in it.  Null text has no words; null doc_id stays null; repeated rows repeat each
@@ -166,18 +285,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_t
     """
     if not 0 < run <= window:
         raise ValueError("0 < run <= window")
+    with scratch(docs.sparkSession) as written:
+        out = materialize(_removal(docs, window, run, with_text, most), "kept")
+        written.pop()
+    return out
+
+
+def _removal(docs: DataFrame, window: int, run: int, with_text: bool, most: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    prefixes = _repeated(rows.select("row_id", "text").mapInArrow(_prefixes(window, run), _KEYS_DDL))
-    copies = _copies(rows)
+    runs = materialize(_repeated(rows.select("row_id", "text").mapInArrow(_prefixes(window, run), _KEYS_DDL)), "runs")
+    copies = _copies(rows, window)
     # both joins deal rows by row_id with the same columns, so the texts move once
-    deep = rows.join(prefixes, "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "copy", "doc_id")
-    nodes = _repeated(deep.mapInArrow(_windows(window, run), _KEYS_DDL))
+    held = rows.join(_places(runs, most), "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "copy", "doc_id")
+    grouped = held.mapInArrow(_windows(window, run), _GROUPED_DDL)
+    grouped = grouped.withColumn("share", F.when(F.col("known") == 2, F.pmod(F.xxhash64("row_id", "pos"), F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
+    grouped = grouped.repartition("key", "key2", "share").sortWithinPartitions("key", "key2", "share").drop("share")
+    nodes = grouped.mapInArrow(_subtrees(window), "row_id long, pos int, n int").groupBy("row_id").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
     out = rows.join(nodes, "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "doc_id", "copy")
     return out.mapInArrow(_removed(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def _copies(rows: DataFrame) -> DataFrame:
-    """row_id and copy of rows whose whole text another row has: 0 for one of them, 1 for the others."""
-    named = rows.select("row_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+def _copies(rows: DataFrame, window: int) -> DataFrame:
+    """row_id and copy of rows whose whole text another row has: 0 for one of them, 1 for the others.
+
+    Only of texts that are long enough for a window.
+    """
+    named = rows.filter(F.length("text") >= 2 * window - 1).select("row_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
     several = named.groupBy("h", "g").agg(F.min("row_id").alias("one"), F.count("*").alias("n")).filter("n > 1")
     return named.join(several, ["h", "g"]).select("row_id", (F.col("row_id") != F.col("one")).cast("int").alias("copy"))

@@ -122,23 +122,40 @@ def test_chain_of_links_is_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
-def test_leaders_meet_every_part_of_a_large_band(spark):
-    """A band with one large and many small components, dealt in parts of four members."""
-    same = bytes(2 * minhash.REGISTERS)
-    component = {i: 1000 if i < 40 else 2000 + i // 2 for i in range(56)}
-    rows = [(band, 0, i, 100, i % 7, c, 100, same) for band in (5, 6) for i, c in component.items()]
-    held = spark.createDataFrame(rows, "band long, nth int, node long, n long, weight long, component long, shared long, registers binary")
-    ranked = minhash._ranked(held, 6, 4)
-    order = sorted(range(40, 56), key=lambda i: (-(i % 7), i))[:6]
-    assert {(r.node, r["rank"]) for r in ranked.filter("rank <= 6").collect()} == {(i, k + 1) for k, i in enumerate(order)}
-    assert {(r.band_size, r["size"]) for r in ranked.collect()} == {(56, 40), (56, 2)}
-    want = {(a, b) for k, a in enumerate(order) for b in component if component[a] != component[b] and b not in order[: k + 1]}
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts in tasks of their own
-    try:
-        got = minhash._leader_pairs(ranked, 6, 85, 100, part=4).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert Counter((r.a, r.b) for r in got) == Counter(list(want) * 2)
+@pytest.mark.parametrize("leaders, part", [(3, 5), (512, 2048)])
+def test_a_large_group_of_near_copies(spark, leaders, part):
+    """Copies of one text, some linked with it and some not, families of edits that others share, and deletions."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(200)]
+
+    def edited(words, n, drop=0):
+        w = list(words)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        for _ in range(drop):
+            del w[rng.randrange(len(w))]
+        return w
+
+    texts = [base, *(edited(base, rng.randint(1, 9)) for _ in range(60)), *(edited(base, rng.randint(0, 3), rng.randint(1, 9)) for _ in range(40))]
+    for _ in range(8):
+        head = edited(base, 8)
+        texts += [edited(head, rng.randint(0, 4), rng.randint(0, 1)) for _ in range(8)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [shingles(t, 3) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaders=leaders, part=part).collect()
+    assert len({root(i) for i in range(len(rows))}) > 20
+    assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in range(len(rows))}
 
 
 @pytest.mark.parametrize("n, m, t", [(7, 6, 0.85), (8, 7, 0.85), (5, 4, 0.8), (10, 8, 0.8)])
@@ -280,6 +297,24 @@ def test_packing_merges_left_overs_of_many_tasks(spark):
     assert sum(n < 1024 for n in sizes) <= 10 and all(n & (n - 1) == 0 for n in sizes)
 
 
+ENCODER_ATOMS = ["İ.", "TÜRKİ. foo", "<|ENDOFTEXT|>", "<|endoftext|>", "<|endof", "text|>", "á", "́x", "é.", "É,", "中文字", "日本。", "don't", "I'LL", "'S", "12,3", "ß", "ﬁ", "ΑΣ ", "ŉ.", "ſ", "‍", "👩‍👩", "\x1c", "\x85", "q̧.", "각", "\x00", " ", " ", "\t", "\n", "\r\n", "\x0b"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_the_tokenizer(name):
+    """Odd texts, whole and after one another, for a tokenizer that takes parts and one that takes whole texts."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path(name)), packing.Encoder(public_tokenizers.path(name), most=300)
+    assert encode.by_part == name.startswith("word")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*ENCODER_ATOMS, *"abXY .,'<|>-9"]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    got = [ids[bounds[i] : bounds[i + 1]].tolist() for _, ids, bounds in encode(pa.array(texts), size=4000) for i in range(len(bounds) - 1)]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.EOS] for t in texts]
+
+
 # ------------------------------------------------------------------ 5
 
 
@@ -353,7 +388,8 @@ def test_splitting_tree_keeps_quotas():
 # ------------------------------------------------------------------ 7
 
 
-def test_substring(docs):
+@pytest.mark.parametrize("most", [substring.MOST, 1])
+def test_substring(docs, most):
     rows = [(d, WORDS.findall(t or "")) for d, t in rows_of(docs)]
     seen = Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
     want = Counter()
@@ -364,11 +400,35 @@ def test_substring(docs):
                 gone.update(range(i, i + 35))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[(d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    got = substring.remove_repeats(docs).collect()
+    got = substring.remove_repeats(docs, most=most).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_suffixes_of_one_group_are_compared_by_words():
+    """Stretches of a group whose keys collide, in batches that cut the group; equal windows only."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = []
+    for key in (1, 2):
+        base = [rng.choice("abc") for _ in range(60)]
+        for r in range(40):
+            w = [*base]
+            if r % 4:
+                w[rng.randrange(60)] = "z" * (1 + r % 3)
+            if r % 5 == 0:
+                w = [rng.choice("ab") for _ in range(60)]
+            rows.append((key, 0, r, 7, 60 - 35 + 1, 0, " ".join(w).encode()))
+    want = set()
+    for key in (1, 2):
+        seen = Counter(tuple(x[6].split()[i : i + 35]) for x in rows if x[0] == key for i in range(26))
+        want |= {(x[2], 7 + i) for x in rows if x[0] == key for i in range(26) if seen[tuple(x[6].split()[i : i + 35])] > 1}
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 17], strict=True), substring._GROUPED, strict=True)], schema=substring._GROUPED) for a in range(0, len(rows), 17)]
+    got = [(row, pos + i) for out in substring._subtrees(35)(batches) for row, pos, n in zip(*(c.to_pylist() for c in out.columns), strict=True) for i in range(n)]
+    assert len(want) > 50 and set(got) == want
+
+
 # ------------------------------------------------------------------ 8
 
 
