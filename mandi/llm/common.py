@@ -25,14 +25,31 @@ _scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a single machine, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="mandi-")
-    return _own_dirs[app]
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/mandi-tables"
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="mandi-")
+    return _own_dirs[context.applicationId]
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """df's row as one struct, ``row``, beside the columns in more: no name of df's can clash with ours."""
+    return df.select(F.struct(*map(named, df.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unboxed(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of a boxed row, with some of them changed."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -172,33 +172,43 @@ def _pairs(batches):
     yield from ready(True)
 
 
+BUCKET_BYTES = 1 << 26  # text of a bucket, about
+
+
 def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each row of docs (doc_id, text) with its edited text's fingerprint and the next document's likeness.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next
-    document's first ones; documents are in ascending order of doc_id, then text; a null doc_id
-    comes last; the first document follows the last.  A single document follows itself.  Null text
-    is empty.  Empty table: empty result.
+    document's first ones; documents are in ascending order of doc_id, then text; null doc_ids come
+    last; the first document follows the last.  A single document follows itself.  Null text is
+    empty.  Repeated rows follow one another.  Empty table: empty result.
 
-    Documents are dealt to buckets of doc_id ranges (each text moves once) and stream through
-    sorted; a bucket also gets the first document of the next filled one.
+    Documents are dealt to buckets of ranges of that order (each text moves once) and stream through
+    sorted; a bucket also gets the first document of the next filled one.  There are as many buckets
+    as the texts' bytes ask for, and at least as many as shuffle partitions.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    rows = rows.withColumn("place", order.cast("double"))
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one number that follows the order: rows without doc_id lie beyond all others, by their first six bytes
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double") / 2.0**48
+    rows = rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), (1 + start) * 1e19))
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     shares = [i / buckets for i in range(1, buckets)]
     found = rows.agg(F.percentile_approx("place", F.array(*map(F.lit, shares)), F.lit(10 * buckets)).alias("cuts")).first().cuts if shares else []
     cuts = [-float("inf"), *sorted(set(found or [])), float("inf")]
     rows = Bucketizer(splits=cuts, inputCol="place", outputCol="bucket").transform(rows) if len(cuts) > 2 else rows.withColumn("bucket", F.lit(0.0))
-    rows = rows.withColumn("bucket", F.col("bucket").cast("int"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("place"))
+    rows = rows.withColumn("bucket", F.col("bucket").cast("int")).withColumn("order", order)
     # at most ``buckets`` rows of metadata
-    heads = [(r.bucket, r.place) for r in rows.groupBy("bucket").agg(F.min(order).alias("place")).orderBy("bucket").collect()]
-    guards = spark.createDataFrame([(heads[i - 1][0], p) for i, (_, p) in enumerate(heads)], "bucket int, head long")
-    firsts = rows.drop("bucket").withColumn("head", order).join(F.broadcast(guards), "head").groupBy("bucket").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
-    both = rows.select("bucket", F.lit(False).alias("guard"), "doc_id", "text").unionByName(firsts.select("bucket", F.lit(True).alias("guard"), "doc_id", "text"))
+    heads = [(r.bucket, *r.first) for r in rows.groupBy("bucket").agg(F.min("order").alias("first")).orderBy("bucket").collect()]
+    guards = spark.createDataFrame([(heads[i - 1][0], *head) for i, (_, *head) in enumerate(heads)], "guards int, none boolean, id long, place double")
+    same = (rows.order.none == guards.none) & rows.order.id.eqNullSafe(guards.id) & (rows.place == guards.place)
+    firsts = rows.join(F.broadcast(guards), same).groupBy("guards").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    columns = ["bucket", "guard", "doc_id", "text"]
+    both = rows.withColumn("guard", F.lit(False)).select(*columns).unionByName(firsts.select(F.col("guards").alias("bucket"), F.lit(True).alias("guard"), "doc_id", "text"))
     dealt = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guard", F.col("doc_id").asc_nulls_last(), "text")
     return dealt.mapInArrow(_pairs, _OUT_DDL)

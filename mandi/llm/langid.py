@@ -16,11 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, CLASSES, SEED = 1024, 64, 4_111
-MOST_LANGUAGES = 4096  # prototypes sent to each task: at most 4096 * 1024 * 4 bytes, 16 MB
+from .common import materialize
+
+DIM, CLASSES, SEED = 1024, 128, 4_111
+MOST_RUNS = 32_768  # run vectors that a task keeps: at most 32768 * 1024 * 4 bytes, 128 MB
+MOST_LANGUAGES = 4096  # prototypes sent to each task at once: at most 4096 * 1024 * 4 bytes, 16 MB
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -35,40 +38,49 @@ def letter_classes() -> np.ndarray:
 
 
 class Profiles:
-    """Vectors of three-letter runs, made when first met."""
+    """Vectors of three-letter runs, made when first met; the kept ones are forgotten when there are too many."""
 
-    def __init__(self, dim: int = DIM):
-        rng = np.random.default_rng(SEED)
-        self.letters = rng.choice(np.array([-1, 1], np.float32), (CLASSES, dim))
-        self.place = np.full(CLASSES**3, -1, np.int32)
-        self.rows, self.used = np.empty((4096, dim), np.float32), 0
+    def __init__(self, dim: int = DIM, most: int = MOST_RUNS):
+        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (CLASSES, dim))
+        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
+        self.place, self.most = np.full(CLASSES**3, -1, np.int32), most
+        self.rows, self.used = np.empty((1024, dim), np.float32), 0
 
-    def runs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's runs among the vectors, and how often each occurs."""
+    def codes(self, text: str) -> np.ndarray:
+        """The code of each of the text's runs, in order."""
         letters = letter_classes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         letters = np.concatenate([[0], letters, [0]]).astype(np.int32)
         letters = letters[np.concatenate([[True], (letters[1:] > 0) | (letters[:-1] > 0)])]  # one gap between words
         if len(letters) < 3:
-            return np.empty(0, np.int64), np.empty(0, np.float32)
-        codes = (letters[:-2] * CLASSES + letters[1:-1]) * CLASSES + letters[2:]
+            return np.empty(0, np.int32)
+        return (letters[:-2] * CLASSES + letters[1:-1]) * CLASSES + letters[2:]
+
+    def bind(self, codes: np.ndarray) -> np.ndarray:
+        return self.first[codes // CLASSES**2] * self.second[codes // CLASSES % CLASSES] * self.third[codes % CLASSES]
+
+    def vector(self, text: str) -> np.ndarray | None:
+        """None for a text without a letter."""
+        codes = self.codes(text)
+        if not len(codes):
+            return None
         at = self.place[codes]
         if (at < 0).any():
-            for code in np.unique(codes[at < 0]):
-                if self.used == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                a, b, c = code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES
-                self.rows[self.used] = np.roll(self.letters[a], 2) * np.roll(self.letters[b], 1) * self.letters[c]
-                self.place[code] = self.used
-                self.used += 1
+            new = np.unique(codes[at < 0])
+            if self.used + len(new) > self.most:
+                self.place.fill(-1)
+                self.used, new = 0, np.unique(codes)
+            if len(new) > self.most:  # more than are ever kept: bound block by block
+                found, counts = np.unique(codes, return_counts=True)
+                return sum(counts[i : i + 4096].astype(np.float32) @ self.bind(found[i : i + 4096]) for i in range(0, len(found), 4096))
+            while self.used + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.place[new] = np.arange(self.used, self.used + len(new))
+            self.rows[self.used : self.used + len(new)] = self.bind(new)
+            self.used += len(new)
             at = self.place[codes]
         counts = np.bincount(at, minlength=1)
         found = np.flatnonzero(counts)
-        return found, counts[found].astype(np.float32)
-
-    def vector(self, text: str) -> np.ndarray | None:
-        """None for a text without a letter."""
-        found, counts = self.runs(text)
-        return counts @ self.rows[found] if len(found) else None
+        return counts[found].astype(np.float32) @ self.rows[found]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,8 +88,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototype of each language, of unit length, from docs (text, lang); rows with a null are left out.
+def sums_of(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """lang and the sum of the vectors of its texts, as an array of i and x, from docs (text, lang); rows with a null are left out.
 
     Texts count with unit length each, so long ones don't outweigh the rest.
     """
@@ -97,9 +109,11 @@ def train(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     parts = texts.mapInArrow(run, "lang string, vector array<double>")
     # rounded to whole units of 2**-20 first: sums don't depend on the order of the tasks
     sums = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum(F.round(F.col("x") * 2**20).cast("long")).alias("x"))
-    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang; is it a language column?")
+    return sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+
+
+def prototypes(rows: list) -> dict[str, np.ndarray]:
+    """Vectors of unit length by language, of rows of sums_of()."""
     out = {}
     for row in sorted(rows, key=lambda r: r.lang):
         v = np.array([x.x for x in row.v], float)
@@ -107,10 +121,15 @@ def train(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
+def train(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
+    """Prototypes of all languages; for at most MOST_LANGUAGES of them."""
+    return prototypes(sums_of(docs, dim).limit(MOST_LANGUAGES + 1).collect())
+
+
+def predict(docs: DataFrame, known: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine, 0 to 1) of each row of docs; only text decides."""
-    langs = list(prototypes)
-    matrix = np.array([prototypes[x] for x in langs], np.float32).reshape(len(langs), dim)
+    langs = list(known)
+    matrix = np.array([known[x] for x in langs], np.float32).reshape(len(langs), dim)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
@@ -133,12 +152,29 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, most: int = MOST_LANGUAGES) -> DataFrame:
     """Learn from the rows that aren't held out and predict all.
 
     Null text, or text without a letter: ``und`` with score 0.  Null lang: not learned from.
     Null doc_id: learned from like others.  No row to learn from: all ``und``.  Ties go to the
     language that sorts first.  Repeated rows count as often as they occur.  Empty table: empty
     result.
+
+    More than ``most`` languages are compared in blocks, and the best of the blocks counts; docs must
+    then read the same each time.
     """
-    return predict(docs, train(docs.filter(~held_out(F.col("doc_id")))))
+    sums = sums_of(docs.filter(~held_out(F.col("doc_id"))))
+    rows = sums.limit(most + 1).collect()
+    if len(rows) <= most:
+        return predict(docs, prototypes(rows))
+    sums = materialize(sums, "prototypes")
+    names = sums.select("lang", F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / most).alias("block"))  # names alone are ordered in one task
+    names = materialize(names, "languages")
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_id"))
+    numbered, best = materialize(numbered, "numbered"), None
+    for block in range(names.agg(F.max("block")).first()[0] + 1):
+        own = sums.join(names.filter(F.col("block") == block).select("lang"), "lang", "left_semi").collect()
+        one = predict(numbered.select(F.col("row_id").alias("doc_id"), "text"), prototypes(own)).select(F.col("doc_id").alias("row_id"), F.struct(F.col("score"), F.lit(-block).alias("block"), F.col("lang_pred")).alias("x"))
+        best = one if best is None else best.unionByName(one)
+    best = best.groupBy("row_id").agg(F.max("x").alias("x"))
+    return numbered.join(best, "row_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("x.lang_pred").alias("lang_pred"), F.col("x.score").alias("score"))

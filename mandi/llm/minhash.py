@@ -12,8 +12,8 @@ How groups stay linear:
 * the first round gives each class one candidate, the most central class in any of its bands (the
   one that meets most others): copies of one text mostly join it at once;
 * then bands of at most 16 members test all their pairs of different components;
-* in larger bands of several components each member is compared with the band's most central class,
-  the *pivot*, on full sets, and keeps only its differences from it: shingles that one has and the
+* in larger bands of several components each member is compared with a *pivot*, the most central class
+  of the component that the band's most central class is in, on full sets, and keeps only its differences from it: shingles that one has and the
   other lacks.  Two members can be linked, and not yet be connected by the pivot, only if they share
   enough differences (below), so those whose differences no one else has leave at once.  Of the others
   a fixed number of leaders per pivot meet the rest in each round, exactly, by counting shared
@@ -215,7 +215,7 @@ def connect(links: DataFrame, tag: str = "cc") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 512, part: int = PART) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 256, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text; others are ignored).
 
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of k-word shingles
@@ -255,17 +255,24 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
     labels = connect(links)
     links, labels = _small_bands(members, links, labels, nodes, sets, num, den)
     held = materialize(_held(members, labels), "all-held")
-    held = held.join(_mixed(held).filter(F.col("size") > SMALL).select("band"), "band", "left_semi").join(central, "band")
-    near = held.select(F.col("top.node").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    # one pivot for all bands whose most central class is of one component
+    large = materialize(held.join(_mixed(held).filter(F.col("size") > SMALL).select("band"), "band", "left_semi"), "large")
+    middle = large.select("node", "component", "weight").distinct().groupBy("component").agg(F.max(F.struct("weight", "node")).alias("middle"))
+    tops = large.groupBy("band").agg(F.max(F.struct("weight", "node", "component")).alias("top")).select("band", F.col("top.component").alias("component"))
+    tops = tops.join(middle, "component").select("band", F.col("middle.node").alias("pivot"))
+    near = large.join(tops, "band").select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     rivals = materialize(_differences(near, sets, num, den), "rivals")
     fresh = rivals.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    if not fresh.isEmpty():
+        links = links.union(fresh)
+        labels = connect(links)
+    rivals = materialize(_sharing_extra(_mixed_pivots(rivals, labels), num, den), "sharing")
     while True:
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            labels = connect(links)
         fresh, rivals = _round(rivals, labels, num, den, leaders, part)
         if fresh.isEmpty():
             break
+        links = links.union(fresh)
+        labels = connect(links)
     named = nodes.select("node", "doc_id").join(labels, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
@@ -308,20 +315,18 @@ def _linked(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFra
 
 
 def _differences(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pivot, node, c, n (sizes), lacks, extra (counts), linked, and diff: the shingles that only one of both has."""
+    """pivot, node, c, n (sizes), lacks, extra (counts), linked, and the shingles that only one of both has: missing, added."""
     lacks, extra = F.array_except("hashes_a", "hashes_b"), F.array_except("hashes_b", "hashes_a")
-    met = _meet(near, sets).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.size("hashes_a").cast("long").alias("c"), F.size("hashes_b").cast("long").alias("n"), lacks.alias("l"), extra.alias("e"))
-    met = met.select("pivot", "node", "c", "n", F.size("l").cast("long").alias("lacks"), F.size("e").cast("long").alias("extra"), F.concat("l", "e").alias("diff"))
+    met = _meet(near, sets).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.size("hashes_a").cast("long").alias("c"), F.size("hashes_b").cast("long").alias("n"), lacks.alias("missing"), extra.alias("added"))
+    met = met.withColumns({"lacks": F.size("missing").cast("long"), "extra": F.size("added").cast("long")})
     return met.withColumn("linked", F.lit(num + den) * (F.col("c") - F.col("lacks")) >= F.lit(num) * (F.col("c") + F.col("n")))
 
 
 def _round(rivals: DataFrame, labels: DataFrame, num: int, den: int, leaders: int, part: int) -> tuple[DataFrame, DataFrame]:
     """Links between components that some leaders find, and the rivals that are left."""
     while True:
-        live = rivals.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        for _ in range(2):  # whoever leaves takes differences along
-            live = materialize(_sharing(live, num, den), "live")
-        ranked = materialize(_ranked(live, leaders, part), "ranked")
+        live = _mixed_pivots(rivals, labels)
+        ranked = materialize(_ranked(materialize(_sharing(live, num, den), "live"), leaders, part), "ranked")
         if ranked.isEmpty():
             return ranked.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ranked
         fresh = materialize(_leader_links(ranked, leaders, num, den, part), "links")
@@ -330,19 +335,45 @@ def _round(rivals: DataFrame, labels: DataFrame, num: int, den: int, leaders: in
             return fresh, rivals
 
 
-def _sharing(live: DataFrame, num: int, den: int) -> DataFrame:
-    """Rivals that share enough differences with members of other components; diff keeps the shared ones.
+def _mixed_pivots(rivals: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rivals with their components now, of pivots that hold two components or more."""
+    live = rivals.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = live.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("pivot")
+    return live.join(mixed, "pivot", "left_semi")
+
 
-    One of a pair isn't linked with the pivot, so only differences of such members count for a linked one.
+def _shared(live: DataFrame, column: str, name: str) -> DataFrame:
+    """pivot, node, the shingles in a column that members of other components share, and how often that is one who
+    isn't linked with the pivot (apart) or, for those who aren't themselves, one who is (joined).
+
+    One of a pair isn't linked with the pivot, so a linked one counts the former only.
     """
-    each = live.select("pivot", "node", "component", "linked", F.explode("diff").alias("x"))
+    each = live.select("pivot", "node", "component", "linked", F.explode(column).alias("x"))
     apart, joined = F.when(~F.col("linked"), F.col("component")), F.when(F.col("linked"), F.col("component"))
     who = each.groupBy("pivot", "x").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.min(joined).alias("joined")).filter("low <> high OR low <> joined")
     from_apart = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
     from_joined = ~F.col("linked") & F.coalesce(F.col("joined") != F.col("component"), F.lit(False))
-    found = each.join(who, ["pivot", "x"]).filter(from_apart | from_joined).groupBy("pivot", "node").agg(F.collect_list("x").alias("diff"), F.count_if(from_apart).alias("apart"), F.count_if(from_joined).alias("joined"))
+    return each.join(who, ["pivot", "x"]).filter(from_apart | from_joined).groupBy("pivot", "node").agg(F.collect_list("x").alias(name), F.count_if(from_apart).alias("apart"), F.count_if(from_joined).alias("joined"))
+
+
+def _sharing_extra(live: DataFrame, num: int, den: int) -> DataFrame:
+    """Rivals whose added shingles leave a link possible, with diff: what they lack and what they add and share.
+
+    At most all that A lacks is shared, so a link with B, who isn't linked with the pivot, takes
+    (num + den) * (shared added ones) > num * (extra - lacks).
+    """
+    drops = live.groupBy("pivot").agg(F.max(F.col("linked") & (F.col("extra") < F.col("lacks"))).alias("drops"))
+    df = live.join(_shared(live, "added", "kept"), ["pivot", "node"], "left").join(drops, "pivot").na.fill(0, ["apart", "joined"])
+    enough = F.lit(num + den) * F.col("apart") > F.lit(num) * (F.col("extra") - F.col("lacks"))
+    df = df.filter(enough | (~F.col("linked") & ((F.col("joined") > 0) | F.col("drops"))))
+    return df.withColumn("diff", F.concat("missing", F.coalesce("kept", F.array().cast("array<bigint>")))).drop("apart", "joined", "drops", "kept", "missing", "added")
+
+
+def _sharing(live: DataFrame, num: int, den: int) -> DataFrame:
+    """Rivals that share enough differences with members of other components; diff keeps the shared ones."""
+    df = live.drop("diff").join(_shared(live, "diff", "diff"), ["pivot", "node"])
     enough = F.lit(num + den) * F.col("apart") > F.lit(num) * F.col("extra") + F.lit(den) * F.col("lacks")
-    return live.drop("diff").join(found, ["pivot", "node"]).filter(enough | (F.col("joined") > 0)).drop("apart", "joined")
+    return df.filter(enough | (F.col("joined") > 0)).drop("apart", "joined")
 
 
 def _share_of(part: int) -> Column:
@@ -420,8 +451,8 @@ class _Rivals:
             self.sorted = self.diff[self.order]
         n, m = len(self.numbers), len(rest.numbers)
         shared = np.zeros(n * m, np.int64)
-        for c in range(0, len(rest.diff), 8192):
-            x, owner = rest.diff[c : c + 8192], rest.owner[c : c + 8192]
+        for c in range(0, len(rest.diff), 512):  # each meets at most all leaders
+            x, owner = rest.diff[c : c + 512], rest.owner[c : c + 512]
             lo, hi = np.searchsorted(self.sorted, x, "left"), np.searchsorted(self.sorted, x, "right")
             mine = self.owner[self.order[common.ragged(lo, hi - lo)]]
             shared += np.bincount(np.repeat(owner, hi - lo) * n + mine, minlength=n * m)

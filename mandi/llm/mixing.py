@@ -21,12 +21,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, word_count
+from .common import WORD, boxed, materialize, scratch, unboxed, word_count
 
 BLOCKS, SHARDS, SEED = 1024, 64, 23
+PART = 16_000_000  # words of a shard that one task takes
+MOST_CELLS = 2_000_000  # sources times shards, on the driver
+SMALL_TABLE = 10_000  # sources up to which their table is broadcast
 WEIGHTS = (3, 1, 2)
 MOST_PLAN = 200_000  # rows of what blocks give, in a broadcast
-MOST_SOURCES = 10_000  # rows of metadata on the driver and in a broadcast
+MOST_SOURCES = 1_000_000  # rows of metadata on the driver
 
 
 def targets(sizes: dict, weights: dict, share: Fraction, most: Fraction) -> dict:
@@ -71,8 +74,7 @@ def by_code_point(sources: list) -> list:
 def _plan(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes of docs by row, the sources (broadcast), and what each block gives: metadata of sources times blocks."""
     spark = docs.sparkSession
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS)).cast("int")
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")).withColumn("block", block), "sized")
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _key().alias("key")).withColumn("block", _block(seed)), "sized")
     blocks = materialize(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     rows = blocks.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -83,7 +85,9 @@ def _plan(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction
     target = targets(sizes, weights, share, most)
     quota = {s: int(target[s] + Fraction(1, 2)) for s in order}
     meta = [(i, s, sizes[s], float(target[s]), *(divmod(quota[s], sizes[s]) if sizes[s] else (0, 0))) for i, s in enumerate(order)]
-    known = F.broadcast(spark.createDataFrame(meta, "source_id int, known_source string, source_size long, target double, passes long, rest long"))
+    known = spark.createDataFrame(meta, "source_id int, known_source string, source_size long, target double, passes long, rest long")
+    known = F.broadcast(known) if len(meta) <= SMALL_TABLE else known
+    shards = max(1, min(shards, MOST_CELLS // max(1, len(order))))
 
     # Each source's blocks in their order; the block in which the words of the last pass end.
     w = Window.partitionBy("source_id").orderBy(F.col("words") == 0, F.xxhash64(F.lit(seed + 1), "source_id", "block"), "block")
@@ -109,13 +113,20 @@ def draw(docs: DataFrame, weights: dict | None = None, share: Fraction = Fractio
 
     Returns doc_id, source, size (words), source_size, target, and draws, an array of (copy, shard,
     words).  weights: by source; by default 3, 1, 2, repeating over the sources by code point, null
-    last.  Null text has size 0; a null source is a source; null doc_id is in one fixed block.
+    last.  Null text has size 0; a null source is a source; a row without doc_id is known by its text.
     Repeated rows are drawn alike.  Empty table: empty result.
     """
+    with scratch(docs.sparkSession) as written:
+        out = materialize(_draw(docs, weights, share, most, shards, seed), "draws")
+        written.pop()
+    return out
+
+
+def _draw(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction, shards: int, seed: int) -> DataFrame:
     sized, known, plan = _plan(docs, weights, share, most, shards, seed)
     rows = sized.join(known, sized.source.eqNullSafe(known.known_source)).drop("known_source", "passes", "rest").join(plan, ["source_id", "block"])
     cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
-    inside = Window.partitionBy("source_id", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_id", "block").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     part = F.greatest(F.lit(0), F.least("size", F.col("take") - (F.sum("size").over(inside) - F.col("size"))))
     rows = rows.filter(~cut).withColumn("part", F.when(F.col("take") > 0, F.col("size")).otherwise(F.lit(0))).unionByName(rows.filter(cut).withColumn("part", part))
     words = F.transform(F.coalesce("drawn", F.array().cast("array<struct<copy:bigint,shard:int>>")), lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.when(d["copy"] < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words")))
@@ -129,12 +140,14 @@ def taken() -> Column:
 def mix(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction(3, 2), most: Fraction = Fraction(2), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs as the mix has them: rows of all columns of docs, a row for each time one is taken.
 
-    Adds mix_shard and mix_copy.  A document that is taken in part keeps its first words, joined by
-    one space; rows that repeat that document are cut alike.  Rows are partitioned by shard and in
-    hash order there.  Documents without words are left out (they add no word).
+    Adds mix_shard and mix_copy (with underscores after them if docs has such columns).  A document
+    that is taken in part keeps its first words, joined by one space; rows that repeat that document
+    are cut alike.  Documents without words (null text too) are left out: they add no word.  A null
+    source is a source; a row without doc_id is known by its text.  Empty table: empty result.
 
-    Texts move once, to their shard: what each block gives, and where each source is cut, is known
-    from sizes alone and is broadcast if it has at most MOST_PLAN rows.
+    Texts move once, to their shard, which is dealt in parts of about PART words and in hash order in
+    each: what each block gives, and where each source is cut, is known from sizes alone and is
+    broadcast if it has at most MOST_PLAN rows.
     """
     sized, known, plan = _plan(docs, weights, share, most, shards, seed)
     cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
@@ -145,20 +158,39 @@ def mix(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction
     plan = materialize(plan.join(F.broadcast(edge), ["source_id", "block"], "left").filter("drawn IS NOT NULL"), "plan")
     if plan.limit(MOST_PLAN + 1).count() <= MOST_PLAN:
         plan = F.broadcast(plan)
+    words = known.agg(F.sum("source_size").alias("n")).first().n or 0
     known = known.select("source_id", "known_source")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(BLOCKS)).cast("int")
     # docs' own columns ride in a struct, so that none clashes
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), block.alias("block"), word_count(F.col("text").cast("string")).alias("size"))
+    text = F.col("text").cast("string")
+    rows = boxed(docs, text=text, key=_key(), source=F.col("source").cast("string"), size=word_count(text)).withColumn("block", _block(seed))
     rows = rows.join(known, rows.source.eqNullSafe(known.known_source)).join(plan, ["source_id", "block"])
     place = _place(seed)
     part = F.when(F.col("edge").isNull(), F.when(F.col("take") > 0, F.col("size")).otherwise(0)).when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.col("edge_words")).otherwise(0)
     each = rows.withColumn("d", F.explode("drawn")).withColumn("mix_words", F.when(F.col("d.copy") < F.col("passes"), F.col("size")).otherwise(part)).filter("mix_words > 0")
-    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words").cast("int")), " ")
-    text = F.when(F.col("mix_words") < F.col("size"), first).otherwise(F.col("row.text"))
-    out = each.select(*(text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns), F.col("d.shard").alias("mix_shard"), F.col("d.copy").alias("mix_copy"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(F.lit(SEED + 3), "mix_copy", "doc_id"))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words").cast("int")), " ")
+    order = F.xxhash64(F.lit(seed + 3), "d.copy", "key")
+    parts = max(1, -(-int(share * words) // (shards * PART)))
+    dealt = each.withColumn("share", F.pmod(order, F.lit(parts))).repartition("d.shard", "share").sortWithinPartitions("d.shard", "share", order)
+    shard, copy = (_fresh(c, docs.columns) for c in ("mix_shard", "mix_copy"))
+    return dealt.select(*unboxed(docs.columns, text=F.when(F.col("mix_words") < F.col("size"), first).otherwise(F.col("text"))), F.col("d.shard").alias(shard), F.col("d.copy").alias(copy))
+
+
+def _fresh(name: str, taken_: list[str]) -> str:
+    """name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in taken_}:
+        name += "_"
+    return name
+
+
+def _key() -> Column:
+    """What tells a document in the mix: its id, or without one a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(BLOCKS)).cast("int")
 
 
 def _place(seed: int) -> Column:
     """A document's place in its block: a hash, then what tells equal hashes apart."""
-    return F.struct(F.xxhash64(F.lit(seed + 2), F.col("doc_id").cast("long")).alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("size").alias("words"))
+    return F.struct(F.xxhash64(F.lit(seed + 2), F.col("key")).alias("hash"), F.col("key").alias("id"), F.col("size").alias("words"))

@@ -22,13 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize, scratch, unboxed
 
 # The base patterns, in the order in which kinds sort.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # 16 characters or more: shorter runs hold no longer one
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 _PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, TOKEN), strict=True))
 
@@ -36,7 +36,8 @@ LOWER_HEX, UPPER_HEX = "0123456789abcdef", "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-ALPHABETS = {"hex": LOWER_HEX, "upper_hex": UPPER_HEX, "base32": BASE32, "base36": BASE36, "base64": BASE64}
+UPPER36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = {"hex": LOWER_HEX, "upper_hex": UPPER_HEX, "base32": BASE32, "base36": BASE36, "upper36": UPPER36, "base64": BASE64}
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -78,17 +79,21 @@ def normal_tail(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """The narrowest encoding whose kinds of characters the token has; null if none."""
+    """The narrowest encoding whose kinds of characters the token has; every token with letters has one."""
     return (
         F.when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "upper_hex").when(token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(token.rlike("^[0-9a-z]+$"), "base36").when(token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
+        .when(token.rlike("^[0-9a-z]+$"), "base36").when(token.rlike("^[0-9A-Z]+$"), "upper36").when(token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
     )
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """tokens (row_id, start, end, token) with encoding, n, length_class, p; tokens without an encoding go."""
+    """tokens (row_id, start, end, token) with encoding, n, length_class, p.
+
+    In a token of one case, separators (as in UUIDs and prefixed keys) are no part of the encoding.
+    """
     plain = F.translate(F.regexp_replace("token", "=+$", ""), "-_", "+/")
-    df = tokens.withColumn("token", plain).withColumn("encoding", encoding(F.col("token"))).filter(F.col("encoding").isNotNull())
+    one_case = ~(F.col("token").rlike("[a-z]") & F.col("token").rlike("[A-Z]"))
+    df = tokens.withColumn("token", F.when(one_case, F.translate(plain, "+/", "")).otherwise(plain)).withColumn("encoding", encoding(F.col("token"))).filter(F.col("encoding").isNotNull())
     case = lambda f: reduce(lambda acc, kv: acc.when(F.col("encoding") == kv[0], f(kv[1])), list(ALPHABETS.items())[1:], F.when(F.col("encoding") == "hex", f(LOWER_HEX)))
     half = lambda a: "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2)
     df = df.select("row_id", "start", "end", "token", "encoding", F.length("token").cast("double").alias("n"), case(F.lit).alias("alphabet"), case(lambda a: F.lit(float(len(a)))).alias("k"), case(lambda a: F.translate(F.col("token"), a, half(a))).alias("bits"))
@@ -136,6 +141,13 @@ def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     isn't listed again.  Null or empty text: no spans.  Null doc_id and repeated rows are rows of
     their own.  Empty table: empty result.
     """
+    with scratch(docs.sparkSession) as written:
+        out = materialize(_scan(docs, rate), "spans")
+        written.pop()
+    return out
+
+
+def _scan(docs: DataFrame, rate: float) -> DataFrame:
     found = matches(docs)
     base = reduce(DataFrame.unionByName, (places(found, k).drop("token") for k in KINDS[:3]))
     tested = materialize(battery(places(found, "random")), "battery")
@@ -152,15 +164,16 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.1) -> DataFr
     """docs with every span replaced by mark; all columns, and rows without a secret, stay as they are.
 
     docs must be a table that reads the same each time (a scan, or materialize()'s result): rows
-    are told apart by their place in it.
+    are told apart by their place in it.  Null or empty text stays; null doc_id and repeated rows are
+    rows of their own; overlapping spans are covered once.  Empty table: empty result.
     """
-    spans = scan(docs, rate).filter(F.size("spans") > 0).select(F.col("row_id").alias("secret_row"), "spans")
-    rows = docs.withColumn("secret_row", F.monotonically_increasing_id())
+    spans = scan(docs, rate).filter(F.size("spans") > 0).select("row_id", "spans")
+    rows = boxed(docs, row_id=F.monotonically_increasing_id(), text=F.col("text").cast("string"))
     # parts between spans; overlapping spans are covered once
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out")))
     done = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    out = rows.join(spans, "secret_row", "left")
-    return out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)).drop("secret_row", "spans")
+    out = rows.join(spans, "row_id", "left")
+    return out.select(*unboxed(docs.columns, text=F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)))
 
 
 def span_string(spans: Column) -> Column:

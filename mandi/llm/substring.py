@@ -33,6 +33,7 @@ from .common import Rolling, Words, batch_of, chunks, materialize, ragged, scrat
 
 WINDOW, RUN = 35, 10
 MOST = 32_768  # occurrences of a run whose suffixes one task sorts
+FEW_KEYS = 1_000_000  # runs with more occurrences, up to which they are broadcast
 _KEYS = pa.schema([("key", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("known", pa.int8())])
 _KEYS_DDL = "key long, row_id long, pos int, known byte"
 
@@ -79,7 +80,8 @@ def _repeated(keyed: DataFrame) -> DataFrame:
 
 def _places(runs: DataFrame, most: int) -> DataFrame:
     """row_id, places: where its repeated runs begin, doubled, and one more if the run has over ``most`` occurrences."""
-    deep = runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.lit(1).alias("deep"))
+    deep = materialize(runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.lit(1).alias("deep")), "deep")
+    deep = F.broadcast(deep) if deep.limit(FEW_KEYS + 1).count() <= FEW_KEYS else deep
     at = F.col("pos") * 2 + F.coalesce("deep", F.lit(0))
     return runs.join(deep, "key", "left").groupBy("row_id").agg(F.collect_list(at).alias("places"))
 

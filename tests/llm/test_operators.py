@@ -438,6 +438,15 @@ def test_licenses(odd, small):
     assert got[6].text_digest == got[5].text_digest == hashlib.md5(b"").hexdigest()
     whole = licenses.scan(odd.filter("doc_id = 15").withColumn("text", F.lit("(c) 2020 me\nRELEASED under - the\nMIT licence"))).first()
     assert whole.text_license == "MIT" and whole.n_license_lines == 0
+    # standard files as they are: titled, wrapped, signed; alone and inside a text
+    import textwrap
+
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(x, 72) for x in licenses.KNOWN["MIT"][3].split("\n\n")) + "\n"
+    texts = dict(licenses.known_texts())
+    files = [(0, mit), (1, texts["Apache-2.0"]), (2, "some code\n\n" + mit + "\nmore code"), (3, "x = 1\n\n" + textwrap.fill(licenses.KNOWN["MPL-2.0"][0], 60) + "\n\nif"), (4, texts["GPL-3.0"].upper()), (5, mit.replace("Software", "software thing", 1))]
+    by = {r.doc_id: r for r in licenses.scan(odd.sparkSession.createDataFrame(files, "doc_id long, text string")).collect()}
+    assert [by[i].text_license for i in range(6)] == ["MIT", "Apache-2.0", None, None, "GPL-3.0", None]
+    assert by[2].block_licenses == "MIT" and by[3].block_licenses == "MPL-2.0" and by[5].block_licenses == ""
     want = sum(t.count("Released under the MIT License.") for _, t in rows_of(small))
     assert licenses.scan(small).filter("line_licenses like '%MIT%'").count() <= want
     assert licenses.scan(small).count() == small.count()
