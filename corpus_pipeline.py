@@ -6,40 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandi.llm import minhash, mixing, packing, quality, secrets
-from mandi.llm.common import materialize
+from mandi.llm.common import boxed, materialize, named, scratch, unboxed
 
 
 def with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+    """docs with n_chars, if they have that column, counted again from text (null text: null)."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return boxed(docs, text=F.col("text").cast("string")).select(*unboxed(docs.columns, n_chars=F.length("text").cast("long")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null or empty text goes; rows that repeat a doc_id (or lack one) stay if one of them is kept.
+    """
     good = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("good_id")).distinct()
     return docs.join(good, docs.doc_id.eqNullSafe(good.good_id), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows that repeat a doc_id stay once; those without one can't be told to be copies and stay, as do
+    null and empty texts, which are like nothing.
+    """
     kept = minhash.near_duplicates(docs, k=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     one = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    # rows that repeat a doc_id stay once; those without one can't be told to be copies by it
-    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return one.withColumn("own_row", row).dropDuplicates(["doc_id", "own_row"]).drop("own_row")
+    rows = boxed(one, doc_id=F.col("doc_id"), own=F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", "own"]).select(*unboxed(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced."""
+    """Documents with their secrets replaced; every row stays, null and empty texts as they are."""
     return with_length(secrets.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix has them: some more than once, some not at all, a few in part."""
-    return with_length(mixing.mix(docs).select(*docs.columns))
+    """Documents as the mix has them: some more than once, some not at all, a few in part.
+
+    Texts without a word add nothing to the mix and go; a null source is a source.
+    """
+    return with_length(mixing.mix(docs).select(*map(named, docs.columns)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences, of every row; a null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
@@ -50,10 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents.  An empty table gives an empty result; columns beyond documents' own are carried along."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        # what a stage writes on its way goes when its result is written
+        with scratch(spark) as written:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            written.pop()
+    return STAGES[-1][1](spark, docs, sf_dir)
