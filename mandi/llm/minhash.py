@@ -183,9 +183,11 @@ def _meet(pairs: DataFrame, table: DataFrame, part: int = PART) -> DataFrame:
     side = lambda x: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "node"))
     pairs = materialize(pairs.select("a", "b"), "pairs")
     many = pairs.groupBy("a").agg(F.floor(F.count("*") / part).cast("int").alias("last")).filter("last > 0")
+    if many.isEmpty():
+        return pairs.join(side("a"), "a").join(side("b"), "b")
     last = F.coalesce("last", F.lit(0))
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), last + 1).cast("int").alias("share"))
-    left = side("a").join(pairs.select("a").distinct(), "a", "left_semi").join(many, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0), last))).drop("last")
+    left = side("a").join(many, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0), last))).drop("last")
     return dealt.join(left, ["a", "share"]).join(side("b"), "b").drop("share")
 
 
@@ -215,7 +217,18 @@ def connect(links: DataFrame, tag: str = "cc") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 256, part: int = PART) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after the links a, b: components are the nodes of a smaller graph."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = materialize(ends, "ends")
+    joined = connect(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    seen = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x")).select("x.*")
+    every = labels.select("node", "component").union(seen).distinct()
+    return materialize(every.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "labels")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 512, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text; others are ignored).
 
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of k-word shingles
@@ -253,7 +266,7 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
     first = members.join(central, "band").groupBy(F.col("node").alias("b")).agg(F.max("top").alias("top")).select(F.col("top.node").alias("a"), "b").filter("a <> b")
     links = materialize(confirm(_plausible(first, nodes, num, den), sets, num, den), "links")
     labels = connect(links)
-    links, labels = _small_bands(members, links, labels, nodes, sets, num, den)
+    labels = _small_bands(members, labels, nodes, sets, num, den)
     held = materialize(_held(members, labels), "all-held")
     # one pivot for all bands whose most central class is of one component
     large = materialize(held.join(_mixed(held).filter(F.col("size") > SMALL).select("band"), "band", "left_semi"), "large")
@@ -264,15 +277,13 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
     rivals = materialize(_differences(near, sets, num, den), "rivals")
     fresh = rivals.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     if not fresh.isEmpty():
-        links = links.union(fresh)
-        labels = connect(links)
-    rivals = materialize(_sharing_extra(_mixed_pivots(rivals, labels), num, den), "sharing")
+        labels = merged(labels, fresh)
+    rivals = materialize(_sharing_extra(_placed(rivals, labels), num, den), "sharing")
     while True:
         fresh, rivals = _round(rivals, labels, num, den, leaders, part)
         if fresh.isEmpty():
             break
-        links = links.union(fresh)
-        labels = connect(links)
+        labels = merged(labels, fresh)
     named = nodes.select("node", "doc_id").join(labels, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
@@ -295,23 +306,15 @@ def _sizes_fit(num: int, den: int) -> Column:
     return F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
 
 
-def _small_bands(members: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Test all pairs of different components in bands of at most SMALL members."""
+def _small_bands(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """labels after testing all pairs of different components in bands of at most SMALL members."""
     held = materialize(_held(members, labels), "all-held")
     held = materialize(held.join(_mixed(held).filter(F.col("size") <= SMALL).select("band"), "band"), "held")
     a = held.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"))
     b = held.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"))
     pairs = a.join(b, (a.band == b.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(num, den))
-    return _linked(_plausible(pairs.select("a", "b").distinct(), nodes, num, den), links, labels, sets, num, den)
-
-
-def _linked(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """links and labels after the confirmed ones of pairs."""
-    fresh = materialize(confirm(pairs, sets, num, den), "links")
-    if fresh.isEmpty():
-        return links, labels
-    links = links.union(fresh)
-    return links, connect(links)
+    fresh = materialize(confirm(_plausible(pairs.select("a", "b").distinct(), nodes, num, den), sets, num, den), "links")
+    return labels if fresh.isEmpty() else merged(labels, fresh)
 
 
 def _differences(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -325,7 +328,7 @@ def _differences(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 def _round(rivals: DataFrame, labels: DataFrame, num: int, den: int, leaders: int, part: int) -> tuple[DataFrame, DataFrame]:
     """Links between components that some leaders find, and the rivals that are left."""
     while True:
-        live = _mixed_pivots(rivals, labels)
+        live = _placed(rivals, labels)
         ranked = materialize(_ranked(materialize(_sharing(live, num, den), "live"), leaders, part), "ranked")
         if ranked.isEmpty():
             return ranked.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ranked
@@ -335,11 +338,9 @@ def _round(rivals: DataFrame, labels: DataFrame, num: int, den: int, leaders: in
             return fresh, rivals
 
 
-def _mixed_pivots(rivals: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rivals with their components now, of pivots that hold two components or more."""
-    live = rivals.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = live.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("pivot")
-    return live.join(mixed, "pivot", "left_semi")
+def _placed(rivals: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rivals with their components now."""
+    return rivals.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _shared(live: DataFrame, column: str, name: str) -> DataFrame:
@@ -383,12 +384,12 @@ def _share_of(part: int) -> Column:
 def _ranked(live: DataFrame, leaders: int, part: int) -> DataFrame:
     """live with parts (that its pivot's members are dealt in) and rank: 1 to leaders, and leaders + 1 for the rest.
 
-    Leaders are members that aren't linked with the pivot.  Each part gives its first ones, and the
-    pivot's are drawn from those, so no task orders all members.
+    Leaders are members that aren't linked with the pivot.  Only the first of each task are ordered
+    together: Spark applies such a limit on ranks before it moves rows.
     """
     live = live.join(live.groupBy("pivot").agg((F.floor(F.count("*") / part) + 1).cast("int").alias("parts")), "pivot")
-    first = live.filter(~F.col("linked")).select("pivot", "node", F.row_number().over(Window.partitionBy("pivot", _share_of(part)).orderBy("node")).alias("place")).filter(F.col("place") <= leaders)
-    first = first.select("pivot", "node", F.row_number().over(Window.partitionBy("pivot").orderBy("node")).alias("rank")).filter(F.col("rank") <= leaders)
+    place = F.row_number().over(Window.partitionBy("pivot").orderBy("node"))
+    first = live.filter(~F.col("linked")).select("pivot", "node", place.alias("rank")).filter(F.col("rank") <= leaders)
     return live.join(first, ["pivot", "node"], "left").withColumn("rank", F.coalesce("rank", F.lit(leaders + 1)))
 
 
