@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,25 +38,61 @@ def future_peak(spine: DataFrame, series: DataFrame, days: int = 14, at_least: i
     return got.withColumns({"window_end": F.date_add("origin_date", days), "peak_return": F.col("peak_price") / F.col("origin_price") - 1})
 
 
-def seasonal_thresholds(peaks: DataFrame, levels: dict[str, int] = LEVELS, lag: int = 14) -> DataFrame:
+_BY = {"city_product_month": ["product_id", "city_id", "month"], "city_product_all": ["product_id", "city_id"], "product_month": ["product_id", "month"], "product_all": ["product_id"], "global": []}
+
+
+def seasonal_thresholds(peaks: DataFrame, levels: dict[str, int] = LEVELS, fine: int = 64) -> DataFrame:
     """q90 and q95 of peak returns of windows that ended by the origin, at the finest level with enough.
 
-    A window counts under its own origin's month.  Each level is one aggregate per origin and key; the
-    wide levels are computed once per distinct origin, not per row, and only from (key, origin) pairs.
+    A window counts under its own origin's month.  Levels within a series are one sorted pass each.
+    A wide level's origins ask wide_quantiles(), and only where no finer level answers.
     """
-    by = {"city_product_month": ["product_id", "city_id", "month"], "city_product_all": ["product_id", "city_id"], "product_month": ["product_id", "month"], "product_all": ["product_id"], "global": []}
-    base = peaks.withColumn("month", F.month("origin_date"))
-    df, past = base, base.select("product_id", "city_id", "month", "window_end", "peak_return")
-    for name, key in by.items():
-        asked = base.select(*key, "origin_date").distinct()
-        hit = asked.join(past.select(*key, "window_end", "peak_return"), key) if key else asked.join(past.select("window_end", "peak_return"), past.window_end <= asked.origin_date)
-        got = hit.filter(F.col("window_end") <= F.col("origin_date")).groupBy(*key, "origin_date").agg(F.count("*").alias(f"n_{name}"), F.percentile("peak_return", F.array(*map(F.lit, QUANTILES))).alias(f"q_{name}"), F.max("window_end").alias(f"end_{name}"))
-        df = df.join(got, [*key, "origin_date"], "left")
+    df = peaks.withColumn("month", F.month("origin_date"))
+    past = df.select("product_id", "city_id", "month", "window_end", "peak_return")
+    for name in ("city_product_month", "city_product_all"):
+        seen = past.select(*_BY[name], "window_end", F.col("peak_return").alias("past_return"))
+        df = temporal.so_far(df, seen, _BY[name], "origin_date", "window_end", {f"n_{name}": F.count("past_return"), f"q_{name}": F.percentile("past_return", F.array(*map(F.lit, QUANTILES)))})
+    open_ = reduce(Column.__and__, (F.coalesce(F.col(f"n_{n}"), F.lit(0)) < levels[n] for n in ("city_product_month", "city_product_all")))
+    for name in ("product_month", "product_all", "global"):
+        by = _BY[name]
+        asked = df.filter(open_).select(*by, "origin_date").distinct()
+        got = wide_quantiles(asked, past, by, fine).select(*by, "origin_date", F.col("n").alias(f"n_{name}"), F.col("q").alias(f"q_{name}"))
+        df = df.join(got, [*by, "origin_date"], "left")
+        open_ = open_ & (F.coalesce(F.col(f"n_{name}"), F.lit(0)) < levels[name])
+    ends = past.groupBy("window_end").agg(F.count("*").alias("n"))  # one row a week
+    latest = df.select("origin_date").distinct().join(ends, F.col("window_end") <= F.col("origin_date")).groupBy("origin_date").agg(F.max("window_end").alias("history_end"))
+    df = df.join(latest, "origin_date", "left")
     enough = {n: F.col(f"n_{n}") >= m for n, m in levels.items()}
     pick = lambda f: F.coalesce(*(F.when(ok, f(n)) for n, ok in enough.items()))
-    out = df.withColumns({"threshold_level": pick(F.lit), "threshold_count": pick(lambda n: F.col(f"n_{n}")), "q": pick(lambda n: F.col(f"q_{n}")), "history_end": F.col("end_global")})
+    out = df.withColumns({"threshold_level": pick(F.lit), "threshold_count": pick(lambda n: F.col(f"n_{n}")), "q": pick(lambda n: F.col(f"q_{n}"))})
     out = out.withColumns({"threshold_q90": F.col("q")[0], "threshold_q95": F.col("q")[1]})
-    return out.filter("threshold_level IS NOT NULL").drop("q", *(f"{c}_{n}" for n in by for c in ("n", "q", "end")))
+    return out.filter("threshold_level IS NOT NULL").drop("q", *(f"{c}_{n}" for n in _BY for c in "nq"))
+
+
+def wide_quantiles(asked: DataFrame, past: DataFrame, by: list[str], fine: int = 64) -> DataFrame:
+    """asked (by, origin_date) with n and q: the QUANTILES of peak returns of windows that ended by the origin.
+
+    Returns are counted by slices, ``fine`` for each unit, and week; running counts over weeks and then
+    over slices tell in which slice an origin's ranks lie, and only that slice's rows are ranked.  So a
+    group's size shows in counts alone: no task or join holds a whole history.
+    """
+    sliced = past.select(*by, "window_end", "peak_return", F.floor(F.col("peak_return") * fine).alias("slice"))
+    weekly = sliced.groupBy(*by, "slice", "window_end").agg(F.count("*").alias("rows"))
+    slices = weekly.select(*by, "slice").distinct()
+    every = asked.join(slices, by) if by else asked.crossJoin(F.broadcast(slices))  # slices are a few hundred
+    run = temporal.so_far(every, weekly, [*by, "slice"], "origin_date", "window_end", {"rows": F.sum("rows")}).filter("rows > 0")
+    w = Window.partitionBy(*by, "origin_date")
+    run = run.withColumns({"n": F.sum("rows").over(w), "upto": F.sum("rows").over(w.orderBy("slice"))})
+    # a quantile lies between two ranks
+    place = [(F.col("n") - 1) * q for q in QUANTILES]
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), (F.floor(p) + side + 1).alias("rank"), (F.abs(1 - side - (p - F.floor(p)))).alias("part")) for i, p in enumerate(place) for side in (0, 1)))
+    each = run.withColumn("r", F.explode(ranks)).filter((F.col("r.rank") <= F.col("upto")) & (F.col("r.rank") > F.col("upto") - F.col("rows")))
+    each = each.select(*by, "origin_date", "slice", "n", "r.i", "r.part", (F.col("r.rank") - F.col("upto") + F.col("rows")).alias("rank"))
+    want = each.groupBy(*by, "origin_date", "slice", "n").agg(F.collect_list(F.struct("i", "rank", "part")).alias("wanted"))
+    hit = want.join(sliced, [*by, "slice"]).filter(F.col("window_end") <= F.col("origin_date"))
+    placed = hit.withColumn("place", F.row_number().over(Window.partitionBy(*by, "origin_date", "slice").orderBy("peak_return")))
+    share = lambda i: F.sum(F.aggregate(F.filter("wanted", lambda x: (x["i"] == i) & (x["rank"] == F.col("place"))), F.lit(0.0), lambda acc, x: acc + x["part"]) * F.col("peak_return"))
+    return placed.groupBy(*by, "origin_date", "n").agg(F.array(*(share(i) for i in range(len(QUANTILES)))).alias("q"))
 
 
 def raw_events(df: DataFrame) -> DataFrame:
@@ -118,25 +154,91 @@ def event_scope(df: DataFrame, raw: str = "primary_raw_event") -> DataFrame:
     return df.withColumn("regional_share", share).withColumn("scope", F.when(F.col("regional_share") >= 0.25, "regional").when(F.col("regional_share") >= 0.10, "multi_city").otherwise("local"))
 
 
+# What a model may use: known at the origin, and made from it.
+NUMERIC = [*(f"return_{k}d" for k in temporal.LAGS), *(f"rolling_cv_{w}d" for w in temporal.WINDOWS), "up_share", "down_share", "vs_season", "series_rate_52w", "series_rate_all", "product_rate_52w", "unchanged_share", "stale_share", "outlier_share", "reliability", "origin_fill_days"]
+DERIVED = [*(f"vs_mean_{w}d" for w in temporal.WINDOWS), *(f"regional_return_{k}d" for k in (7, 14, 28)), "regional_cv_28d", "regional_up_share", "city_minus_regional"]
+CATEGORIES = ["product_id", "origin_month"]
+
+
+def alert_mart(labels: DataFrame, spine: DataFrame, series: DataFrame) -> DataFrame:
+    """Labels with all features known at the origin: returns, rolling levels, direction, season, quality, rates, region.
+
+    series carries stale_share, outlier_share and reliability of each day; the origin's price day gives them.
+    """
+    keys = [*KEYS, "origin_date"]
+    recent = temporal.recent_features(spine.select(*keys), series).drop("origin_price", "history")
+    season = temporal.seasonal_median(spine.select(*keys).withColumn("target_date", F.col("origin_date")), series).drop("target_date", "seasonal_count")
+    day = series.select(*KEYS, F.col("date").alias("price_day"), "stale_share", "outlier_share", "reliability")
+    df = labels.join(recent, keys).join(temporal.unchanged_share(spine.select(*keys), series), keys, "left").join(temporal.direction_share(spine.select(*keys), series), keys, "left").join(season, keys, "left")
+    df = df.withColumn("price_day", F.date_sub("origin_date", F.col("origin_fill_days"))).join(day, [*KEYS, "price_day"], "left").drop("price_day")
+    ln = lambda b: F.when(F.col(b) > 0, F.ln(F.col("origin_price") / F.col(b)))
+    cv = lambda w: F.when(F.col(f"rolling_mean_{w}d") > 0, F.col(f"rolling_std_{w}d") / F.col(f"rolling_mean_{w}d"))
+    df = df.withColumns({f"rolling_cv_{w}d": cv(w) for w in temporal.WINDOWS} | {f"vs_mean_{w}d": ln(f"rolling_mean_{w}d") for w in temporal.WINDOWS} | {"vs_season": ln("seasonal_median"), "origin_month": F.month("origin_date")})
+    return regional_features(df)
+
+
+def weekly_audit(peaks: DataFrame, limits: tuple[float, ...] = (0.15, 0.20, 0.25)) -> DataFrame:
+    """Per product: eligible series, origins and rows, and how many peaks reach each raw limit, with rates."""
+    n = {f"spikes_{int(100 * a)}": F.count_if(F.col("peak_return") >= a) for a in limits}
+    got = peaks.groupBy("product_id").agg(F.count_distinct("city_id").alias("series"), F.count_distinct("origin_date").alias("origins"), F.count("*").alias("rows"), F.sum("future_days").alias("future_days"), *(c.alias(k) for k, c in n.items()))
+    return got.withColumns({f"rate_{k[7:]}": F.col(k) / F.col("rows") for k in n})
+
+
 def outcome(label: Column, alert: Column) -> Column:
     return F.when(label & alert, "true_positive").when(~label & alert, "false_positive").when(label & ~alert, "false_negative").otherwise("true_negative")
 
 
-def baselines(train: DataFrame, df: DataFrame, momentum: tuple[str, ...] = ("rolling_cv", "return_14d"), weights: tuple[float, ...] = (0.6, 0.4), clip: float = 5.0, floor: float = 1e-4) -> DataFrame:
+BASELINES = ("train_product_prevalence", "series_event_rate_52w", "volatility_momentum")
+
+
+def baselines(train: DataFrame, df: DataFrame, momentum: tuple[str, ...] = ("rolling_cv_28d", "return_14d"), weights: tuple[float, ...] = (0.6, 0.4), clip: float = 5.0, floor: float = 1e-4) -> DataFrame:
     """df with three scores: the product's prevalence in train, the series' rate, a volatility-momentum logit."""
-    base = train.groupBy("product_id").agg(F.avg(F.col("event_label").cast("double")).alias("prevalence"))
-    overall = train.agg(F.avg(F.col("event_label").cast("double")).alias("overall"), *(median(f).alias(f"m_{f}") for f in momentum))
-    filled = train.join(F.broadcast(overall)).agg(*(F.stddev_pop(F.coalesce(f, f"m_{f}")).alias(f"s_{f}") for f in momentum))
-    out = df.join(base, "product_id", "left").join(F.broadcast(overall)).join(F.broadcast(filled))
+    event = F.col("event_label").cast("double")
+    base = train.groupBy("product_id").agg(F.avg(event).alias("prevalence"))
+    # one row of figures each
+    overall = train.agg(F.avg(event).alias("overall"), *(median(f).alias(f"m_{f}") for f in momentum))
+    filled = train.crossJoin(overall).agg(*(F.stddev_pop(F.coalesce(f, f"m_{f}")).alias(f"s_{f}") for f in momentum))
+    out = df.join(base, "product_id", "left").crossJoin(overall).crossJoin(filled)
     held = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), c))
     p = F.coalesce("prevalence", "overall")
     clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     z = lambda f: F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.coalesce(f, f"m_{f}") - F.col(f"m_{f}")) / F.when(F.col(f"s_{f}") > 1e-12, F.col(f"s_{f}")).otherwise(1.0)))
     logit = reduce(Column.__add__, (w * z(f) for f, w in zip(momentum, weights, strict=True)), F.ln(clipped / (1 - clipped)))
-    scores = {"train_product_prevalence": held(p), "series_event_rate_52w": held(F.coalesce("series_rate_52w", p)), "volatility_momentum": held(1 / (1 + F.exp(-logit)))}
+    scores = dict(zip(BASELINES, (held(p), held(F.coalesce("series_rate_52w", p)), held(1 / (1 + F.exp(-logit)))), strict=True))
     return out.select(*df.columns, *(c.alias(n) for n, c in scores.items()))
 
 
+def by_source(df: DataFrame, scores: dict[str, str], keep: list[str]) -> DataFrame:
+    """A row for each score: keep, score_source, score (0/1 label from event_label)."""
+    each = F.array(*(F.struct(F.lit(n).alias("score_source"), F.col(c).cast("double").alias("score")) for n, c in scores.items()))
+    return df.withColumn("label", F.col("event_label").cast("int")).select(*keep, "label", F.explode(each).alias("s")).select(*keep, "label", "s.*")
+
+
+def rank_candidates(bundle: DataFrame) -> DataFrame:
+    """Candidates best first: average precision, recall, least Brier score, most ridge, least weight."""
+    return bundle.orderBy(F.desc("average_precision"), F.desc("recall"), "brier", F.desc("ridge"), "weight", "score_source")
+
+
+def slices(scored: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
+    """Rows, events, prevalence and average precision of each slice, and what a frozen threshold does there."""
+    ap = metrics.average_precision(metrics.pr_curve(scored, by), by)
+    got = scored.groupBy(*by).agg(F.count("*").alias("rows"), F.sum("label").alias("events"), F.avg("label").alias("prevalence"), F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"), *metrics.confusion_aggregates(threshold))
+    return got.join(ap, by, "left")
+
+
+def replay(scored: DataFrame, threshold: Column) -> DataFrame:
+    """Each series' timeline with its score, outcome and place among its origin's risks, and the origin's cities with an event."""
+    w = Window.partitionBy("product_id", "origin_date")
+    place = F.row_number().over(w.orderBy(F.desc("score"), "city_id"))
+    hit = F.count_if(F.col("label") == 1).over(w)
+    return scored.withColumns({"outcome": outcome(F.col("label") == 1, F.col("score") >= threshold), "risk_place": place, "impacted_cities": hit, "event_point": F.when(F.col("label") == 1, F.col("score"))})
+
+
+def default_case(df: DataFrame) -> DataFrame:
+    """The record a page opens with: the best true positive, or without one the highest score."""
+    return df.orderBy(F.desc(F.col("outcome") == "true_positive"), F.desc("score"), F.desc("peak_return"), *KEYS, "origin_date").limit(1)
+
+
 def score_bundle(scored: DataFrame, by: list[str], fpr: float = 0.10) -> DataFrame:
     """Prevalence, average precision, Brier score, the point at the fixed false-positive rate, lead days on hits, and the share of the top tenth of peaks that is alerted."""
     curve = metrics.pr_curve(scored, by)
@@ -151,10 +253,11 @@ def score_bundle(scored: DataFrame, by: list[str], fpr: float = 0.10) -> DataFra
 
 
 def top_cases(df: DataFrame, n: int = 10) -> DataFrame:
-    """Examples of each outcome: the largest peaks of events, the highest scores of others."""
-    key = F.when(F.col("outcome").isin("true_positive", "false_negative"), F.col("peak_return")).otherwise(F.col("score"))
-    rank = F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc(key), *KEYS, "origin_date"))
-    return df.withColumn("case", rank).filter(F.col("case") <= n)
+    """Examples of each outcome but true negatives: missed events by peak and then score, others by score and then peak."""
+    missed = F.col("outcome") == "false_negative"
+    first, second = F.when(missed, F.col("peak_return")).otherwise(F.col("score")), F.when(missed, F.col("score")).otherwise(F.col("peak_return"))
+    rank = F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc(first), F.desc(second), *KEYS, "origin_date"))
+    return df.filter("outcome <> 'true_negative'").withColumn("case", rank).filter(F.col("case") <= n)
 
 
 def sample_curve(curve: DataFrame, by: list[str], points: int = 160) -> DataFrame:
@@ -174,23 +277,46 @@ def release_gate(bundle: DataFrame, best_ap: Column, gates: dict[str, float] | N
     return out.withColumn("release_status", F.when(reduce(Column.__and__, (F.col(c) for c in checks)), "alert_release").when((F.col("average_precision") > best_ap) & (F.col("recall") >= g["research"]), "research_only").otherwise("no_signal"))
 
 
-def fit_logistic(train: DataFrame, names: list[str], categories: list[str], ridge: float, positive_weight: float):
-    """Weighted ridge logistic regression; features are filled with and centred on train medians, clipped at 8."""
+RIDGES, WEIGHTS = (1e-4, 1e-3, 1e-2), (1.0, 3.0)
+
+
+def fit_logistic(train: DataFrame, names: list[str], categories: list[str], ridges: tuple[float, ...] = RIDGES, weights: tuple[float, ...] = WEIGHTS, clip: float = 8.0):
+    """Weighted ridge logistic regressions, one for each ridge and weight of positives, and how to score with them.
+
+    Features are filled with and centred on train medians and clipped; of a category's levels, sorted
+    as strings, the first is left out, and unknown ones are like it.  Returns score(df), which adds a
+    column s<i> for each candidate, and the candidates by column: (name, ridge, weight).
+    """
     medians = train.agg(*(median(c).alias(c) for c in names)).first()
-    fill = {c: medians[c] or 0.0 for c in names}
+    fill = {c: float(medians[c] or 0.0) for c in names}
     row = train.agg(*(F.stddev_pop(F.coalesce(c, F.lit(fill[c]))).alias(c) for c in names)).first()
-    sd = {c: row[c] or 1.0 for c in names}
+    sd = {c: row[c] if row[c] and row[c] >= 1e-12 else 1.0 for c in names}
 
     def prepare(df: DataFrame) -> DataFrame:
-        z = {c: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.coalesce(c, F.lit(fill[c])) - fill[c]) / sd[c])) for c in names}
-        return df.withColumns(z).withColumns({"label": F.col("event_label").cast("double"), "weight": F.when(F.col("event_label"), positive_weight).otherwise(1.0), **{c: F.col(c).cast("string") for c in categories}})
-
-    stages = [s for c in categories for s in (StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v"))]
-    stages += [VectorAssembler(inputCols=[*names, *(f"{c}_v" for c in categories)], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=ridge, standardization=False, probabilityCol="probability")]
-    model = Pipeline(stages=stages).fit(prepare(train))
+        z = {f"x_{c}": F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.coalesce(c, F.lit(fill[c])) - fill[c]) / sd[c])) for c in names}
+        return df.withColumns(z | {f"x_{c}": F.col(c).cast("string") for c in categories})
+
+    ready = prepare(train)
+    stages, vectors = [], []
+    for c in categories:
+        indexer = StringIndexer(inputCol=f"x_{c}", outputCol=f"x_{c}_i", handleInvalid="keep", stringOrderType="alphabetDesc").fit(ready)
+        # levels fall, so the first one comes last, before unknown ones, whose place is dropped
+        stages += [indexer, OneHotEncoder(inputCol=f"x_{c}_i", outputCol=f"x_{c}_v")]
+        if len(indexer.labels) > 1:
+            stages.append(VectorSlicer(inputCol=f"x_{c}_v", outputCol=f"x_{c}_w", indices=list(range(len(indexer.labels) - 1))))
+            vectors.append(f"x_{c}_w")
+    encoder = Pipeline(stages=[*stages, VectorAssembler(inputCols=[*(f"x_{c}" for c in names), *vectors], outputCol="features")]).fit(ready)
+    label = F.col("event_label").cast("double").alias("label")
+    ready = encoder.transform(ready).select("features", label, *(F.when(F.col("event_label"), w).otherwise(1.0).alias(f"w{j}") for j, w in enumerate(weights))).persist()
+    grid = [(r, j) for r in ridges for j in range(len(weights))]
+    models = [LogisticRegression(featuresCol="features", labelCol="label", weightCol=f"w{j}", regParam=r, standardization=False, probabilityCol=f"p{i}", rawPredictionCol=f"raw{i}", predictionCol=f"y{i}").fit(ready) for i, (r, j) in enumerate(grid)]
+    ready.unpersist()
 
     def score(df: DataFrame, floor: float = 1e-4) -> DataFrame:
-        p = vector_to_array(F.col("probability"))[1]
-        return model.transform(prepare(df)).withColumn("score", F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p)))
+        out = encoder.transform(prepare(df))
+        for m in models:
+            out = m.transform(out)
+        held = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), vector_to_array(F.col(c))[1]))
+        return out.select(*df.columns, *(held(f"p{i}").alias(f"s{i}") for i in range(len(models))))
 
-    return score
+    return score, {f"s{i}": (f"logistic_r{r:g}_pw{weights[j]:g}", r, weights[j]) for i, (r, j) in enumerate(grid)}

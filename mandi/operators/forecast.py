@@ -31,8 +31,8 @@ def baselines(mart: DataFrame) -> DataFrame:
 def features(mart: DataFrame) -> tuple[DataFrame, list[str]]:
     """Numeric features of the mart: ratios to rolling levels, lags and their gaps, calendar, history."""
     ln = lambda a, b: F.when((a > 0) & (b > 0), F.ln(a / b))
-    new = {f"vs_mean_{w}d": ln(F.col("origin_price"), F.col(f"rolling_mean_{w}d")) for w in WINDOWS}
-    new |= {f"vs_median_{w}d": ln(F.col("origin_price"), F.col(f"rolling_median_{w}d")) for w in WINDOWS}
+    new = {f"vs_mean_{w}d": ln(F.col(f"rolling_mean_{w}d"), F.col("origin_price")) for w in WINDOWS}
+    new |= {f"vs_median_{w}d": ln(F.col(f"rolling_median_{w}d"), F.col("origin_price")) for w in WINDOWS}
     new |= {f"cv_{w}d": F.when(F.col(f"rolling_mean_{w}d") > 0, F.col(f"rolling_std_{w}d") / F.col(f"rolling_mean_{w}d")) for w in WINDOWS}
     new |= {f"missing_{k}d": F.col(f"lag_missing_{k}d").cast("double") for k in LAGS}
     new |= {"vs_season": ln(F.col("seasonal_median"), F.col("origin_price")), "vs_week": ln(F.col("weekly_median"), F.col("origin_price"))}
@@ -52,12 +52,13 @@ def fit_preparation(train: DataFrame, names: list[str]) -> dict[str, tuple[float
 
 
 def prepare(df: DataFrame, fitted: dict) -> DataFrame:
-    return df.withColumns({c: (F.coalesce(c, F.lit(m)) - mean) / sd for c, (m, mean, sd) in fitted.items()}).withColumn("group", F.concat_ws("|", "product_id", "horizon"))
+    """df with each feature filled and scaled as x_<feature>, and the product-horizon group."""
+    return df.withColumns({f"x_{c}": (F.coalesce(c, F.lit(m)) - mean) / sd for c, (m, mean, sd) in fitted.items()}).withColumn("group", F.concat_ws("|", "product_id", "horizon"))
 
 
 def fit_encoder(train: DataFrame, names: list[str]) -> PipelineModel:
-    """A vector of the features and of all product-horizon levels."""
-    return Pipeline(stages=[StringIndexer(inputCol="group", outputCol="group_index", handleInvalid="keep"), OneHotEncoder(inputCol="group_index", outputCol="group_vector", dropLast=False), VectorAssembler(inputCols=[*names, "group_vector"], outputCol="features")]).fit(train)
+    """A vector of the scaled features and of all product-horizon levels."""
+    return Pipeline(stages=[StringIndexer(inputCol="group", outputCol="group_index", handleInvalid="keep"), OneHotEncoder(inputCol="group_index", outputCol="group_vector", dropLast=False), VectorAssembler(inputCols=[*(f"x_{c}" for c in names), "group_vector"], outputCol="features")]).fit(train)
 
 
 def ridge(train: DataFrame, label: str, alpha: float, prediction: str):
@@ -87,8 +88,8 @@ def fit_candidates(train: DataFrame, alphas=RIDGE, shrinks=SHRINK, moved: float
     encoder = fit_encoder(ready, names)
     ready = encoder.transform(ready).select("features", "target_return", "moved").persist()
     models = {}
-    for a in alphas:
-        models[a] = (ridge(ready, "target_return", a, f"ridge_{a}"), ridge(ready, "moved", a, f"move_{a}"), ridge(ready.filter("moved = 1"), "target_return", a, f"size_{a}"))
+    for i, a in enumerate(alphas):
+        models[a] = (ridge(ready, "target_return", a, f"ridge_{i}"), ridge(ready, "moved", a, f"move_{i}"), ridge(ready.filter("moved = 1"), "target_return", a, f"size_{i}"))
     ready.unpersist()
     return {"names": names, "fitted": fitted, "encoder": encoder, "models": models, "shrinks": shrinks}
 
@@ -97,15 +98,13 @@ def score(mart: DataFrame, frozen: dict) -> tuple[DataFrame, dict[str, str]]:
     """mart with a price column for each candidate, and the columns by candidate."""
     df, _ = features(mart)
     df = frozen["encoder"].transform(prepare(df, frozen["fitted"]))
-    # unscaled columns that the heuristics need
-    df = df.drop(*frozen["names"]).join(mart.select(*KEYS, *(c for c in frozen["names"] if c in mart.columns)), KEYS)
     columns = {}
-    for a, trio in frozen["models"].items():
+    for i, (a, trio) in enumerate(frozen["models"].items()):
         for m in trio:
             df = m.transform(df)
         for s in frozen["shrinks"]:
-            columns[f"ridge_a{a}_s{s}"] = price_of(F.col(f"ridge_{a}"), s)
-            columns[f"hurdle_a{a}_s{s}"] = price_of(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"move_{a}"))) * F.col(f"size_{a}"), s)
+            columns[f"ridge_a{a}_s{s}"] = price_of(F.col(f"ridge_{i}"), s)
+            columns[f"hurdle_a{a}_s{s}"] = price_of(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"move_{i}"))) * F.col(f"size_{i}"), s)
     columns |= heuristics()
     names = {name: f"c{i}" for i, name in enumerate(columns)}
     keep = [*KEYS, "split", "origin_price", "target_price", "weekly_median", "seasonal_median"]
@@ -137,16 +136,22 @@ def pick(name: Column, columns: dict[str, str]) -> Column:
     return reduce(lambda acc, kv: acc.when(name == kv[0], F.col(kv[1])), list(columns.items())[1:], F.when(name == next(iter(columns)), F.col(next(iter(columns.values())))))
 
 
-def conformal_quantiles(residuals: DataFrame, levels: list[list[str]], alpha: float = 0.2) -> DataFrame:
-    """Per level, the k-th smallest residual with k = min(n, ceil((n + 1)(1 - alpha))), and n."""
-    frames = []
+def conformal_quantiles(residuals: DataFrame, levels: list[list[str]], alpha: float = 0.2, fine: int = 4096) -> DataFrame:
+    """Per level, the k-th smallest residual with k = min(n, ceil((n + 1)(1 - alpha))), and n.
+
+    Rows are counted by slices of the residual, ``fine`` for each unit, with map-side combine; running
+    counts over slices find the one that holds rank k, and only its rows are ranked.
+    """
+    every = list(dict.fromkeys(c for level in levels for c in level))
+    sliced = residuals.select(*every, "residual", F.floor(F.col("residual") * fine).alias("slice"))
+    counts, frames = sliced.groupBy(*every, "slice").agg(F.count("*").alias("n")), []
     for i, by in enumerate(levels):
         w = Window.partitionBy(*by)
-        n = F.count("*").over(w)
-        k = F.least(n, F.ceil((n + 1) * F.lit(1 - alpha)))
-        ranked = residuals.select(*by, "residual", F.row_number().over(w.orderBy("residual")).alias("rank"), k.alias("k"), n.alias("n")).filter("rank = k")
-        every = list(dict.fromkeys(c for level in levels for c in level))
-        frames.append(ranked.select(F.lit(i).alias("level"), *(F.col(c) if c in by else F.lit(None).cast(residuals.schema[c].dataType).alias(c) for c in every), F.col("residual").alias("quantile"), "n"))
+        run = counts.groupBy(*by, "slice").agg(F.sum("n").alias("n")).select(*by, "slice", "n", F.sum("n").over(w).alias("total"), F.sum("n").over(w.orderBy("slice")).alias("upto"))
+        run = run.withColumn("k", F.least("total", F.ceil((F.col("total") + 1) * F.lit(1 - alpha)))).filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+        held = sliced.join(run.select(*by, "slice", "total", (F.col("k") - F.col("upto") + F.col("n")).alias("k")), [*by, "slice"])
+        ranked = held.withColumn("rank", F.row_number().over(w.orderBy("residual"))).filter("rank = k")
+        frames.append(ranked.select(F.lit(i).alias("level"), *(F.col(c) if c in by else F.lit(None).cast(residuals.schema[c].dataType).alias(c) for c in every), F.col("residual").alias("quantile"), F.col("total").alias("n")))
     return reduce(DataFrame.unionByName, frames)
 
 

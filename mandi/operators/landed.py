@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import haversine, median
 
+from . import contracts
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -40,6 +42,22 @@ def risk_calibration(residuals: DataFrame, before: str, at_least: int = 30, q: f
     return got.filter(F.col("rows") >= at_least)
 
 
+def attach_calibration(snapshot: DataFrame, calibration: DataFrame, routes: DataFrame) -> DataFrame:
+    """snapshot with its group's route and usual relative error, and the error of the route over all groups where a group has none."""
+    group = calibration.select("product_id", "horizon", "route", "q80_error")
+    wide = calibration.groupBy("horizon").agg(F.max("q80_error").alias("widest_error"))
+    df = snapshot.join(routes.select("product_id", "horizon", "route"), ["product_id", "horizon"], "left").withColumn("route", F.coalesce("route", F.lit("baseline")))
+    df = df.join(group, ["product_id", "horizon", "route"], "left").join(wide, "horizon", "left")
+    return df.withColumns({"risk_basis": F.when(F.col("q80_error").isNotNull(), "route_q80_error").otherwise("widest_q80_error"), "q80_error": F.coalesce("q80_error", "widest_error")}).drop("widest_error")
+
+
+def price_labels(df: DataFrame, route: str = "route", interval: Column | None = None) -> DataFrame:
+    """What a point price is, and whether its interval is released."""
+    full = F.lit(False) if interval is None else interval
+    base = F.col(route) == "baseline"
+    return df.withColumns({"price_label": F.when(base, "last price carried forward, not a model").when(full, "model point with calibrated interval").otherwise("model point without interval"), "interval_status": F.when(base, "not_applicable_baseline").when(full, "calibrated_released").otherwise("not_released")})
+
+
 def attach_reliability(snapshot: DataFrame, days: DataFrame, at: str, lookback: int = 28) -> DataFrame:
     """Reliability of the origin price's day, else the median of the trailing days, and which it is."""
     near = days.filter(F.col("date").between(F.date_sub(F.lit(at).cast("date"), lookback), F.lit(at).cast("date")))
@@ -115,3 +133,33 @@ def geo_audit(pairs: DataFrame, bounds: tuple[tuple[float, str], ...] = ((100, "
     d = haversine(F.col("longitude"), F.col("latitude"), F.col("anchor_longitude"), F.col("anchor_latitude"))
     band = reduce(lambda acc, b: acc.when(F.col("distance_km") > b[0], b[1]), bounds, F.when(F.col("distance_km").isNull(), "missing"))
     return pairs.withColumn("distance_km", d).withColumn("status", band.otherwise("ok"))
+
+
+def top_deviations(audited: DataFrame, n: int = 15) -> DataFrame:
+    """The markets farthest from their city's anchor."""
+    return audited.filter("distance_km IS NOT NULL").orderBy(F.desc("distance_km"), "market_id").limit(n)
+
+
+def city_geo(cities: DataFrame, known: DataFrame, override: DataFrame, version: str = "v1") -> DataFrame:
+    """A place for each city (city_id, city, province): by name and province, or from an override row (city_id, longitude, latitude, rule)."""
+    o = override.select("city_id", F.col("longitude").alias("o_longitude"), F.col("latitude").alias("o_latitude"), "rule")
+    k = known.select("city", "province", F.col("longitude").alias("k_longitude"), F.col("latitude").alias("k_latitude"))
+    df = cities.join(k, ["city", "province"], "left").join(o, "city_id", "left")
+    method = F.when(F.col("o_longitude").isNotNull(), "override").when(F.col("k_longitude").isNotNull(), "city_centre").otherwise("unresolved")
+    return df.select("city_id", "city", "province", F.coalesce("o_longitude", "k_longitude").alias("longitude"), F.coalesce("o_latitude", "k_latitude").alias("latitude"), method.alias("method"), "rule", F.lit(version).alias("geo_version"))
+
+
+def feasibility(snapshot: DataFrame, geo: DataFrame, horizons: list[int]) -> DataFrame:
+    """Per product: horizons and cities with a point, the fewest and most cities of a horizon, points that aren't positive, cities without a place, and whether all is there."""
+    per = snapshot.groupBy("product_id", "horizon").agg(F.count_distinct("city_id").alias("n"))
+    span = per.groupBy("product_id").agg(F.count("*").alias("horizons"), F.min("n").alias("least_cities"), F.max("n").alias("most_cities"))
+    placed = snapshot.join(geo.select("city_id", F.lit(True).alias("placed")), "city_id", "left")
+    got = placed.groupBy("product_id").agg(F.count_distinct("city_id").alias("cities"), F.count_if(~(F.col("point") > 0)).alias("not_positive"), F.count_if(F.col("placed").isNull()).alias("without_place"))
+    return got.join(span, "product_id").withColumn("feasible", (F.col("horizons") == len(horizons)) & (F.col("not_positive") == 0) & (F.col("without_place") == 0))
+
+
+def flatten_release(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of nested release documents ({"groups": [{product_id, horizon, release_status, ...}]}): one for each group, keys unique."""
+    ddl = "groups array<struct<product_id:string,horizon:int,release_status:string,improvement:double>>"
+    each = documents.select(F.explode(F.from_json(column, ddl)["groups"]).alias("g")).select("g.*")
+    return contracts.assert_unique(each, ["product_id", "horizon"]).withColumn("route", F.when(F.col("release_status") == "baseline_fallback", "baseline").otherwise("model"))

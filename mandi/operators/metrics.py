@@ -41,33 +41,41 @@ def interval_aggregates(alpha: float = 0.2) -> list[Column]:
     return [F.count("*").alias("rows"), F.avg(((a >= lo) & (a <= hi)).cast("double")).alias("coverage"), F.avg(hi - lo).alias("mean_width"), *(F.avg(pin(q, p)).alias(f"pinball_{int(q * 100)}") for q, p in ((0.1, lo), (0.5, mid), (0.9, hi))), F.avg(wis).alias("wis")]
 
 
-def pr_curve(scored: DataFrame, by: list[str]) -> DataFrame:
+def pr_curve(scored: DataFrame, by: list[str], fine: int = 4096) -> DataFrame:
     """Precision and recall at each distinct score (ties are one point), and the point before the first.
 
     scored: by, label (0/1), score.  Thresholds fall; the first point alerts nothing: precision 1,
-    recall 0, at a threshold just above the highest score.
+    recall 0, at a threshold just above the highest score.  Running sums go over slices of the score,
+    ``fine`` for each unit, and then within each slice, so no task orders all scores.
     """
-    points = scored.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    points = scored.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).withColumn("slice_", F.floor(F.col("score") * fine))
+    slices = points.groupBy(*by, "slice_").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("points"))
     w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("score"))
-    run = points.select(*by, F.col("score").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("alerts"), F.sum("pos").over(w).alias("positives"), F.sum("n").over(w).alias("total"), F.row_number().over(down).alias("place"))
-    first = run.filter("place = 1").withColumns({"threshold": F.col("threshold") + F.greatest(F.abs("threshold"), F.lit(1e-300)) * 2.220446049250313e-16, "tp": F.lit(0).cast("long"), "alerts": F.lit(0).cast("long"), "place": F.lit(0)})
+    above = w.orderBy(F.desc("slice_")).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"{c}_before": F.coalesce(F.sum(c).over(above), F.lit(0)) for c in ("pos", "n", "points")}
+    slices = slices.withColumns(before | {"positives": F.sum("pos").over(w), "total": F.sum("n").over(w)}).drop("pos", "n", "points")
+    down = Window.partitionBy(*by, "slice_").orderBy(F.desc("score"))
+    held = points.join(slices, [*by, "slice_"])
+    run = held.select(*by, F.col("score").alias("threshold"), (F.col("pos_before") + F.sum("pos").over(down)).alias("tp"), (F.col("n_before") + F.sum("n").over(down)).alias("alerts"), "pos", "positives", "total", (F.col("points_before") + F.row_number().over(down)).alias("place"))
+    first = run.filter("place = 1").withColumns({"threshold": F.col("threshold") + F.greatest(F.abs("threshold"), F.lit(1e-300)) * 2.220446049250313e-16, "tp": F.lit(0).cast("long"), "alerts": F.lit(0).cast("long"), "pos": F.lit(0).cast("long"), "place": F.lit(0).cast("long")})
     fp = F.col("alerts") - F.col("tp")
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return first.unionByName(run).withColumns({
         "fp": fp, "precision": F.when(F.col("alerts") == 0, 1.0).otherwise(F.col("tp") / F.col("alerts")), "recall": part(F.col("tp"), F.col("positives")),
-        "fpr": part(fp, F.col("total") - F.col("positives")), "false_alert_share": part(fp, F.col("alerts")),
-    })
+        "fpr": part(fp, F.col("total") - F.col("positives")), "false_alert_share": part(fp, F.col("alerts")), "recall_step": part(F.col("pos"), F.col("positives")),
+    }).drop("pos")
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:
     """Sum of recall steps times precision."""
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy(*by).orderBy("place")), F.lit(0.0))
-    return curve.withColumn("gain", step * F.col("precision")).groupBy(*by).agg(F.sum("gain").alias("average_precision"))
+    return curve.groupBy(*by).agg(F.sum(F.col("recall_step") * F.col("precision")).alias("average_precision"))
 
 
 def threshold_at_fpr(curve: DataFrame, by: list[str], most: float) -> DataFrame:
-    """The point of most recall with fpr at most ``most``; then precision, then threshold."""
+    """The point of most recall with fpr at most ``most``; then precision, then threshold.
+
+    Every group has one: the point before the first alerts nothing.
+    """
     ok = curve.filter(F.col("fpr") <= most + 1e-12)
     top = F.max_by(F.struct("threshold", "tp", "fp", "precision", "recall", "fpr"), F.struct("recall", "precision", "threshold"))
     return ok.groupBy(*by).agg(top.alias("x")).select(*by, "x.*")

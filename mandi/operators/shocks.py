@@ -34,18 +34,17 @@ def seasonal_adjust(panel: DataFrame, position: Column, split: str = "train", at
 def loo_median(panel: DataFrame, value: str = "adjusted_return", by: tuple[str, ...] = ("product_id", "bin_start"), at_least: int = 10) -> DataFrame:
     """Median of the other series of the bin, and how many there are.
 
-    With the bin's values sorted and this row at place r, the median of the rest is an order
-    statistic of the whole with places from r on moved by one: a window sort, no self-join.
+    Each bin's values are sorted once, in an aggregate; the median of the rest is an order statistic of
+    them with places from this row's on moved by one, so a row takes three values and no array along.
     """
-    w = Window.partitionBy(*by)
     have = F.col(value).isNotNull()
-    df = panel.withColumn("sorted", F.array_sort(F.collect_list(value).over(w)))
-    df = df.withColumn("rank", F.when(have, F.row_number().over(w.orderBy(F.col(value).asc_nulls_last()))))
+    bins = panel.filter(have).groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("sorted"))
+    df = panel.join(bins, list(by), "left")
+    rank = F.array_position("sorted", F.col(value))  # of equal values any may go
     peers = F.when(have, F.size("sorted") - 1).otherwise(0)
-    df = df.withColumn("peers", peers)
-    at = lambda k: F.element_at("sorted", (k + F.when(k >= F.col("rank"), 1).otherwise(0)).cast("int"))
-    lo, hi = F.floor((F.col("peers") + 1) / 2), F.floor((F.col("peers") + 2) / 2)
-    return df.withColumn("common_factor", F.when(have & (F.col("peers") >= at_least), (at(lo) + at(hi)) / 2)).drop("sorted", "rank")
+    at = lambda k: F.element_at("sorted", (k + F.when(k >= rank, 1).otherwise(0)).cast("int"))
+    lo, hi = F.floor((peers + 1) / 2), F.floor((peers + 2) / 2)
+    return df.select(*panel.columns, peers.alias("peers"), F.when(have & (peers >= at_least), (at(lo) + at(hi)) / 2).alias("common_factor"))
 
 
 def shock_flags(panel: DataFrame, q: float = 0.95) -> DataFrame:
@@ -59,7 +58,7 @@ def shock_timeline(panel: DataFrame, q: float = 0.95) -> DataFrame:
     """Per product and bin: median factor and return, exposed and observed cities; flag above the train quantile."""
     bins = panel.groupBy("product_id", "bin_start", "split").agg(median("common_factor").alias("common_factor"), median("adjusted_return").alias("median_return"), F.count_if("positive_shock").alias("exposed"), F.count("*").alias("observed"))
     limit = bins.filter("split = 'train'").groupBy("product_id").agg(F.percentile("common_factor", F.lit(q)).alias("limit"))
-    return bins.join(F.broadcast(limit), "product_id", "left").withColumn("common_shock", F.coalesce(F.col("common_factor") > F.col("limit"), F.lit(False)))
+    return bins.join(limit, "product_id", "left").withColumn("common_shock", F.coalesce(F.col("common_factor") > F.col("limit"), F.lit(False)))
 
 
 def city_exposure(panel: DataFrame, windows: dict[str, list[str]]) -> DataFrame:
@@ -85,6 +84,12 @@ def city_exposure(panel: DataFrame, windows: dict[str, list[str]]) -> DataFrame:
     return out.withColumn("exposure_rank", F.row_number().over(w.orderBy(F.round("exposure_score", 9).desc_nulls_last(), "city_id"))).drop("held_beta")
 
 
+def exposure_view(cities: DataFrame, timeline: DataFrame, top: int = 10) -> DataFrame:
+    """The top cities of each window and product by rank, with the product's common shocks and its highest factor."""
+    peak = timeline.groupBy("product_id").agg(F.count_if("common_shock").alias("common_shocks"), F.max("common_factor").alias("peak_factor"), F.max_by("bin_start", "common_factor").alias("peak_start"))
+    return cities.filter(F.col("exposure_rank") <= top).join(peak, "product_id", "left")
+
+
 def coverage_table(panel: DataFrame, splits: list[str]) -> DataFrame:
     return panel.groupBy(*KEYS).pivot("split", splits).count().na.fill(0, splits)
 
@@ -173,32 +178,37 @@ def edge_frame(lagged: DataFrame, edges: DataFrame, own: list[str], source: list
     return edges.join(t, ["product_id", "target_city_id"]).join(s, ["product_id", "source_city_id", "bin_start"]).dropna(subset=[target, *own, *(f"source_{c}" for c in source)])
 
 
-def edge_models(frame: DataFrame, own: list[str], source: list[str], target: str, fit: str = "train", test: str = "validation", least_fit: int = 300, least_test: int = 60) -> DataFrame:
+EDGE = ["product_id", "source_city_id", "target_city_id"]
+_EDGE_DDL = "product_id string, source_city_id string, target_city_id string, fit_rows long, test_rows long, f_statistic double, p_value double, source_sum double, source_coefficients array<double>, dominant_lag long, rmse double, rmse_full double, mae double, mae_full double"
+
+
+def edge_models(frame: DataFrame, own: list[str], source: list[str], target: str, fit: tuple[str, ...] = ("train",), test: str = "validation", least_fit: int = 300, least_test: int = 60, bin_days: int = 3) -> DataFrame:
     """Restricted and full regression of each edge: joint F test of the source lags, and test errors.
 
-    One edge's bins are one group: a series is at most some thousand bins long.
+    An edge with too few rows has NULL results.  One edge's bins are one group: a series is at most
+    some thousand bins long.  Gains are shares of the restricted model's error.
     """
-    keys = ["product_id", "source_city_id", "target_city_id"]
     lags = [f"source_{c}" for c in source]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.split == fit].sort_values("bin_start"), pdf[pdf.split == test].sort_values("bin_start")
-        row = {k: pdf[k].iloc[0] for k in keys} | {"fit_rows": len(a), "test_rows": len(b), "p_value": None, "source_sum": None, "dominant_lag": None, "rmse_gain": None, "mae_gain": None}
+        a, b = pdf[pdf.split.isin(fit)].sort_values("bin_start"), pdf[pdf.split == test].sort_values("bin_start")
+        row = {k: pdf[k].iloc[0] for k in EDGE} | {"fit_rows": len(a), "test_rows": len(b)} | dict.fromkeys(("f_statistic", "p_value", "source_sum", "source_coefficients", "dominant_lag", "rmse", "rmse_full", "mae", "mae_full"))
         if len(a) >= least_fit and len(b) >= least_test:
-            y, yt = a[target].to_numpy(float), b[target].to_numpy(float)
-            r, f = _ols(a[own].to_numpy(float), y), _ols(a[own + lags].to_numpy(float), y)
-            rss_r, rss_f = ((y - _predict(a[own].to_numpy(float), r)) ** 2).sum(), ((y - _predict(a[own + lags].to_numpy(float), f)) ** 2).sum()
+            y, yt, few, all_ = a[target].to_numpy(float), b[target].to_numpy(float), a[own].to_numpy(float), a[own + lags].to_numpy(float)
+            r, f = _ols(few, y), _ols(all_, y)
+            rss_r, rss_f = ((y - _predict(few, r)) ** 2).sum(), ((y - _predict(all_, f)) ** 2).sum()
             df2 = len(a) - len(own) - len(lags) - 1
             if df2 > 0 and rss_f > 0:
-                row["p_value"] = f_tail(max(0.0, (rss_r - rss_f) / len(lags) / (rss_f / df2)), len(lags), df2)
+                row["f_statistic"] = float(max(0.0, (rss_r - rss_f) / len(lags) / (rss_f / df2)))
+                row["p_value"] = f_tail(row["f_statistic"], len(lags), df2)
             beta = f[1 + len(own) :]
             er, ef = yt - _predict(b[own].to_numpy(float), r), yt - _predict(b[own + lags].to_numpy(float), f)
-            rms = lambda e: float(np.sqrt((e**2).mean()))
-            row |= {"source_sum": float(beta.sum()), "dominant_lag": int(np.argmax(np.abs(beta))) + 1, "rmse_gain": 1 - rms(ef) / rms(er) if rms(er) else None, "mae_gain": 1 - float(np.abs(ef).mean() / np.abs(er).mean()) if np.abs(er).mean() else None}
+            rms, mean = (lambda e: float(np.sqrt((e**2).mean()))), (lambda e: float(np.abs(e).mean()))
+            row |= {"source_sum": float(beta.sum()), "source_coefficients": beta.tolist(), "dominant_lag": int(np.argmax(np.abs(beta))) + 1, "rmse": rms(er), "rmse_full": rms(ef), "mae": mean(er), "mae_full": mean(ef)}
         return pd.DataFrame([row])
 
-    ddl = "product_id string, source_city_id string, target_city_id string, fit_rows long, test_rows long, p_value double, source_sum double, dominant_lag long, rmse_gain double, mae_gain double"
-    return frame.groupBy(*keys).applyInPandas(one, ddl)
+    gain = lambda m: F.when(F.col(m) > 0, 1 - F.col(f"{m}_full") / F.col(m)).alias(f"{m}_gain")
+    return frame.groupBy(*EDGE).applyInPandas(one, _EDGE_DDL).select("*", (F.col("dominant_lag") * bin_days).alias("expected_delay_days"), gain("rmse"), gain("mae"))
 
 
 def validation_gate(tested: DataFrame, rmse: float = 0.01, mae: float = 0.005) -> DataFrame:
@@ -207,7 +217,8 @@ def validation_gate(tested: DataFrame, rmse: float = 0.01, mae: float = 0.005) -
 
 
 def funnel(tested: DataFrame) -> DataFrame:
-    return tested.groupBy("product_id").agg(F.count("*").alias("candidates"), F.count("p_value").alias("modelled"), F.count_if("reject").alias("rejected"), F.count_if("validated").alias("validated"))
+    """How many edges of each product every step leaves."""
+    return tested.groupBy("product_id").agg(F.count("*").alias("candidates"), F.count("source_sum").alias("modelled"), F.count_if("reject").alias("rejected"), F.count_if("validated").alias("validated"))
 
 
 def series_ols(lagged: DataFrame, names: list[str], target: str, least_fit: int = 300, least_test: int = 60) -> DataFrame:
@@ -226,33 +237,92 @@ def series_ols(lagged: DataFrame, names: list[str], target: str, least_fit: int
 
 
 def block_bootstrap(frame: DataFrame, own: list[str], source: list[str], target: str, draws: int = 250, block: int = 8, seed: int = 20260914) -> DataFrame:
-    """Share of moving-block resamples in which the source lags of an edge sum to more than zero."""
+    """Share of moving-block resamples in which the source lags of an edge sum to more than zero, and the sum in either half.
+
+    An edge's draws come from a seed of its own keys, so they don't depend on partitions.  Fewer rows
+    than a block: no rate.
+    """
     import hashlib
 
-    keys = ["product_id", "source_city_id", "target_city_id"]
     lags = [f"source_{c}" for c in source]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin_start")
         x, y, n = pdf[own + lags].to_numpy(float), pdf[target].to_numpy(float), len(pdf)
-        k = [str(pdf[c].iloc[0]) for c in keys]
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256("|".join([str(seed), *k]).encode()).digest()[:8], "big"))
-        size, positive = min(block, n), 0
-        for _ in range(draws):
-            starts = rng.integers(0, n - size + 1, -(-n // size))
-            at = (starts[:, None] + np.arange(size)).ravel()[:n]
-            positive += _ols(x[at], y[at])[1 + len(own) :].sum() > 0
+        k = [str(pdf[c].iloc[0]) for c in EDGE]
+        total = lambda at: float(_ols(x[at], y[at])[1 + len(own) :].sum())
+        rate = None
+        if n >= block:
+            rng = np.random.default_rng(int.from_bytes(hashlib.sha256("|".join([str(seed), *k]).encode()).digest()[:8], "little"))
+            positive = 0
+            for _ in range(draws):
+                starts = rng.integers(0, n - block + 1, size=-(-n // block))
+                positive += total((starts[:, None] + np.arange(block)).ravel()[:n]) > 0
+            rate = positive / draws
         half = n // 2
-        same = n >= 2 * (len(own) + len(lags) + 2) and (_ols(x[:half], y[:half])[1 + len(own) :].sum() > 0) == (_ols(x[half:], y[half:])[1 + len(own) :].sum() > 0)
-        return pd.DataFrame([dict(zip(keys, k, strict=True)) | {"rows": n, "positive_rate": positive / draws, "halves_agree": bool(same)}])
+        first, second = (total(at) if n > 1 else None for at in (slice(0, half), slice(half, n)))
+        return pd.DataFrame([dict(zip(EDGE, k, strict=True)) | {"rows": n, "positive_rate": rate, "first_half_sum": first, "second_half_sum": second, "halves_positive": bool(n > 1 and first > 0 and second > 0)}])
+
+    return frame.groupBy(*EDGE).applyInPandas(one, "product_id string, source_city_id string, target_city_id string, rows long, positive_rate double, first_half_sum double, second_half_sum double, halves_positive boolean")
+
+
+def weekly_diagnostic(weekly: DataFrame) -> DataFrame:
+    """What weekly edge_models() say of each edge; an edge without them isn't available."""
+    have = F.col("source_sum").isNotNull()
+    return weekly.select(*EDGE, have.alias("weekly_available"), F.col("fit_rows").alias("weekly_fit_rows"), F.col("test_rows").alias("weekly_test_rows"), F.col("source_sum").alias("weekly_source_sum"), F.col("rmse_gain").alias("weekly_rmse_gain"), F.col("mae_gain").alias("weekly_mae_gain"), (have & (F.col("source_sum") > 0)).alias("weekly_consistent"))
+
 
-    return frame.groupBy(*keys).applyInPandas(one, "product_id string, source_city_id string, target_city_id string, rows long, positive_rate double, halves_agree boolean")
+def stability_gate(validated: DataFrame, bootstrap: DataFrame, weekly: DataFrame, least_rate: float = 0.60) -> DataFrame:
+    """Validated edges with their stability: both halves positive and a high enough bootstrap rate.
+
+    The weekly diagnostic only marks edges as sensitive to the frequency.
+    """
+    df = validated.join(bootstrap.drop("rows"), EDGE, "left").join(weekly_diagnostic(weekly), EDGE, "left")
+    stable = F.coalesce(F.col("halves_positive") & (F.col("positive_rate") >= least_rate), F.lit(False))
+    return df.withColumns({"frequency_sensitive": ~F.coalesce("weekly_consistent", F.lit(False)), "stable": stable})
+
+
+def frozen_edges_final(stable: DataFrame, refit: DataFrame, least_gain: float = 0.0, strong: float = 0.01) -> DataFrame:
+    """Stable edges with their gains on the final split, of models refitted on all earlier ones."""
+    got = refit.select(*EDGE, F.col("fit_rows").alias("refit_rows"), F.col("test_rows").alias("final_rows"), F.col("rmse_gain").alias("final_rmse_gain"), F.col("mae_gain").alias("final_mae_gain"))
+    df = stable.filter("stable").join(got, EDGE)
+    return df.withColumns({"confirmed": F.coalesce(F.col("final_rmse_gain") > least_gain, F.lit(False)), "strong": F.coalesce(F.col("final_rmse_gain") >= strong, F.lit(False))})
+
+
+RELEASE = {"products": 5, "edges_per_product": 3, "positive_share": 0.70, "median_gain": 0.01}
+
+
+def release_decision(final: DataFrame, network: DataFrame, gates: dict[str, float] | None = None) -> DataFrame:
+    """One row: the gates' figures, whether each passes, and network_release or common_shock_only.
+
+    network: edges with reject_raw and reject_residual, for whether the common factor thins it out.
+    """
+    g = RELEASE | (gates or {})
+    products = final.groupBy("product_id").agg(F.count_if("confirmed").alias("n")).agg(F.count_if(F.col("n") >= g["edges_per_product"]).alias("qualifying_products"))
+    edges = final.agg(F.count("*").alias("frozen_edges"), F.count_if("confirmed").alias("confirmed_edges"), F.count_if("strong").alias("strong_edges"), median("final_rmse_gain").alias("median_gain"), F.coalesce(F.bool_and(F.col("reject") & F.col("stable")), F.lit(True)).alias("complete"))
+    reduced = network.agg(F.count_if("reject_raw").alias("raw_edges"), F.count_if("reject_residual").alias("residual_edges"))
+    df = edges.crossJoin(products).crossJoin(reduced)  # one row each
+    df = df.withColumn("positive_share", F.when(F.col("frozen_edges") > 0, F.col("confirmed_edges") / F.col("frozen_edges")).otherwise(0.0))
+    passed = {"products_ok": F.col("qualifying_products") >= g["products"], "share_ok": F.col("positive_share") >= g["positive_share"], "gain_ok": F.coalesce(F.col("median_gain") >= g["median_gain"], F.lit(False)), "complete_ok": F.col("complete"), "reduced_ok": F.col("residual_edges") < F.col("raw_edges")}
+    df = df.withColumns(passed)
+    every = F.col("products_ok") & F.col("share_ok") & F.col("gain_ok") & F.col("complete_ok") & F.col("reduced_ok")
+    return df.withColumn("release_status", F.when(every, "network_release").otherwise("common_shock_only"))
+
+
+def feasibility(eligible: DataFrame, edges: DataFrame, panel: DataFrame, splits: list[str]) -> DataFrame:
+    """Per product: eligible cities, candidate edges and their density, sources per target, distances, shocks by split."""
+    cities = eligible.groupBy("product_id").agg(F.count_distinct("city_id").alias("eligible_cities"))
+    per = edges.groupBy("product_id", "target_city_id").agg(F.count("*").alias("n")).groupBy("product_id").agg(F.min("n").alias("least_sources"), F.max("n").alias("most_sources"))
+    all_ = edges.groupBy("product_id").agg(F.count("*").alias("candidate_edges"), median("distance_km").alias("median_distance_km"), F.avg(F.col("same_province").cast("double")).alias("same_province_share"))
+    shocks = panel.filter("positive_shock").groupBy("product_id").agg(*(F.count_if(F.col("split") == s).alias(f"shocks_{s}") for s in splits))
+    df = cities.join(all_, "product_id", "left").join(per, "product_id", "left").join(shocks, "product_id", "left").na.fill(0, ["candidate_edges", "least_sources", "most_sources", *(f"shocks_{s}" for s in splits)])
+    possible = F.col("eligible_cities") * (F.col("eligible_cities") - 1)
+    return df.withColumn("possible_edges", possible).withColumn("density", F.when(F.col("possible_edges") > 0, F.col("candidate_edges") / F.col("possible_edges")).otherwise(0.0))
 
 
 def correlation_tests(frame: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Contemporaneous correlation of each edge and its two-sided t test, raw and residual."""
-    keys = ["product_id", "source_city_id", "target_city_id"]
-    got = frame.groupBy(*keys).agg(*(x for n, (a, b) in pairs.items() for x in (F.corr(a, b).alias(f"rho_{n}"), F.count(F.col(a) + F.col(b)).alias(f"n_{n}"))))
+    got = frame.groupBy(*EDGE).agg(*(x for n, (a, b) in pairs.items() for x in (F.corr(a, b).alias(f"rho_{n}"), F.count(F.col(a) + F.col(b)).alias(f"n_{n}"))))
     tail = F.pandas_udf(lambda t, df: pd.Series([t_tail(x, d) if x == x and d > 0 else None for x, d in zip(t, df, strict=True)]), "double")
     for n in pairs:
         rho, df = F.col(f"rho_{n}"), F.col(f"n_{n}") - 2

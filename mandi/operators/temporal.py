@@ -115,23 +115,45 @@ def direction_share(spine: DataFrame, series: DataFrame, days: int = 14) -> Data
 
 
 def _history(targets: DataFrame, series: DataFrame) -> DataFrame:
-    """All days up to the origin: features of a whole history; a series is one join key."""
+    """All days up to the origin: for the few targets that ask for a whole history; a series is one join key."""
     return targets.join(series.select(*KEYS, F.col("date").alias("day"), "price"), KEYS).filter(F.col("day") <= F.col("origin_date"))
 
 
+def so_far(asked: DataFrame, seen: DataFrame, keys: list[str], at: str, day: str, columns: dict[str, Column]) -> DataFrame:
+    """asked with columns: window aggregates over the rows of seen (same keys) whose day is at or before ``at``.
+
+    One sorted pass over both, so no row meets all earlier ones of its group.  Aggregates see nulls in
+    the asked rows.  A group must fit in a task: a series, or a part of one.
+    """
+    held = [c for c in seen.columns if c not in (*keys, day)]
+    a = asked.select(*keys, F.col(at).alias("at_"), F.lit(1).alias("kind_"), F.struct(*asked.columns).alias("asked_"), *(F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in held))
+    b = seen.select(*keys, F.col(day).alias("at_"), F.lit(0).alias("kind_"), F.lit(None).cast(a.schema["asked_"].dataType).alias("asked_"), *held)
+    w = Window.partitionBy(*keys).orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumns({n: c.over(w) for n, c in columns.items()}).filter("kind_ = 1").select("asked_.*", *columns)
+
+
 def seasonal_median(targets: DataFrame, series: DataFrame, at_least: int = 3) -> DataFrame:
-    """Median price of the target's calendar month so far; of the whole history if there are too few days."""
-    same = F.month("day") == F.month("target_date")
-    n = F.count_if(same)
-    got = _history(targets, series).groupBy(*KEYS, "origin_date", "target_date").agg(n.alias("seasonal_count"), F.when(n >= at_least, median(F.when(same, F.col("price")))).otherwise(median("price")).alias("seasonal_median"))
-    return got
+    """Median price of the target's calendar month so far; of the whole history if there are too few days.
+
+    A series' calendar month is one sorted pass; only targets with too few days there meet the history.
+    """
+    keys = [*KEYS, "origin_date", "target_date"]
+    asked = targets.select(*keys).withColumn("month_", F.month("target_date"))
+    seen = series.select(*KEYS, F.month("date").alias("month_"), F.col("date").alias("day"), "price")
+    got = so_far(asked, seen, [*KEYS, "month_"], "origin_date", "day", {"seasonal_count": F.count("price"), "own": median("price")})
+    few = _history(got.filter(F.col("seasonal_count") < at_least).select(*keys), series).groupBy(*keys).agg(median("price").alias("whole"))
+    return got.join(few, keys, "left").select(*keys, "seasonal_count", F.when(F.col("seasonal_count") >= at_least, F.col("own")).otherwise(F.col("whole")).alias("seasonal_median"))
 
 
 def weekly_pattern(targets: DataFrame, series: DataFrame, last: int = 4) -> DataFrame:
-    """Median of the last ``last`` prices on the target's weekday."""
-    same = _history(targets, series).filter(F.weekday("day") == F.weekday("target_date"))
-    rank = F.row_number().over(Window.partitionBy(*KEYS, "origin_date", "target_date").orderBy(F.desc("day")))
-    return same.withColumn("rank", rank).filter(F.col("rank") <= last).groupBy(*KEYS, "origin_date", "target_date").agg(median("price").alias("weekly_median"), F.count("*").alias("weekly_count"))
+    """Median of the last ``last`` prices on the target's weekday: each day carries them, and the latest day answers."""
+    keys = [*KEYS, "weekday_"]
+    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(1 - last, 0)
+    seen = series.select(*KEYS, F.weekday("date").alias("weekday_"), F.col("date").alias("day"), "price")
+    seen = seen.select(*keys, "day", F.struct(median("price").over(w).alias("median"), F.count("price").over(w).alias("count")).alias("x"))
+    asked = targets.select(*KEYS, "origin_date", "target_date").withColumn("weekday_", F.weekday("target_date"))
+    got = so_far(asked, seen, keys, "origin_date", "day", {"latest": F.last("x", ignorenulls=True)}).filter("latest IS NOT NULL")
+    return got.select(*KEYS, "origin_date", "target_date", F.col("latest.median").alias("weekly_median"), F.col("latest.count").alias("weekly_count"))
 
 
 def attach_target(targets: DataFrame, series: DataFrame) -> DataFrame:

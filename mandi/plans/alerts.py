@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import severity, split_of
 from mandi.operators import alerts, metrics, temporal
-from mandi.sources import given
+from mandi.sources import given, sinks
 
 from .common import layer, out, sql
 from .temporal import SERIES_SQL, series
@@ -165,21 +165,135 @@ def outcome_slices(spark, sf_dir):
     return out(df.groupBy("outcome", F.month("origin_date").alias("month")).agg(F.count("*").alias("rows")))
 
 
+@query(sql(PEAK_SQL, "SELECT product_id, count(DISTINCT city_id) AS series, count(DISTINCT origin_date) AS origins, count(*) AS rows, sum(future_days) AS future_days, " + ", ".join(f"count(*) FILTER (peak_return >= {a}::DOUBLE) AS spikes_{int(100 * a)}" for a in (0.15, 0.20, 0.25)) + ", " + ", ".join(f"count(*) FILTER (peak_return >= {a}::DOUBLE) / count(*) AS rate_{int(100 * a)}" for a in (0.15, 0.20, 0.25)) + " FROM peak GROUP BY 1", "future_days", "rate_15 rate_20 rate_25"))
+def weekly_audit(spark, sf_dir):
+    return out(alerts.weekly_audit(peaks(spark, sf_dir)))
+
+
+@layer
+def mart(spark, sf_dir) -> DataFrame:
+    """Labels with all features known at the origin."""
+    return alerts.alert_mart(labels(spark, sf_dir), weekly_spine(spark, sf_dir), series(spark, sf_dir))
+
+
+BASE_SQL = EVENT_SQL + """,
+cvs AS (SELECT w.product_id, w.city_id, origin_date, arg_max(price, date) FILTER (date >= origin_date - 1) AS op, arg_max(price, date) FILTER (date BETWEEN origin_date - 17 AND origin_date - 14) AS p14, avg(price) FILTER (date >= origin_date - 27) AS m28,
+  CASE WHEN count(price) FILTER (date >= origin_date - 27) = 1 THEN 0 ELSE stddev_samp(price) FILTER (date >= origin_date - 27) END AS s28
+  FROM wspine w JOIN series s ON s.product_id = w.product_id AND s.city_id = w.city_id AND date BETWEEN origin_date - 89 AND origin_date GROUP BY ALL),
+feats AS (SELECT l.*, CASE WHEN m28 > 0 THEN s28 / m28 END AS rolling_cv_28d, CASE WHEN op > 0 AND p14 > 0 THEN ln(op / p14) END AS return_14d FROM labels_ l LEFT JOIN cvs USING (product_id, city_id, origin_date)),
+tr AS (SELECT * FROM feats WHERE split = 'train'),
+ov AS (SELECT avg(event_label::INT) AS overall, median(rolling_cv_28d) AS mc, median(return_14d) AS mr FROM tr),
+sd AS (SELECT stddev_pop(coalesce(rolling_cv_28d, mc)) AS sc, stddev_pop(coalesce(return_14d, mr)) AS sr FROM tr, ov),
+prv AS (SELECT product_id, avg(event_label::INT) AS prevalence FROM tr GROUP BY 1),
+based0 AS (SELECT f.*, coalesce(prevalence, overall) AS p, greatest(-5, least(5, (coalesce(rolling_cv_28d, mc) - mc) / CASE WHEN sc > 1e-12 THEN sc ELSE 1 END)) AS zc, greatest(-5, least(5, (coalesce(return_14d, mr) - mr) / CASE WHEN sr > 1e-12 THEN sr ELSE 1 END)) AS zr FROM feats f LEFT JOIN prv USING (product_id), ov, sd WHERE split <> 'train'),
+based1 AS (SELECT *, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) + 0.6 * zc + 0.4 * zr AS logit FROM based0),
+based AS (SELECT *, greatest(0.0001, least(0.9999, p)) AS train_product_prevalence, greatest(0.0001, least(0.9999, coalesce(series_rate_52w, p))) AS series_event_rate_52w, greatest(0.0001, least(0.9999, 1 / (1 + exp(-logit)))) AS volatility_momentum FROM based1)"""
+
+
+def _based(spark, sf_dir) -> DataFrame:
+    df = mart(spark, sf_dir)
+    return alerts.baselines(df.filter("split = 'train'"), df.filter("split <> 'train'"))
+
+
+@query(sql(_rec(BASE_SQL), f"SELECT {K}, {', '.join(alerts.BASELINES)} FROM based", "", " ".join(alerts.BASELINES)))
+def alert_baselines(spark, sf_dir):
+    """Three scores of validation and final rows, learned on train."""
+    return out(_based(spark, sf_dir).select(*K.split(", "), *alerts.BASELINES))
+
+
+_KEEP = ["split", "product_id", "city_id", "origin_date", "peak_return", "lead_days"]
+
+
+@layer
+def scored_alerts(spark, sf_dir) -> DataFrame:
+    """Validation and final rows with the scores of all baselines and candidates."""
+    based = _based(spark, sf_dir)
+    score, names = alerts.fit_logistic(mart(spark, sf_dir).filter("split = 'train'"), [*alerts.NUMERIC, *alerts.DERIVED], alerts.CATEGORIES)
+    return score(based).select(*_KEEP, "event_label", *(c for c in based.columns if c.startswith("raw_abs")), *alerts.BASELINES, *(F.col(c).alias(n.replace(".", "p").replace("-", "m")) for c, (n, _, _) in names.items()))
+
+
+def _candidates() -> dict[str, tuple[float, float]]:
+    return {f"logistic_r{r:g}_pw{w:g}".replace(".", "p").replace("-", "m"): (r, w) for r in alerts.RIDGES for w in alerts.WEIGHTS}
+
+
+def _bundle(spark, sf_dir, scores: list[str], split: str) -> DataFrame:
+    df = scored_alerts(spark, sf_dir).filter(F.col("split") == split)
+    return alerts.score_bundle(alerts.by_source(df, {c: c for c in scores}, _KEEP), ["score_source"])
+
+
+@layer
+def ranked_candidates(spark, sf_dir) -> DataFrame:
+    bundle = _bundle(spark, sf_dir, list(_candidates()), "validation")
+    grid = spark.createDataFrame([(n, r, w) for n, (r, w) in _candidates().items()], "score_source string, ridge double, weight double")
+    return alerts.rank_candidates(bundle.join(grid, "score_source"))
+
+
+def _frozen(spark, sf_dir) -> tuple[str, float, str]:
+    """The selected candidate, its threshold on validation, and the best baseline there: one row each."""
+    best = alerts.rank_candidates(ranked_candidates(spark, sf_dir)).first()
+    base = _bundle(spark, sf_dir, list(alerts.BASELINES), "validation").orderBy(F.desc("average_precision"), "score_source").first()
+    return best.score_source, best.threshold, base.score_source
+
+
+@query()
+def alert_logistic(spark, sf_dir):
+    """All ridge and weight candidates on validation, best first."""
+    return out(ranked_candidates(spark, sf_dir))
+
+
 @query()
 def alert_release(spark, sf_dir):
-    """Score bundle and gate of the series rate on the final split."""
-    df = _scored(spark, sf_dir)
-    bundle = alerts.score_bundle(df.filter("split = 'final_test'"), ["split"])
-    return out(alerts.release_gate(bundle, F.lit(0.05)))
+    """The selected candidate on the final split at its frozen threshold, gated against the best baseline."""
+    model, threshold, base = _frozen(spark, sf_dir)
+    final = alerts.by_source(scored_alerts(spark, sf_dir).filter("split = 'final_test'"), {model: model}, _KEEP)
+    got = alerts.slices(final, F.lit(threshold), ["score_source"])
+    best = _bundle(spark, sf_dir, [base], "final_test").select(F.col("average_precision").alias("baseline_precision"))
+    return out(alerts.release_gate(got.crossJoin(best), F.col("baseline_precision")).withColumn("threshold", F.lit(threshold)))
+
+
+def _final(spark, sf_dir) -> tuple[DataFrame, float]:
+    model, threshold, _ = _frozen(spark, sf_dir)
+    df = scored_alerts(spark, sf_dir).filter("split = 'final_test'")
+    return df.withColumns({"label": F.col("event_label").cast("int"), "score": F.col(model)}), threshold
 
 
 @query()
-def alert_logistic(spark, sf_dir):
-    """Weighted ridge logistic regression on features known at the origin: average precision by split."""
-    df = labels(spark, sf_dir)
-    got = temporal.recent_features(weekly_spine(spark, sf_dir), series(spark, sf_dir)).drop("origin_price", "origin_fill_days")
-    df = alerts.regional_features(df.join(got, [*alerts.KEYS, "origin_date"])).withColumn("origin_month", F.month("origin_date"))
-    names = [*(f"return_{k}d" for k in temporal.LAGS), "regional_return_7d", "regional_return_14d", "regional_cv_28d", "city_minus_regional", "series_rate_52w", "product_rate_52w"]
-    score = alerts.fit_logistic(df.filter("split = 'train'"), names, ["product_id", "origin_month"], 1e-4, 1.0)
-    scored = score(df.filter("split <> 'train'")).withColumn("label", F.col("event_label").cast("int"))
-    return out(metrics.average_precision(metrics.pr_curve(scored.select("split", "label", "score"), ["split"]), ["split"]))
+def alert_slices(spark, sf_dir):
+    """The final split by product, by month and by label definition, at the frozen threshold."""
+    df, threshold = _final(spark, sf_dir)
+    month = F.date_format("origin_date", "yyyy-MM")
+    raws = [c for c in df.columns if c.startswith("raw_abs")]
+    each = F.array(F.struct(F.lit("product").alias("kind"), F.col("product_id").alias("slice"), F.col("label").alias("l")), F.struct(F.lit("month").alias("kind"), month.alias("slice"), F.col("label").alias("l")), *(F.struct(F.lit("label").alias("kind"), F.lit(c).alias("slice"), F.col(c).cast("int").alias("l")) for c in raws))
+    long = df.select("score", F.explode(each).alias("x")).select("x.kind", "x.slice", F.col("x.l").alias("label"), "score")
+    return out(alerts.slices(long, F.lit(threshold), ["kind", "slice"]))
+
+
+@query()
+def alert_replay(spark, sf_dir):
+    """All final rows with outcome, place among the origin's risks, and impacted cities."""
+    df, threshold = _final(spark, sf_dir)
+    return out(alerts.event_scope(alerts.replay(df, F.lit(threshold)), "raw_abs20_q90").select(*_KEEP, "score", "label", "outcome", "risk_place", "impacted_cities", "event_point", "regional_share", "scope"))
+
+
+@query()
+def alert_cases(spark, sf_dir):
+    df, threshold = _final(spark, sf_dir)
+    return out(alerts.top_cases(alerts.replay(df, F.lit(threshold))).select(*_KEEP, "score", "outcome", "case"))
+
+
+@query()
+def alert_curves(spark, sf_dir):
+    """Curves of the selected candidate and all baselines on the final split, at most 160 points each."""
+    model, _, _ = _frozen(spark, sf_dir)
+    long = alerts.by_source(scored_alerts(spark, sf_dir).filter("split = 'final_test'"), {c: c for c in (model, *alerts.BASELINES)}, ["split"])
+    return out(alerts.sample_curve(metrics.pr_curve(long, ["score_source"]), ["score_source"]).select("score_source", "place", "threshold", "precision", "recall", "fpr"))
+
+
+@query()
+def alert_export(spark, sf_dir):
+    """One JSON document for each product and city: its records in order, with the page's default case marked."""
+    df, threshold = _final(spark, sf_dir)
+    played = alerts.replay(df, F.lit(threshold))
+    first = alerts.default_case(played).select(*alerts.KEYS, "origin_date", F.lit(True).alias("is_default"))
+    df = played.join(first, [*alerts.KEYS, "origin_date"], "left").withColumn("is_default", F.coalesce("is_default", F.lit(False)))
+    return sinks.product_json(df, ["product_id", "city_id"], ["score", "outcome", "peak_return", "lead_days", "is_default"], ["origin_date"], {"rows": F.count("*")})

@@ -39,20 +39,31 @@ _own_dirs: dict[str, str] = {}
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    app = spark.sparkContext.applicationId
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(app)
-    return found or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="mandi-"))
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a single machine, else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/mandi-tables"
+    return _own_dirs.setdefault(context.applicationId, _own_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="mandi-"))
+
+
+def _listing(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of what a folder holds: a layer of other files is another layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def layer(f):
-    """Write a measured layer once per application and table folder; the queries above read it.
+    """Write a measured layer once per application, table folder and state of its files; the queries above read it.
 
     Plans stay small, and a lost executor costs nothing that is below the layer.
     """
     @wraps(f)
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (f.__name__, sf_dir, spark.sparkContext.applicationId)
+        key = (f.__module__, f.__name__, sf_dir, _listing(spark, sf_dir), spark.sparkContext.applicationId)
         if key not in _layers:
             df = f(spark, sf_dir)
             path = f"{_shared_dir(spark)}/mandi-{f.__name__}-{uuid.uuid4().hex}"

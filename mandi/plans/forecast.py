@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import split_of
 from mandi.operators import contracts, forecast, metrics, monitor
-from mandi.sources import given
+from mandi.sources import given, sinks
 
-from .common import out, sql
+from .common import layer, out, sql
 from .temporal import MART_SQL, SERIES_SQL, SPINE_SQL, mart, series, spine
 
 Q, SQL = {}, {}
@@ -167,21 +167,76 @@ def evidence_envelope(spark, sf_dir):
     return out(monitor.evidence_envelope(m, "as_of", "release_status", "reason", ["product_id", "horizon"]))
 
 
+@layer
+def scored(spark, sf_dir) -> DataFrame:
+    """Validation and final rows with the prices of all candidates, learned on train."""
+    m = mart(spark, sf_dir)
+    got, names = forecast.score(m.filter("split <> 'train'"), forecast.fit_candidates(m.filter("split = 'train'")))
+    return got.select(*(F.col(c).alias(n.replace(".", "p")) for n, c in names.items()), *(c for c in got.columns if c not in names.values()))
+
+
+def _names(df: DataFrame) -> dict[str, str]:
+    return {c: c for c in df.columns if c.startswith(("ridge_", "hurdle_", "trend_", "weekly_0", "seasonal_0"))}
+
+
+@layer
+def selected(spark, sf_dir) -> DataFrame:
+    """Rows with the selected candidate as ``model`` and the group's best baseline on validation as ``baseline``."""
+    df = scored(spark, sf_dir)
+    best = forecast.select_candidate(df.filter("split = 'validation'"), _names(df)).first().method
+    base = F.coalesce  # a baseline without a value falls back to the last price
+    df = df.select(*forecast.KEYS, "split", F.col("target_price").alias("actual"), F.col("origin_price").alias("last_valid"), base("weekly_median", "origin_price").alias("weekly_pattern"), base("seasonal_median", "origin_price").alias("historical_seasonal"), F.col(best).alias("model"))
+    scores = metrics.scorecard(metrics.long_predictions(df.filter("split = 'validation'"), {n: n for n in forecast.BASELINES}, ["product_id", "horizon", "actual"]), [["product_id", "horizon"]])
+    chosen = metrics.best_method(scores, ["product_id", "horizon"], list(forecast.BASELINES))
+    df = df.join(chosen.select("product_id", "horizon", "best_method"), ["product_id", "horizon"], "left")
+    return df.withColumn("baseline", F.coalesce(forecast.pick(F.col("best_method"), {n: n for n in forecast.BASELINES}), "last_valid"))
+
+
+def _routed(spark, sf_dir) -> DataFrame:
+    """selected() with the routed point: the model where it is better on validation, else the best baseline."""
+    df = selected(spark, sf_dir)
+    routes = forecast.routes(df.filter("split = 'validation'"), "model", "baseline").select("product_id", "horizon", "route")
+    df = df.join(routes, ["product_id", "horizon"], "left")
+    return df.withColumn("routed", F.when(F.col("route") == "model", F.col("model")).otherwise(F.col("baseline")))
+
+
+def _routed_intervals(spark, sf_dir) -> DataFrame:
+    """Final rows with conformal intervals around the routed point, of validation residuals at the chosen width."""
+    df = _routed(spark, sf_dir)
+    res = lambda x: x.select("product_id", "horizon", F.abs(F.ln(F.col("actual") / F.col("routed"))).alias("residual"))
+    q = forecast.conformal_quantiles(res(df.filter("split = 'validation'")), QUANTILE_LEVELS)
+    attached = lambda s: forecast.attach_quantile(df.filter(F.col("split") == s), q, QUANTILE_LEVELS, at_least=10)
+    scale = forecast.choose_scale(attached("validation"), "routed", [0.6, 0.8, 1.0, 1.2]).first().scale
+    return forecast.intervals(attached("final_test"), "routed", scale)
+
+
 @query()
 def point_candidates(spark, sf_dir):
     """Ridge, hurdle and heuristic candidates, trained on train, ranked on validation."""
-    m = mart(spark, sf_dir)
-    frozen = forecast.fit_candidates(m.filter("split = 'train'"))
-    scored, names = forecast.score(m.filter("split = 'validation'"), frozen)
-    return out(forecast.select_candidate(scored, names))
+    df = scored(spark, sf_dir)
+    return out(forecast.select_candidate(df.filter("split = 'validation'"), _names(df)))
 
 
 @query()
 def model_routes(spark, sf_dir):
-    """The selected model scored on the final split, against the last value, with its routes."""
-    m = mart(spark, sf_dir)
-    frozen = forecast.fit_candidates(m.filter("split = 'train'"), alphas=(10.0,), shrinks=(0.75,))
-    scored, names = forecast.score(m.filter("split IN ('validation', 'final_test')"), frozen)
-    best = forecast.select_candidate(scored.filter("split = 'validation'"), names).first().method
-    df = scored.select(*forecast.KEYS, "split", F.col("target_price").alias("actual"), F.col("origin_price").alias("last_valid"), F.col(names[best]).alias("model"))
-    return out(forecast.routes(df.filter("split = 'final_test'"), "model", "last_valid"))
+    """The selected candidate on the final split, against each group's best baseline, with its routes."""
+    return out(forecast.routes(selected(spark, sf_dir).filter("split = 'final_test'"), "model", "baseline"))
+
+
+@query()
+def model_intervals(spark, sf_dir):
+    """Interval scores of the routed point on the final split."""
+    return out(_routed_intervals(spark, sf_dir).groupBy("horizon").agg(*metrics.interval_aggregates()), 4)
+
+
+@query()
+def model_release(spark, sf_dir):
+    """Release status of each product and horizon for the selected candidate's route."""
+    return out(forecast.release_matrix(_routed_intervals(spark, sf_dir), "routed", "baseline"), 4)
+
+
+@query()
+def forecast_export(spark, sf_dir):
+    """One JSON document for each product and city: routed points and intervals of the final split in order."""
+    df = _routed_intervals(spark, sf_dir)
+    return sinks.product_json(df, ["product_id", "city_id"], ["actual", "routed", "p10", "p90", "route"], ["origin_date", "horizon"], {"latest_origin": F.max("origin_date"), "horizons": F.count_distinct("horizon")})

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import haversine
-from mandi.operators import landed
-from mandi.sources import given
+from mandi.operators import forecast, landed
+from mandi.sources import given, sinks
 
-from .common import DAYS_SQL, city_days, out, sql
+from . import forecast as forecasts
+from .common import DAYS_SQL, FLAGS_SQL, city_days, layer, out, sql
 
 Q, SQL = {}, {}
 
@@ -26,7 +27,7 @@ def query(oracle: str | None = None):
 
 AT = "2001-06-30"
 SCENARIO = landed.Scenario(max_distance_km=6000.0, transport_cost=0.05, quantity_kg=100.0)
-_HAV = "2 * 6371.0088::DOUBLE * asin(least(1, sqrt(pow(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin((radians(b.longitude) - radians(a.longitude)) / 2), 2))))"
+_HAV = "CASE WHEN a.longitude + a.latitude + b.longitude + b.latitude IS NOT NULL THEN 2 * 6371.0088::DOUBLE * asin(least(1, sqrt(pow(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin((radians(b.longitude) - radians(a.longitude)) / 2), 2)))) END"
 GEO_SQL = "geo AS (SELECT n_nationkey AS city_id, (70 + n_nationkey * 37 % 70)::DOUBLE AS longitude, (10 + n_nationkey * 23 % 50)::DOUBLE AS latitude FROM nation)"
 
 
@@ -49,23 +50,54 @@ def geo_audit(spark, sf_dir):
     return out(landed.geo_audit(m.join(anchor, "city_id", "left")).select("market_id", "distance_km", "status"))
 
 
+HORIZONS, CALIBRATED = [7, 14, 28], 10
+
+
+def calibration(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Usual relative error of each group's route before the scenario, and the routes (the forecasts' validation verdict)."""
+    df = forecasts.frame(spark, sf_dir)
+    routes = forecast.routes(df.filter("split = 'validation'"), "model", "last_valid")
+    point = F.when(F.col("route") == "model", F.col("model")).otherwise(F.col("last_valid"))
+    res = df.join(routes.select("product_id", "horizon", "route"), ["product_id", "horizon"]).select("product_id", "horizon", "route", F.date_add("origin_date", F.col("horizon")).alias("target_date"), F.abs(F.ln(F.col("actual") / point)).alias("residual"))
+    return landed.risk_calibration(res, AT, CALIBRATED), routes
+
+
+CAL_SQL = forecasts.ROUTES_SQL + f""",
+route_ AS (SELECT product_id, horizon, CASE WHEN improvement > 0 AND improved_share > 0.5 THEN 'model' ELSE 'baseline' END AS route FROM imp WHERE split = 'validation'),
+cal AS (SELECT product_id, horizon, route, count(*) AS rows, quantile_cont(residual, 0.8) AS q80_error, median(residual) AS median_error, min(target_date) AS first_target, max(target_date) AS last_target FROM
+  (SELECT product_id, horizon, route, (origin_date + horizon)::DATE AS target_date, abs(ln(actual / CASE WHEN route = 'model' THEN model ELSE last_valid END)) AS residual FROM frame JOIN route_ USING (product_id, horizon)) WHERE target_date < DATE '{AT}' GROUP BY 1, 2, 3 HAVING count(*) >= {CALIBRATED})"""
+
+
+@query(sql(CAL_SQL, "SELECT * FROM cal", "horizon", "q80_error median_error"))
+def risk_calibration(spark, sf_dir):
+    return out(calibration(spark, sf_dir)[0])
+
+
+@layer
 def snapshot(spark, sf_dir) -> DataFrame:
-    """Latest price of each product and city by the scenario date, with reliability and uncertainty."""
+    """Latest price of each product and city by the scenario date, per horizon, with reliability and uncertainty."""
     days = city_days(spark, sf_dir).filter(F.col("date") <= F.lit(AT).cast("date"))
     latest = days.groupBy("product_id", "city_id").agg(F.max_by("price", "date").alias("point"), F.max("date").alias("last_day"))
     # the origin's price is a fortnight old for some cities: their reliability is the trailing median
-    latest = latest.withColumn("origin_price_date", F.when(F.col("city_id") % 4 == 0, F.date_sub("last_day", 400)).otherwise(F.col("last_day"))).withColumn("horizon", F.lit(7))
-    got = landed.attach_reliability(latest, days, AT).filter("reliability IS NOT NULL")
-    return got.withColumn("uncertainty", landed.base_uncertainty(F.col("point"), F.lit(None).cast("double"), F.lit(0.2))).join(F.broadcast(geo(spark, sf_dir)), "city_id").select("product_id", "city_id", "horizon", "point", "reliability", "reliability_source", "uncertainty", "longitude", "latitude")
+    latest = latest.withColumn("origin_price_date", F.when(F.col("city_id") % 4 == 0, F.date_sub("last_day", 400)).otherwise(F.col("last_day")))
+    got = landed.attach_reliability(latest, days, AT).filter("reliability IS NOT NULL").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
+    got = landed.price_labels(landed.attach_calibration(got, *calibration(spark, sf_dir)))
+    got = got.withColumn("uncertainty", landed.base_uncertainty(F.col("point"), F.lit(None).cast("double"), F.col("q80_error"))).join(geo(spark, sf_dir), "city_id")
+    return got.select("product_id", "city_id", "horizon", "point", "reliability", "reliability_source", "route", "risk_basis", "price_label", "interval_status", "uncertainty", "longitude", "latitude")
 
 
-SNAP_SQL = DAYS_SQL + f""", {GEO_SQL},
+_CITY_DAYS = DAYS_SQL[len(FLAGS_SQL):]
+for _a, _b in (("market_day", "nation_market_day"), ("ranked_day", "nation_ranked_day"), ("day0", "nation_day0"), ("day1", "nation_day1")):
+    _CITY_DAYS = _CITY_DAYS.replace(_a, _b)
+SNAP_SQL = CAL_SQL + _CITY_DAYS + f""", {GEO_SQL},
 near AS (SELECT * FROM city_day WHERE date BETWEEN DATE '{AT}' - 28 AND DATE '{AT}'),
 latest AS (SELECT product_id, city_id, arg_max(price, date) AS point, max(date) AS last_day FROM city_day WHERE date <= DATE '{AT}' GROUP BY 1, 2),
-snap0 AS (SELECT l.product_id, l.city_id, 7 AS horizon, point, coalesce(e.reliability, t.r) AS reliability, CASE WHEN e.reliability IS NOT NULL THEN 'origin_price_date_exact' ELSE 'trailing_28d_median' END AS reliability_source
+snap0 AS (SELECT l.product_id, l.city_id, point, coalesce(e.reliability, t.r) AS reliability, CASE WHEN e.reliability IS NOT NULL THEN 'origin_price_date_exact' ELSE 'trailing_28d_median' END AS reliability_source
   FROM latest l LEFT JOIN near e ON e.product_id = l.product_id AND e.city_id = l.city_id AND e.date = CASE WHEN l.city_id % 4 = 0 THEN last_day - 400 ELSE last_day END
   LEFT JOIN (SELECT product_id, city_id, median(reliability) AS r FROM near GROUP BY 1, 2) t ON t.product_id = l.product_id AND t.city_id = l.city_id),
-snap AS (SELECT s.*, point * (exp(0.2::DOUBLE) - 1) AS uncertainty, longitude, latitude FROM snap0 s JOIN geo USING (city_id) WHERE reliability IS NOT NULL)"""
+snap1 AS (SELECT s.*, h.horizon, coalesce(r.route, 'baseline') AS route, CASE WHEN c.q80_error IS NOT NULL THEN 'route_q80_error' ELSE 'widest_q80_error' END AS risk_basis, coalesce(c.q80_error, w.q) AS q80
+  FROM snap0 s, (VALUES (7), (14), (28)) h(horizon) LEFT JOIN route_ r ON r.product_id = s.product_id AND r.horizon = h.horizon LEFT JOIN cal c ON c.product_id = s.product_id AND c.horizon = h.horizon AND c.route = coalesce(r.route, 'baseline') LEFT JOIN (SELECT horizon, max(q80_error) AS q FROM cal GROUP BY 1) w ON w.horizon = h.horizon WHERE reliability IS NOT NULL),
+snap AS (SELECT product_id, s.city_id, horizon, point, reliability, reliability_source, route, risk_basis, CASE WHEN route = 'baseline' THEN 'last price carried forward, not a model' ELSE 'model point without interval' END AS price_label, CASE WHEN route = 'baseline' THEN 'not_applicable_baseline' ELSE 'not_released' END AS interval_status, point * (exp(q80) - 1) AS uncertainty, longitude, latitude FROM snap1 s JOIN geo USING (city_id))"""
 
 
 @query(sql(SNAP_SQL, "SELECT * FROM snap", "city_id horizon", "point reliability uncertainty longitude latitude"))
@@ -74,21 +106,21 @@ def scenario_snapshot(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Every source of every target: a product's cities are a small dimension."""
+    """Every source of every target of a product: the product's own cities, one key of bounded size each."""
     s = snapshot(spark, sf_dir)
-    targets = F.broadcast(geo(spark, sf_dir).select(F.col("city_id").alias("target_city"), F.col("longitude").alias("target_longitude"), F.col("latitude").alias("target_latitude")).filter("target_city % 5 = 0"))
-    return s.crossJoin(targets)
+    targets = s.select("product_id", "horizon", F.col("city_id").alias("target_city"), F.col("longitude").alias("target_longitude"), F.col("latitude").alias("target_latitude"))
+    return s.join(targets, ["product_id", "horizon"])
 
 
 def _costs_sql(parameters: str = "0.05::DOUBLE AS transport_cost, 0.08::DOUBLE AS loss_rate, 0.5::DOUBLE AS risk_aversion", name: str = "cost", source: str = "") -> str:
-    return f"""{name}0 AS (SELECT a.*, b.city_id AS target_city, {_HAV} AS distance_km, {parameters} FROM snap a, (SELECT * FROM geo WHERE city_id % 5 = 0) b{source}),
+    return f"""{name}0 AS (SELECT a.*, b.city_id AS target_city, {_HAV} AS distance_km, {parameters} FROM snap a JOIN snap b ON a.product_id = b.product_id AND a.horizon = b.horizon{source}),
 {name}1 AS (SELECT *, distance_km * 1.25 * transport_cost AS transport, greatest(1, least(1.5, 1 + (1 - reliability))) AS multiplier FROM {name}0),
 {name} AS (SELECT *, risk_aversion * uncertainty * multiplier AS risk_penalty, point + transport + risk_aversion * uncertainty * multiplier AS before_loss, (point + transport + risk_aversion * uncertainty * multiplier) / (1 - loss_rate) AS unit_cost FROM {name}1)"""
 
 
-@query(sql(SNAP_SQL + ",\n" + _costs_sql(), "SELECT product_id, city_id, target_city, distance_km, transport, multiplier, risk_penalty, before_loss, unit_cost, unit_cost - before_loss AS loss_cost, unit_cost * 100 AS total_cost FROM cost", "city_id target_city", "distance_km transport multiplier risk_penalty before_loss unit_cost loss_cost total_cost"))
+@query(sql(SNAP_SQL + ",\n" + _costs_sql(), "SELECT product_id, city_id, horizon, target_city, distance_km, transport, multiplier, risk_penalty, before_loss, unit_cost, unit_cost - before_loss AS loss_cost, unit_cost * 100 AS total_cost FROM cost", "city_id horizon target_city", "distance_km transport multiplier risk_penalty before_loss unit_cost loss_cost total_cost"))
 def landed_cost(spark, sf_dir):
-    return out(landed.costs(_pairs(spark, sf_dir), SCENARIO).select("product_id", "city_id", "target_city", "distance_km", "transport", "multiplier", "risk_penalty", "before_loss", "unit_cost", "loss_cost", "total_cost"))
+    return out(landed.costs(_pairs(spark, sf_dir), SCENARIO).select("product_id", "city_id", "horizon", "target_city", "distance_km", "transport", "multiplier", "risk_penalty", "before_loss", "unit_cost", "loss_cost", "total_cost"))
 
 
 RANK_SQL = """ranked_cost AS (SELECT *, local_cost - unit_cost AS saving, (local_cost - unit_cost) / local_cost AS saving_rate FROM (SELECT *, row_number() OVER (PARTITION BY product_id, horizon, target_city ORDER BY unit_cost, reliability DESC, city_id) AS rank FROM (SELECT *, max(unit_cost) FILTER (city_id = target_city) OVER (PARTITION BY product_id, horizon, target_city) AS local_cost FROM cost WHERE reliability >= 0.65) WHERE city_id <> target_city AND distance_km <= 6000) WHERE rank <= 3)"""
@@ -123,3 +155,43 @@ gs AS (SELECT product_id, horizon, target_city, city_id, count(DISTINCT combinat
 def sensitivity(spark, sf_dir):
     default = landed.rank_sources(landed.costs(_pairs(spark, sf_dir), SCENARIO), SCENARIO)
     return out(landed.sensitivity_summary(_sensitivity(spark, sf_dir), 36, default))
+
+
+AUDIT_SQL = ", anchor AS (SELECT city_id, avg(longitude) AS longitude, avg(latitude) + 0.4 AS latitude FROM mapping WHERE city_id % 3 <> 0 GROUP BY 1)"
+
+
+@query(sql(given.QUOTES_SQL + AUDIT_SQL, f"SELECT a.market_id, {_HAV} AS distance_km FROM mapping a JOIN anchor b USING (city_id) ORDER BY distance_km DESC, market_id LIMIT 15", "", "distance_km"))
+def top_deviations(spark, sf_dir):
+    m = given.mapping(spark, sf_dir)
+    anchor = m.filter("city_id % 3 <> 0").groupBy("city_id").agg(F.avg("longitude").alias("anchor_longitude"), (F.avg("latitude") + 0.4).alias("anchor_latitude"))
+    return out(landed.top_deviations(landed.geo_audit(m.join(anchor, "city_id", "left"))).select("market_id", "distance_km"))
+
+
+@query(sql(GEO_SQL, "SELECT n_nationkey AS city_id, n_name AS city, r_name AS province, CASE WHEN n_nationkey = 7 THEN 1.5 WHEN r_name <> 'ASIA' THEN longitude END AS longitude, CASE WHEN n_nationkey = 7 THEN 2.5 WHEN r_name <> 'ASIA' THEN latitude END AS latitude, CASE WHEN n_nationkey = 7 THEN 'override' WHEN r_name <> 'ASIA' THEN 'city_centre' ELSE 'unresolved' END AS method, CASE WHEN n_nationkey = 7 THEN 'market place' END AS rule, 'v1' AS geo_version FROM nation JOIN region ON n_regionkey = r_regionkey JOIN geo ON geo.city_id = n_nationkey", "city_id", "longitude latitude"))
+def city_geo(spark, sf_dir):
+    """Places by name and province; one city by an override row, a province's cities unresolved."""
+    m = given.table(spark, sf_dir, "nation").join(given.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cities = m.select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city"), F.col("r_name").alias("province"))
+    known = cities.join(geo(spark, sf_dir), "city_id").filter("province <> 'ASIA'")
+    override = cities.filter("city_id = 7").select("city_id", F.lit(1.5).alias("longitude"), F.lit(2.5).alias("latitude"), F.lit("market place").alias("rule"))
+    return out(landed.city_geo(cities, known, override))
+
+
+@query(sql(SNAP_SQL, "SELECT product_id, count(DISTINCT city_id) AS cities, count(*) FILTER (NOT point > 0) AS not_positive, 0 AS without_place, any_value(h) AS horizons, min(n) AS least_cities, max(n) AS most_cities, any_value(h) = 3 AND count(*) FILTER (NOT point > 0) = 0 AS feasible FROM (SELECT *, count(DISTINCT city_id) OVER (PARTITION BY product_id, horizon) AS n, count(DISTINCT horizon) OVER (PARTITION BY product_id) AS h FROM snap) GROUP BY 1", "without_place"))
+def scenario_feasibility(spark, sf_dir):
+    return out(landed.feasibility(snapshot(spark, sf_dir), geo(spark, sf_dir), HORIZONS))
+
+
+@query()
+def scenario_export(spark, sf_dir):
+    """One JSON document for each product and target city: its ranked sources at each horizon."""
+    ranked = landed.rank_sources(landed.costs(_pairs(spark, sf_dir), SCENARIO), SCENARIO)
+    return sinks.product_json(ranked, ["product_id", "target_city"], ["city_id", "unit_cost", "local_cost", "saving", "distance_km", "price_label"], ["horizon", "rank"], {"sources": F.count("*")})
+
+
+@query(sql(forecasts.RELEASE_SQL, "SELECT product_id, horizon, release_status, improvement, CASE WHEN release_status = 'baseline_fallback' THEN 'baseline' ELSE 'model' END AS route FROM matrix", "horizon", "improvement", 4))
+def release_routes(spark, sf_dir):
+    """The release matrix as nested documents, one for each product, and flat again."""
+    matrix = forecast.release_matrix(forecasts._with_intervals(spark, sf_dir), "model", "last_valid")
+    nested = matrix.groupBy("product_id").agg(F.to_json(F.struct(F.collect_list(F.struct("product_id", "horizon", "release_status", "improvement")).alias("groups"))).alias("value"))
+    return out(landed.flatten_release(nested), 4)

@@ -28,12 +28,23 @@ def query(oracle: str | None = None):
 ANCHOR, BIN = "1995-01-02", 3
 
 
+WEEK = 7
+
+
+def _panel(spark, sf_dir, size: int, season) -> DataFrame:
+    days = city_days(spark, sf_dir).filter("quality <> 'poor'").withColumn("city_id", F.lpad(F.col("city_id").cast("string"), 2, "0"))
+    bins = shocks.binned_panel(days, ANCHOR, size, 1).withColumn("split", split_of(F.col("bin_start"), given.SPLITS))
+    return shocks.shock_flags(shocks.loo_median(shocks.seasonal_adjust(bins, season), at_least=3))
+
+
 @layer
 def panel(spark, sf_dir) -> DataFrame:
-    days = city_days(spark, sf_dir).filter("quality <> 'poor'").withColumn("city_id", F.lpad(F.col("city_id").cast("string"), 2, "0"))
-    bins = shocks.binned_panel(days, ANCHOR, BIN, 1).withColumn("split", split_of(F.col("bin_start"), given.SPLITS))
-    adjusted = shocks.seasonal_adjust(bins, F.floor((F.dayofyear("bin_start") - 1) / 30))
-    return shocks.shock_flags(shocks.loo_median(adjusted, at_least=3))
+    return _panel(spark, sf_dir, BIN, F.floor((F.dayofyear("bin_start") - 1) / 30))
+
+
+@layer
+def week_panel(spark, sf_dir) -> DataFrame:
+    return _panel(spark, sf_dir, WEEK, F.weekofyear("bin_start").cast("long"))
 
 
 PANEL_SQL = DAYS_SQL + """,
@@ -54,6 +65,22 @@ def propagation_panel(spark, sf_dir):
     return out(panel(spark, sf_dir))
 
 
+def _weekly(text: str) -> str:
+    """The panel's SQL for bins of a week and seasons by week of year."""
+    for a, b in (("// 3 * 3", "// 7 * 7"), ("OVER w = 3 THEN", "OVER w = 7 THEN"), ("(dayofyear(bin_start) - 1) // 30 AS season", "weekofyear(bin_start) AS season")):
+        assert a in text
+        text = text.replace(a, b)
+    return text
+
+
+WEEK_SQL = _weekly(PANEL_SQL)
+
+
+@query(sql(WEEK_SQL, "SELECT product_id, city_id, bin_start, price, observed_days, mean_reliability, log_return, season, split, seasonal_return, adjusted_return, peers, common_factor, residual, shock_threshold, positive_shock FROM panel", "", "price mean_reliability log_return seasonal_return adjusted_return common_factor residual shock_threshold"))
+def weekly_panel(spark, sf_dir):
+    return out(week_panel(spark, sf_dir))
+
+
 @query(sql(PANEL_SQL + ", t AS (SELECT product_id, bin_start, split, median(common_factor) AS common_factor, median(adjusted_return) AS median_return, count(*) FILTER (positive_shock) AS exposed, count(*) AS observed FROM panel GROUP BY 1, 2, 3)", "SELECT t.*, shock_limit, coalesce(common_factor > shock_limit, false) AS common_shock FROM t LEFT JOIN (SELECT product_id, quantile_cont(common_factor, 0.95) AS shock_limit FROM t WHERE split = 'train' GROUP BY 1) USING (product_id)", "", "common_factor median_return shock_limit"))
 def shock_timeline(spark, sf_dir):
     return out(shocks.shock_timeline(panel(spark, sf_dir)).withColumnRenamed("limit", "shock_limit"))
@@ -72,15 +99,18 @@ def city_exposure(spark, sf_dir):
     return out(shocks.city_exposure(panel(spark, sf_dir), windows).drop("exposure_score", "exposure_rank"))
 
 
-@query()
-def exposure_rank(spark, sf_dir):
-    return out(shocks.city_exposure(panel(spark, sf_dir), {"full": ["train", "validation", "final_test"]}))
+_WEEKS = "weeks AS (SELECT product_id, lpad(city_id::VARCHAR, 2, '0') AS city_id, count(DISTINCT (date - DATE '1995-01-02') // 7) AS n FROM city_day WHERE quality <> 'poor' AND year(DATE '1995-01-02' + ((date - DATE '1995-01-02') // 7 * 7)::INT) < 2000 GROUP BY 1, 2)"
+ELIGIBLE_SQL = PANEL_SQL + ", " + _WEEKS + """,
+eligible AS (SELECT product_id, city_id, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'final_test') AS final_test FROM panel SEMI JOIN (SELECT product_id, city_id FROM weeks WHERE n >= 40) USING (product_id, city_id) GROUP BY 1, 2 HAVING count(*) FILTER (split = 'train') >= 40 AND count(*) FILTER (split = 'validation') >= 5)"""
+
+
+def eligible(spark, sf_dir) -> DataFrame:
+    return shocks.eligible_series(panel(spark, sf_dir), week_panel(spark, sf_dir), {"train": 40, "validation": 5, "final_test": 0}, {"train": 40})
 
 
-@query(sql(PANEL_SQL, "SELECT product_id, city_id, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'final_test') AS final_test FROM panel GROUP BY 1, 2 HAVING count(*) FILTER (split = 'train') >= 40 AND count(*) FILTER (split = 'validation') >= 5"))
+@query(sql(ELIGIBLE_SQL, "SELECT * FROM eligible"))
 def eligible_series(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    return out(shocks.eligible_series(p, p, {"train": 40, "validation": 5, "final_test": 0}, {"train": 40}))
+    return out(eligible(spark, sf_dir))
 
 
 def edges(spark, sf_dir) -> DataFrame:
@@ -110,40 +140,126 @@ def benjamini_hochberg(spark, sf_dir):
     return out(metrics.benjamini_hochberg(p, ["product_id"], key=["city_id"]).select("product_id", "city_id", "q_value", "reject"))
 
 
-def _frame(spark, sf_dir) -> tuple[DataFrame, list[str], list[str]]:
-    lagged = temporal.exact_lags(panel(spark, sf_dir).filter("residual IS NOT NULL"), ["residual"], [1], BIN)
-    return shocks.edge_frame(lagged, edges(spark, sf_dir), ["residual_lag1"], ["residual_lag1"], "residual"), ["residual_lag1"], ["residual_lag1"]
+LAGS, WEEK_LAGS = [1, 2, 3, 4], [1, 2]
+FEW = {"least_fit": 20, "least_test": 5}  # the given tables are sparse
+_KEY = ["target_city_id", "source_city_id"]
+
+
+def _frame(spark, sf_dir, of=panel, lags: list[int] = LAGS, size: int = BIN) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows of all candidate edges, the target's own and factor lags, and the source's lags."""
+    lagged = temporal.exact_lags(of(spark, sf_dir), ["residual", "common_factor"], lags, size)
+    own, source = [f"{c}_lag{k}" for c in ("residual", "common_factor") for k in lags], [f"residual_lag{k}" for k in lags]
+    return shocks.edge_frame(lagged, edges(spark, sf_dir), own, source, "residual"), own, source
+
+
+@layer
+def tested_edges(spark, sf_dir) -> DataFrame:
+    frame, own, source = _frame(spark, sf_dir)
+    tested = shocks.edge_models(frame.filter("split <> 'final_test'"), own, source, "residual", **FEW, bin_days=BIN)
+    return shocks.validation_gate(metrics.benjamini_hochberg(tested, ["product_id"], key=_KEY))
+
+
+@layer
+def stable_edges(spark, sf_dir) -> DataFrame:
+    frame, own, source = _frame(spark, sf_dir)
+    chosen = tested_edges(spark, sf_dir).filter("source_sum > 0 AND rmse_gain > 0")
+    train = frame.filter("split = 'train'").join(chosen.select(*shocks.EDGE), shocks.EDGE, "left_semi")
+    weekly, own_w, source_w = _frame(spark, sf_dir, week_panel, WEEK_LAGS, WEEK)
+    weekly = shocks.edge_models(weekly.filter("split <> 'final_test'").join(chosen.select(*shocks.EDGE), shocks.EDGE, "left_semi"), own_w, source_w, "residual", **FEW, bin_days=WEEK)
+    return shocks.stability_gate(chosen, shocks.block_bootstrap(train, own, source, "residual"), weekly)
 
 
 @query()
 def edge_models(spark, sf_dir):
     """Joint F tests and test errors of all candidate edges, false discoveries held within a product."""
-    frame, own, source = _frame(spark, sf_dir)
-    tested = shocks.edge_models(frame, own, source, "residual", least_fit=20, least_test=5)
-    return out(shocks.validation_gate(metrics.benjamini_hochberg(tested, ["product_id"], key=["target_city_id", "source_city_id"])))
+    return out(tested_edges(spark, sf_dir))
+
+
+@query()
+def edge_funnel(spark, sf_dir):
+    return out(shocks.funnel(tested_edges(spark, sf_dir)))
 
 
 @query()
 def edge_bootstrap(spark, sf_dir):
+    """Bootstrap, halves and weekly diagnostic of edges that lower the error; in tables this sparse few are validated."""
+    return out(stable_edges(spark, sf_dir))
+
+
+@layer
+def final_edges(spark, sf_dir) -> DataFrame:
     frame, own, source = _frame(spark, sf_dir)
-    return out(shocks.block_bootstrap(frame.filter("split = 'train'"), own, source, "residual", draws=50))
+    stable = stable_edges(spark, sf_dir)
+    frame = frame.join(stable.filter("stable").select(*shocks.EDGE), shocks.EDGE, "left_semi")
+    return shocks.frozen_edges_final(stable, shocks.edge_models(frame, own, source, "residual", ("train", "validation"), "final_test", **FEW, bin_days=BIN))
 
 
 @query()
-def series_ols(spark, sf_dir):
-    lagged = temporal.exact_lags(panel(spark, sf_dir), ["residual", "common_factor"], [1], BIN)
-    return out(shocks.series_ols(lagged, ["residual_lag1", "common_factor_lag1"], "residual", 20, 5))
+def frozen_edges(spark, sf_dir):
+    """Stable edges, refitted on train and validation, on the final split."""
+    return out(final_edges(spark, sf_dir))
 
 
 @query()
-def correlation_network(spark, sf_dir):
+def network_release(spark, sf_dir):
+    return out(shocks.release_decision(final_edges(spark, sf_dir), network_tests(spark, sf_dir)))
+
+
+FEASIBLE_SQL = EDGES_SQL.replace("WITH ", "") + """,
+chosen AS (SELECT * FROM edges WHERE candidate_rank <= least(8, floor(others * 0.35))),
+""" + ELIGIBLE_SQL[len(PANEL_SQL) + 2:] + """,
+feasible1 AS (SELECT product_id, count(*) AS eligible_cities FROM eligible GROUP BY 1),
+feasible2 AS (SELECT product_id, count(*) AS candidate_edges, median(distance_km) AS median_distance_km, avg(same_province::INT) AS same_province_share FROM chosen GROUP BY 1),
+feasible3 AS (SELECT product_id, min(n) AS least_sources, max(n) AS most_sources FROM (SELECT product_id, target_city_id, count(*) AS n FROM chosen GROUP BY 1, 2) GROUP BY 1),
+feasible4 AS (SELECT product_id, count(*) FILTER (split = 'train') AS shocks_train, count(*) FILTER (split = 'validation') AS shocks_validation, count(*) FILTER (split = 'final_test') AS shocks_final_test FROM panel WHERE positive_shock GROUP BY 1)"""
+
+
+@query(sql(FEASIBLE_SQL, "SELECT product_id, eligible_cities, coalesce(candidate_edges, 0) AS candidate_edges, median_distance_km, same_province_share, coalesce(least_sources, 0) AS least_sources, coalesce(most_sources, 0) AS most_sources, coalesce(shocks_train, 0) AS shocks_train, coalesce(shocks_validation, 0) AS shocks_validation, coalesce(shocks_final_test, 0) AS shocks_final_test, eligible_cities * (eligible_cities - 1) AS possible_edges, CASE WHEN eligible_cities > 1 THEN coalesce(candidate_edges, 0) / (eligible_cities * (eligible_cities - 1)) ELSE 0 END AS density FROM feasible1 LEFT JOIN feasible2 USING (product_id) LEFT JOIN feasible3 USING (product_id) LEFT JOIN feasible4 USING (product_id)", "", "median_distance_km same_province_share density"))
+def shock_feasibility(spark, sf_dir):
+    """Density is against the eligible cities; candidates are between all cities of a product."""
+    return out(shocks.feasibility(eligible(spark, sf_dir), edges(spark, sf_dir), panel(spark, sf_dir), list(given.SPLITS)))
+
+
+@query()
+def series_ols(spark, sf_dir):
+    lagged = temporal.exact_lags(panel(spark, sf_dir), ["residual", "common_factor"], LAGS, BIN)
+    return out(shocks.series_ols(lagged, [f"{c}_lag{k}" for c in ("residual", "common_factor") for k in LAGS], "residual", 20, 5))
+
+
+@layer
+def network_tests(spark, sf_dir) -> DataFrame:
+    """Edges with contemporaneous correlation tests, raw and residual, false discoveries held within a product."""
     p = panel(spark, sf_dir)
     lagged = p.withColumns({"adjusted": F.col("adjusted_return"), "res": F.col("residual")})
     a = lagged.select("product_id", F.col("city_id").alias("target_city_id"), "bin_start", F.col("adjusted").alias("ta"), F.col("res").alias("tr"))
     b = lagged.select("product_id", F.col("city_id").alias("source_city_id"), "bin_start", F.col("adjusted").alias("sa"), F.col("res").alias("sr"))
     frame = edges(spark, sf_dir).join(a, ["product_id", "target_city_id"]).join(b, ["product_id", "source_city_id", "bin_start"]).dropna(subset=["ta", "tr", "sa", "sr"])
     tests = shocks.correlation_tests(frame, {"raw": ("ta", "sa"), "residual": ("tr", "sr")})
-    key = ["target_city_id", "source_city_id"]
-    raw = metrics.benjamini_hochberg(tests, ["product_id"], key=key, p="p_raw").withColumnsRenamed({"q_value": "q_raw", "reject": "reject_raw"})
-    both = metrics.benjamini_hochberg(raw, ["product_id"], key=key, p="p_residual").withColumnsRenamed({"q_value": "q_residual", "reject": "reject_residual"})
-    return out(both.groupBy("product_id").agg(F.count("*").alias("edges"), F.count_if("reject_raw").alias("raw"), F.count_if("reject_residual").alias("residual")))
+    raw = metrics.benjamini_hochberg(tests, ["product_id"], key=_KEY, p="p_raw").withColumnsRenamed({"q_value": "q_raw", "reject": "reject_raw"})
+    return metrics.benjamini_hochberg(raw, ["product_id"], key=_KEY, p="p_residual").withColumnsRenamed({"q_value": "q_residual", "reject": "reject_residual"})
+
+
+@query()
+def correlation_network(spark, sf_dir):
+    return out(network_tests(spark, sf_dir).groupBy("product_id").agg(F.count("*").alias("edges"), F.count_if("reject_raw").alias("raw"), F.count_if("reject_residual").alias("residual")))
+
+
+EXPOSURE_SQL = PANEL_SQL + """,
+g AS (SELECT product_id, city_id, count(*) AS bins, count(*) FILTER (positive_shock) AS shocks, avg(positive_shock::INT) AS shock_rate, count(*) FILTER (common_factor IS NOT NULL AND adjusted_return IS NOT NULL) AS k, regr_slope(adjusted_return, common_factor) AS slope, corr(adjusted_return, common_factor) AS rho, stddev_samp(residual) AS volatility, avg(mean_reliability) AS mean_reliability, arg_max(price, bin_start) AS latest_price FROM panel GROUP BY 1, 2),
+g1 AS (SELECT *, CASE WHEN k >= 4 THEN slope END AS beta, CASE WHEN k >= 4 THEN rho END AS correlation, CASE WHEN k >= 4 AND slope IS NOT NULL THEN greatest(slope, 0) END AS held FROM g),
+g2 AS (SELECT *, (rank() OVER (PARTITION BY product_id ORDER BY shock_rate NULLS LAST) + (count(*) OVER (PARTITION BY product_id, shock_rate) - 1) / 2) / count(shock_rate) OVER (PARTITION BY product_id) AS r1,
+  CASE WHEN held IS NOT NULL THEN (rank() OVER (PARTITION BY product_id ORDER BY held NULLS LAST) + (count(*) OVER (PARTITION BY product_id, held) - 1) / 2) / count(held) OVER (PARTITION BY product_id) END AS r2,
+  CASE WHEN volatility IS NOT NULL THEN (rank() OVER (PARTITION BY product_id ORDER BY volatility NULLS LAST) + (count(*) OVER (PARTITION BY product_id, volatility) - 1) / 2) / count(volatility) OVER (PARTITION BY product_id) END AS r3 FROM g1),
+g3 AS (SELECT *, 100 * (0.45::DOUBLE * r1 + 0.35::DOUBLE * r2 + 0.2::DOUBLE * r3) AS exposure_score FROM g2)"""
+
+
+@query(sql(EXPOSURE_SQL, "SELECT 'full' AS \"window\", product_id, city_id, bins, shocks, shock_rate, beta, correlation, volatility, mean_reliability, latest_price, exposure_score, row_number() OVER (PARTITION BY product_id ORDER BY round(exposure_score, 9) DESC NULLS LAST, city_id) AS exposure_rank FROM g3", "", "shock_rate beta correlation volatility mean_reliability latest_price exposure_score"))
+def exposure_rank(spark, sf_dir):
+    return out(shocks.city_exposure(panel(spark, sf_dir), {"full": ["train", "validation", "final_test"]}))
+
+
+@query()
+def exposure_view(spark, sf_dir):
+    """Each product's ten most exposed cities of the whole window, with its common shocks and the highest factor."""
+    cities = shocks.city_exposure(panel(spark, sf_dir), {"full": ["train", "validation", "final_test"]})
+    return out(shocks.exposure_view(cities, shocks.shock_timeline(panel(spark, sf_dir))))

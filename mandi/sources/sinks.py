@@ -17,14 +17,16 @@ def write_table(df: DataFrame, path: str, schema: T.StructType | None = None, by
     spread.write.partitionBy(by).option("compression", "zstd").parquet(path)
 
 
-def product_json(df: DataFrame, by: str, records: list[str], order: list[str], meta: dict[str, F.Column] | None = None) -> DataFrame:
-    """One JSON text per product: metadata and its records in order.
+def product_json(df: DataFrame, by: str | list[str], records: list[str], order: list[str], meta: dict[str, F.Column] | None = None) -> DataFrame:
+    """One JSON text per product (or product and city): metadata and its records in order.
 
-    A mart for a page: records per product are bounded by its cities, months and horizons.
+    A mart for a page: records are bounded by a product's cities, months and horizons; give the city
+    too where a product's would not fit in one row.
     """
+    by = [by] if isinstance(by, str) else by
     row = F.struct(*order, *(c for c in records if c not in order))
-    out = df.groupBy(by).agg(*((c.alias(k)) for k, c in (meta or {}).items()), F.sort_array(F.collect_list(row)).alias("records"))
-    return out.select(by, F.to_json(F.struct(by, *(meta or {}), "records")).alias("value"))
+    out = df.groupBy(*by).agg(*((c.alias(k)) for k, c in (meta or {}).items()), F.sort_array(F.collect_list(row)).alias("records"))
+    return out.select(*by, F.to_json(F.struct(*by, *(meta or {}), "records")).alias("value"))
 
 
 def write_product_json(df: DataFrame, path: str, by: str, **how) -> None:
