@@ -43,12 +43,15 @@ def features(mart: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def fit_preparation(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
-    """Median, and mean and population deviation after filling with it, of each feature: two aggregates."""
+    """Median, and mean and population deviation after filling with it, of each feature that isn't constant: two aggregates.
+
+    A constant feature has no weight in a ridge model, and would leave its equations singular.
+    """
     medians = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in names)).first()
     fill = {c: medians[c] if medians[c] is not None else 0.0 for c in names}
     filled = train.select(*(F.coalesce(c, F.lit(fill[c])).alias(c) for c in names))
     row = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
-    return {c: (fill[c], row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in names}
+    return {c: (fill[c], row[f"m_{c}"], row[f"s_{c}"]) for c in names if row[f"s_{c}"] and row[f"s_{c}"] > 1e-12}
 
 
 def prepare(df: DataFrame, fitted: dict) -> DataFrame:
@@ -57,8 +60,8 @@ def prepare(df: DataFrame, fitted: dict) -> DataFrame:
 
 
 def fit_encoder(train: DataFrame, names: list[str]) -> PipelineModel:
-    """A vector of the scaled features and of all product-horizon levels."""
-    return Pipeline(stages=[StringIndexer(inputCol="group", outputCol="group_index", handleInvalid="keep"), OneHotEncoder(inputCol="group_index", outputCol="group_vector", dropLast=False), VectorAssembler(inputCols=[*(f"x_{c}" for c in names), "group_vector"], outputCol="features")]).fit(train)
+    """A vector of the scaled features and of all product-horizon levels; the last place, of unknown ones, is dropped."""
+    return Pipeline(stages=[StringIndexer(inputCol="group", outputCol="group_index", handleInvalid="keep"), OneHotEncoder(inputCol="group_index", outputCol="group_vector"), VectorAssembler(inputCols=[*(f"x_{c}" for c in names), "group_vector"], outputCol="features")]).fit(train)
 
 
 def ridge(train: DataFrame, label: str, alpha: float, prediction: str):
@@ -85,7 +88,7 @@ def fit_candidates(train: DataFrame, alphas=RIDGE, shrinks=SHRINK, moved: float
     df, names = features(train)
     fitted = fit_preparation(df, names)
     ready = prepare(df, fitted).withColumn("moved", (F.abs("target_return") > moved).cast("double"))
-    encoder = fit_encoder(ready, names)
+    encoder = fit_encoder(ready, list(fitted))
     ready = encoder.transform(ready).select("features", "target_return", "moved").persist()
     models = {}
     for i, a in enumerate(alphas):
