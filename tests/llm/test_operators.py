@@ -558,3 +558,67 @@ def test_pipeline(spark, tmp_path):
     size = mixed.agg(F.sum(common.word_count(F.col("text")))).first()[0]
     assert abs(size / one.agg(F.sum(common.word_count(F.col("text")))).first()[0] - 1.5) < 0.02
     assert packed.filter("start + length = doc_tokens").count() == mixed.count()
+
+
+OURS = ["row", "row_id", "spans", "own", "key", "size", "block", "d", "share", "mix_shard", "mix_copy", "good_id", "kept_id", "a.b", "place", "bucket", "guard", "guards", "known_source", "source_id", "drawn", "take", "registers", "node", "digest", "lines", "label", "held_out", "order", "tie", "`"]
+
+
+def test_columns_with_our_own_names(spark):
+    """Every name that operators use inside, and a dotted one, as columns of the documents."""
+    import corpus_pipeline
+
+    text = "the cat sat on the mat and then it went away to look for some more of the fish it had seen here token = abcdef0123456789"
+    rows = [(i, f"{text} {i if i % 3 else ''}", "s", "en", *range(i, i + len(OURS))) for i in range(12)] + [(None, None, None, None, *range(len(OURS)))]
+    ddl = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c.replace('`', '``')}` int" for c in OURS)
+    docs = common.materialize(spark.createDataFrame(rows, ddl), "ours")
+    kept = {r.doc_id: tuple(r)[4:] for r in docs.collect()}
+
+    def same(df):
+        assert df.columns == docs.columns
+        for r in df.collect():
+            assert tuple(r)[4:] == kept[r.doc_id]
+        return df
+
+    assert same(secrets.redact(docs)).filter("text like '%[secret]%'").count() == 12
+    assert same(corpus_pipeline.quality_rules(spark, docs, "")).count() == 12
+    assert 1 <= same(corpus_pipeline.near_dedup(spark, docs, "")).count() < 13
+    assert same(corpus_pipeline.with_length(docs)).count() == 13
+    assert same(corpus_pipeline.mix_sources(spark, docs, "")).count() > 12
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_shard_", "mix_copy_"] and mixed.count() > 12
+    for df in (minhash.near_duplicates(docs), packing.pack(docs), langid.identify(docs), mixing.draw(docs), substring.remove_repeats(docs), licenses.scan(docs), quality.judge(docs), fingerprint.compare(docs), fingerprint.fingerprint(docs), secrets.digests(docs)):
+        assert df.count() >= 13
+
+
+def test_lengths_are_counted_only_where_they_are(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([("abc", 9), (None, 9)], "text string, n_chars int")
+    assert [r.n_chars for r in corpus_pipeline.with_length(df).collect()] == [3, None]
+    assert corpus_pipeline.with_length(df.drop("n_chars")).columns == ["text"]
+
+
+def test_languages_in_blocks(spark):
+    rows = [(i, f"{w} {w}s {w} abc", w[:2]) for i, w in enumerate(("hello", "zebra", "quick", "mount", "яблоко") * 12)]
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "langs")
+    whole, parts = ({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, **how).collect()} for how in ({}, {"most": 2}))
+    assert {d: lang for d, (lang, _) in whole.items()} == {d: lang for d, (lang, _) in parts.items()}
+    assert all(abs(whole[d][1] - parts[d][1]) < 1e-5 for d in whole)
+
+
+def test_secrets_of_every_alphabet(spark):
+    """UUIDs, upper-case and prefixed keys planted among words; precision and recall of the added spans."""
+    import uuid
+
+    rng = random.Random(8)
+    make = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))), "upper": lambda: "".join(rng.choice(secrets.UPPER36) for _ in range(28)),
+        "prefixed": lambda: "sk_live_" + "".join(rng.choice(secrets.BASE36) for _ in range(32)), "base64": lambda: "".join(rng.choice(secrets.BASE64) for _ in range(44)),
+    }
+    rows = [(i, f"we saw {make[k]()} there", k) for i, k in enumerate(k for k in make for _ in range(150))]
+    rows += [(9000 + i, f"the getUser{'Name' * 3}By{'Id' * 3}{i} of aaaaaaaaaaaaaaaa{i % 7}bbbbbbb and a_very_long_snake_case_name_{i}", "none") for i in range(300)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
+    found = {r.doc_id for r in got if any(s.kind == 3 for s in r.spans)}
+    for kind in make:
+        assert sum(1 for d, _, k in rows if k == kind and d in found) >= 120, kind
+    assert len([d for d in found if d >= 9000]) <= 0.1 * len(found)
