@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import price_valid
@@ -16,6 +16,14 @@ from mandi.functions.scalar import price_valid
 SERIES = ["product_id", "market_id"]
 
 
+def _quantile(ordered: str, q: float) -> Column:
+    """The interpolated quantile of a sorted array."""
+    place = (F.size(ordered) - 1) * q
+    low, high = F.floor(place), F.ceil(place)
+    a, b = (F.try_element_at(ordered, (x + 1).cast("int")) for x in (low, high))
+    return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+
+
 def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.011, stale_after: int = 7, window: int = 90, at_least: int = 30, widths: float = 6.0, flat_ratio: float = 1.5, series: list[str] = SERIES) -> DataFrame:
     """quotes and their flags.
 
@@ -45,16 +53,16 @@ def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.01
     df = df.withColumn("island", island)
     run = F.sum(F.col("zero_change").cast("int")).over(Window.partitionBy(*series, "island").orderBy("date", trace))
     last_valid = F.last(F.when(F.col("price_valid"), F.col("date")), ignorenulls=True).over(w)
-    quartiles = F.percentile("log_price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(before)
     df = df.withColumns({
         "zero_run": F.when(F.col("zero_change"), run).otherwise(0).cast("int"),
         "days_since_valid": F.datediff("date", last_valid),
-        "quartiles": F.when(F.count("log_price").over(before) >= at_least, quartiles),
+        "earlier": F.sort_array(F.collect_list("log_price").over(before)),  # a short array: cheaper than a percentile for each frame
     })
+    df = df.withColumn("quartiles", F.when(F.size("earlier") >= at_least, F.array(*(_quantile("earlier", q) for q in (0.25, 0.5, 0.75)))))
     scale = (F.col("quartiles")[2] - F.col("quartiles")[0]) / 1.349
     far = F.abs(F.col("log_price") - F.col("quartiles")[1])
     outlier = F.when(scale > 0, far > widths * scale).otherwise(far > math.log(flat_ratio))
-    return df.withColumns({"stale": F.col("zero_run") >= stale_after, "outlier": F.coalesce(outlier, F.lit(False))}).drop("island", "log_price", "quartiles")
+    return df.withColumns({"stale": F.col("zero_run") >= stale_after, "outlier": F.coalesce(outlier, F.lit(False))}).drop("island", "log_price", "earlier", "quartiles")
 
 
 def quality_summary(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:
