@@ -162,7 +162,7 @@ def attach_quantile(df: DataFrame, quantiles: DataFrame, levels: list[list[str]]
     """The finest level with enough residuals; the last level always counts.  Adds quantile, quantile_level."""
     for i, by in enumerate(levels):
         q = quantiles.filter(F.col("level") == i).select(*by, F.col("quantile").alias(f"q{i}"), F.col("n").alias(f"n{i}"))
-        df = df.join(F.broadcast(q), by, "left") if by else df.join(F.broadcast(q), how="left")
+        df = df.join(q, by, "left") if by else df.join(q, how="left")  # one row without columns to join on
     last = len(levels) - 1
     chosen = F.coalesce(*(F.when((F.col(f"n{i}") >= at_least) | F.lit(i == last), F.col(f"q{i}")) for i in range(last + 1)))
     level = F.coalesce(*(F.when((F.col(f"n{i}") >= at_least) | F.lit(i == last), F.lit(i)) for i in range(last + 1)))
@@ -195,7 +195,7 @@ def release_matrix(df: DataFrame, model: str, baseline: str, target: float = 0.0
 
 def release(df: DataFrame, matrix: DataFrame, model: str, baseline: str) -> DataFrame:
     """Released point and interval; no interval unless the model's is released."""
-    out = df.join(F.broadcast(matrix.select("product_id", "horizon", "release_status")), ["product_id", "horizon"])
+    out = df.join(matrix.select("product_id", "horizon", "release_status"), ["product_id", "horizon"])
     full = F.col("release_status").isin("model_target", "model_minimum")
     return out.withColumns({"released_point": F.when(F.col("release_status") == "baseline_fallback", F.col(baseline)).otherwise(F.col(model)), "released_p10": F.when(full, F.col("p10")), "released_p90": F.when(full, F.col("p90"))})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,10 @@ def read_quotes(spark: SparkSession, paths, products: DataFrame, columns: tuple[
     named = raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
     out = with_trace_key(named.withColumn("place", F.monotonically_increasing_id()), "source_file", ["block", "place"])
     contracts.assert_unique(products, ["source_file"])
+    files = spark.createDataFrame([(unquote(f.rpartition("/")[2]),) for f in raw.inputFiles()], "source_file string")
+    unlisted = files.join(products, "source_file", "left_anti").take(3)
+    if unlisted:
+        raise ValueError(f"files without a product: {[r.source_file for r in unlisted]}")
     return out.drop("block", "place").join(products, "source_file", "left")
 
 

@@ -130,6 +130,9 @@ def test_quote_files(spark, tmp_path):
     assert rows[0].reported_change_pct == 25.0 and rows[0].product_id == "p1" and rows[1].raw_province == "" and rows[1].price is None
     with pytest.raises(ValueError):
         files.assert_parsed(parsed)
+    with pytest.raises(ValueError, match="without a product"):
+        files.read_quotes(spark, str(tmp_path / "a.csv"), products.filter("source_file <> 'a.csv'"))
+    products = products.union(spark.createDataFrame([("b.csv", "p2")], products.schema))
     (tmp_path / "b.csv").write_text("raw_date,other\n2020-01-02,1\n")
     with pytest.raises(Exception):
         files.read_quotes(spark, str(tmp_path / "b.csv"), products).collect()
