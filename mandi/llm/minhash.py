@@ -33,6 +33,8 @@ With similarity 0.85 a linked pair shares no band with probability (1 - 0.85**6)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -261,12 +263,35 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
     sets = full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"), k)
     sets = materialize(sets.join(classes.select("set_id", "node").join(known.select("node"), "node", "left_semi"), "set_id").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
+    hopeful = lambda pairs: _plausible(pairs.select("a", "b").distinct(), nodes, num, den)
+    labels = components(members, sets, num, den, leaders, part, hopeful, hopeful)
+    return rows_of(sketches, classes, nodes, labels)
+
+
+def rows_of(sketches: DataFrame, classes: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id), kept of each sketched document, from the components of nodes."""
+    named = nodes.select("node", "doc_id").join(labels, "node")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(smallest, "component").select("node", "component_id")
+    reached = classes.select("set_id", "node", F.col("doc_id").alias("alone")).join(named, "node", "left").select("set_id", F.coalesce("component_id", "alone").alias("component_id"))
+    out = sketches.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(reached, "set_id", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def components(members: DataFrame, sets: DataFrame, num: int, den: int, leaders: int, part: int, central_pairs: Callable[[DataFrame], DataFrame], small_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of all nodes that links reach; a link joins two nodes that share a band and are similar on full sets.
+
+    members: node, band, n (size of its set) and weight (how many it meets in all its bands), further columns
+    for small_pairs; sets: node, hashes.  central_pairs and small_pairs may drop pairs a, b that can't be links before
+    full sets meet; small_pairs gets a row for each small band of a pair, with members' columns of both, and gives each pair once.
+    """
     # One candidate for each class: the most central class in any of its bands.
     central = members.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"))
     first = members.join(central, "band").groupBy(F.col("node").alias("b")).agg(F.max("top").alias("top")).select(F.col("top.node").alias("a"), "b").filter("a <> b")
-    links = materialize(confirm(_plausible(first, nodes, num, den), sets, num, den), "links")
+    links = materialize(confirm(central_pairs(first), sets, num, den), "links")
     labels = connect(links)
-    labels = _small_bands(members, labels, nodes, sets, num, den)
+    labels = _small_bands(members, labels, sets, num, den, small_pairs)
     held = materialize(_held(members, labels), "all-held")
     # one pivot for all bands whose most central class is of one component
     large = materialize(held.join(_mixed(held).filter(F.col("size") > SMALL).select("band"), "band", "left_semi"), "large")
@@ -284,13 +309,7 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
         if fresh.isEmpty():
             break
         labels = merged(labels, fresh)
-    named = nodes.select("node", "doc_id").join(labels, "node")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    reached = classes.select("set_id", "node", F.col("doc_id").alias("alone")).join(named, "node", "left").select("set_id", F.coalesce("component_id", "alone").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", F.when(F.col("registers").isNotNull() & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(reached, "set_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return labels
 
 
 def _held(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,14 +325,13 @@ def _sizes_fit(num: int, den: int) -> Column:
     return F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
 
 
-def _small_bands(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _small_bands(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, small_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """labels after testing all pairs of different components in bands of at most SMALL members."""
     held = materialize(_held(members, labels), "all-held")
     held = materialize(held.join(_mixed(held).filter(F.col("size") <= SMALL).select("band"), "band"), "held")
-    a = held.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"))
-    b = held.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"))
-    pairs = a.join(b, (a.band == b.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(num, den))
-    fresh = materialize(confirm(_plausible(pairs.select("a", "b").distinct(), nodes, num, den), sets, num, den), "links")
+    side = lambda x: held.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in held.columns if c not in ("band", "node")))
+    pairs = side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(num, den))
+    fresh = materialize(confirm(small_pairs(pairs), sets, num, den), "links")
     return labels if fresh.isEmpty() else merged(labels, fresh)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, fingerprint, langid, licenses, minhash, mixing, packing, periods, quality, secrets, substring
+from . import audit, chat, fingerprint, langid, licenses, minhash, mixing, ngram_join, packing, periods, quality, secrets, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(_documents(spark, sf_dir))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_documents(spark, sf_dir)).drop("kept")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_dedup, op2_chat_format, op3_secret_scan, op4_packing, op5_language_id, op6_mixing, op7_substring_dedup, op8_license_scan, op9_quality, op10_fingerprint, op12_filter_audit, op13_periodic_runs, pipeline)
+    ops = (op1_minhash_dedup, op2_chat_format, op3_secret_scan, op4_packing, op5_language_id, op6_mixing, op7_substring_dedup, op8_license_scan, op9_quality, op10_fingerprint, op11_ngram_join, op12_filter_audit, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -93,5 +97,8 @@ FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c
 """
 
 
+OP11_SQL = OP1_SQL.replace("85", "90").replace(", s.doc_id = c.component_id AS kept", "")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op2_chat_format": chat.ORACLE_SQL, "op8_license_scan": licenses.oracle_sql(), "op12_filter_audit": audit.ORACLE_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_chat_format": chat.ORACLE_SQL, "op8_license_scan": licenses.oracle_sql(), "op11_ngram_join": OP11_SQL, "op12_filter_audit": audit.ORACLE_SQL}
