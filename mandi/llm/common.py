@@ -78,6 +78,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_hash() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text column (null text: a fixed value)."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

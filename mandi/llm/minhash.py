@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, chunks, materialize, mix, scratch, texts_of
+from .common import Words, chunks, materialize, mix, scratch, text_hash, texts_of
 
 REGISTERS, ROWS = 256, 6
 SMALL = 16  # members of a band whose pairs are all tested
@@ -52,8 +52,8 @@ MANTISSA = 10
 LOW = np.uint64(2**56 - 1)
 # For each attempt, the bucket that an empty bucket borrows from.
 _DONORS = np.random.default_rng(77).integers(0, REGISTERS, (32, REGISTERS))
-SKETCH = "doc_id long, n_shingles long, set_id binary, registers binary"
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("registers", pa.binary())])
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_id binary, registers binary"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("registers", pa.binary())])
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,20 +115,20 @@ def band_keys() -> Column:
 
 
 def sketch(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, n_shingles, set_id and registers of each document; no words: null registers."""
+    """doc_id, text_hash, n_shingles, set_id and registers of each document; no words: null registers."""
 
     def run(batches):
         for batch in batches:
-            texts, ids = texts_of(batch), batch.column(0)
+            texts, ids, hashes = texts_of(batch), batch.column(0), batch.column(1)
             for a, b in chunks(texts):
                 values, bounds = shingle_sets(texts[a:b], k)
                 n = np.diff(bounds)
                 none = n == 0
                 regs = registers(values, bounds)
                 found = pc.if_else(pa.array(~none), common.binary_array(regs), pa.nulls(b - a, pa.binary()))
-                yield common.batch_of(_SKETCH, [ids[a:b], pa.array(n, pa.int64()), common.binary_array(set_ids(values, bounds)), found])
+                yield common.batch_of(_SKETCH, [ids[a:b], hashes[a:b], pa.array(n, pa.int64()), common.binary_array(set_ids(values, bounds)), found])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -241,12 +241,30 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     null, kept; it links nothing.  Repeated rows: each gets its own output row.  Empty table: empty
     result.
     """
+    return grouped_rows(docs, k, num, den, leaders, part).drop("text_hash", "group")
+
+
+def grouped_rows(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, leaders: int = 512, part: int = PART) -> DataFrame:
+    """near_duplicates() with text_hash and group, which tell apart documents of one doc_id and their components.
+
+    group is null where a row is linked with nothing by rule: no words, or no doc_id.
+    """
     with scratch(docs.sparkSession) as written:
         groups = materialize(_groups(docs, k, num, den, leaders, part), "groups")
         written.pop()
     return groups
 
 
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, text_hash of the one document of each group that stays: the smallest doc_id, then text_hash.
+
+    Documents without words are groups of their own; rows without doc_id aren't listed.
+    """
+    rows = grouped_rows(docs, k, num, den).filter("doc_id IS NOT NULL")
+    first = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    return first.unionByName(rows.filter("group IS NULL").select("doc_id", "text_hash")).distinct()
+
+
 def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int) -> DataFrame:
     sketches = materialize(sketch(docs, k), "sketch")
     usable = sketches.filter(F.col("registers").isNotNull() & F.col("doc_id").isNotNull())
@@ -265,18 +283,18 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, leaders: int, part: int
 
     hopeful = lambda pairs: _plausible(pairs.select("a", "b").distinct(), nodes, num, den)
     labels = components(members, sets, num, den, leaders, part, hopeful, hopeful)
-    return rows_of(sketches, classes, nodes, labels)
+    return rows_of(sketches.drop("registers"), classes, nodes, labels)
 
 
 def rows_of(sketches: DataFrame, classes: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id), kept of each sketched document, from the components of nodes."""
+    """sketches' doc_id, n_shingles and other columns, with component_id (smallest doc_id), kept and group, from the components of nodes."""
     named = nodes.select("node", "doc_id").join(labels, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    reached = classes.select("set_id", "node", F.col("doc_id").alias("alone")).join(named, "node", "left").select("set_id", F.coalesce("component_id", "alone").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(reached, "set_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = named.join(smallest, "component").select("node", "component", "component_id")
+    reached = classes.select("set_id", "node", F.col("doc_id").alias("alone")).join(named, "node", "left").select("set_id", F.coalesce("component_id", "alone").alias("component_id"), F.coalesce("component", "node").alias("group"))
+    rows = sketches.withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))).join(reached, "set_id", "left").drop("set_id")
+    rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def components(members: DataFrame, sets: DataFrame, num: int, den: int, leaders: int, part: int, central_pairs: Callable[[DataFrame], DataFrame], small_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -183,4 +183,4 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, bits: int, leaders: int
     held = texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = materialize(minhash.full_sets(held, k).join(nodes.select("set_id", "node"), "set_id").dropDuplicates(["node"]).select("node", "hashes"), "sets")
     labels = minhash.components(members, sets, num, den, leaders, part, lambda pairs: pairs, _overlaps(num, den))
-    return minhash.rows_of(sketches, classes, nodes, labels)
+    return minhash.rows_of(sketches, classes, nodes, labels).drop("group")

@@ -63,6 +63,7 @@ def splits_at_spaces(rules: dict) -> bool:
 
 
 _ASCII = re.compile(_SPLIT.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("[[", "[").replace("]]", "]"))
+# The letters' range holds capitals too: a piece is plain only if it is its own lower case.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+" + r"|[0-9]|[!-/:-@\[-`{-~]+|'(?:s|t|re|ve|m|ll|d)")
 # Letters that are one code point in every form, and stay such in lower case; then a stop or comma.
 _LATIN = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)([.,]?)")
@@ -156,7 +157,7 @@ class Encoder:
         tokenize, spelling = self.tokenizer.model.tokenize, byte_spelling()
         others = []
         for x in new:
-            if _PLAIN.fullmatch(x):  # one piece in lower case: what the model gets is its bytes' spelling
+            if _PLAIN.fullmatch(x) and x == x.lower():  # one piece in lower case: what the model gets is its bytes' spelling
                 self.ids_of[x] = array("I", [t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(spelling))]).tobytes()
             else:
                 others.append(x)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, chunks, materialize, mix, texts_of
+from .common import Words, batch_of, chunks, materialize, mix, text_hash, texts_of
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 _SYMBOL = np.zeros(256, bool)
@@ -78,19 +78,19 @@ def counts(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, lang, source and the counts of each text (null text: none)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(c, pa.int64()) for c in _COUNTS])
+    """docs' doc_id, text_hash, lang, source and the counts of each text (null text: none)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(c, pa.int64()) for c in _COUNTS])
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
             for a, b in chunks(texts):
                 part = batch.slice(a, b - a)
-                yield batch_of(schema, [*part.columns[:3], *(np.asarray(x, np.int64) for x in counts(texts[a:b]))])
+                yield batch_of(schema, [*part.columns[:4], *(np.asarray(x, np.int64) for x in counts(texts[a:b]))])
 
     text = lambda c: F.col(c).cast("string").alias(c)
-    ddl = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text("lang"), text("source"), text("text")).mapInArrow(run, ddl)
+    ddl = "doc_id long, text_hash long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text("lang"), text("source"), text("text")).mapInArrow(run, ddl)
 
 
 def bucket(v: Column) -> Column:
@@ -116,33 +116,37 @@ def quantiles(sketch: DataFrame, by: list[str], qs: dict[str, float]) -> DataFra
     return run.groupBy(*by, "metric").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(name) for name, q in qs.items()))
 
 
-def fences(rates: DataFrame) -> DataFrame:
-    """lang, source, and the lowest and highest value that passes for each rate."""
+def fences(rates: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """lang, source, and the lowest and highest value that passes for each rate; a group of fewer than ``enough`` documents has the next level's."""
     fine = materialize(sketches(rates, ["lang", "source"]), "sketches")
     levels = [fine, merge(fine, ["lang"]), merge(fine, [])]
     qs = {"low": 0.25, "high": 0.75}
     own, lang, all_ = (quantiles(s, by, qs).select(*by, "metric", *(F.col(c).alias(f"{c}_{i}") for c in ("total", *qs))) for i, (s, by) in enumerate(zip(levels, (["lang", "source"], ["lang"], []), strict=True)))
     lang = lang.withColumnRenamed("lang", "lang_").withColumnRenamed("metric", "metric_")
     each = own.join(lang, own.lang.eqNullSafe(lang.lang_) & (own.metric == lang.metric_)).drop("lang_", "metric_").join(all_, "metric")
-    pick = lambda c: F.when(F.col("total_0") >= ENOUGH, F.col(f"{c}_0")).when(F.col("total_1") >= ENOUGH, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
+    pick = lambda c: F.when(F.col("total_0") >= enough, F.col(f"{c}_0")).when(F.col("total_1") >= enough, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
     gap = F.greatest(WIDTHS * (pick("high") - pick("low")), F.element_at(F.create_map(*(x for m, r in RATES.items() for x in (F.lit(m), F.lit(r[3])))), F.col("metric")))
     each = each.select("lang", "source", "metric", (pick("low") - gap).alias("least"), (pick("high") + gap).alias("most"))
     return each.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATES for c in ("least", "most")))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed, kept and failed_rates of each row of docs.
+def judge(docs: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """doc_id, text_hash, lang, source, the counts, base_failed, kept and failed_rates of each row of docs.
+
+    enough: how many documents a (language, source) group needs for thresholds of its own; smaller ones take their
+    language's, and those of a smaller language the whole table's.  text_hash is xxhash64 of the text.
 
     Null text has no words and fails.  Null lang or source is a group of its own.  Null doc_id and
-    repeated rows are judged like others.  Empty table: empty result.
+    repeated rows are judged like others.  Very long texts are counted whole, in memory of one task.  Ties: a value on
+    a fence passes.  Empty table: empty result.
     """
     counted = measure(docs)
     # 0 / 0 is a rate of 0
     rate = {m: F.when(F.col(b) > 0, (F.col(a) * scale / F.col(b)).cast("long")).otherwise(F.lit(0).cast("long")) for m, (a, b, scale, _, _) in RATES.items()}
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rated = materialize(counted.withColumns(rate).withColumn("base_failed", failed), "rates")
-    bounds = fences(rated.filter(~F.col("base_failed"))).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    bounds = fences(rated.filter(~F.col("base_failed")), enough).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     out = rated.join(bounds, rated.lang.eqNullSafe(bounds.lang_) & rated.source.eqNullSafe(bounds.source_), "left")
     wrong = [F.when((F.col(m) > F.col(f"{m}_most")) | (F.lit(r[4]) & (F.col(m) < F.col(f"{m}_least"))), F.lit(m)) for m, r in RATES.items()]
     out = out.withColumn("failed_rates", F.array_compact(F.array(*wrong)))
-    return out.select("doc_id", "lang", "source", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rates") == 0)).alias("kept"), "failed_rates")
+    return out.select("doc_id", "text_hash", "lang", "source", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rates") == 0)).alias("kept"), "failed_rates")

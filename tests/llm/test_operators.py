@@ -315,6 +315,23 @@ def test_encoder_is_the_tokenizer(name):
     assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.EOS] for t in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_knows_every_latin_letter(name):
+    """Each code point of U+00C0 to U+024F alone, after and before letters, in capitals, before a stop; and random words of them."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path(name)), packing.Encoder(public_tokenizers.path(name))
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    texts = ["İstanbul", "İzmir", "İ", "ŉĿ", "ŉ", "ISTANBUL İSTANBUL"]
+    texts += [form.format(c) for c in letters for form in ("{0}", "x{0}", "{0}x", "X{0}", "{0}{0}", "a{0}.", "{0}, b", "{0}stanbul")]
+    texts += ["".join(rng.choice([*letters, *"aZé.' "]) for _ in range(rng.randint(1, 12))) for _ in range(20000)]
+    got = [ids[bounds[i] : bounds[i + 1]].tolist() for _, ids, bounds in encode(pa.array(texts)) for i in range(len(bounds) - 1)]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.EOS] for t in texts]
+
+
 # ------------------------------------------------------------------ 5
 
 
