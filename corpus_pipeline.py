@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandi.llm import minhash, mixing, packing, quality, secrets
-from mandi.llm.common import boxed, materialize, named, scratch, unboxed
+from mandi.llm.common import boxed, materialize, named, scratch, text_hash, unboxed
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -16,25 +16,30 @@ def with_length(docs: DataFrame) -> DataFrame:
     return boxed(docs, text=F.col("text").cast("string")).select(*unboxed(docs.columns, n_chars=F.length("text").cast("long")))
 
 
+def _in(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text are among rows (doc_id, text_hash): a doc_id may stand for several texts."""
+    return docs.join(rows.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")), docs.doc_id.eqNullSafe(F.col("of_id")) & (text_hash() == F.col("of_text")), "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.
 
-    Null or empty text goes; rows that repeat a doc_id (or lack one) stay if one of them is kept.
+    Null or empty text goes.  Rows are judged by their text, language and source, whatever other rows of their
+    doc_id are; of rows with one doc_id and text, which may differ in language or source, all stay if one is kept.
     """
-    good = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.good_id), "left_semi")
+    return _in(docs, quality.judge(docs).filter("kept").select("doc_id", "text_hash").distinct())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows that repeat a doc_id stay once; those without one can't be told to be copies and stay, as do
-    null and empty texts, which are like nothing.
+    A document is a doc_id with a text: rows that repeat both stay once, and different texts under one doc_id are
+    different documents.  Rows without doc_id can't be told to be copies and stay, as do null and empty texts, which
+    are like nothing.
     """
-    kept = minhash.near_duplicates(docs, k=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    rows = boxed(one, doc_id=F.col("doc_id"), own=F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["doc_id", "own"]).select(*unboxed(docs.columns))
+    one = _in(docs.filter("doc_id IS NOT NULL"), minhash.representatives(docs, k=5, num=80, den=100))
+    rows = boxed(one, doc_id=F.col("doc_id"), text_hash=text_hash()).dropDuplicates(["doc_id", "text_hash"])
+    return rows.select(*unboxed(docs.columns)).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
