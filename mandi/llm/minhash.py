@@ -339,7 +339,7 @@ def _mixed(held: DataFrame) -> DataFrame:
     return held.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "size")
 
 
-def _sizes_fit(num: int, den: int) -> Column:
+def sizes_fit(num: int, den: int) -> Column:
     return F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
 
 
@@ -348,7 +348,7 @@ def _small_bands(members: DataFrame, labels: DataFrame, sets: DataFrame, num: in
     held = materialize(_held(members, labels), "all-held")
     held = materialize(held.join(_mixed(held).filter(F.col("size") <= SMALL).select("band"), "band"), "held")
     side = lambda x: held.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in held.columns if c not in ("band", "node")))
-    pairs = side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _sizes_fit(num, den))
+    pairs = side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & sizes_fit(num, den))
     fresh = materialize(confirm(small_pairs(pairs), sets, num, den), "links")
     return labels if fresh.isEmpty() else merged(labels, fresh)
 
@@ -513,4 +513,4 @@ def _root(roots: dict, x: int) -> int:
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    return plausible(_meet(pairs, nodes.select("node", "n", "registers")).filter(_sizes_fit(num, den)), num, den)
+    return plausible(_meet(pairs, nodes.select("node", "n", "registers")).filter(sizes_fit(num, den)), num, den)

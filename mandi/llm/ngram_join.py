@@ -24,11 +24,12 @@ much work there is, never the result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, minhash
@@ -36,6 +37,7 @@ from .common import chunks, materialize, scratch, texts_of
 
 BITS = 20  # the table of counts has 2**BITS entries of two bytes in a task
 SLICE = 1 << 14  # entries that move as one row
+MOST_IDS = 1_000_000  # ids that are broadcast to pick the texts whose full sets are needed; more are joined
 SALTS = 64  # tasks' tables are first added up in this many groups a slice
 _FIRST = "doc_id long, n_shingles long, set_id binary, slice int, counts binary"
 _PASS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
@@ -135,8 +137,11 @@ def _by_size(members: DataFrame, num: int, den: int) -> DataFrame:
     return keyed.drop("size", "class").join(sizes, "band")
 
 
-def _overlaps(num: int, den: int):
-    """The product of heads over columns that few hold: pairs whose overlap can still be enough."""
+def _overlaps(num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+    """The product of heads over columns that few hold: pairs whose overlap can still be enough.
+
+    A pair that shares a column which many hold meets there, so here it has none beyond those counted.
+    """
 
     def product(pairs: DataFrame) -> DataFrame:
         counted = pairs.groupBy("a", "b").agg(F.count_distinct("column_a").alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
@@ -147,6 +152,15 @@ def _overlaps(num: int, den: int):
     return product
 
 
+def _within_reach(members: DataFrame, num: int, den: int) -> DataFrame:
+    """node of members that a link may have: in a pair that the product of heads leaves, or in a band that many hold."""
+    few = members.filter(F.col("size") <= minhash.SMALL)
+    side = lambda x: few.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "column")), F.col("node").alias(x))
+    pairs = side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & minhash.sizes_fit(num, den))
+    left = _overlaps(num, den)(pairs).select(F.explode(F.array("a", "b")).alias("node"))
+    return left.union(members.filter(F.col("size") > minhash.SMALL).select("node")).distinct()
+
+
 def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, bits: int = BITS, leaders: int = 512, part: int = minhash.PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text; others are ignored).
 
@@ -172,15 +186,20 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, bits: int, leaders: int
     usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    heads = _heads(texts.filter("doc_id IS NOT NULL"), k, num, den, _frequencies(first, bits)).join(classes, ["doc_id", "set_id"])
-    columns = heads.select("node", F.col("n").cast("long").alias("n"), F.explode("head").alias("column")).distinct()
-    columns = materialize(columns, "columns")
+    # rows that repeat a document give one head
+    heads = _heads(texts.filter("doc_id IS NOT NULL"), k, num, den, _frequencies(first, bits)).join(classes, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
+    columns = materialize(heads.select("node", F.col("n").cast("int").alias("n"), F.explode("head").alias("column")), "columns")
     shared = columns.groupBy("column").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(_by_size(materialize(columns.join(shared, "column"), "shared"), num, den), "bands")
-    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = members.join(_within_reach(members, num, den), "node").drop("size")
+    members = materialize(members, "reached")
+    sizes = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    weights = members.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight"))
     nodes = materialize(classes.join(weights, "node").select("node", "set_id", "doc_id", "weight"), "nodes")
-    members = materialize(members.drop("size").join(nodes.select("node", "weight"), "node"), "members")
-    held = texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialize(minhash.full_sets(held, k).join(nodes.select("set_id", "node"), "set_id").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    members = materialize(members.join(nodes.select("node", "weight"), "node"), "members")
+    ids = nodes.select("doc_id").distinct()
+    held = texts.join(F.broadcast(ids) if nodes.count() <= MOST_IDS else ids, "doc_id", "left_semi")
+    sets = minhash.full_sets(held, k).join(nodes.select("set_id", "node"), "set_id").dropDuplicates(["set_id"])
+    sets = materialize(sets.select("node", "hashes"), "sets")
     labels = minhash.components(members, sets, num, den, leaders, part, lambda pairs: pairs, _overlaps(num, den))
     return minhash.rows_of(sketches, classes, nodes, labels).drop("group")
