@@ -28,9 +28,9 @@ class Scenario:
     most_multiplier: float = 1.5
 
     def __post_init__(self):
-        bad = [n for n in ("quantity_kg", "max_distance_km", "road_factor") if not 0 < getattr(self, n) < float("inf")]
+        bad = [n for n in ("quantity_kg", "max_distance_km") if not 0 < getattr(self, n) < float("inf")]
         bad += [n for n in ("transport_cost", "risk_aversion", "reliability_gamma") if not 0 <= getattr(self, n) < float("inf")]
-        bad += ["loss_rate"] * (not 0 <= self.loss_rate < 1) + ["least_reliability"] * (not 0 <= self.least_reliability <= 1) + ["most_multiplier"] * (not 1 <= self.most_multiplier < float("inf"))
+        bad += ["loss_rate"] * (not 0 <= self.loss_rate < 1) + ["least_reliability"] * (not 0 <= self.least_reliability <= 1) + [n for n in ("most_multiplier", "road_factor") if not 1 <= getattr(self, n) < float("inf")]
         if bad:
             raise ValueError(f"out of range: {bad}")
 
@@ -72,14 +72,19 @@ def base_uncertainty(point: Column, p90: Column, q80: Column) -> Column:
     return F.coalesce(p90 - point, point * (F.exp(q80) - 1))
 
 
+def distances(pairs: DataFrame) -> DataFrame:
+    """pairs with the straight line between source and target place, which no parameter of a scenario changes."""
+    return pairs.withColumn("distance_km", haversine(F.col("longitude"), F.col("latitude"), F.col("target_longitude"), F.col("target_latitude")))
+
+
 def costs(pairs: DataFrame, s: Scenario | None = None) -> DataFrame:
-    """Unit and total cost of each pair (source and target place, point, reliability, uncertainty).
+    """Unit and total cost of each pair (source and target place or their distance, point, reliability, uncertainty).
 
     With s None the parameters are columns of pairs.
     """
     p = (lambda n: F.col(n)) if s is None else (lambda n: F.lit(getattr(s, n)))
-    df = pairs.withColumn("distance_km", haversine(F.col("longitude"), F.col("latitude"), F.col("target_longitude"), F.col("target_latitude")))
-    df = df.withColumn("transport", F.col("distance_km") * p("road_factor") * p("transport_cost"))
+    df = pairs if "distance_km" in pairs.columns else distances(pairs)
+    df = df.withColumn("road_km", F.col("distance_km") * p("road_factor")).withColumn("transport", F.col("road_km") * p("transport_cost"))
     multiplier = F.greatest(F.lit(1.0), F.least(p("most_multiplier"), 1 + p("reliability_gamma") * (1 - F.col("reliability"))))
     df = df.withColumn("multiplier", multiplier).withColumn("risk_penalty", p("risk_aversion") * F.col("uncertainty") * F.col("multiplier"))
     df = df.withColumn("before_loss", F.col("point") + F.col("transport") + F.col("risk_penalty"))
@@ -90,25 +95,28 @@ def costs(pairs: DataFrame, s: Scenario | None = None) -> DataFrame:
 def rank_sources(costed: DataFrame, s: Scenario | None = None, top: int = 3, by: tuple[str, ...] = ("product_id", "horizon", "target_city")) -> DataFrame:
     """The cheapest sources of each target, with savings against buying locally.
 
-    Sources must be reliable and near enough, and not the target itself.
+    Sources must be reliable and near enough by road, and not the target itself.
     """
     p = (lambda n: F.col(n)) if s is None else (lambda n: F.lit(getattr(s, n)))
     reliable = costed.filter(F.col("reliability") >= p("least_reliability"))
     w = Window.partitionBy(*by)
     local = F.max(F.when(F.col("city_id") == F.col("target_city"), F.col("unit_cost"))).over(w)
-    near = reliable.withColumn("local_cost", local).filter((F.col("city_id") != F.col("target_city")) & (F.col("distance_km") <= p("max_distance_km")))
+    near = reliable.withColumn("local_cost", local).filter((F.col("city_id") != F.col("target_city")) & (F.col("road_km") <= p("max_distance_km")))
     rank = F.row_number().over(w.orderBy("unit_cost", F.desc("reliability"), "city_id"))
     out = near.withColumn("rank", rank).filter(F.col("rank") <= top)
     return out.withColumns({"saving": F.col("local_cost") - F.col("unit_cost"), "saving_rate": F.when(F.col("local_cost") > 0, (F.col("local_cost") - F.col("unit_cost")) / F.col("local_cost"))})
 
 
-def funnel(costed: DataFrame, s: Scenario, by: tuple[str, ...] = ("product_id", "horizon", "target_city")) -> DataFrame:
-    """How many sources each filter leaves, and what the answer is."""
+def funnel(costed: DataFrame, s: Scenario, by: tuple[str, ...] = ("product_id", "horizon", "target_city"), asked: DataFrame | None = None) -> DataFrame:
+    """How many sources each filter leaves, and what the answer is; asked: keys to answer for, with or without data."""
     other = F.col("city_id") != F.col("target_city")
     reliable = F.col("reliability") >= s.least_reliability
-    near = F.col("distance_km") <= s.max_distance_km
-    out = costed.groupBy(*by).agg(F.count("*").alias("sources"), F.count_if(reliable).alias("reliable"), F.count_if(reliable & near).alias("near"), F.count_if(reliable & near & other).alias("candidates"))
-    return out.withColumn("status", F.when(F.col("candidates") > 0, "ok").otherwise("no_candidates"))
+    near = F.col("road_km") <= s.max_distance_km
+    counts = {"sources": F.count("*"), "reliable": F.count_if(reliable), "near": F.count_if(reliable & near), "candidates": F.count_if(reliable & near & other)}
+    out = costed.groupBy(*by).agg(*(c.alias(n) for n, c in counts.items()))
+    if asked is not None:
+        out = asked.select(*by).distinct().join(out, list(by), "left").na.fill(0, list(counts))
+    return out.withColumn("status", F.when(F.col("candidates") > 0, "ok").when(F.col("sources") == 0, "no_product_horizon_data").otherwise("no_candidates"))
 
 
 def parameter_grid(df: DataFrame, grid: dict[str, list[float]]) -> DataFrame:

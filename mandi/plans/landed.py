@@ -43,10 +43,10 @@ def haversine_km(spark, sf_dir):
     return out(a.join(b, F.col("city_id_a") < F.col("city_id_b")).select(F.col("city_id_a").alias("a"), F.col("city_id_b").alias("b"), haversine(F.col("longitude_a"), F.col("latitude_a"), F.col("longitude_b"), F.col("latitude_b")).alias("km")))
 
 
-@query(sql(given.QUOTES_SQL + ", anchor AS (SELECT city_id, avg(longitude) AS longitude, avg(latitude) + 0.4 AS latitude FROM mapping WHERE city_id % 3 <> 0 GROUP BY 1)", f"SELECT a.market_id, {_HAV} AS distance_km, CASE WHEN distance_km IS NULL THEN 'missing' WHEN distance_km > 100 THEN 'far' WHEN distance_km > 50 THEN 'check' WHEN distance_km > 25 THEN 'note' ELSE 'ok' END AS status FROM mapping a LEFT JOIN anchor b USING (city_id)", "", "distance_km"))
+@query(sql(given.QUOTES_SQL + ", anchor AS (SELECT city_id, avg(longitude) AS longitude, avg(latitude) + 0.4 AS latitude FROM mapping GROUP BY 1)", f"SELECT a.market_id, {_HAV} AS distance_km, CASE WHEN distance_km IS NULL THEN 'missing' WHEN distance_km > 100 THEN 'far' WHEN distance_km > 50 THEN 'check' WHEN distance_km > 25 THEN 'note' ELSE 'ok' END AS status FROM mapping a LEFT JOIN anchor b USING (city_id)", "", "distance_km"))
 def geo_audit(spark, sf_dir):
     m = given.mapping(spark, sf_dir)
-    anchor = m.filter("city_id % 3 <> 0").groupBy("city_id").agg(F.avg("longitude").alias("anchor_longitude"), (F.avg("latitude") + 0.4).alias("anchor_latitude"))
+    anchor = m.groupBy("city_id").agg(F.avg("longitude").alias("anchor_longitude"), (F.avg("latitude") + 0.4).alias("anchor_latitude"))
     return out(landed.geo_audit(m.join(anchor, "city_id", "left")).select("market_id", "distance_km", "status"))
 
 
@@ -106,15 +106,15 @@ def scenario_snapshot(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Every source of every target of a product: the product's own cities, one key of bounded size each."""
+    """Every source of every target of a product and horizon: targets are the cities that have a place, whether or not they sell."""
     s = snapshot(spark, sf_dir)
-    targets = s.select("product_id", "horizon", F.col("city_id").alias("target_city"), F.col("longitude").alias("target_longitude"), F.col("latitude").alias("target_latitude"))
-    return s.join(targets, ["product_id", "horizon"])
+    targets = geo(spark, sf_dir).select(F.col("city_id").alias("target_city"), F.col("longitude").alias("target_longitude"), F.col("latitude").alias("target_latitude"))
+    return s.join(s.select("product_id", "horizon").distinct().crossJoin(targets), ["product_id", "horizon"])
 
 
 def _costs_sql(parameters: str = "0.05::DOUBLE AS transport_cost, 0.08::DOUBLE AS loss_rate, 0.5::DOUBLE AS risk_aversion", name: str = "cost", source: str = "") -> str:
-    return f"""{name}0 AS (SELECT a.*, b.city_id AS target_city, {_HAV} AS distance_km, {parameters} FROM snap a JOIN snap b ON a.product_id = b.product_id AND a.horizon = b.horizon{source}),
-{name}1 AS (SELECT *, distance_km * 1.25 * transport_cost AS transport, greatest(1, least(1.5, 1 + (1 - reliability))) AS multiplier FROM {name}0),
+    return f"""{name}0 AS (SELECT a.*, b.city_id AS target_city, {_HAV} AS distance_km, {parameters} FROM snap a, geo b{source}),
+{name}1 AS (SELECT *, distance_km * 1.25 AS road_km, distance_km * 1.25 * transport_cost AS transport, greatest(1, least(1.5, 1 + (1 - reliability))) AS multiplier FROM {name}0),
 {name} AS (SELECT *, risk_aversion * uncertainty * multiplier AS risk_penalty, point + transport + risk_aversion * uncertainty * multiplier AS before_loss, (point + transport + risk_aversion * uncertainty * multiplier) / (1 - loss_rate) AS unit_cost FROM {name}1)"""
 
 
@@ -123,7 +123,7 @@ def landed_cost(spark, sf_dir):
     return out(landed.costs(_pairs(spark, sf_dir), SCENARIO).select("product_id", "city_id", "horizon", "target_city", "distance_km", "transport", "multiplier", "risk_penalty", "before_loss", "unit_cost", "loss_cost", "total_cost"))
 
 
-RANK_SQL = """ranked_cost AS (SELECT *, local_cost - unit_cost AS saving, (local_cost - unit_cost) / local_cost AS saving_rate FROM (SELECT *, row_number() OVER (PARTITION BY product_id, horizon, target_city ORDER BY unit_cost, reliability DESC, city_id) AS rank FROM (SELECT *, max(unit_cost) FILTER (city_id = target_city) OVER (PARTITION BY product_id, horizon, target_city) AS local_cost FROM cost WHERE reliability >= 0.65) WHERE city_id <> target_city AND distance_km <= 6000) WHERE rank <= 3)"""
+RANK_SQL = """ranked_cost AS (SELECT *, local_cost - unit_cost AS saving, (local_cost - unit_cost) / local_cost AS saving_rate FROM (SELECT *, row_number() OVER (PARTITION BY product_id, horizon, target_city ORDER BY unit_cost, reliability DESC, city_id) AS rank FROM (SELECT *, max(unit_cost) FILTER (city_id = target_city) OVER (PARTITION BY product_id, horizon, target_city) AS local_cost FROM cost WHERE reliability >= 0.65) WHERE city_id <> target_city AND road_km <= 6000) WHERE rank <= 3)"""
 
 
 @query(sql(SNAP_SQL + ",\n" + _costs_sql() + ",\n" + RANK_SQL, "SELECT product_id, horizon, target_city, city_id, rank, unit_cost, local_cost, saving, saving_rate FROM ranked_cost", "horizon target_city city_id", "unit_cost local_cost saving saving_rate"))
@@ -132,9 +132,12 @@ def rank_sources(spark, sf_dir):
     return out(ranked.select("product_id", "horizon", "target_city", "city_id", "rank", "unit_cost", "local_cost", "saving", "saving_rate"))
 
 
-@query(sql(SNAP_SQL + ",\n" + _costs_sql(), "SELECT product_id, horizon, target_city, count(*) AS sources, count(*) FILTER (reliability >= 0.65) AS reliable, count(*) FILTER (reliability >= 0.65 AND distance_km <= 6000) AS near, count(*) FILTER (reliability >= 0.65 AND distance_km <= 6000 AND city_id <> target_city) AS candidates, CASE WHEN candidates > 0 THEN 'ok' ELSE 'no_candidates' END AS status FROM cost GROUP BY 1, 2, 3", "horizon target_city"))
+@query(sql(SNAP_SQL + ",\n" + _costs_sql() + ",\nfun AS (SELECT product_id, horizon, target_city, count(*) AS sources, count(*) FILTER (reliability >= 0.65) AS reliable, count(*) FILTER (reliability >= 0.65 AND road_km <= 6000) AS near, count(*) FILTER (reliability >= 0.65 AND road_km <= 6000 AND city_id <> target_city) AS candidates FROM cost GROUP BY 1, 2, 3)", "SELECT p.product_id, h.horizon, g.city_id AS target_city, coalesce(sources, 0) AS sources, coalesce(reliable, 0) AS reliable, coalesce(near, 0) AS near, coalesce(candidates, 0) AS candidates, CASE WHEN sources IS NULL THEN 'no_product_horizon_data' WHEN candidates > 0 THEN 'ok' ELSE 'no_candidates' END AS status FROM (SELECT DISTINCT product_id FROM snap) p, (VALUES (7), (14), (28), (56)) h(horizon), geo g LEFT JOIN fun f ON f.product_id = p.product_id AND f.horizon = h.horizon AND f.target_city = g.city_id", "horizon target_city"))
 def source_funnel(spark, sf_dir):
-    return out(landed.funnel(landed.costs(_pairs(spark, sf_dir), SCENARIO), SCENARIO))
+    """Every product, place and horizon that may be asked for; nothing is forecast for the last horizon."""
+    asked = snapshot(spark, sf_dir).select("product_id").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, [*HORIZONS, 56]))))
+    asked = asked.crossJoin(geo(spark, sf_dir).select(F.col("city_id").alias("target_city")))
+    return out(landed.funnel(landed.costs(_pairs(spark, sf_dir), SCENARIO), SCENARIO, asked=asked))
 
 
 GRID = {"transport_cost": [0.02, 0.05, 0.08, 0.12], "loss_rate": [0.03, 0.08, 0.15], "risk_aversion": [0.0, 0.5, 1.0]}
@@ -142,12 +145,12 @@ GRID = {"transport_cost": [0.02, 0.05, 0.08, 0.12], "loss_rate": [0.03, 0.08, 0.
 
 def _sensitivity(spark, sf_dir) -> DataFrame:
     fixed = {"road_factor": 1.25, "reliability_gamma": 1.0, "most_multiplier": 1.5, "quantity_kg": 100.0, "least_reliability": 0.65, "max_distance_km": 6000.0}
-    each = landed.parameter_grid(_pairs(spark, sf_dir), GRID).withColumns({k: F.lit(v) for k, v in fixed.items()})
+    each = landed.parameter_grid(landed.distances(_pairs(spark, sf_dir)), GRID).withColumns({k: F.lit(v) for k, v in fixed.items()})
     return landed.rank_sources(landed.costs(each), None, by=("product_id", "horizon", "target_city", "combination"))
 
 
 GRID_SQL = SNAP_SQL + ",\n" + _costs_sql() + ",\n" + RANK_SQL + ",\n" + _costs_sql("transport_cost, loss_rate, risk_aversion, (ti * 9 + li * 3 + ri) AS combination", "grid", ", (VALUES (0, 0.02::DOUBLE), (1, 0.05::DOUBLE), (2, 0.08::DOUBLE), (3, 0.12::DOUBLE)) t(ti, transport_cost), (VALUES (0, 0.03::DOUBLE), (1, 0.08::DOUBLE), (2, 0.15::DOUBLE)) l(li, loss_rate), (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 1.0::DOUBLE)) r(ri, risk_aversion)") + """,
-gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, horizon, target_city, combination ORDER BY unit_cost, reliability DESC, city_id) AS rank FROM grid WHERE reliability >= 0.65 AND city_id <> target_city AND distance_km <= 6000) WHERE rank <= 3),
+gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, horizon, target_city, combination ORDER BY unit_cost, reliability DESC, city_id) AS rank FROM grid WHERE reliability >= 0.65 AND city_id <> target_city AND road_km <= 6000) WHERE rank <= 3),
 gs AS (SELECT product_id, horizon, target_city, city_id, count(DISTINCT combination) AS top_count, count(DISTINCT combination) FILTER (rank = 1) AS first_count, avg(rank) AS mean_rank, min(unit_cost) AS least_cost, max(unit_cost) AS most_cost FROM gr GROUP BY 1, 2, 3, 4)"""
 
 
@@ -157,13 +160,13 @@ def sensitivity(spark, sf_dir):
     return out(landed.sensitivity_summary(_sensitivity(spark, sf_dir), 36, default))
 
 
-AUDIT_SQL = ", anchor AS (SELECT city_id, avg(longitude) AS longitude, avg(latitude) + 0.4 AS latitude FROM mapping WHERE city_id % 3 <> 0 GROUP BY 1)"
+AUDIT_SQL = ", anchor AS (SELECT city_id, avg(longitude) AS longitude, avg(latitude) + 0.4 AS latitude FROM mapping GROUP BY 1)"
 
 
 @query(sql(given.QUOTES_SQL + AUDIT_SQL, f"SELECT a.market_id, {_HAV} AS distance_km FROM mapping a JOIN anchor b USING (city_id) ORDER BY distance_km DESC, market_id LIMIT 15", "", "distance_km"))
 def top_deviations(spark, sf_dir):
     m = given.mapping(spark, sf_dir)
-    anchor = m.filter("city_id % 3 <> 0").groupBy("city_id").agg(F.avg("longitude").alias("anchor_longitude"), (F.avg("latitude") + 0.4).alias("anchor_latitude"))
+    anchor = m.groupBy("city_id").agg(F.avg("longitude").alias("anchor_longitude"), (F.avg("latitude") + 0.4).alias("anchor_latitude"))
     return out(landed.top_deviations(landed.geo_audit(m.join(anchor, "city_id", "left"))).select("market_id", "distance_km"))
 
 
