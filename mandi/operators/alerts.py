@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import median
 
-from . import metrics, temporal
+from . import metrics, tables, temporal
 
 KEYS = temporal.KEYS
 # How many past windows each level of the seasonal threshold needs.
@@ -41,58 +41,32 @@ def future_peak(spine: DataFrame, series: DataFrame, days: int = 14, at_least: i
 _BY = {"city_product_month": ["product_id", "city_id", "month"], "city_product_all": ["product_id", "city_id"], "product_month": ["product_id", "month"], "product_all": ["product_id"], "global": []}
 
 
-def seasonal_thresholds(peaks: DataFrame, levels: dict[str, int] = LEVELS, fine: int = 64) -> DataFrame:
+def seasonal_thresholds(peaks: DataFrame, levels: dict[str, int] = LEVELS) -> DataFrame:
     """q90 and q95 of peak returns of windows that ended by the origin, at the finest level with enough.
 
-    A window counts under its own origin's month.  Levels within a series are one sorted pass each.
-    A wide level's origins ask wide_quantiles(), and only where no finer level answers.
+    A window counts under its own origin's month.  Running counts over weeks say how many windows each level
+    has seen at each origin, and so at which level an origin asks; the quantiles of all levels come from one rank
+    descent, in which an origin costs a few rows a round and never meets the windows themselves.
     """
     df = peaks.withColumn("month", F.month("origin_date"))
-    past = df.select("product_id", "city_id", "month", "window_end", "peak_return")
-    for name in ("city_product_month", "city_product_all"):
-        seen = past.select(*_BY[name], "window_end", F.col("peak_return").alias("past_return"))
-        df = temporal.so_far(df, seen, _BY[name], "origin_date", "window_end", {f"n_{name}": F.count("past_return"), f"q_{name}": F.percentile("past_return", F.array(*map(F.lit, QUANTILES)))})
-    open_ = reduce(Column.__and__, (F.coalesce(F.col(f"n_{n}"), F.lit(0)) < levels[n] for n in ("city_product_month", "city_product_all")))
-    for name in ("product_month", "product_all", "global"):
-        by = _BY[name]
-        asked = df.filter(open_).select(*by, "origin_date").distinct()
-        got = wide_quantiles(asked, past, by, fine).select(*by, "origin_date", F.col("n").alias(f"n_{name}"), F.col("q").alias(f"q_{name}"))
-        df = df.join(got, [*by, "origin_date"], "left")
-        open_ = open_ & (F.coalesce(F.col(f"n_{name}"), F.lit(0)) < levels[name])
-    ends = past.groupBy("window_end").agg(F.count("*").alias("n"))  # one row a week
-    latest = df.select("origin_date").distinct().join(ends, F.col("window_end") <= F.col("origin_date")).groupBy("origin_date").agg(F.max("window_end").alias("history_end"))
-    df = df.join(latest, "origin_date", "left")
+    # a slice is what one level puts together
+    slice_of = {n: F.concat_ws("|", F.lit(n), *(F.col(c).cast("string") for c in _BY[n])) for n in _BY}
+    sliced = df.select("window_end", "peak_return", F.explode(F.array(*slice_of.values())).alias("slice"))
+    weekly = sliced.groupBy("slice", "window_end").agg(F.count("*").alias("rows"))
+    asks = df.select("origin_date", F.explode(F.array(*slice_of.values())).alias("slice")).distinct()
+    counts = tables.kept(temporal.so_far(asks, weekly, ["slice"], "origin_date", "window_end", {"n": F.sum("rows")}).na.fill(0, ["n"]), "seen")
+    for name, slice_ in slice_of.items():
+        seen = counts.select(F.col("slice").alias("slice_"), F.col("origin_date").alias("at_"), F.col("n").alias(f"n_{name}"))
+        df = df.join(seen, (slice_ == F.col("slice_")) & (F.col("origin_date") == F.col("at_"))).drop("slice_", "at_")
     enough = {n: F.col(f"n_{n}") >= m for n, m in levels.items()}
     pick = lambda f: F.coalesce(*(F.when(ok, f(n)) for n, ok in enough.items()))
-    out = df.withColumns({"threshold_level": pick(F.lit), "threshold_count": pick(lambda n: F.col(f"n_{n}")), "q": pick(lambda n: F.col(f"q_{n}"))})
-    out = out.withColumns({"threshold_q90": F.col("q")[0], "threshold_q95": F.col("q")[1]})
-    return out.filter("threshold_level IS NOT NULL").drop("q", *(f"{c}_{n}" for n in _BY for c in "nq"))
-
-
-def wide_quantiles(asked: DataFrame, past: DataFrame, by: list[str], fine: int = 64) -> DataFrame:
-    """asked (by, origin_date) with n and q: the QUANTILES of peak returns of windows that ended by the origin.
-
-    Returns are counted by slices, ``fine`` for each unit, and week; running counts over weeks and then
-    over slices tell in which slice an origin's ranks lie, and only that slice's rows are ranked.  So a
-    group's size shows in counts alone: no task or join holds a whole history.
-    """
-    sliced = past.select(*by, "window_end", "peak_return", F.floor(F.col("peak_return") * fine).alias("slice"))
-    weekly = sliced.groupBy(*by, "slice", "window_end").agg(F.count("*").alias("rows"))
-    slices = weekly.select(*by, "slice").distinct()
-    every = asked.join(slices, by) if by else asked.crossJoin(F.broadcast(slices))  # slices are a few hundred
-    run = temporal.so_far(every, weekly, [*by, "slice"], "origin_date", "window_end", {"rows": F.sum("rows")}).filter("rows > 0")
-    w = Window.partitionBy(*by, "origin_date")
-    run = run.withColumns({"n": F.sum("rows").over(w), "upto": F.sum("rows").over(w.orderBy("slice"))})
-    # a quantile lies between two ranks
-    place = [(F.col("n") - 1) * q for q in QUANTILES]
-    ranks = F.array(*(F.struct(F.lit(i).alias("i"), (F.floor(p) + side + 1).alias("rank"), (F.abs(1 - side - (p - F.floor(p)))).alias("part")) for i, p in enumerate(place) for side in (0, 1)))
-    each = run.withColumn("r", F.explode(ranks)).filter((F.col("r.rank") <= F.col("upto")) & (F.col("r.rank") > F.col("upto") - F.col("rows")))
-    each = each.select(*by, "origin_date", "slice", "n", "r.i", "r.part", (F.col("r.rank") - F.col("upto") + F.col("rows")).alias("rank"))
-    want = each.groupBy(*by, "origin_date", "slice", "n").agg(F.collect_list(F.struct("i", "rank", "part")).alias("wanted"))
-    hit = want.join(sliced, [*by, "slice"]).filter(F.col("window_end") <= F.col("origin_date"))
-    placed = hit.withColumn("place", F.row_number().over(Window.partitionBy(*by, "origin_date", "slice").orderBy("peak_return")))
-    share = lambda i: F.sum(F.aggregate(F.filter("wanted", lambda x: (x["i"] == i) & (x["rank"] == F.col("place"))), F.lit(0.0), lambda acc, x: acc + x["part"]) * F.col("peak_return"))
-    return placed.groupBy(*by, "origin_date", "n").agg(F.array(*(share(i) for i in range(len(QUANTILES)))).alias("q"))
+    df = df.withColumns({"threshold_level": pick(F.lit), "threshold_count": pick(lambda n: F.col(f"n_{n}")), "slice": pick(slice_of.get)}).filter("threshold_level IS NOT NULL")
+    df = tables.kept(df.drop(*(f"n_{n}" for n in _BY)), "levels")
+    q = temporal.quantiles_so_far(df.select("slice", "origin_date").distinct(), sliced, ["slice"], "origin_date", "window_end", "peak_return", QUANTILES)
+    ends = weekly.groupBy("window_end").agg(F.sum("rows").alias("rows")).select(F.lit(0).alias("one"), "window_end", F.col("window_end").alias("end"))  # one row a week
+    latest = temporal.so_far(df.select("origin_date").distinct().withColumn("one", F.lit(0)), ends, ["one"], "origin_date", "window_end", {"history_end": F.max("end")}).drop("one")
+    out = df.join(q.drop("n"), ["slice", "origin_date"]).join(latest, "origin_date", "left")
+    return out.withColumns({"threshold_q90": F.col("q")[0], "threshold_q95": F.col("q")[1]}).drop("q", "slice")
 
 
 def raw_events(df: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import calendar, log_return, median
 
+from . import tables
+
 KEYS = ["product_id", "city_id"]
 LAGS, TOLERANCE = (1, 7, 14, 28, 56), 3
 WINDOWS = (7, 14, 28, 56, 90)
@@ -114,11 +116,6 @@ def direction_share(spine: DataFrame, series: DataFrame, days: int = 14) -> Data
     return spine.select(*KEYS, "origin_date").join(got, [*KEYS, "origin_date"], "left")
 
 
-def _history(targets: DataFrame, series: DataFrame) -> DataFrame:
-    """All days up to the origin: for the few targets that ask for a whole history; a series is one join key."""
-    return targets.join(series.select(*KEYS, F.col("date").alias("day"), "price"), KEYS).filter(F.col("day") <= F.col("origin_date"))
-
-
 def so_far(asked: DataFrame, seen: DataFrame, keys: list[str], at: str, day: str, columns: dict[str, Column]) -> DataFrame:
     """asked with columns: window aggregates over the rows of seen (same keys) whose day is at or before ``at``.
 
@@ -132,17 +129,51 @@ def so_far(asked: DataFrame, seen: DataFrame, keys: list[str], at: str, day: str
     return a.unionByName(b).withColumns({n: c.over(w) for n, c in columns.items()}).filter("kind_ = 1").select("asked_.*", *columns)
 
 
+def quantiles_so_far(asked: DataFrame, seen: DataFrame, keys: list[str], at: str, day: str, value: str, qs: tuple[float, ...], bits: int = 6) -> DataFrame:
+    """asked (keys, at; distinct) with n and q: exact quantiles qs of the values of seen whose day is at or before ``at``; none seen: no row.
+
+    Rank descent.  Values are replaced by their ranks among all distinct values, and a rank is read as digits
+    of ``bits`` bits.  From the first digit on, rows are counted by digit and day, running counts over days and then
+    digits tell which digit the wanted rank has, and the next round counts only rows that begin so.  Counts merge in
+    any order; an asked row costs at most 2**bits rows a round, whatever its history.
+    """
+    seen = seen.filter(F.col(value).isNotNull())
+    codes = tables.kept(tables.numbered(seen.select(F.col(value).alias("value__")).distinct(), [], ["value__"], "code__"), "codes")
+    rounds = max(1, -(-int(codes.count()).bit_length() // bits))
+    rows = seen.join(codes, seen[value] == F.col("value__")).groupBy(*keys, "code__", day).agg(F.count("*").alias("rows__"))
+    rows = tables.kept(rows, "counts")
+    every = so_far(asked, rows.groupBy(*keys, day).agg(F.sum("rows__").alias("rows__")), keys, at, day, {"n": F.sum("rows__")}).filter("n > 0")
+    # a quantile lies between two ranks; each has its part
+    place = [(F.col("n") - 1) * q for q in qs]
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), (F.floor(p) + side + 1).alias("rank"), F.abs(1 - side - (p - F.floor(p))).alias("part")) for i, p in enumerate(place) for side in (0, 1)))
+    wanted = every.withColumn("r", F.explode(ranks)).filter("r.part > 0").select(*keys, at, "n", "r.*", F.lit(0).cast("long").alias("prefix__"))
+    for shift in range((rounds - 1) * bits, -1, -bits):
+        cut = rows.withColumns({"prefix__": F.shiftright("code__", shift + bits), "digit__": F.shiftright("code__", shift).bitwiseAND(F.lit(2**bits - 1))})
+        heads = wanted.select(*keys, "prefix__").distinct()
+        counts = cut.join(heads, [*keys, "prefix__"], "left_semi").groupBy(*keys, "prefix__", "digit__", day).agg(F.sum("rows__").alias("rows__"))
+        each = wanted.select(*keys, "prefix__", at).distinct().join(counts.select(*keys, "prefix__", "digit__").distinct(), [*keys, "prefix__"])
+        run = so_far(each, counts, [*keys, "prefix__", "digit__"], at, day, {"rows__": F.sum("rows__")}).filter("rows__ > 0")
+        run = run.withColumn("upto__", F.sum("rows__").over(Window.partitionBy(*keys, "prefix__", at).orderBy("digit__")))
+        hit = wanted.join(run, [*keys, "prefix__", at]).filter((F.col("rank") <= F.col("upto__")) & (F.col("rank") > F.col("upto__") - F.col("rows__")))
+        wanted = hit.select(*keys, at, "n", "i", (F.col("rank") - F.col("upto__") + F.col("rows__")).alias("rank"), "part", (F.col("prefix__") * 2**bits + F.col("digit__")).alias("prefix__"))
+        wanted = tables.kept(wanted, "ranks")
+    named = wanted.join(codes, F.col("prefix__") == F.col("code__"))
+    return named.groupBy(*keys, at, "n").agg(F.array(*(F.sum(F.when(F.col("i") == i, F.col("part") * F.col("value__"))) for i in range(len(qs)))).alias("q"))
+
+
 def seasonal_median(targets: DataFrame, series: DataFrame, at_least: int = 3) -> DataFrame:
     """Median price of the target's calendar month so far; of the whole history if there are too few days.
 
-    A series' calendar month is one sorted pass; only targets with too few days there meet the history.
+    Counts say which of both a target takes; then all medians come from one rank descent.
     """
     keys = [*KEYS, "origin_date", "target_date"]
-    asked = targets.select(*keys).withColumn("month_", F.month("target_date"))
-    seen = series.select(*KEYS, F.month("date").alias("month_"), F.col("date").alias("day"), "price")
-    got = so_far(asked, seen, [*KEYS, "month_"], "origin_date", "day", {"seasonal_count": F.count("price"), "own": median("price")})
-    few = _history(got.filter(F.col("seasonal_count") < at_least).select(*keys), series).groupBy(*keys).agg(median("price").alias("whole"))
-    return got.join(few, keys, "left").select(*keys, "seasonal_count", F.when(F.col("seasonal_count") >= at_least, F.col("own")).otherwise(F.col("whole")).alias("seasonal_median"))
+    asked = targets.select(*keys).withColumn("scope_", F.month("target_date"))
+    days = series.select(*KEYS, F.month("date").alias("scope_"), F.col("date").alias("day"), "price")
+    got = so_far(asked, days, [*KEYS, "scope_"], "origin_date", "day", {"seasonal_count": F.count("price")})
+    got = got.withColumn("scope_", F.when(F.col("seasonal_count") >= at_least, F.col("scope_")).otherwise(0))
+    both = days.unionByName(days.withColumn("scope_", F.lit(0)))
+    median_ = quantiles_so_far(got.select(*KEYS, "scope_", "origin_date").distinct(), both, [*KEYS, "scope_"], "origin_date", "day", "price", (0.5,))
+    return got.join(median_, [*KEYS, "scope_", "origin_date"], "left").select(*keys, "seasonal_count", F.col("q")[0].alias("seasonal_median"))
 
 
 def weekly_pattern(targets: DataFrame, series: DataFrame, last: int = 4) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mandi.operators import cityday, mapping, quality
+from mandi.operators import cityday, mapping, quality, tables
 from mandi.sources import given
 
 
@@ -35,18 +33,6 @@ def sql(body: str, select: str, longs: str = "", doubles: str = "", digits: int
 
 
 _layers: dict = {}
-_own_dirs: dict[str, str] = {}
-
-
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a single machine, else one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext
-    if not (context.master == "local" or context.master.startswith("local[")):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/mandi-tables"
-    return _own_dirs.setdefault(context.applicationId, _own_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="mandi-"))
 
 
 def _listing(spark: SparkSession, folder: str) -> tuple:
@@ -66,9 +52,7 @@ def layer(f):
         key = (f.__module__, f.__name__, sf_dir, _listing(spark, sf_dir), spark.sparkContext.applicationId)
         if key not in _layers:
             df = f(spark, sf_dir)
-            path = f"{_shared_dir(spark)}/mandi-{f.__name__}-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            _layers[key] = spark.read.schema(df.schema).parquet(path)
+            _layers[key] = tables.kept(df, f.__name__)
         return _layers[key]
 
     return get

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mandi.operators import contracts
+from mandi.operators import contracts, tables
 
 RAW_COLUMNS = ("raw_date", "raw_index", "raw_province", "raw_market", "raw_price", "raw_previous_price", "raw_change")
 
@@ -33,8 +33,8 @@ def read_quotes(spark: SparkSession, paths, products: DataFrame, columns: tuple[
 
 
 def with_trace_key(df: DataFrame, file: str, order: list) -> DataFrame:
-    """1-based number of each data row within its file."""
-    return df.withColumn("row_in_file", F.row_number().over(Window.partitionBy(file).orderBy(*order)).cast("long"))
+    """1-based number of each data row within its file; a large file's splits are counted and numbered on their own."""
+    return tables.numbered(df, [file], order, "row_in_file")
 
 
 def parse_quotes(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mandi.operators import alerts, forecast, metrics, shocks, temporal
+from mandi.operators import alerts, forecast, metrics, shocks, tables, temporal
 from mandi.plans import temporal as plans
 
 SF = "/root/testdata/sf0.001"
@@ -105,21 +105,39 @@ def test_edges_bootstrap_and_release(spark):
     assert shocks.release_decision(final.filter("false"), network).first().frozen_edges == 0
 
 
-def test_quantiles_of_growing_histories(spark):
+@pytest.mark.parametrize("bits", [1, 3, 6])
+def test_quantiles_of_growing_histories(spark, bits):
+    """Rank descent with few and many digits: ties, nulls, a group without history, all groups as one."""
     rng = random.Random(2)
     start = date(2000, 1, 3)
-    past = [(p, start + timedelta(days=7 * rng.randrange(30)), round(rng.gauss(0, 0.3), 2)) for p in "ab" for _ in range(120)]
-    asked = [(p, start + timedelta(days=7 * w)) for p in "ab" for w in range(0, 32, 3)]
-    frame = spark.createDataFrame(past, "product_id string, window_end date, peak_return double")
-    spine = spark.createDataFrame(asked, "product_id string, origin_date date")
-    for by in (["product_id"], []):
-        got = alerts.wide_quantiles(spine.select(*by, "origin_date").distinct(), frame, by, fine=8).collect()
+    past = [(p, "x", start + timedelta(days=7 * rng.randrange(30)), rng.choice([None, round(rng.gauss(0, 0.3), 2)])) for p in "ab" for _ in range(120)]
+    asked = [(p, "x", start + timedelta(days=7 * w)) for p in "abc" for w in range(0, 32, 3)]
+    frame = spark.createDataFrame(past, "product_id string, every string, window_end date, peak_return double").repartition(3)
+    spine = spark.createDataFrame(asked, "product_id string, every string, origin_date date")
+    for by in ("product_id", "every"):
+        got = temporal.quantiles_so_far(spine.select(by, "origin_date").distinct(), frame, [by], "origin_date", "window_end", "peak_return", (0.9, 0.95, 0.5, 1.0), bits).collect()
         want = {}
-        for p, day in asked:
-            values = [v for q, end, v in past if end <= day and (not by or p == q)]
+        for p, _, day in asked:
+            values = [v for q, _, end, v in past if end <= day and v is not None and by in ("every", {p: "product_id"}.get(q))]
             if values:
-                want[(p, day) if by else day] = (len(values), *np.quantile(values, alerts.QUANTILES))
-        assert {(r.product_id, r.origin_date) if by else r.origin_date: (r.n, *map(pytest.approx, r.q)) for r in got} == want
+                want[p if by == "product_id" else "x", day] = (len(values), *np.quantile(values, (0.9, 0.95, 0.5, 1.0)))
+        assert {(r[by], r.origin_date): (r.n, *map(pytest.approx, r.q)) for r in got} == want
+
+
+def test_numbers_over_many_tasks(spark):
+    """One group over all tasks, small and null groups, ties."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["big"] * 20 + ["a", "b", None]), rng.randrange(200), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "file string, place int, id int").repartition(7)
+    got = tables.numbered(df, ["file"], ["place", "id"], "row").collect()
+    want, counts = {}, defaultdict(int)
+    for f, p, i in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        counts[f] += 1
+        want[i] = counts[f]
+    assert {r.id: r.row for r in got} == want and len(got) == 3000
+    everywhere = tables.numbered(df, [], ["place"], "row").collect()
+    assert sorted(r.row for r in everywhere) == list(range(1, 3001)) and [r.place for r in sorted(everywhere, key=lambda r: r.row)] == sorted(p for _, p, _ in rows)
+    assert tables.numbered(df.filter("id < 0"), ["file"], ["place"], "row").count() == 0
 
 
 def test_ranks_curves_and_medians_by_slices(spark):
