@@ -120,12 +120,46 @@ def candidate_edges(cities: DataFrame, most: int = 8, share: float = 0.35) -> Da
     return df.withColumn("candidate_rank", rank).filter(F.col("candidate_rank") <= F.least(F.lit(most), F.floor(F.col("others") * share))).select("product_id", "source_city_id", "target_city_id", "candidate_rank", "same_province", "distance_km")
 
 
+def gram(panel: DataFrame, columns: list[str], bins: int = 64) -> DataFrame:
+    """product_id, a, b (cities, a < b) and for each column n, means' and products' sums over the bins in which both have a value.
+
+    The matrix of a product's bins by cities is cut into blocks of ``bins`` days' bins; a block's partial products of
+    columns are one matrix product, and blocks add up.  The panel isn't joined with itself.
+    """
+    names = [f"{x}_{c}" for c in columns for x in ("n", "sa", "sb", "qa", "qb", "ab")]
+
+    def partial(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        cities, at = np.unique(rows["city_id"].to_numpy(str), return_inverse=True)
+        days, day = np.unique(rows["day"].to_numpy(), return_inverse=True)
+        i, j = np.triu_indices(len(cities), 1)
+        out = {"product_id": key[0], "a": cities[i], "b": cities[j]}
+        for c in columns:
+            x, m = np.zeros((2, len(days), len(cities)))
+            value = rows[c].to_numpy(float)
+            x[day, at], m[day, at] = np.nan_to_num(value), ~np.isnan(value)
+            n, s, q, xy = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+            out |= dict(zip((f"{k}_{c}" for k in ("n", "sa", "sb", "qa", "qb", "ab")), (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], xy[i, j]), strict=True))
+        found = pd.DataFrame(out)
+        return found[found[[f"n_{c}" for c in columns]].max(axis=1) > 0]
+
+    day = F.unix_date("bin_start")
+    blocks = panel.select("product_id", F.col("city_id").cast("string").alias("city_id"), day.alias("day"), F.floor(day / bins).alias("block"), *(F.col(c).cast("double").alias(c) for c in columns)).groupBy("product_id", "block")
+    ddl = f"product_id {panel.schema['product_id'].dataType.simpleString()}, a string, b string, " + ", ".join(f"{n} double" for n in names)
+    return blocks.applyInPandas(partial, ddl).groupBy("product_id", "a", "b").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def correlations(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """gram()'s pairs with rho and n of each column (a column without variance: null)."""
+    v = lambda c, x: F.col(f"n_{c}") * F.col(f"q{x}_{c}") - F.col(f"s{x}_{c}") * F.col(f"s{x}_{c}")
+    spread = lambda c: F.sqrt(F.greatest(v(c, "a"), F.lit(0.0)) * F.greatest(v(c, "b"), F.lit(0.0)))
+    rho = lambda c: F.when(spread(c) > 0, (F.col(f"n_{c}") * F.col(f"ab_{c}") - F.col(f"sa_{c}") * F.col(f"sb_{c}")) / spread(c))
+    return pairs.select("product_id", "a", "b", *(x for c in columns for x in (rho(c).alias(f"rho_{c}"), F.col(f"n_{c}").cast("long").alias(f"n_{c}"))))
+
+
 def pairwise_corr(panel: DataFrame, columns: list[str], at_least: int = 30) -> DataFrame:
     """Mean and median absolute correlation of a product's pairs of cities over common bins."""
-    a, b = panel.select("product_id", "bin_start", F.col("city_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns)), panel.select("product_id", "bin_start", F.col("city_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    both = a.join(b, ["product_id", "bin_start"]).filter("a < b")
-    pair = both.groupBy("product_id", "a", "b").agg(*(F.corr(F.when(F.col(f"{c}_b").isNotNull(), F.col(f"{c}_a")), F.when(F.col(f"{c}_a").isNotNull(), F.col(f"{c}_b"))).alias(c) for c in columns), *(F.count(F.col(f"{c}_a") + F.col(f"{c}_b")).alias(f"n_{c}") for c in columns))
-    ok = lambda c: F.when(F.col(f"n_{c}") >= at_least, F.abs(c))
+    pair = correlations(gram(panel, columns), columns)
+    ok = lambda c: F.when(F.col(f"n_{c}") >= at_least, F.abs(f"rho_{c}"))
     return pair.groupBy("product_id").agg(*(x for c in columns for x in (F.count(ok(c)).alias(f"pairs_{c}"), F.avg(ok(c)).alias(f"mean_{c}"), median(ok(c)).alias(f"median_{c}"))))
 
 
@@ -320,11 +354,13 @@ def feasibility(eligible: DataFrame, edges: DataFrame, panel: DataFrame, splits:
     return df.withColumn("possible_edges", possible).withColumn("density", F.when(F.col("possible_edges") > 0, F.col("candidate_edges") / F.col("possible_edges")).otherwise(0.0))
 
 
-def correlation_tests(frame: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Contemporaneous correlation of each edge and its two-sided t test, raw and residual."""
-    got = frame.groupBy(*EDGE).agg(*(x for n, (a, b) in pairs.items() for x in (F.corr(a, b).alias(f"rho_{n}"), F.count(F.col(a) + F.col(b)).alias(f"n_{n}"))))
+def correlation_tests(edges: DataFrame, pairs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Contemporaneous correlation of each edge's two cities and its two-sided t test, from gram()'s pairs; columns: name of a test, its column."""
+    both = correlations(pairs, list(columns.values())).withColumnsRenamed({f"{x}_{c}": f"{x}_{n}" for n, c in columns.items() for x in ("rho", "n")})
+    ends = {"a": F.least("source_city_id", "target_city_id"), "b": F.greatest("source_city_id", "target_city_id")}
+    got = edges.select(*EDGE).withColumns(ends).join(both, ["product_id", "a", "b"]).drop("a", "b")
     tail = F.pandas_udf(lambda t, df: pd.Series([t_tail(x, d) if x == x and d > 0 else None for x, d in zip(t, df, strict=True)]), "double")
-    for n in pairs:
+    for n in columns:
         rho, df = F.col(f"rho_{n}"), F.col(f"n_{n}") - 2
         got = got.withColumn(f"p_{n}", tail(F.abs(rho) * F.sqrt(df / F.greatest(1 - rho * rho, F.lit(1e-12))), df.cast("double")))
     return got

@@ -58,6 +58,11 @@ def layer(f):
     return get
 
 
+def folder_of(written: DataFrame) -> str:
+    """The folder of a layer's files."""
+    return written.inputFiles()[0].rpartition("/")[0]
+
+
 def forget_layers() -> None:
     """Let the next query measure its layers anew."""
     _layers.clear()

@@ -9,7 +9,7 @@ from mandi.functions.scalar import split_of
 from mandi.operators import cityday, contracts, coverage, mapping, monitor, quality
 from mandi.sources import files, given, sinks
 
-from .common import DAYS_SQL, FLAGS_SQL, city_days, flagged, market_days, out, sql
+from .common import DAYS_SQL, FLAGS_SQL, city_days, flagged, folder_of, market_days, out, sql
 
 Q, SQL = {}, {}
 
@@ -64,9 +64,16 @@ def manifest(spark, sf_dir):
     return out(sinks.manifest(df, ["product_id"], "date", {"dear": F.col("price") > 10000, "mapped": F.col("mapping_status") == "mapped_existing_city"}))
 
 
-@query("SELECT min(l_shipdate) AS first_date, max(l_shipdate) AS last_date FROM lineitem")
+@query(sql(DAYS_SQL, "SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS rows FROM city_day"))
 def date_range(spark, sf_dir):
-    return sinks.date_range(given.table(spark, sf_dir, "lineitem"), "l_shipdate")
+    """From the footers of the city-days' files: no row group is read."""
+    return sinks.date_range(spark, folder_of(city_days(spark, sf_dir)), "date")
+
+
+@query("SELECT count(*) AS rows, min(l_orderkey) AS first_l_orderkey, max(l_orderkey) AS last_l_orderkey, min(l_quantity) AS first_l_quantity, max(l_quantity) AS last_l_quantity, min(l_shipdate) AS first_l_shipdate, max(l_shipdate) AS last_l_shipdate FROM lineitem")
+def file_statistics(spark, sf_dir):
+    """A table's rows and ranges; the ship date is a timestamp, whose column is scanned."""
+    return sinks.statistics(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_shipdate"])
 
 
 @query()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import split_of
-from mandi.operators import metrics, shocks, temporal
-from mandi.sources import given
+from mandi.operators import metrics, shocks, tables, temporal
+from mandi.sources import given, sinks
 
 from .common import DAYS_SQL, city_days, layer, out, sql
 from .landed import _HAV, GEO_SQL
@@ -129,9 +131,21 @@ def candidate_edges(spark, sf_dir):
     return out(edges(spark, sf_dir))
 
 
-@query(sql(PANEL_SQL + ", pr AS (SELECT a.product_id, a.city_id AS a, b.city_id AS b, corr(a.adjusted_return, b.adjusted_return) AS c, count(a.adjusted_return + b.adjusted_return) AS n FROM panel a JOIN panel b ON a.product_id = b.product_id AND a.bin_start = b.bin_start AND a.city_id < b.city_id GROUP BY 1, 2, 3)", "SELECT product_id, count(abs(c)) FILTER (n >= 10) AS pairs_adjusted_return, avg(abs(c)) FILTER (n >= 10) AS mean_adjusted_return, median(abs(c)) FILTER (n >= 10) AS median_adjusted_return FROM pr GROUP BY 1", "", "mean_adjusted_return median_adjusted_return"))
+PAIRS_SQL = PANEL_SQL + ", pr AS (SELECT a.product_id, a.city_id AS a, b.city_id AS b, corr(a.adjusted_return, b.adjusted_return) AS c, count(a.adjusted_return + b.adjusted_return) AS n, corr(a.residual, b.residual) AS d, count(a.residual + b.residual) AS m FROM panel a JOIN panel b ON a.product_id = b.product_id AND a.bin_start = b.bin_start AND a.city_id < b.city_id GROUP BY 1, 2, 3)"
+
+
+@query(sql(PAIRS_SQL, "SELECT product_id, count(abs(c)) FILTER (n >= 10) AS pairs_adjusted_return, avg(abs(c)) FILTER (n >= 10) AS mean_adjusted_return, median(abs(c)) FILTER (n >= 10) AS median_adjusted_return, count(abs(d)) FILTER (m >= 10) AS pairs_residual, avg(abs(d)) FILTER (m >= 10) AS mean_residual, median(abs(d)) FILTER (m >= 10) AS median_residual FROM pr GROUP BY 1", "", "mean_adjusted_return median_adjusted_return mean_residual median_residual"))
 def pairwise_corr(spark, sf_dir):
-    return out(shocks.pairwise_corr(panel(spark, sf_dir), ["adjusted_return"], 10))
+    """Raw and factor-adjusted co-movement."""
+    return out(shocks.pairwise_corr(panel(spark, sf_dir), ["adjusted_return", "residual"], 10))
+
+
+@query(sql(PAIRS_SQL, "SELECT product_id, a, b, n, m, CASE WHEN n >= 10 THEN c END AS rho, CASE WHEN m >= 10 THEN d END AS rho_residual FROM pr WHERE n > 0 OR m > 0", "", "rho rho_residual", 5))
+def city_pairs(spark, sf_dir):
+    """Every pair's correlations."""
+    got = shocks.correlations(shocks.gram(panel(spark, sf_dir), ["adjusted_return", "residual"]), ["adjusted_return", "residual"])
+    n, m = F.col("n_adjusted_return"), F.col("n_residual")
+    return out(got.select("product_id", "a", "b", n.alias("n"), m.alias("m"), F.when(n >= 10, F.col("rho_adjusted_return")).alias("rho"), F.when(m >= 10, F.col("rho_residual")).alias("rho_residual")), 5)
 
 
 @query(sql(PANEL_SQL + ", p AS (SELECT product_id, city_id, round(stddev_samp(residual) / 10, 9) AS p_value FROM panel GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY p_value NULLS LAST, city_id) AS k, count(p_value) OVER (PARTITION BY product_id) AS n FROM p), q AS (SELECT *, least(1, min(p_value * n / k) OVER (PARTITION BY product_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q_value FROM r WHERE p_value IS NOT NULL)", "SELECT p.product_id, p.city_id, q.q_value, coalesce(q.q_value <= 0.05, false) AS reject FROM p LEFT JOIN q USING (product_id, city_id)", "", "q_value"))
@@ -229,17 +243,32 @@ def series_ols(spark, sf_dir):
 @layer
 def network_tests(spark, sf_dir) -> DataFrame:
     """Edges with contemporaneous correlation tests, raw and residual, false discoveries held within a product."""
-    p = panel(spark, sf_dir)
-    lagged = p.withColumns({"adjusted": F.col("adjusted_return"), "res": F.col("residual")})
-    a = lagged.select("product_id", F.col("city_id").alias("target_city_id"), "bin_start", F.col("adjusted").alias("ta"), F.col("res").alias("tr"))
-    b = lagged.select("product_id", F.col("city_id").alias("source_city_id"), "bin_start", F.col("adjusted").alias("sa"), F.col("res").alias("sr"))
-    frame = edges(spark, sf_dir).join(a, ["product_id", "target_city_id"]).join(b, ["product_id", "source_city_id", "bin_start"]).dropna(subset=["ta", "tr", "sa", "sr"])
-    tests = shocks.correlation_tests(frame, {"raw": ("ta", "sa"), "residual": ("tr", "sr")})
+    p = panel(spark, sf_dir)  # both tests over the bins in which both cities have a residual
+    both = shocks.gram(p.withColumn("adjusted", F.when(F.col("residual").isNotNull(), F.col("adjusted_return"))), ["adjusted", "residual"])
+    tests = shocks.correlation_tests(edges(spark, sf_dir), both, {"raw": "adjusted", "residual": "residual"})
     raw = metrics.benjamini_hochberg(tests, ["product_id"], key=_KEY, p="p_raw").withColumnsRenamed({"q_value": "q_raw", "reject": "reject_raw"})
     return metrics.benjamini_hochberg(raw, ["product_id"], key=_KEY, p="p_residual").withColumnsRenamed({"q_value": "q_residual", "reject": "reject_residual"})
 
 
-@query()
+# The tail of t for whole degrees of freedom v is a finite series in cos(atan(t / sqrt(v))).
+T_TAIL = """CASE WHEN v % 2 = 0 THEN 1 - sin(th) * coalesce(list_sum(list_transform(range(0, v // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(th), 2 * k))), 0)
+  ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos(th), 2 * k + 1))), 0)) END"""
+
+
+def _bh(name: str) -> str:
+    return f"""bh_{name}0 AS (SELECT *, atan(abs(rho_{name}) * sqrt(v / greatest(1 - rho_{name} * rho_{name}, 1e-12)) / sqrt(v)) AS th FROM tested WHERE v > 0 AND rho_{name} IS NOT NULL),
+bh_{name}1 AS (SELECT *, {T_TAIL} AS p FROM bh_{name}0),
+bh_{name}2 AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY p, target_city_id, source_city_id) AS k, count(*) OVER (PARTITION BY product_id) AS m FROM bh_{name}1),
+bh_{name} AS (SELECT *, least(1, min(p * m / k) OVER (PARTITION BY product_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM bh_{name}2)"""
+
+
+NETWORK_SQL = EDGES_SQL + """,
+pairs_ AS (SELECT a.product_id, a.city_id AS a, b.city_id AS b, corr(a.adjusted_return, b.adjusted_return) AS rho_raw, corr(a.residual, b.residual) AS rho_residual, count(*)::INT - 2 AS v FROM panel a JOIN panel b ON a.product_id = b.product_id AND a.bin_start = b.bin_start AND a.city_id < b.city_id WHERE a.residual IS NOT NULL AND b.residual IS NOT NULL GROUP BY 1, 2, 3),
+tested AS (SELECT e.product_id, source_city_id, target_city_id, rho_raw, rho_residual, v FROM edges e JOIN pairs_ x ON x.product_id = e.product_id AND x.a = least(source_city_id, target_city_id) AND x.b = greatest(source_city_id, target_city_id) WHERE candidate_rank <= least(8, floor(others * 0.35))),
+""" + _bh("raw") + ",\n" + _bh("residual")
+
+
+@query(sql(NETWORK_SQL, "SELECT product_id, count(*) AS edges, (SELECT count(*) FROM bh_raw r WHERE r.product_id = t.product_id AND q <= 0.05) AS raw, (SELECT count(*) FROM bh_residual r WHERE r.product_id = t.product_id AND q <= 0.05) AS residual FROM tested t GROUP BY 1"))
 def correlation_network(spark, sf_dir):
     return out(network_tests(spark, sf_dir).groupBy("product_id").agg(F.count("*").alias("edges"), F.count_if("reject_raw").alias("raw"), F.count_if("reject_residual").alias("residual")))
 
@@ -258,8 +287,44 @@ def exposure_rank(spark, sf_dir):
     return out(shocks.city_exposure(panel(spark, sf_dir), {"full": ["train", "validation", "final_test"]}))
 
 
-@query()
+TIMELINE_SQL = """
+t AS (SELECT product_id, bin_start, split, median(common_factor) AS common_factor, median(adjusted_return) AS median_return, count(*) FILTER (positive_shock) AS exposed, count(*) AS observed FROM panel GROUP BY 1, 2, 3),
+line AS (SELECT t.*, shock_limit, coalesce(common_factor > shock_limit, false) AS common_shock FROM t LEFT JOIN (SELECT product_id, quantile_cont(common_factor, 0.95) AS shock_limit FROM t WHERE split = 'train' GROUP BY 1) USING (product_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY round(exposure_score, 9) DESC NULLS LAST, city_id) AS exposure_rank FROM g3)"""
+FULL = {"full": ["train", "validation", "final_test"]}
+
+
+@query(sql(EXPOSURE_SQL + "," + TIMELINE_SQL, "SELECT 'full' AS \"window\", r.product_id, city_id, bins, shocks, shock_rate, beta, correlation, volatility, mean_reliability, latest_price, exposure_score, exposure_rank, common_shocks, peak_factor, peak_start FROM ranked r LEFT JOIN (SELECT product_id, count(*) FILTER (common_shock) AS common_shocks, max(common_factor) AS peak_factor, arg_max(bin_start, common_factor) AS peak_start FROM line GROUP BY 1) USING (product_id) WHERE exposure_rank <= 10", "", "shock_rate beta correlation volatility mean_reliability latest_price exposure_score peak_factor"))
 def exposure_view(spark, sf_dir):
     """Each product's ten most exposed cities of the whole window, with its common shocks and the highest factor."""
-    cities = shocks.city_exposure(panel(spark, sf_dir), {"full": ["train", "validation", "final_test"]})
+    cities = shocks.city_exposure(panel(spark, sf_dir), FULL)
     return out(shocks.exposure_view(cities, shocks.shock_timeline(panel(spark, sf_dir))))
+
+
+def propagation_documents(spark, sf_dir) -> DataFrame:
+    """Lines of a document for each product: its cities, common shocks and limit, its timeline, its cities' exposure."""
+    line = shocks.shock_timeline(panel(spark, sf_dir)).withColumnRenamed("limit", "shock_limit")
+    exposure = shocks.city_exposure(panel(spark, sf_dir), FULL)
+    cities = exposure.groupBy("product_id").agg(F.count_distinct("city_id").alias("city_count"))
+    heads = line.groupBy("product_id").agg(F.count_if("common_shock").alias("common_shock_bins"), F.max("shock_limit").alias("shock_limit")).join(cities, "product_id")
+    heads = heads.select("product_id", F.lit(True).alias("historical_only"), F.lit("common_shock_only").alias("release_status"), "city_count", "common_shock_bins", "shock_limit")
+    return sinks.documents(heads, ["product_id"], {"timeline": (line.drop("shock_limit"), ["bin_start"]), "city_exposures": (exposure, ["window", "exposure_rank"])})
+
+
+@query(sql(EXPOSURE_SQL + "," + TIMELINE_SQL + """,
+tl AS (SELECT product_id, count(*) AS timeline_rows, min(bin_start) AS first_bin, max(bin_start) AS last_bin, count(*) FILTER (common_shock) AS common_shock_bins, max(shock_limit) AS shock_limit, sum(common_factor) AS factor_sum, sum(exposed) AS exposed FROM line GROUP BY 1),
+ex AS (SELECT product_id, count(*) AS exposure_rows, count(DISTINCT city_id) AS city_count, sum(exposure_score) AS score_sum, arg_min(city_id, exposure_rank) AS most_exposed FROM ranked GROUP BY 1)""", "SELECT *, 'common_shock_only' AS release_status, true AS in_order FROM tl JOIN ex USING (product_id)", "exposed", "shock_limit factor_sum score_sum", 4))
+def propagation_export(spark, sf_dir):
+    """The propagation mart: documents written line by line, read back, and summed up."""
+    path = f"{tables.shared_dir(spark)}/mandi-propagation-{uuid.uuid4().hex}"
+    sinks.write_documents(propagation_documents(spark, sf_dir), path, ["product_id"])
+    line = "bin_start: date, common_factor: double, exposed: bigint, common_shock: boolean"
+    city = "city_id: string, exposure_rank: bigint, exposure_score: double"
+    docs = sinks.read_documents(spark, path, f"product_id string, release_status string, city_count long, common_shock_bins long, shock_limit double, timeline array<struct<{line}>>, city_exposures array<struct<{city}>>")
+    total = lambda a, c: F.aggregate(F.transform(a, lambda x: F.coalesce(x[c].cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    t, e = F.col("timeline"), F.col("city_exposures")
+    ordered = (F.array_sort(t["bin_start"]) == t["bin_start"]) & (e["exposure_rank"] == F.sequence(F.lit(1).cast("long"), F.size(e).cast("long")))
+    return out(docs.select(
+        "product_id", F.size(t).alias("timeline_rows"), F.array_min(t["bin_start"]).alias("first_bin"), F.array_max(t["bin_start"]).alias("last_bin"), "common_shock_bins", "shock_limit", total(t, "common_factor").alias("factor_sum"), total(t, "exposed").cast("long").alias("exposed"),
+        F.size(e).alias("exposure_rows"), "city_count", total(e, "exposure_score").alias("score_sum"), e[0]["city_id"].alias("most_exposed"), "release_status", ordered.alias("in_order"),
+    ), 4)
