@@ -17,11 +17,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batch_of, mix
+from .common import Rolling, batch_of, chunks, materialize, mix
 
 SLOTS, LEVELS, FIRST = 64, 6, 3
 _TOP = np.uint64(2**64 - 1)
@@ -173,42 +174,84 @@ def _pairs(batches):
 
 
 BUCKET_BYTES = 1 << 26  # text of a bucket, about
+MOST_BUCKETS = 1_000_000  # cuts are broadcast, 17 bytes each; larger tables have larger buckets
+MOST_REPEATED = 1_000_000  # keys that are broadcast; more are joined
+_KEY = ["none", "id", "hash"]
+
+
+def _order_keys(none: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(doc_id missing, doc_id, hash of the text) as 17 bytes that sort alike."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = none
+    for at, x in ((1, ids), (9, hashes)):
+        out[:, at : at + 8] = (x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").reshape(-1)
+
+
+def _alone(batches):
+    """Rows (doc_id, text, times) that follow themselves, with the result of one and how often it counts."""
+    schema = pa.schema([*_OUT, ("times", pa.int64())])
+    for batch in batches:
+        ids, texts, times = (batch.column(i).to_pylist() for i in range(3))
+        for a, b in chunks([t.encode("utf-8", "surrogatepass") for t in texts], docs=64):
+            edited = [edit(t, t) for t in texts[a:b]]
+            own, changed = fingerprints(texts[a:b]), fingerprints(edited)
+            yield batch_of(schema, [ids[a:b], list(map(len, texts[a:b])), [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], hexed(own), hexed(changed), likeness(own, changed), likeness(own, own), times[a:b]])
+
+
+def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows without repeats of a doc_id with its text, and those repeated with how many more of each there are (None: none)."""
+    often = rows.groupBy(*_KEY).agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    n = often.limit(MOST_REPEATED + 1).count()
+    if not n:
+        return rows, None
+    often = F.broadcast(often) if n <= MOST_REPEATED else often
+    counted = rows.join(often, _KEY, "left_semi").groupBy(*_KEY, "doc_id", "text").agg(F.count("*").alias("times"))
+    counted = materialize(counted, "repeated")
+    single = rows.join(often, _KEY, "left_anti")
+    return single.unionByName(counted.select(*rows.columns)), counted.filter("times > 1").select("doc_id", "text", (F.col("times") - 1).alias("times"))
 
 
 def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each row of docs (doc_id, text) with its edited text's fingerprint and the next document's likeness.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next
-    document's first ones; documents are in ascending order of doc_id, then text; null doc_ids come
-    last; the first document follows the last.  A single document follows itself.  Null text is
-    empty.  Repeated rows follow one another.  Empty table: empty result.
+    document's first ones; documents are in ascending order of doc_id, then of a hash of the text, then the text;
+    null doc_ids come last; the first document follows the last.  A single document follows itself.  Null text is
+    empty.  Repeated rows follow one another: all but the last follow themselves.  Very long texts: whole, in memory
+    of one task.  Empty table: empty result.
 
     Documents are dealt to buckets of ranges of that order (each text moves once) and stream through
-    sorted; a bucket also gets the first document of the next filled one.  There are as many buckets
-    as the texts' bytes ask for, and at least as many as shuffle partitions.
+    sorted; a bucket also gets the first document of the next filled one.  Rows without doc_id, and different
+    texts under one doc_id, lie at their hashes, so they spread over buckets like all others.  Rows that are equal
+    altogether are counted, and one of them is dealt.
     """
-    from pyspark.ml.feature import Bucketizer
-
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # one number that follows the order: rows without doc_id lie beyond all others, by their first six bytes
-    start = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double") / 2.0**48
-    rows = rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), (1 + start) * 1e19))
+    rows = rows.select("doc_id", "text", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("hash"))
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = rows.agg(F.percentile_approx("place", F.array(*map(F.lit, shares)), F.lit(10 * buckets)).alias("cuts")).first().cuts if shares else []
-    cuts = [-float("inf"), *sorted(set(found or [])), float("inf")]
-    rows = Bucketizer(splits=cuts, inputCol="place", outputCol="bucket").transform(rows) if len(cuts) > 2 else rows.withColumn("bucket", F.lit(0.0))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("place"))
-    rows = rows.withColumn("bucket", F.col("bucket").cast("int")).withColumn("order", order)
-    # at most ``buckets`` rows of metadata
-    heads = [(r.bucket, *r.first) for r in rows.groupBy("bucket").agg(F.min("order").alias("first")).orderBy("bucket").collect()]
-    guards = spark.createDataFrame([(heads[i - 1][0], *head) for i, (_, *head) in enumerate(heads)], "guards int, none boolean, id long, place double")
-    same = (rows.order.none == guards.none) & rows.order.id.eqNullSafe(guards.id) & (rows.place == guards.place)
-    firsts = rows.join(F.broadcast(guards), same).groupBy("guards").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
-    columns = ["bucket", "guard", "doc_id", "text"]
-    both = rows.withColumn("guard", F.lit(False)).select(*columns).unionByName(firsts.select(F.col("guards").alias("bucket"), F.lit(True).alias("guard"), "doc_id", "text"))
-    dealt = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guard", F.col("doc_id").asc_nulls_last(), "text")
-    return dealt.mapInArrow(_pairs, _OUT_DDL)
+    rows, repeated = _once(rows)
+    # where each range of the list of keys begins: one row of metadata for each bucket
+    listed = rows.select(*_KEY).repartitionByRange(min(buckets, MOST_BUCKETS), *_KEY)
+    firsts = [r.first for r in listed.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*_KEY)).alias("first")).select("first").collect()]
+    cuts = np.sort(_order_keys(*(np.array([r[i] for r in firsts], t) for i, t in enumerate((bool, np.int64, np.int64)))))
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def bucket_of(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        at = np.searchsorted(shared.value, _order_keys(none.to_numpy(bool), ids.to_numpy(), hashes.to_numpy()), "right")
+        return pd.Series(np.maximum(at - 1, 0).astype(np.int32))
+
+    rows = rows.withColumn("bucket", F.pandas_udf(bucket_of, "int")(*_KEY))
+    heads = sorted((r.bucket, *r.first) for r in rows.groupBy("bucket").agg(F.min(F.struct(*_KEY)).alias("first")).collect())
+    guards = spark.createDataFrame([(heads[i - 1][0], *head) for i, (_, *head) in enumerate(heads)], "guards int, g_none boolean, g_id long, g_hash long")
+    same = (F.col("none") == F.col("g_none")) & (F.col("id") == F.col("g_id")) & (F.col("hash") == F.col("g_hash"))
+    after = rows.join(F.broadcast(guards), same).groupBy("guards").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash"))
+    both = rows.select("bucket", F.lit(False).alias("guard"), "doc_id", "text", "hash").unionByName(after.select(F.col("guards").alias("bucket"), F.lit(True).alias("guard"), "doc_id", "text", "hash"))
+    dealt = both.repartitionById(max(1, len(cuts)), "bucket").sortWithinPartitions("bucket", "guard", F.col("doc_id").asc_nulls_last(), "hash", "text")
+    out = dealt.select("bucket", "guard", "doc_id", "text").mapInArrow(_pairs, _OUT_DDL)
+    if repeated is None:
+        return out
+    more = repeated.mapInArrow(_alone, f"{_OUT_DDL}, times long")
+    return out.unionByName(more.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("nth", "times"))

@@ -508,10 +508,10 @@ def test_sketch_merges_and_ranks(spark):
 
 
 def test_fingerprints(docs):
-    rows = sorted(((d is None, d or 0, t or "") for d, t in rows_of(docs)))
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.hash, r.text) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")).collect())
     want = Counter()
-    for i, (none, d, t) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][2]
+    for i, (none, d, _, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][3]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         want[(None if none else d, len(t), hashlib.sha256(edited.encode()).hexdigest())] += 1
     for buckets in (1, 5):
@@ -526,6 +526,17 @@ def test_fingerprints(docs):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_rows_without_id_spread_over_tasks(spark):
+    """3000 rows without doc_id whose texts begin alike, 500 under one doc_id, and 700 that are equal."""
+    rows = [(None, f"the same beginning {i}") for i in range(3000)] + [(7, f"under one id {i}") for i in range(500)] + [(None, "equal")] * 400 + [(9, "equal too")] * 300
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "spread")
+    got = fingerprint.compare(docs, 8)
+    sizes = [r["count"] for r in got.filter("n_chars > 9").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 1200 and sum(sizes) == 3500
+    equal = got.filter("n_chars < 10").groupBy("doc_id", "near_next").count().collect()
+    assert {(r.doc_id, r.near_next): r["count"] for r in equal if r.near_next == 1.0} in ({(None, 1.0): 399, (9, 1.0): 299}, {(None, 1.0): 400, (9, 1.0): 299}, {(None, 1.0): 399, (9, 1.0): 300})
+
+
 def test_likeness_follows_shared_text(small):
     got = fingerprint.compare(small).filter("n_chars > 1500").collect()
     assert sum(r.near_edited > r.near_next for r in got) / len(got) > 0.95
