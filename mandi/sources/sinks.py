@@ -56,7 +56,7 @@ def statistics(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     own = spark.newSession()  # settings of a session: the caller's stay as they are
     own.conf.set("spark.sql.sources.useV1SourceList", "")
     own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    return own.read.parquet(path).agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("first", F.min), ("last", F.max))))
+    return own.read.parquet(path).agg(F.coalesce(F.count("*"), F.lit(0)).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("first", F.min), ("last", F.max))))
 
 
 def date_range(spark: SparkSession, path: str, date: str) -> DataFrame:
