@@ -8,104 +8,158 @@ draws of all sources at once, each node by one multivariate hypergeometric draw,
 its quota of every source; a shard then takes that many consecutive draws, so blocks of different
 shards are disjoint.  Within a shard documents are in hash order.
 
-The tree and the targets are metadata (sources times shards, both bounded and checked).  Documents
-meet the draws by an equi-join on (source, block): a source with a third of all rows is dealt over
-its 1024 blocks.
+Targets and quotas are a table of sources, of which there may be any number; the driver holds a row for each
+4096 of them.  Documents meet the draws by an equi-join on (source, block): a source with a third of
+all rows is dealt over its 1024 blocks.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from fractions import Fraction
+from math import lcm
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mandi.operators import tables
+
 from .common import WORD, boxed, materialize, scratch, unboxed, word_count
 
 BLOCKS, SHARDS, SEED = 1024, 64, 23
 PART = 16_000_000  # words of a shard that one task takes
-MOST_CELLS = 2_000_000  # sources times shards, on the driver
-SMALL_TABLE = 10_000  # sources up to which their table is broadcast
+GROUP = 4096  # sources whose quotas one task splits
+LOT = 500_000_000  # draws that are split at once
 WEIGHTS = (3, 1, 2)
 MOST_PLAN = 200_000  # rows of what blocks give, in a broadcast
-MOST_SOURCES = 1_000_000  # rows of metadata on the driver
-
 
-def targets(sizes: dict, weights: dict, share: Fraction, most: Fraction) -> dict:
-    """Words for each source: by weight, at most ``most`` times its size, the excess reshared."""
-    left, out = share * sum(sizes.values()), {}
-    open_ = {s for s in sizes if weights[s] > 0}
-    while open_:
-        unit = left / sum(weights[s] for s in open_)
-        over = {s for s in open_ if weights[s] * unit > most * sizes[s]}
-        if not over:
-            return out | {s: weights[s] * unit for s in open_} | {s: Fraction(0) for s in sizes if weights[s] <= 0}
-        for s in over:
-            out[s] = most * sizes[s]
-            left -= out[s]
-        open_ -= over
-    return {s: Fraction(0) for s in sizes} | out
 
+def _sources(blocks: DataFrame, weights: dict | None, share: Fraction, most: Fraction) -> DataFrame:
+    """source, source_size, source_id (by code point, null last), target, passes and rest of each source.
 
-def splitting_tree(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Draws of each source (columns) in each shard (rows); every column keeps its sum."""
+    Targets fill like water: with a unit of words for each weight, sources whose weight asks for more than ``most``
+    times their size take just that, and what they leave raises the unit for the others, until no source is new.  Each
+    step is two sums over the sources, of which there may be any number; all numbers are whole or exact fractions.
+    """
+    sizes = blocks.groupBy("source").agg(F.sum("words").alias("source_size")).withColumn("missing", F.col("source").isNull())
+    named = tables.numbered(sizes, [], ["missing", "source"], "nth").withColumn("source_id", F.col("nth") - 1).drop("nth", "missing")
+    if weights is None:
+        named = named.withColumn("weight", F.get(F.array(*map(F.lit, WEIGHTS)), (F.col("source_id") % len(WEIGHTS)).cast("int")).cast("decimal(38,0)"))
+    else:
+        scale = lcm(1, *(Fraction(w).denominator for w in weights.values()))
+        given = blocks.sparkSession.createDataFrame([(s, Decimal(int(Fraction(w) * scale))) for s, w in weights.items()], "known_source string, weight decimal(38,0)")
+        named = named.join(given, named.source.eqNullSafe(given.known_source), "left").drop("known_source").withColumn("weight", F.coalesce("weight", F.lit(0).cast("decimal(38,0)")))
+    named = materialize(named, "sources")
+    whole = lambda n: F.lit(Decimal(int(n))).cast("decimal(38,0)")
+    size = F.col("source_size").cast("decimal(38,0)")
+    total = int(named.agg(F.sum("source_size")).first()[0] or 0)
+    unit, full = Fraction(0), F.col("weight") <= 0
+    seen = -1
+    while True:
+        r = named.agg(F.sum(F.when(full & (F.col("weight") > 0), size)).alias("held"), F.count_if(full).alias("n"), F.sum(F.when(~full, F.col("weight"))).alias("w")).first()
+        if not r.w or r.n == seen:
+            break
+        seen, unit = r.n, (share * total - most * int(r.held or 0)) / int(r.w)
+        full = (F.col("weight") <= 0) | (F.col("weight") * whole(unit.numerator * most.denominator) > size * whole(most.numerator * unit.denominator))
+    # target = weight * unit or most * size, as a fraction of whole numbers; the quota is the nearest whole number
+    over = full & (F.col("weight") > 0)
+    top = F.when(over, size * whole(most.numerator)).when(F.col("weight") > 0, F.col("weight") * whole(unit.numerator)).otherwise(whole(0))
+    under = F.when(over, whole(most.denominator)).otherwise(whole(unit.denominator))
+    quota = F.call_function("div", top.cast("decimal(37,0)") * 2 + under, under.cast("decimal(37,0)") * 2)
+    df = named.withColumns({"target": top.cast("double") / under.cast("double"), "quota": quota})
+    has = F.col("source_size") > 0
+    return df.select("source", "source_size", "source_id", "target", F.when(has, F.call_function("div", F.col("quota"), F.col("source_size"))).otherwise(0).alias("passes"), F.when(has, F.col("quota") % F.col("source_size")).otherwise(0).alias("rest"))
+
+
+def drawn_from(colors: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n draws without replacement from colors: one multivariate hypergeometric draw.
+
+    The generator takes fewer than 10**9 draws at once; of more, whole lots of equal size are drawn first, then the odd rest.
+    """
+    total = int(colors.sum())
+    if total < LOT:
+        return rng.multivariate_hypergeometric(colors, n, method="marginals")
+    lot = -(-total // LOT) + 1
+    lots = colors // lot
+    out = rng.multivariate_hypergeometric(lots, min(n // lot, int(lots.sum())), method="marginals") * lot
+    rest = n - int(out.sum())
+    return out + drawn_from(np.minimum(colors - out, rest), rest, rng)
+
+
+def splitting_tree(draws: list[int] | np.ndarray, shards: int, seed: list[int], leaves: np.ndarray | None = None) -> np.ndarray:
+    """Draws of each source (columns) in each shard (rows); every column keeps its sum, and rows sum to leaves (None: even)."""
+    draws = np.array(draws, np.int64)
+    total = int(draws.sum())
+    leaves = np.diff([total * i // shards for i in range(shards + 1)]) if leaves is None else leaves
+    upto = np.concatenate([[0], np.cumsum(leaves)])
 
     def split(quota: np.ndarray, lo: int, hi: int) -> None:
         if hi - lo == 1:
             out[lo] = quota
             return
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(quota, int(quota.sum()) * (mid - lo) // (hi - lo), method="marginals")
+        left = drawn_from(quota, int(upto[mid] - upto[lo]), np.random.default_rng([*seed, lo, hi]))
         split(left, lo, mid)
         split(quota - left, mid, hi)
 
     out = np.zeros((shards, len(draws)), np.int64)
-    if draws:
-        split(np.array(draws, np.int64), 0, shards)
+    if len(draws):
+        split(draws, 0, shards)
     return out
 
 
+def _ranges(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """source_id, shard, lo, hi: which of a source's draws (counts: source_id, n) each shard takes.
+
+    The tree is drawn in two steps with one outcome in law: first how many draws of each group of sources a shard
+    takes, on the driver (a number for a shard and GROUP sources), then, a task for each group, of each source.
+    """
+    grouped = counts.withColumn("group", F.floor(F.col("source_id") / GROUP).cast("int"))
+    totals = sorted(tuple(r) for r in grouped.groupBy("group").agg(F.sum("n").alias("n")).collect())
+    tree = splitting_tree([n for _, n in totals], shards, [seed])
+    leaves = counts.sparkSession.createDataFrame([(g, tree[:, i].tolist()) for i, (g, _) in enumerate(totals)], "group int, leaves array<bigint>")
+
+    def of_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source_id")
+        each = splitting_tree(rows["n"].to_numpy(), shards, [seed, 1 + int(key[0])], np.array(rows["leaves"].iloc[0]))
+        hi = each.cumsum(axis=0)
+        shard, at = np.nonzero(each)
+        return pd.DataFrame({"source_id": rows["source_id"].to_numpy()[at], "shard": shard.astype(np.int32), "lo": (hi - each)[shard, at], "hi": hi[shard, at]})
+
+    return grouped.join(leaves, "group").groupBy("group").applyInPandas(of_group, "source_id long, shard int, lo long, hi long")
+
+
 def by_code_point(sources: list) -> list:
     return sorted(sources, key=lambda s: (s is None, s or ""))
 
 
-def _plan(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes of docs by row, the sources (broadcast), and what each block gives: metadata of sources times blocks."""
-    spark = docs.sparkSession
+def _plan(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes of docs by row, and what each block gives: source, block, its words, what the mix takes of them and where."""
     sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _key().alias("key")).withColumn("block", _block(seed)), "sized")
     blocks = materialize(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
-    rows = blocks.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r.source: r.words for r in rows}
-    order = by_code_point(list(sizes))
-    weights = weights or {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
-    target = targets(sizes, weights, share, most)
-    quota = {s: int(target[s] + Fraction(1, 2)) for s in order}
-    meta = [(i, s, sizes[s], float(target[s]), *(divmod(quota[s], sizes[s]) if sizes[s] else (0, 0))) for i, s in enumerate(order)]
-    known = spark.createDataFrame(meta, "source_id int, known_source string, source_size long, target double, passes long, rest long")
-    known = F.broadcast(known) if len(meta) <= SMALL_TABLE else known
-    shards = max(1, min(shards, MOST_CELLS // max(1, len(order))))
+    known = materialize(_sources(blocks, weights, share, most).withColumnRenamed("source", "known_source"), "known")
 
     # Each source's blocks in their order; the block in which the words of the last pass end.
     w = Window.partitionBy("source_id").orderBy(F.col("words") == 0, F.xxhash64(F.lit(seed + 1), "source_id", "block"), "block")
-    placed = blocks.join(known, blocks.source.eqNullSafe(known.known_source)).drop("known_source", "source")
+    placed = blocks.join(known, blocks.source.eqNullSafe(known.known_source)).drop("known_source")
     placed = placed.select("*", (F.row_number().over(w) - 1).alias("place"), (F.sum("words").over(w) - F.col("words")).alias("before"), F.count("*").over(Window.partitionBy("source_id")).alias("blocks"))
     placed = materialize(placed.withColumn("take", F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("before")))), "placed")
-    counts = {r.source_id: r.n for r in placed.groupBy("source_id").agg((F.max(F.col("passes") * F.col("blocks")) + F.count_if(F.col("take") > 0)).alias("n")).collect()}
-    tree = splitting_tree([counts.get(i, 0) for i in range(len(order))], shards, seed)
-    ends = tree.cumsum(axis=0)
-    ranges = spark.createDataFrame([(i, j, int(ends[j, i] - tree[j, i]), int(ends[j, i])) for i in range(len(order)) for j in range(shards) if tree[j, i]], "source_id int, shard int, lo long, hi long")
+    counts = placed.groupBy("source_id").agg((F.max(F.col("passes") * F.col("blocks")) + F.count_if(F.col("take") > 0)).alias("n"))
+    ranges = materialize(_ranges(counts, shards, seed), "ranges")
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).filter((F.col("copy") < F.col("passes")) | (F.col("take") > 0))
     # the last pass counts only the blocks it takes, which are the first in the order
-    each = each.withColumn("nth", F.col("copy") * F.col("blocks") + F.col("place"))
+    each = each.withColumn("nth", F.col("copy") * F.col("blocks") + F.col("place")).select("source_id", "block", "copy", "nth")
     each = each.join(ranges, "source_id").filter((F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi")))
     drawn = each.groupBy("source_id", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))
-    plan = placed.select("source_id", "block", "words", "take", "passes").join(drawn, ["source_id", "block"], "left")
+    plan = placed.select("source_id", F.col("source").alias("plan_source"), "block", "source_size", "target", "words", "take", "passes").join(drawn, ["source_id", "block"], "left")
+    return sized, plan.withColumnRenamed("block", "plan_block")
+
 
-    return sized, known, plan
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, block) with their block's plan: a source with a third of all rows is dealt over its blocks."""
+    return rows.join(plan, rows.source.eqNullSafe(plan.plan_source) & (rows.block == plan.plan_block)).drop("plan_source", "plan_block")
 
 
 def draw(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction(3, 2), most: Fraction = Fraction(2), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -123,8 +177,8 @@ def draw(docs: DataFrame, weights: dict | None = None, share: Fraction = Fractio
 
 
 def _draw(docs: DataFrame, weights: dict | None, share: Fraction, most: Fraction, shards: int, seed: int) -> DataFrame:
-    sized, known, plan = _plan(docs, weights, share, most, shards, seed)
-    rows = sized.join(known, sized.source.eqNullSafe(known.known_source)).drop("known_source", "passes", "rest").join(plan, ["source_id", "block"])
+    sized, plan = _plan(docs, weights, share, most, shards, seed)
+    rows = _with_plan(sized, plan)
     cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
     inside = Window.partitionBy("source_id", "block").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     part = F.greatest(F.lit(0), F.least("size", F.col("take") - (F.sum("size").over(inside) - F.col("size"))))
@@ -149,28 +203,27 @@ def mix(docs: DataFrame, weights: dict | None = None, share: Fraction = Fraction
     each: what each block gives, and where each source is cut, is known from sizes alone and is
     broadcast if it has at most MOST_PLAN rows.
     """
-    sized, known, plan = _plan(docs, weights, share, most, shards, seed)
+    sized, plan = _plan(docs, weights, share, most, shards, seed)
     cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
-    here = sized.join(known, sized.source.eqNullSafe(known.known_source)).drop("passes", "rest").join(plan.filter(cut).select("source_id", "block", "take"), ["source_id", "block"])
+    here = _with_plan(sized, plan.filter(cut).select("source_id", "plan_source", "plan_block", "take"))
     upto = F.sum("size").over(Window.partitionBy("source_id").orderBy("place_in_block").rowsBetween(Window.unboundedPreceding, 0))
     edge = here.withColumn("place_in_block", _place(seed)).withColumn("upto", upto).filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("size") < F.col("take")))
-    edge = edge.select("source_id", "block", F.col("place_in_block").alias("edge"), (F.col("take") - F.col("upto") + F.col("size")).alias("edge_words"))
-    plan = materialize(plan.join(F.broadcast(edge), ["source_id", "block"], "left").filter("drawn IS NOT NULL"), "plan")
+    edge = edge.select("source_id", F.col("block").alias("plan_block"), F.col("place_in_block").alias("edge"), (F.col("take") - F.col("upto") + F.col("size")).alias("edge_words"))
+    plan = materialize(plan.join(edge, ["source_id", "plan_block"], "left").filter("drawn IS NOT NULL"), "plan")
     if plan.limit(MOST_PLAN + 1).count() <= MOST_PLAN:
         plan = F.broadcast(plan)
-    words = known.agg(F.sum("source_size").alias("n")).first().n or 0
-    known = known.select("source_id", "known_source")
+    words = sized.agg(F.sum("size").alias("n")).first().n or 0
     # docs' own columns ride in a struct, so that none clashes
     text = F.col("text").cast("string")
     rows = boxed(docs, text=text, key=_key(), source=F.col("source").cast("string"), size=word_count(text)).withColumn("block", _block(seed))
-    rows = rows.join(known, rows.source.eqNullSafe(known.known_source)).join(plan, ["source_id", "block"])
+    rows = _with_plan(rows, plan)
     place = _place(seed)
     part = F.when(F.col("edge").isNull(), F.when(F.col("take") > 0, F.col("size")).otherwise(0)).when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.col("edge_words")).otherwise(0)
     each = rows.withColumn("d", F.explode("drawn")).withColumn("mix_words", F.when(F.col("d.copy") < F.col("passes"), F.col("size")).otherwise(part)).filter("mix_words > 0")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words").cast("int")), " ")
     order = F.xxhash64(F.lit(seed + 3), "d.copy", "key")
     parts = max(1, -(-int(share * words) // (shards * PART)))
-    dealt = each.withColumn("share", F.pmod(order, F.lit(parts))).repartition("d.shard", "share").sortWithinPartitions("d.shard", "share", order)
+    dealt = each.withColumn("slot", F.col("d.shard") * parts + F.pmod(order, F.lit(parts)).cast("int")).repartitionById(shards * parts, "slot").sortWithinPartitions("slot", order)
     shard, copy = (_fresh(c, docs.columns) for c in ("mix_shard", "mix_copy"))
     return dealt.select(*unboxed(docs.columns, text=F.when(F.col("mix_words") < F.col("size"), first).otherwise(F.col("text"))), F.col("d.shard").alias(shard), F.col("d.copy").alias(copy))
 

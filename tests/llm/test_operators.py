@@ -396,12 +396,46 @@ def test_mix_rows(small):
 
 
 def test_splitting_tree_keeps_quotas():
-    tree = mixing.splitting_tree([1000, 7, 0, 333], 13)
+    tree = mixing.splitting_tree([1000, 7, 0, 333], 13, [5])
     assert tree.sum(axis=0).tolist() == [1000, 7, 0, 333] and tree.min() >= 0
     sums = tree.sum(axis=1)
     assert sums.max() - sums.min() <= 4
 
 
+def test_draws_beyond_the_generators_limit():
+    import numpy as np
+
+    colors = np.array([3 * 10**9, 10, 7 * 10**11, 0, 1])
+    for n in (0, 1, 10**9 + 7, 7 * 10**11, int(colors.sum())):
+        got = mixing.drawn_from(colors, n, np.random.default_rng(3))
+        assert got.sum() == n and (got >= 0).all() and (got <= colors).all()
+    assert abs(mixing.drawn_from(colors, 10**11, np.random.default_rng(4))[2] / 10**11 - 0.9957) < 0.001
+
+
+def test_mixing_any_number_of_sources(spark, monkeypatch):
+    """More sources than one task splits; targets, taken words and caps as for few."""
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40]), rng.choice([None, *(f"s{j:03}" for j in range(400))])) for i in range(4000)]
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "sources")
+    got = mixing.draw(docs).withColumn("taken", mixing.taken()).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size and r.source_size >= r.size
+    order = mixing.by_code_point(list(sizes))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    lo, hi = 0.0, 1e6  # the unit of words at which the targets sum up
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(weight[s] * mid, 2 * sizes[s]) for s in order) < 1.5 * sum(sizes.values()) else (lo, mid)
+    assert all(abs(target[s] - min(weight[s] * lo, 2 * sizes[s])) < 1e-3 and abs(taken[s] - target[s]) <= 1 for s in order)
+    mixed = mixing.mix(docs, shards=4).groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("n")).collect()
+    assert {r.source: r.n for r in mixed} == {s: n for s, n in taken.items() if n}
+
+
 # ------------------------------------------------------------------ 7
 
 
