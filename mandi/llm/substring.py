@@ -11,10 +11,11 @@ in a task's memory:
   occurrence of the run, words and all.  A group's task sorts the suffixes that begin its windows and
   takes common prefixes of neighbours: neighbours that share 35 words are under one deep inner node.
   Words are compared, not hashes;
-* a run with more occurrences than a task should hold takes the longest prefix instead: its windows
-  are groups of their own, named by 128 bits of all 35 words.  Rows of a batch that meet an equal
-  are known to repeat; one of them bears witness to the others, which are dealt by row, so a
-  passage that many texts share sends a row for each batch.
+* a run whose stretches are more text than a task should hold is split at the longest prefix: its windows
+  are groups of their own, all whose 35 words have one hash, and stream through a task that compares words and
+  keeps one row for each different window.  Windows of a chunk of texts that have the same words are known to
+  repeat; one of them bears witness to the others, which are dealt by row without words, so a
+  passage that many texts share sends its words once for each chunk.
 
 Texts that other rows have whole are found first, by 128 bits of the text: one row stands for them.
 """
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import Rolling, Words, batch_of, chunks, materialize, ragged, scratch, texts_of
 
 WINDOW, RUN = 35, 10
-MOST = 32_768  # occurrences of a run whose suffixes one task sorts
+BUDGET = 1 << 26  # bytes of text whose suffixes one task sorts
 FEW_KEYS = 1_000_000  # runs with more occurrences, up to which they are broadcast
-_KEYS = pa.schema([("key", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("known", pa.int8())])
-_KEYS_DDL = "key long, row_id long, pos int, known byte"
+_KEYS = pa.schema([("key", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("bytes", pa.int64()), ("known", pa.int8())])
+_KEYS_DDL = "key long, row_id long, pos int, bytes long, known byte"
 
 
 def chosen_runs(words: Words, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,9 +59,9 @@ def chosen_runs(words: Words, window: int, run: int) -> tuple[np.ndarray, np.nda
     return at, picked, h[picked]
 
 
-def _keyed(keys: list, rows: list, poss: list) -> pa.RecordBatch:
-    """Rows of a batch; known: 0 alone in it, 1 the witness of several, 2 another of several."""
-    key, row, pos = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, rows, poss))
+def _keyed(parts: list[tuple]) -> pa.RecordBatch:
+    """Rows (key, row_id, pos, bytes) of a batch; known: 0 alone in it, 1 the witness of several, 2 another of several."""
+    key, row, pos, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 4
     key = key.view(np.int64) if key.dtype == np.uint64 else key
     order = np.argsort(key, kind="stable")
     s = key[order]
@@ -68,19 +69,19 @@ def _keyed(keys: list, rows: list, poss: list) -> pa.RecordBatch:
     known = np.zeros(len(s), np.int8)
     known[:-1][same] = 1
     known[1:][same] = 2
-    return batch_of(_KEYS, [s, row[order], pos[order].astype(np.int32), known])
+    return batch_of(_KEYS, [s, row[order], pos[order].astype(np.int32), size[order], known])
 
 
 def _repeated(keyed: DataFrame) -> DataFrame:
-    """key, row_id, pos of keys that occur twice or more."""
+    """key, row_id, pos, bytes of keys that occur twice or more."""
     salt = F.when(F.col("known") == 2, F.pmod(F.xxhash64("row_id", "pos"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
     n = F.count("*").over(Window.partitionBy("key", "salt"))
-    return keyed.withColumn("salt", salt).withColumn("n", n).filter((F.col("known") > 0) | (F.col("n") > 1)).select("key", "row_id", "pos")
+    return keyed.withColumn("salt", salt).withColumn("n", n).filter((F.col("known") > 0) | (F.col("n") > 1)).select("key", "row_id", "pos", "bytes")
 
 
-def _places(runs: DataFrame, most: int) -> DataFrame:
-    """row_id, places: where its repeated runs begin, doubled, and one more if the run has over ``most`` occurrences."""
-    deep = materialize(runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.lit(1).alias("deep")), "deep")
+def _places(runs: DataFrame, budget: int) -> DataFrame:
+    """row_id, places: where its repeated runs begin, doubled, and one more if the run's stretches of text have over ``budget`` bytes."""
+    deep = materialize(runs.groupBy("key").agg(F.sum("bytes").alias("n")).filter(F.col("n") > budget).select("key", F.lit(1).alias("deep")), "deep")
     deep = F.broadcast(deep) if deep.limit(FEW_KEYS + 1).count() <= FEW_KEYS else deep
     at = F.col("pos") * 2 + F.coalesce("deep", F.lit(0))
     return runs.join(deep, "key", "left").groupBy("row_id").agg(F.collect_list(at).alias("places"))
@@ -90,23 +91,24 @@ def _prefixes(window: int, run: int):
     def go(batches):
         for batch in batches:
             texts, ids = texts_of(batch), batch.column(0).to_numpy()
-            keys, rows, poss = [], [], []
+            parts = []
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
-                _, picked, h = chosen_runs(words, window, run)
+                at, picked, h = chosen_runs(words, window, run)
                 if len(picked):
-                    fresh = np.concatenate([[True], picked[1:] != picked[:-1]])
+                    fresh = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
+                    last = np.append(fresh[1:], len(picked)) - 1  # the last window that took the run
+                    size = words.ends[at[last] + window - 1] - words.starts[at[fresh]]
                     picked, h = picked[fresh], h[fresh]
                     owner = words.owner()[picked]
-                    keys.append(h)
-                    rows.append(ids[a:b][owner])
-                    poss.append(picked - words.first[owner])
-            yield _keyed(keys, rows, poss)
+                    parts.append((h, ids[a:b][owner], picked - words.first[owner], size))
+            yield _keyed(parts)
 
     return go
 
 
-# Stretches of a short prefix (n windows, all their words) and windows of the longest one (no words).
+# Stretches of a short prefix (n windows, all their words) and windows of the longest one (words of all but those that are
+# known to equal another of their batch).
 _GROUPED = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("known", pa.int8()), ("words", pa.binary())])
 _GROUPED_DDL = "key long, key2 long, row_id long, pos int, n int, known byte, words binary"
 
@@ -117,7 +119,6 @@ def _windows(window: int, run: int):
             # copies of a text that another row stands for repeat anyway; one row bears witness
             batch = batch.filter(pc.and_(pc.is_valid(batch.column(2)), pc.not_equal(pc.fill_null(batch.column(3), 0), 1)))
             texts, ids, places = texts_of(batch), batch.column(0).to_numpy(), batch.column(2)
-            deep = []
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
                 at, picked, h = chosen_runs(words, window, run)
@@ -136,26 +137,24 @@ def _windows(window: int, run: int):
                     upto = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
                     text = [one[i : j - 1] for i, j in zip(upto[begin].tolist(), upto[begin + n + window - 1].tolist(), strict=True)]
                     zero = np.zeros(len(first), np.int64)
-                    yield batch_of(_GROUPED, [h[first].view(np.int64), zero, ids[a:b][owner[begin]], (begin - words.first[owner[begin]]).astype(np.int32), n.astype(np.int32), zero.astype(np.int8), pa.array(text, pa.binary())])
+                    yield batch_of(_GROUPED, [h[first].view(np.int64), zero, ids[a:b][owner[begin]], (begin - words.first[owner[begin]]).astype(np.int32), n.astype(np.int32), np.full(len(first), -1, np.int8), pa.array(text, pa.binary())])
                 far = at[shared[picked] == 2]
                 if len(far):
                     keys = (Rolling(x).slices(far, far + window).view(np.int64) for x in (words.hashes, words.other_hashes()))
-                    deep.append((*keys, ids[a:b][owner[far]], far - words.first[owner[far]]))
-            if deep:
-                yield _deep(*(np.concatenate(x) for x in zip(*deep, strict=True)))
+                    one = b" ".join(words.buf.split()) + b" "
+                    upto = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+                    yield _deep(*keys, ids[a:b][owner[far]], far - words.first[owner[far]], [one[i : j - 1] for i, j in zip(upto[far].tolist(), upto[far + window].tolist(), strict=True)])
 
     return go
 
 
-def _deep(key: np.ndarray, key2: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Windows of the longest prefix; known: 0 alone in the batch, 1 the witness of several, 2 another of several."""
-    order = np.lexsort((key2, key))
-    a, b = key[order], key2[order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    known = np.zeros(len(a), np.int8)
-    known[:-1][same] = 1
-    known[1:][same] = 2
-    return batch_of(_GROUPED, [a, b, row[order], pos[order].astype(np.int32), np.ones(len(a), np.int32), known, pa.nulls(len(a), pa.binary())])
+def _deep(key: np.ndarray, key2: np.ndarray, row: np.ndarray, pos: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+    """Windows of the longest prefix; known: 0 alone in the chunk, 1 the witness of several, 2 another, whose words equal the witness's."""
+    witness: dict[bytes, int] = {}
+    first = np.fromiter((witness.setdefault(w, i) for i, w in enumerate(words)), np.int64, len(words))
+    known = np.where(first < np.arange(len(words)), 2, 0).astype(np.int8)
+    known[first[known == 2]] = 1
+    return batch_of(_GROUPED, [key, key2, row, pos.astype(np.int32), np.ones(len(key), np.int32), known, pa.array([None if k == 2 else w for k, w in zip(known, words, strict=True)], pa.binary())])
 
 
 def equal_suffixes(codes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -193,8 +192,8 @@ def _subtrees(window: int):
         words, n = rows.column("words"), rows.column("n").to_numpy().astype(np.int64)
         raw = b" ".join(words.to_pylist()) + b" "
         ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        each = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        each = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
         codes = each.dictionary_encode().indices.to_numpy()
         size = n + window - 1
         found = equal_suffixes(codes, ragged(np.cumsum(size) - size, n), window)
@@ -208,35 +207,40 @@ def _subtrees(window: int):
         begin = first - (np.cumsum(n) - n)[owner]
         return batch_of(_NODES, [rows.column("row_id").to_numpy()[owner], (rows.column("pos").to_numpy()[owner] + begin).astype(np.int32), (last - first + 1).astype(np.int32)])
 
-    def windows(rows: pa.RecordBatch) -> pa.RecordBatch:
-        a, b, known = (rows.column(c).to_numpy() for c in ("key", "key2", "known"))
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        twice = known > 0
-        twice[1:] |= same
-        twice[:-1] |= same
-        return rows.select(["row_id", "pos", "n"]).filter(pa.array(twice))
-
-    def whole(rows: pa.RecordBatch):
-        deep = pc.is_null(rows.column("words"))
-        for part, act in ((rows.filter(pc.invert(deep)), stretches), (rows.filter(deep), windows)):
-            if part.num_rows:
-                yield act(part)
-
     def go(batches):
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # stretches of the groups that may go on
+        at, seen = None, {}  # the windows' group, and for each sequence of words in it the row that waits for an equal
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
-            if held and (cut or key[0] != held[-1].column("key")[-1].as_py()):
-                yield from whole(pa.concat_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield from whole(batch.slice(0, cut))
-            held.append(batch.slice(cut))
+            single = batch.column("known").to_numpy() >= 0
+            windows, rows = batch.filter(pa.array(single)), batch.filter(pa.array(~single))
+            if windows.num_rows:
+                out = []
+                for key, key2, row, pos, known, words in zip(*(windows.column(c).to_pylist() for c in ("key", "key2", "row_id", "pos", "known", "words")), strict=True):
+                    if known == 2:
+                        out.append((row, pos))
+                        continue
+                    if at != (key, key2):
+                        at, seen = (key, key2), {}
+                    if words in seen:
+                        waits, seen[words] = seen[words], None
+                        out += [(row, pos), *([waits] if waits else [])]
+                    else:
+                        seen[words] = None if known else (row, pos)
+                        out += [(row, pos)] if known else []
+                yield batch_of(_NODES, [*zip(*out, strict=True), [1] * len(out)] if out else [[], [], []])
+            if rows.num_rows:
+                key = rows.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                if held and (cut or key[0] != held[-1].column("key")[-1].as_py()):
+                    yield stretches(pa.concat_batches([*held, rows.slice(0, cut)]))
+                    held = []
+                elif cut:
+                    yield stretches(rows.slice(0, cut))
+                held.append(rows.slice(cut))
         if held:
-            yield from whole(pa.concat_batches(held))
+            yield stretches(pa.concat_batches(held))
 
     return go
 
@@ -274,31 +278,32 @@ def _removed(window: int, with_text: bool):
     return go
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_text: bool = True, most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_text: bool = True, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each row of docs (doc_id, text).
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in the
     same text included.  kept_text joins the other words by one space (null unless with_text).
-    ``most`` occurrences of a run of ``run`` words are sorted by one task; it doesn't change the result.
+    ``budget`` bytes of text around a run of ``run`` words are sorted by one task; it doesn't change the result.
 
     docs must read the same each time (a scan, or materialize()'s result): rows are told apart by
     their place in it.  Null text has no words; null doc_id stays null; repeated rows repeat each
-    other's windows, so their words all go if they have a window.  Empty table: empty result.
+    other's windows, so their words all go if they have a window.  Very long texts: whole, in memory of one task.
+    Ties (equal windows): all of them go.  Empty table: empty result.
     """
     if not 0 < run <= window:
         raise ValueError("0 < run <= window")
     with scratch(docs.sparkSession) as written:
-        out = materialize(_removal(docs, window, run, with_text, most), "kept")
+        out = materialize(_removal(docs, window, run, with_text, budget), "kept")
         written.pop()
     return out
 
 
-def _removal(docs: DataFrame, window: int, run: int, with_text: bool, most: int) -> DataFrame:
+def _removal(docs: DataFrame, window: int, run: int, with_text: bool, budget: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     runs = materialize(_repeated(rows.select("row_id", "text").mapInArrow(_prefixes(window, run), _KEYS_DDL)), "runs")
     copies = _copies(rows, window)
     # both joins deal rows by row_id with the same columns, so the texts move once
-    held = rows.join(_places(runs, most), "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "copy", "doc_id")
+    held = rows.join(_places(runs, budget), "row_id", "left").join(copies, "row_id", "left").select("row_id", "text", "places", "copy", "doc_id")
     grouped = held.mapInArrow(_windows(window, run), _GROUPED_DDL)
     grouped = grouped.withColumn("share", F.when(F.col("known") == 2, F.pmod(F.xxhash64("row_id", "pos"), F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
     grouped = grouped.repartition("key", "key2", "share").sortWithinPartitions("key", "key2", "share").drop("share")

@@ -439,8 +439,8 @@ def test_mixing_any_number_of_sources(spark, monkeypatch):
 # ------------------------------------------------------------------ 7
 
 
-@pytest.mark.parametrize("most", [substring.MOST, 1])
-def test_substring(docs, most):
+@pytest.mark.parametrize("budget", [substring.BUDGET, 1, 3000])
+def test_substring(docs, budget):
     rows = [(d, WORDS.findall(t or "")) for d, t in rows_of(docs)]
     seen = Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
     want = Counter()
@@ -451,11 +451,31 @@ def test_substring(docs, most):
                 gone.update(range(i, i + 35))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[(d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    got = substring.remove_repeats(docs, most=most).collect()
+    got = substring.remove_repeats(docs, budget=budget).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_long_words_in_a_hot_run(spark):
+    """A passage in many texts, with words of 200 kB beside it, as one group, as windows, and with some windows alone."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{'x' * 200_000}{i % 3} {passage} {'y' * 1000}{i} tail") for i in range(40)] + [(99, " ".join(f"q{i}" for i in range(60)))]
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "long")
+    for budget in (substring.BUDGET, 1_000_000):
+        got = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs, budget=budget, with_text=False).collect()}
+        assert got == {i: 41 for i in range(40)} | {99: 0}
+
+
+def test_equal_hashes_of_different_windows_are_told_apart():
+    """Windows of one group of the longest prefix whose words differ: only those with equal words repeat."""
+    import pyarrow as pa
+
+    rows = [(1, 1, r, r, 1, k, w) for r, (k, w) in enumerate([(0, b"a"), (0, b"b"), (1, b"c"), (0, b"a"), (2, None), (0, b"d"), (0, b"c"), (0, b"a")])] + [(1, 2, 50, 0, 1, 0, b"d"), (2, 2, 60, 0, 1, 0, b"d")]
+    for step in (1, 3, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + step], strict=True), substring._GROUPED, strict=True)], schema=substring._GROUPED) for a in range(0, len(rows), step)]
+        assert sorted(r for out in substring._subtrees(35)(batches) for r in out.column("row_id").to_pylist()) == [0, 2, 3, 4, 6, 7]
+
+
 def test_suffixes_of_one_group_are_compared_by_words():
     """Stretches of a group whose keys collide, in batches that cut the group; equal windows only."""
     import pyarrow as pa
@@ -470,7 +490,7 @@ def test_suffixes_of_one_group_are_compared_by_words():
                 w[rng.randrange(60)] = "z" * (1 + r % 3)
             if r % 5 == 0:
                 w = [rng.choice("ab") for _ in range(60)]
-            rows.append((key, 0, r, 7, 60 - 35 + 1, 0, " ".join(w).encode()))
+            rows.append((key, 0, r, 7, 60 - 35 + 1, -1, " ".join(w).encode()))
     want = set()
     for key in (1, 2):
         seen = Counter(tuple(x[6].split()[i : i + 35]) for x in rows if x[0] == key for i in range(26))
