@@ -57,9 +57,14 @@ def _found(text: Column, kind: str) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id and the matches of each kind in each row of docs; written once, read often."""
+    """row_id, text_a, text_b, doc_id and the matches of each kind in each row of docs; written once, read often."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *(_found(text, k).alias(k) for k in KINDS)), "matches")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), *_text_id(), F.col("doc_id").cast("long").alias("doc_id"), *(_found(text, k).alias(k) for k in KINDS)), "matches")
+
+
+def _text_id() -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b")]
 
 
 def places(found: DataFrame, kind: str) -> DataFrame:
@@ -135,7 +140,7 @@ def cuts(tested: DataFrame, rate: float) -> DataFrame:
 
 
 def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
-    """row_id, doc_id, spans of each row of docs (doc_id, text); spans: sorted array of (start, kind, end).
+    """row_id, text_a, text_b, doc_id, spans of each row of docs (doc_id, text); spans: sorted array of (start, kind, end).
 
     Offsets are code points, end exclusive; kind indexes KINDS.  A random token inside a base span
     isn't listed again.  Null or empty text: no spans.  Null doc_id and repeated rows are rows of
@@ -157,22 +162,23 @@ def _scan(docs: DataFrame, rate: float) -> DataFrame:
     chosen = chosen.join(cover, (F.col("row_id") == F.col("r")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_anti")
     spans = base.unionByName(chosen).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return found.select("row_id", "doc_id").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", none))
+    return found.select("row_id", "text_a", "text_b", "doc_id").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.1) -> DataFrame:
     """docs with every span replaced by mark; all columns, and rows without a secret, stay as they are.
 
-    docs must be a table that reads the same each time (a scan, or materialize()'s result): rows
-    are told apart by their place in it.  Null or empty text stays; null doc_id and repeated rows are
-    rows of their own; overlapping spans are covered once.  Empty table: empty result.
+    A text's spans follow it by 128 bits of it, so they don't depend on how the table is read again: equal texts
+    have equal spans.  Null or empty text stays; null doc_id and repeated rows are rows of their own; overlapping spans
+    are covered once.  Very long texts are covered whole.  Empty table: empty result.
     """
-    spans = scan(docs, rate).filter(F.size("spans") > 0).select("row_id", "spans")
-    rows = boxed(docs, row_id=F.monotonically_increasing_id(), text=F.col("text").cast("string"))
+    spans = scan(docs.withColumn("text", F.col("text").cast("string")), rate).filter(F.size("spans") > 0)
+    spans = spans.select(F.col("text_a").alias("a"), F.col("text_b").alias("b"), "spans").dropDuplicates(["a", "b"])
+    rows = boxed(docs.withColumn("text", F.col("text").cast("string")), text=F.col("text"), **dict(zip(("text_a", "text_b"), _text_id(), strict=True)))
     # parts between spans; overlapping spans are covered once
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out")))
     done = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    out = rows.join(spans, "row_id", "left")
+    out = rows.join(spans, (F.col("text_a") == F.col("a")) & (F.col("text_b") == F.col("b")), "left")
     return out.select(*unboxed(docs.columns, text=F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)))
 
 
