@@ -109,21 +109,22 @@ def sums_of(docs: DataFrame, dim: int = DIM) -> DataFrame:
     parts = texts.mapInArrow(run, "lang string, vector array<double>")
     # rounded to whole units of 2**-20 first: sums don't depend on the order of the tasks
     sums = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum(F.round(F.col("x") * 2**20).cast("long")).alias("x"))
-    return sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("v"))
 
 
-def prototypes(rows: list) -> dict[str, np.ndarray]:
-    """Vectors of unit length by language, of rows of sums_of()."""
-    out = {}
-    for row in sorted(rows, key=lambda r: r.lang):
-        v = np.array([x.x for x in row.v], float)
-        out[row.lang] = (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32)
-    return out
+def prototypes(sums: DataFrame) -> dict[str, np.ndarray]:
+    """Vectors of unit length by language, of sums_of(): the columns come as they are, with no object for a number."""
+    table = sums.toArrow().combine_chunks()
+    if not table.num_rows:
+        return {}
+    values = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(float)
+    unit = (values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return dict(sorted(zip(table.column("lang").to_pylist(), unit, strict=True), key=lambda kv: kv[0]))
 
 
 def train(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     """Prototypes of all languages; for at most MOST_LANGUAGES of them."""
-    return prototypes(sums_of(docs, dim).limit(MOST_LANGUAGES + 1).collect())
+    return prototypes(sums_of(docs, dim).limit(MOST_LANGUAGES + 1))
 
 
 def predict(docs: DataFrame, known: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
@@ -157,23 +158,23 @@ def identify(docs: DataFrame, most: int = MOST_LANGUAGES) -> DataFrame:
 
     Null text, or text without a letter: ``und`` with score 0.  Null lang: not learned from.
     Null doc_id: learned from like others.  No row to learn from: all ``und``.  Ties go to the
-    language that sorts first.  Repeated rows count as often as they occur.  Empty table: empty
-    result.
+    language that sorts first.  Repeated rows count as often as they occur.  Very long texts are read whole.  Empty
+    table: empty result.
 
     More than ``most`` languages are compared in blocks, and the best of the blocks counts; docs must
     then read the same each time.
     """
     sums = sums_of(docs.filter(~held_out(F.col("doc_id"))))
-    rows = sums.limit(most + 1).collect()
-    if len(rows) <= most:
-        return predict(docs, prototypes(rows))
+    known = prototypes(sums.limit(most + 1))
+    if len(known) <= most:
+        return predict(docs, known)
     sums = materialize(sums, "prototypes")
     names = sums.select("lang", F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / most).alias("block"))  # names alone are ordered in one task
     names = materialize(names, "languages")
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_id"))
     numbered, best = materialize(numbered, "numbered"), None
     for block in range(names.agg(F.max("block")).first()[0] + 1):
-        own = sums.join(names.filter(F.col("block") == block).select("lang"), "lang", "left_semi").collect()
+        own = sums.join(names.filter(F.col("block") == block).select("lang"), "lang", "left_semi")
         one = predict(numbered.select(F.col("row_id").alias("doc_id"), "text"), prototypes(own)).select(F.col("doc_id").alias("row_id"), F.struct(F.col("score"), F.lit(-block).alias("block"), F.col("lang_pred")).alias("x"))
         best = one if best is None else best.unionByName(one)
     best = best.groupBy("row_id").agg(F.max("x").alias("x"))

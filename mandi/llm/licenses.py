@@ -93,6 +93,9 @@ def _whole(lines: Column) -> Column:
     return F.array_join(_paragraphs(lines), " ")
 
 
+MOST_DIGESTS = 200_000  # of a caller's licences, in a broadcast
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, text_digest, text_license, n_license_lines, line_licenses, block_licenses of each row of docs (doc_id, text).
 
@@ -100,10 +103,11 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     digest, or null; line_licenses: ids whose whole digest a line has, sorted and comma-joined, each once;
     n_license_lines: such lines; block_licenses: ids of known texts whose every paragraph is one of the
     text's, likewise.  known: (license id, text) pairs in place of known_texts().  Null or empty text: the
-    digest of an empty text, no licence.  Null doc_id and repeated rows are rows of their own.  Empty
-    table: empty result.
+    digest of an empty text, no licence.  Null doc_id and repeated rows are rows of their own.  Very long texts are read
+    whole.  Ties (texts of two licences with one digest): the id that sorts first.  Empty table: empty result.
     """
-    digests = F.broadcast(known_digests(docs.sparkSession, known))  # a few hundred rows
+    digests = known_digests(docs.sparkSession, known)
+    digests = F.broadcast(digests) if known is None or digests.limit(MOST_DIGESTS + 1).count() <= MOST_DIGESTS else digests  # our own are a few thousand rows
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text")).alias("lines"))
     kind = lambda name, texts: F.transform(texts, lambda x: F.struct(F.lit(name).alias("kind"), x.alias("text")))
     texts = F.concat(kind("whole", F.array(_whole(F.col("lines")))), kind("line", F.filter("lines", lambda x: x != "")), kind("block", F.array_distinct(_paragraphs(F.col("lines")))))
