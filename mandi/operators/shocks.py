@@ -270,6 +270,40 @@ def series_ols(lagged: DataFrame, names: list[str], target: str, least_fit: int
     return lagged.select("product_id", "city_id", "split", target, *names).groupBy(*KEYS).applyInPandas(one, "product_id string, city_id string, fit_rows long, test_rows long, rmse double, rmse_zero double, mae double, mae_zero double")
 
 
+def _source_sums(products: np.ndarray, own: int) -> np.ndarray:
+    """Sum of the source coefficients of each fit, from its matrix of cross-products (constant, own, source lags, target); nan where it is singular."""
+    xx, xy = products[:, :-1, :-1], products[:, :-1, -1:]
+    scale = 1 / np.sqrt(np.maximum(np.diagonal(xx, axis1=1, axis2=2), 1e-300))
+    xx, xy = xx * scale[:, :, None] * scale[:, None, :], xy * scale[:, :, None]
+    sound = np.linalg.cond(xx) < 1e10
+    out = np.full(len(xx), np.nan)
+    if sound.any():
+        out[sound] = (np.linalg.solve(xx[sound], xy[sound])[:, :, 0] * scale[sound])[:, 1 + own :].sum(axis=1)
+    return out
+
+
+def resampled_sums(x: np.ndarray, y: np.ndarray, starts: np.ndarray, block: int, own: int) -> np.ndarray:
+    """Sum of the source coefficients of each resample: a row of starts is a resample of blocks, cut to as many rows as there are.
+
+    A block's cross-products are the difference of two running sums, and a resample's the sum of its blocks': rows are
+    read once, not for each resample.  Resamples whose cross-products are near singular are fitted on rows.
+    """
+    n, k = len(x), starts.shape[1]
+    z = np.column_stack([np.ones(n), x, y])
+    upto = np.concatenate([np.zeros((1, z.shape[1], z.shape[1])), np.cumsum(z[:, :, None] * z[:, None, :], axis=0)])
+    whole, odd = starts[:, : k - 1], starts[:, k - 1]
+    times = np.zeros((len(starts), n - block + 1))
+    np.add.at(times, (np.repeat(np.arange(len(starts)), k - 1), whole.ravel()), 1)
+    size = z.shape[1]
+    blocks = (upto[block:] - upto[: n - block + 1]).reshape(n - block + 1, size * size)
+    products = (times @ blocks).reshape(-1, size, size) + upto[odd + n - block * (k - 1)] - upto[odd]
+    sums = _source_sums(products, own)
+    for i in np.flatnonzero(np.isnan(sums)):
+        at = (starts[i][:, None] + np.arange(block)).ravel()[:n]
+        sums[i] = _ols(x[at], y[at])[1 + own :].sum()
+    return sums
+
+
 def block_bootstrap(frame: DataFrame, own: list[str], source: list[str], target: str, draws: int = 250, block: int = 8, seed: int = 20260914) -> DataFrame:
     """Share of moving-block resamples in which the source lags of an edge sum to more than zero, and the sum in either half.
 
@@ -284,17 +318,13 @@ def block_bootstrap(frame: DataFrame, own: list[str], source: list[str], target:
         pdf = pdf.sort_values("bin_start")
         x, y, n = pdf[own + lags].to_numpy(float), pdf[target].to_numpy(float), len(pdf)
         k = [str(pdf[c].iloc[0]) for c in EDGE]
-        total = lambda at: float(_ols(x[at], y[at])[1 + len(own) :].sum())
         rate = None
         if n >= block:
             rng = np.random.default_rng(int.from_bytes(hashlib.sha256("|".join([str(seed), *k]).encode()).digest()[:8], "little"))
-            positive = 0
-            for _ in range(draws):
-                starts = rng.integers(0, n - block + 1, size=-(-n // block))
-                positive += total((starts[:, None] + np.arange(block)).ravel()[:n]) > 0
-            rate = positive / draws
+            starts = np.stack([rng.integers(0, n - block + 1, size=-(-n // block)) for _ in range(draws)])
+            rate = float((resampled_sums(x, y, starts, block, len(own)) > 0).mean())
         half = n // 2
-        first, second = (total(at) if n > 1 else None for at in (slice(0, half), slice(half, n)))
+        first, second = (float(_ols(x[at], y[at])[1 + len(own) :].sum()) if n > 1 else None for at in (slice(0, half), slice(half, n)))
         return pd.DataFrame([dict(zip(EDGE, k, strict=True)) | {"rows": n, "positive_rate": rate, "first_half_sum": first, "second_half_sum": second, "halves_positive": bool(n > 1 and first > 0 and second > 0)}])
 
     return frame.groupBy(*EDGE).applyInPandas(one, "product_id string, source_city_id string, target_city_id string, rows long, positive_rate double, first_half_sum double, second_half_sum double, halves_positive boolean")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import split_of
-from mandi.operators import metrics, shocks, tables, temporal
+from mandi.operators import cityday, metrics, shocks, tables, temporal
 from mandi.sources import given, sinks
 
-from .common import DAYS_SQL, city_days, layer, out, sql
+from .common import DAYS_SQL, city_days, layer, market_days, out, sql
 from .landed import _HAV, GEO_SQL
 
 Q, SQL = {}, {}
@@ -155,15 +155,57 @@ def benjamini_hochberg(spark, sf_dir):
 
 
 LAGS, WEEK_LAGS = [1, 2, 3, 4], [1, 2]
-FEW = {"least_fit": 20, "least_test": 5}  # the given tables are sparse
+FEW = {"least_fit": 40, "least_test": 5}  # the given tables are shorter
+
+
+FOLLOWS = {"ASIA": "AMERICA", "AFRICA": "EUROPE"}
+
+
+def coupled_days(spark, sf_dir) -> DataFrame:
+    """Days of two baskets (all products of a half of the markets) by region, in which two regions also follow another's price of a bin before.
+
+    Baskets have a price on almost every day.  Unit prices of the given tables move on their own, so no gate would ever open: the coupling gives the edge models
+    something that is there to find, beside the pairs in which it is not.  A follower's days after a bin without leader go.
+    """
+    quotes = market_days(spark, sf_dir).withColumns({"product_id": F.concat(F.lit("basket "), (F.col("market_id") % 2).cast("string")), "city_id": F.col("province")})
+    days = cityday.city_day(quotes).filter("quality <> 'poor'").withColumn("bin", F.floor(F.datediff("date", F.lit(ANCHOR).cast("date")) / BIN))
+    follower = F.create_map(*(F.lit(x) for f, leader in FOLLOWS.items() for x in (leader, f)))
+    lead = days.groupBy("product_id", F.try_element_at(follower, F.col("city_id")).alias("city_id"), (F.col("bin") + 1).alias("bin")).agg(F.percentile("price", F.lit(0.5)).alias("lead")).filter("city_id IS NOT NULL")
+    got = days.join(lead, ["product_id", "city_id", "bin"], "left").filter(F.col("lead").isNotNull() | ~F.col("city_id").isin(*FOLLOWS))
+    return got.withColumn("price", F.col("price") * F.pow(F.coalesce("lead", F.lit(1.0)), F.lit(0.8))).drop("lead", "bin")
+
+
+def _region_panel(spark, sf_dir, size: int, season) -> DataFrame:
+    days = coupled_days(spark, sf_dir)
+    bins = shocks.binned_panel(days, ANCHOR, size, 1).withColumn("split", split_of(F.col("bin_start"), given.SPLITS))
+    return shocks.shock_flags(shocks.loo_median(shocks.seasonal_adjust(bins, season), at_least=3))
+
+
+@layer
+def region_panel(spark, sf_dir) -> DataFrame:
+    """The panel over regions: series with a price in most bins, as lead-lag models need."""
+    return _region_panel(spark, sf_dir, BIN, F.floor((F.dayofyear("bin_start") - 1) / 30))
+
+
+@layer
+def region_weeks(spark, sf_dir) -> DataFrame:
+    return _region_panel(spark, sf_dir, WEEK, F.weekofyear("bin_start").cast("long"))
+
+
+def region_edges(spark, sf_dir) -> DataFrame:
+    """Candidate edges between regions: so few that each target takes all others."""
+    m = given.mapping(spark, sf_dir).filter("city_id IS NOT NULL").groupBy(F.col("province").alias("city_id")).agg(F.first("province").alias("province"), F.avg("longitude").alias("longitude"), F.avg("latitude").alias("latitude"))
+    return shocks.candidate_edges(region_panel(spark, sf_dir).select("product_id", "city_id").distinct().join(m, "city_id"), share=1.0)
+
+
 _KEY = ["target_city_id", "source_city_id"]
 
 
-def _frame(spark, sf_dir, of=panel, lags: list[int] = LAGS, size: int = BIN) -> tuple[DataFrame, list[str], list[str]]:
+def _frame(spark, sf_dir, of=region_panel, lags: list[int] = LAGS, size: int = BIN) -> tuple[DataFrame, list[str], list[str]]:
     """Rows of all candidate edges, the target's own and factor lags, and the source's lags."""
     lagged = temporal.exact_lags(of(spark, sf_dir), ["residual", "common_factor"], lags, size)
     own, source = [f"{c}_lag{k}" for c in ("residual", "common_factor") for k in lags], [f"residual_lag{k}" for k in lags]
-    return shocks.edge_frame(lagged, edges(spark, sf_dir), own, source, "residual"), own, source
+    return shocks.edge_frame(lagged, region_edges(spark, sf_dir), own, source, "residual"), own, source
 
 
 @layer
@@ -176,9 +218,9 @@ def tested_edges(spark, sf_dir) -> DataFrame:
 @layer
 def stable_edges(spark, sf_dir) -> DataFrame:
     frame, own, source = _frame(spark, sf_dir)
-    chosen = tested_edges(spark, sf_dir).filter("source_sum > 0 AND rmse_gain > 0")
+    chosen = tested_edges(spark, sf_dir).filter("validated")
     train = frame.filter("split = 'train'").join(chosen.select(*shocks.EDGE), shocks.EDGE, "left_semi")
-    weekly, own_w, source_w = _frame(spark, sf_dir, week_panel, WEEK_LAGS, WEEK)
+    weekly, own_w, source_w = _frame(spark, sf_dir, region_weeks, WEEK_LAGS, WEEK)
     weekly = shocks.edge_models(weekly.filter("split <> 'final_test'").join(chosen.select(*shocks.EDGE), shocks.EDGE, "left_semi"), own_w, source_w, "residual", **FEW, bin_days=WEEK)
     return shocks.stability_gate(chosen, shocks.block_bootstrap(train, own, source, "residual"), weekly)
 
@@ -196,7 +238,7 @@ def edge_funnel(spark, sf_dir):
 
 @query()
 def edge_bootstrap(spark, sf_dir):
-    """Bootstrap, halves and weekly diagnostic of edges that lower the error; in tables this sparse few are validated."""
+    """Bootstrap, halves and weekly diagnostic of validated edges."""
     return out(stable_edges(spark, sf_dir))
 
 

@@ -105,6 +105,19 @@ def test_edges_bootstrap_and_release(spark):
     assert shocks.release_decision(final.filter("false"), network).first().frozen_edges == 0
 
 
+def test_resamples_from_running_products():
+    """Sums of block cross-products against fits on rows, with columns of very different size and a constant one."""
+    rng = np.random.default_rng(3)
+    for n, block in ((8, 8), (9, 8), (61, 8), (200, 5)):
+        x = rng.normal(size=(n, 3)) * np.array([1.0, 1e3, 1e-3])
+        y = rng.normal(size=n) + x[:, 1] / 1e3
+        starts = np.stack([rng.integers(0, n - block + 1, size=-(-n // block)) for _ in range(50)])
+        for z in (x, np.column_stack([x[:, :2], np.full(n, 2.0)])):
+            rows = [(s[:, None] + np.arange(block)).ravel()[:n] for s in starts]
+            want = [np.linalg.lstsq(np.column_stack([np.ones(n), z[at]]), y[at], rcond=None)[0][2:].sum() for at in rows]
+            np.testing.assert_allclose(shocks.resampled_sums(z, y, starts, block, 1), want, rtol=1e-7, atol=1e-9)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 6])
 def test_quantiles_of_growing_histories(spark, bits):
     """Rank descent with few and many digits: ties, nulls, a group without history, all groups as one."""
