@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import contracts
+from . import contracts, tables
 
 STATUSES = ("mapped_existing_city", "unmapped_new_city", "unmapped_unknown")
 CONFIDENCE = {"high": 1.0, "medium": 0.75, "low": 0.5}  # fixed values; any other is 0
 
 
 def map_markets(quotes: DataFrame, mapping: DataFrame, key: str = "market_id", check: bool = True) -> DataFrame:
-    """quotes with the mapping's columns; every market must be mapped exactly once."""
+    """quotes with the mapping's columns; every market must be mapped exactly once.
+
+    A mapping of usual size is broadcast after a count, so quotes stay where they are and a busy market isn't one task.
+    """
     if check:
         contracts.assert_unique(mapping, [key])
         contracts.assert_none(quotes.select(key).distinct().join(mapping, key, "left_anti"), "markets that the mapping lacks")
-    return quotes.join(mapping, key, "left")
+    return quotes.join(tables.small(mapping), key, "left")
 
 
 def mapping_rule_breaks(mapping: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ that orders quotes of one day.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,13 +46,13 @@ def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.01
         "price_valid": valid,
         "invalid_reason": reason,
         "change_consistent": F.when(judged, F.abs(change - F.col("reported_change_pct")) <= tolerance),
-        "duplicate": F.count("*").over(Window.partitionBy(*series, "date")) > 1,
+        "duplicate": reduce(Column.__or__, (F.coalesce(near(F.struct("date")).over(w).eqNullSafe(F.struct("date")), F.lit(False)) for near in (F.lag, F.lead))),
         "zero_change": zero,
         "log_price": F.when(valid, F.ln("price")),
     })
-    island = F.sum(F.when(F.col("zero_change"), 0).otherwise(1)).over(w)
-    df = df.withColumn("island", island)
-    run = F.sum(F.col("zero_change").cast("int")).over(Window.partitionBy(*series, "island").orderBy("date", trace))
+    # zero changes so far, less those before the last quote that changed: all windows have one order
+    df = df.withColumn("zeros", F.sum(F.col("zero_change").cast("int")).over(w))
+    run = F.col("zeros") - F.coalesce(F.last(F.when(~F.col("zero_change"), F.col("zeros")), ignorenulls=True).over(w), F.lit(0))
     last_valid = F.last(F.when(F.col("price_valid"), F.col("date")), ignorenulls=True).over(w)
     df = df.withColumns({
         "zero_run": F.when(F.col("zero_change"), run).otherwise(0).cast("int"),
@@ -62,7 +63,7 @@ def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.01
     scale = (F.col("quartiles")[2] - F.col("quartiles")[0]) / 1.349
     far = F.abs(F.col("log_price") - F.col("quartiles")[1])
     outlier = F.when(scale > 0, far > widths * scale).otherwise(far > math.log(flat_ratio))
-    return df.withColumns({"stale": F.col("zero_run") >= stale_after, "outlier": F.coalesce(outlier, F.lit(False))}).drop("island", "log_price", "earlier", "quartiles")
+    return df.withColumns({"stale": F.col("zero_run") >= stale_after, "outlier": F.coalesce(outlier, F.lit(False))}).drop("zeros", "log_price", "earlier", "quartiles")
 
 
 def quality_summary(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -30,6 +30,11 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, to be broadcast in a join if it has at most ``most`` rows; a larger one is joined as Spark chooses."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """df with 1-based row numbers within each group, in the order given (rows that tie in it follow as they come).
 
@@ -42,10 +47,9 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     counted = dealt.groupBy(*by, part).agg(F.count("*").alias("rows__"), F.min(place).alias("first__"))
     before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select(*by, part, (F.coalesce(F.sum("rows__").over(before), F.lit(0)) + 1 - F.col("first__")).alias(at))
-    few = offsets.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
     same = F.lit(True)
     other = offsets.select(*(F.col(c).alias(f"{c}__") for c in by), F.col(part).alias("part2__"), at)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
-    joined = dealt.join(F.broadcast(other) if few else other, same & (F.col(part) == F.col("part2__")))
+    joined = dealt.join(small(other, MOST_GROUPS), same & (F.col(part) == F.col("part2__")))
     return joined.select(*df.columns, (F.col(at) + F.col(place)).cast("long").alias(name))
