@@ -69,7 +69,7 @@ def attach_reliability(snapshot: DataFrame, days: DataFrame, at: str, lookback:
 
 def base_uncertainty(point: Column, p90: Column, q80: Column) -> Column:
     """Released upper bound minus the point, else the point times the usual relative error."""
-    return F.coalesce(p90 - point, point * (F.exp(q80) - 1))
+    return F.when(p90.isNotNull(), F.greatest(p90 - point, F.lit(0.0))).otherwise(point * (F.exp(q80) - 1))
 
 
 def distances(pairs: DataFrame) -> DataFrame:

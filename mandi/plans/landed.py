@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import haversine
-from mandi.operators import forecast, landed
+from mandi.operators import forecast, landed, tables
 from mandi.sources import given, sinks
 
 from . import forecast as forecasts
@@ -54,16 +56,19 @@ HORIZONS, CALIBRATED = [7, 14, 28], 10
 
 
 def calibration(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Usual relative error of each group's route before the scenario, and the routes (the forecasts' validation verdict)."""
+    """Usual relative error of each group's released route before the scenario; and the groups' release status and conformal quantile."""
     df = forecasts.frame(spark, sf_dir)
-    routes = forecast.routes(df.filter("split = 'validation'"), "model", "last_valid")
+    quantile = forecast.conformal_quantiles(forecasts._residuals(df.filter("split = 'validation'")), forecasts.QUANTILE_LEVELS)
+    matrix = forecast.release_matrix(forecasts._with_intervals(spark, sf_dir), "model", "last_valid").select("product_id", "horizon", "release_status")
+    released = forecast.attach_quantile(matrix, quantile, forecasts.QUANTILE_LEVELS, at_least=10).select("product_id", "horizon", "release_status", "quantile")
+    released = released.withColumn("route", F.when(F.col("release_status") == "baseline_fallback", "baseline").otherwise("model"))
     point = F.when(F.col("route") == "model", F.col("model")).otherwise(F.col("last_valid"))
-    res = df.join(routes.select("product_id", "horizon", "route"), ["product_id", "horizon"]).select("product_id", "horizon", "route", F.date_add("origin_date", F.col("horizon")).alias("target_date"), F.abs(F.ln(F.col("actual") / point)).alias("residual"))
-    return landed.risk_calibration(res, AT, CALIBRATED), routes
+    res = df.join(released, ["product_id", "horizon"]).select("product_id", "horizon", "route", F.date_add("origin_date", F.col("horizon")).alias("target_date"), F.abs(F.ln(F.col("actual") / point)).alias("residual"))
+    return landed.risk_calibration(res, AT, CALIBRATED), released
 
 
-CAL_SQL = forecasts.ROUTES_SQL + f""",
-route_ AS (SELECT product_id, horizon, CASE WHEN improvement > 0 AND improved_share > 0.5 THEN 'model' ELSE 'baseline' END AS route FROM imp WHERE split = 'validation'),
+CAL_SQL = forecasts.RELEASE_SQL + f""",
+route_ AS (SELECT product_id, horizon, release_status, CASE WHEN release_status = 'baseline_fallback' THEN 'baseline' ELSE 'model' END AS route, any_value(quantile) AS quantile FROM matrix JOIN wq USING (product_id, horizon) GROUP BY ALL),
 cal AS (SELECT product_id, horizon, route, count(*) AS rows, quantile_cont(residual, 0.8) AS q80_error, median(residual) AS median_error, min(target_date) AS first_target, max(target_date) AS last_target FROM
   (SELECT product_id, horizon, route, (origin_date + horizon)::DATE AS target_date, abs(ln(actual / CASE WHEN route = 'model' THEN model ELSE last_valid END)) AS residual FROM frame JOIN route_ USING (product_id, horizon)) WHERE target_date < DATE '{AT}' GROUP BY 1, 2, 3 HAVING count(*) >= {CALIBRATED})"""
 
@@ -81,9 +86,14 @@ def snapshot(spark, sf_dir) -> DataFrame:
     # the origin's price is a fortnight old for some cities: their reliability is the trailing median
     latest = latest.withColumn("origin_price_date", F.when(F.col("city_id") % 4 == 0, F.date_sub("last_day", 400)).otherwise(F.col("last_day")))
     got = landed.attach_reliability(latest, days, AT).filter("reliability IS NOT NULL").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
-    got = landed.price_labels(landed.attach_calibration(got, *calibration(spark, sf_dir)))
-    got = got.withColumn("uncertainty", landed.base_uncertainty(F.col("point"), F.lit(None).cast("double"), F.col("q80_error"))).join(geo(spark, sf_dir), "city_id")
-    return got.select("product_id", "city_id", "horizon", "point", "reliability", "reliability_source", "route", "risk_basis", "price_label", "interval_status", "uncertainty", "longitude", "latitude")
+    errors, released = calibration(spark, sf_dir)
+    # an interval around the point where its group's is released
+    got = landed.attach_calibration(got, errors, released).join(released.select("product_id", "horizon", "release_status", "quantile"), ["product_id", "horizon"], "left")
+    full = F.coalesce(F.col("release_status").isin("model_target", "model_minimum"), F.lit(False))
+    got = got.withColumn("p90", F.when(full, F.col("point") * F.exp("quantile")))
+    got = landed.price_labels(got, interval=full).withColumn("risk_basis", F.when(full, "released_p90_minus_point").otherwise(F.col("risk_basis")))
+    got = got.withColumn("uncertainty", landed.base_uncertainty(F.col("point"), F.col("p90"), F.col("q80_error"))).join(geo(spark, sf_dir), "city_id")
+    return got.select("product_id", "city_id", "horizon", "point", "reliability", "reliability_source", "route", "risk_basis", "price_label", "interval_status", "p90", "uncertainty", "longitude", "latitude")
 
 
 _CITY_DAYS = DAYS_SQL[len(FLAGS_SQL):]
@@ -95,12 +105,12 @@ latest AS (SELECT product_id, city_id, arg_max(price, date) AS point, max(date)
 snap0 AS (SELECT l.product_id, l.city_id, point, coalesce(e.reliability, t.r) AS reliability, CASE WHEN e.reliability IS NOT NULL THEN 'origin_price_date_exact' ELSE 'trailing_28d_median' END AS reliability_source
   FROM latest l LEFT JOIN near e ON e.product_id = l.product_id AND e.city_id = l.city_id AND e.date = CASE WHEN l.city_id % 4 = 0 THEN last_day - 400 ELSE last_day END
   LEFT JOIN (SELECT product_id, city_id, median(reliability) AS r FROM near GROUP BY 1, 2) t ON t.product_id = l.product_id AND t.city_id = l.city_id),
-snap1 AS (SELECT s.*, h.horizon, coalesce(r.route, 'baseline') AS route, CASE WHEN c.q80_error IS NOT NULL THEN 'route_q80_error' ELSE 'widest_q80_error' END AS risk_basis, coalesce(c.q80_error, w.q) AS q80
+snap1 AS (SELECT s.*, h.horizon, coalesce(r.route, 'baseline') AS route, coalesce(r.release_status IN ('model_target', 'model_minimum'), false) AS full_, r.quantile AS quantile, CASE WHEN coalesce(r.release_status IN ('model_target', 'model_minimum'), false) THEN 'released_p90_minus_point' WHEN c.q80_error IS NOT NULL THEN 'route_q80_error' ELSE 'widest_q80_error' END AS risk_basis, coalesce(c.q80_error, w.q) AS q80
   FROM snap0 s, (VALUES (7), (14), (28)) h(horizon) LEFT JOIN route_ r ON r.product_id = s.product_id AND r.horizon = h.horizon LEFT JOIN cal c ON c.product_id = s.product_id AND c.horizon = h.horizon AND c.route = coalesce(r.route, 'baseline') LEFT JOIN (SELECT horizon, max(q80_error) AS q FROM cal GROUP BY 1) w ON w.horizon = h.horizon WHERE reliability IS NOT NULL),
-snap AS (SELECT product_id, s.city_id, horizon, point, reliability, reliability_source, route, risk_basis, CASE WHEN route = 'baseline' THEN 'last price carried forward, not a model' ELSE 'model point without interval' END AS price_label, CASE WHEN route = 'baseline' THEN 'not_applicable_baseline' ELSE 'not_released' END AS interval_status, point * (exp(q80) - 1) AS uncertainty, longitude, latitude FROM snap1 s JOIN geo USING (city_id))"""
+snap AS (SELECT product_id, s.city_id, horizon, point, reliability, reliability_source, route, risk_basis, CASE WHEN route = 'baseline' THEN 'last price carried forward, not a model' WHEN full_ THEN 'model point with calibrated interval' ELSE 'model point without interval' END AS price_label, CASE WHEN route = 'baseline' THEN 'not_applicable_baseline' WHEN full_ THEN 'calibrated_released' ELSE 'not_released' END AS interval_status, CASE WHEN full_ THEN point * exp(quantile) END AS p90, CASE WHEN full_ THEN greatest(point * exp(quantile) - point, 0) ELSE point * (exp(q80) - 1) END AS uncertainty, longitude, latitude FROM snap1 s JOIN geo USING (city_id))"""
 
 
-@query(sql(SNAP_SQL, "SELECT * FROM snap", "city_id horizon", "point reliability uncertainty longitude latitude"))
+@query(sql(SNAP_SQL, "SELECT * FROM snap", "city_id horizon", "point reliability p90 uncertainty longitude latitude"))
 def scenario_snapshot(spark, sf_dir):
     return out(snapshot(spark, sf_dir))
 
@@ -185,11 +195,24 @@ def scenario_feasibility(spark, sf_dir):
     return out(landed.feasibility(snapshot(spark, sf_dir), geo(spark, sf_dir), HORIZONS))
 
 
-@query()
-def scenario_export(spark, sf_dir):
-    """One JSON document for each product and target city: its ranked sources at each horizon."""
+def scenario_documents(spark, sf_dir) -> DataFrame:
+    """Lines of a document for each product and target city: its ranked sources at each horizon."""
     ranked = landed.rank_sources(landed.costs(_pairs(spark, sf_dir), SCENARIO), SCENARIO)
-    return sinks.product_json(ranked, ["product_id", "target_city"], ["city_id", "unit_cost", "local_cost", "saving", "distance_km", "price_label"], ["horizon", "rank"], {"sources": F.count("*")})
+    records = ranked.select("product_id", "target_city", "horizon", "rank", "city_id", "unit_cost", "local_cost", "saving", "distance_km", "road_km", "price_label", "risk_basis")
+    heads = records.groupBy("product_id", "target_city").agg(F.count("*").alias("sources"))
+    return sinks.documents(heads, ["product_id", "target_city"], {"records": (records, ["horizon", "rank"])})
+
+
+@query(sql(SNAP_SQL + ",\n" + _costs_sql() + ",\n" + RANK_SQL, "SELECT product_id, target_city, count(*) AS sources, string_agg(horizon || ':' || rank || ':' || city_id, ',' ORDER BY horizon, rank) AS ranking, sum(unit_cost) AS unit_cost, sum(road_km) AS road_km, arg_min(price_label, horizon * 10 + rank) AS price_label FROM ranked_cost GROUP BY 1, 2", "target_city", "unit_cost road_km", 3))
+def scenario_export(spark, sf_dir):
+    """The scenario mart: documents written line by line, read back, and summed up."""
+    path = f"{tables.shared_dir(spark)}/mandi-scenarios-{uuid.uuid4().hex}"
+    sinks.write_documents(scenario_documents(spark, sf_dir), path, ["product_id", "target_city"])
+    docs = sinks.read_documents(spark, path, "product_id string, target_city long, sources long, records array<struct<horizon: bigint, rank: bigint, city_id: bigint, unit_cost: double, road_km: double, price_label: string>>")
+    r = F.col("records")
+    total = lambda c: F.aggregate(F.transform(r, lambda x: x[c]), F.lit(0.0), lambda s, x: s + x)
+    ranking = F.array_join(F.transform(r, lambda x: F.concat_ws(":", *(x[c].cast("string") for c in ("horizon", "rank", "city_id")))), ",")
+    return out(docs.select("product_id", "target_city", "sources", ranking.alias("ranking"), total("unit_cost").alias("unit_cost"), total("road_km").alias("road_km"), r[0]["price_label"].alias("price_label")), 3)
 
 
 @query(sql(forecasts.RELEASE_SQL, "SELECT product_id, horizon, release_status, improvement, CASE WHEN release_status = 'baseline_fallback' THEN 'baseline' ELSE 'model' END AS route FROM matrix", "horizon", "improvement", 4))
