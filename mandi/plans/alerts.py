@@ -203,6 +203,83 @@ def alert_baselines(spark, sf_dir):
 
 _KEEP = ["split", "product_id", "city_id", "origin_date", "peak_return", "lead_days"]
 
+# The release chain on two closed-form scores, which SQL can follow to the end; the learned scores take the same operators.
+RATE, PRIOR = "series_event_rate_52w", "train_product_prevalence"
+FINAL_SQL = BASE_SQL + f""",
+long_ AS (SELECT l.*, event_label::INT AS label, 'rate' AS score_source, round({RATE}, 9) AS score FROM based l UNION ALL SELECT l.*, event_label::INT, 'prior', round({PRIOR}, 9) FROM based l),
+pts AS (SELECT split, score_source, score, sum(label) AS pos, count(*) AS n FROM long_ GROUP BY 1, 2, 3),
+run AS (SELECT split, score_source, score AS threshold, sum(pos) OVER d AS tp, sum(n) OVER d AS alerts, sum(pos) OVER (PARTITION BY split, score_source) AS positives, sum(n) OVER (PARTITION BY split, score_source) AS total, row_number() OVER d AS place FROM pts WINDOW d AS (PARTITION BY split, score_source ORDER BY score DESC)),
+run1 AS (SELECT split, score_source, threshold, tp, alerts, positives, total, place FROM run UNION ALL SELECT split, score_source, threshold, 0, 0, positives, total, 0 FROM run WHERE place = 1),
+curve AS (SELECT *, CASE WHEN alerts = 0 THEN 1 ELSE tp / alerts END AS precision, CASE WHEN positives > 0 THEN tp / positives ELSE 0 END AS recall, CASE WHEN total > positives THEN (alerts - tp) / (total - positives) ELSE 0 END AS fpr FROM run1),
+frozen AS (SELECT threshold AS limit_ FROM curve WHERE split = 'validation' AND score_source = 'rate' AND fpr <= 0.1 + 1e-12 ORDER BY recall DESC, precision DESC, threshold DESC LIMIT 1),
+ap AS (SELECT split, score_source, sum((recall - before) * precision) AS average_precision FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY split, score_source ORDER BY place), 0) AS before FROM curve) GROUP BY 1, 2),
+played AS (SELECT split, product_id, city_id, origin_date, peak_return, lead_days, score, label, score >= limit_ AS alert, raw_abs20_q90,
+  CASE WHEN label = 1 AND score >= limit_ THEN 'true_positive' WHEN label = 0 AND score >= limit_ THEN 'false_positive' WHEN label = 1 THEN 'false_negative' ELSE 'true_negative' END AS outcome,
+  row_number() OVER (PARTITION BY product_id, origin_date ORDER BY score DESC, city_id) AS risk_place, count(*) FILTER (label = 1) OVER (PARTITION BY product_id, origin_date) AS impacted_cities, CASE WHEN label = 1 THEN score END AS event_point,
+  avg(raw_abs20_q90::INT) OVER (PARTITION BY product_id, origin_date) AS regional_share FROM long_, frozen WHERE split = 'final_test' AND score_source = 'rate')"""
+
+
+def _rated(spark, sf_dir, split: str) -> DataFrame:
+    """Rows of a split with both scores, one row for each."""
+    df = _based(spark, sf_dir).filter(F.col("split") == split).withColumns({"rate": F.round(RATE, 9), "prior": F.round(PRIOR, 9)})
+    return alerts.by_source(df, {"rate": "rate", "prior": "prior"}, [*_KEEP, "raw_abs20_q90"])
+
+
+def _limit(spark, sf_dir) -> DataFrame:
+    """One row: the threshold that validation freezes."""
+    curve = metrics.pr_curve(_rated(spark, sf_dir, "validation").filter("score_source = 'rate'"), ["split"])
+    return metrics.threshold_at_fpr(curve, ["split"], 0.1).select(F.col("threshold").alias("limit"))
+
+
+def _rate_played(spark, sf_dir) -> DataFrame:
+    df = _rated(spark, sf_dir, "final_test").filter("score_source = 'rate'").crossJoin(_limit(spark, sf_dir))
+    return alerts.event_scope(alerts.replay(df, F.col("limit")), "raw_abs20_q90")
+
+
+@query(sql(_rec(FINAL_SQL), f"SELECT {K}, score, label, outcome, risk_place, impacted_cities, event_point, regional_share, CASE WHEN regional_share >= 0.25 THEN 'regional' WHEN regional_share >= 0.1 THEN 'multi_city' ELSE 'local' END AS scope FROM played", "label", "score event_point regional_share"))
+def baseline_replay(spark, sf_dir):
+    """The final split played back with the series' rate as score, at the threshold frozen on validation."""
+    return out(_rate_played(spark, sf_dir).select(*K.split(", "), "score", "label", "outcome", "risk_place", "impacted_cities", "event_point", "regional_share", "scope"))
+
+
+@query(sql(_rec(FINAL_SQL), f"""SELECT {K}, outcome, score, peak_return, "case" FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY CASE WHEN outcome = 'false_negative' THEN peak_return ELSE score END DESC, CASE WHEN outcome = 'false_negative' THEN score ELSE peak_return END DESC, product_id, city_id, origin_date) AS "case" FROM played WHERE outcome <> 'true_negative') WHERE "case" <= 10""", "", "score peak_return"))
+def baseline_cases(spark, sf_dir):
+    """Ten examples of each outcome."""
+    return out(alerts.top_cases(_rate_played(spark, sf_dir)).select(*K.split(", "), "outcome", "score", "peak_return", "case"))
+
+
+_SLICE = "count(*) AS rows, sum(label) AS events, avg(label) AS prevalence, avg(pow(score - label, 2)) AS brier, count(*) FILTER (alert AND label = 1) AS tp, count(*) FILTER (alert AND label = 0) AS fp, count(*) FILTER (NOT alert AND label = 1) AS fn, count(*) FILTER (NOT alert AND label = 0) AS tn"
+
+
+@query(sql(_rec(FINAL_SQL), f"SELECT 'product' AS kind, product_id AS slice, {_SLICE} FROM played GROUP BY 2 UNION ALL SELECT 'month', strftime(origin_date, '%Y-%m'), {_SLICE} FROM played GROUP BY 2 UNION ALL SELECT 'scope', CASE WHEN regional_share >= 0.25 THEN 'regional' WHEN regional_share >= 0.1 THEN 'multi_city' ELSE 'local' END, {_SLICE} FROM played GROUP BY 2", "events", "prevalence brier"))
+def baseline_slices(spark, sf_dir):
+    """The final split by product, month and scope at the frozen threshold."""
+    df = _rate_played(spark, sf_dir)
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("slice")) for k, c in (("product", F.col("product_id")), ("month", F.date_format("origin_date", "yyyy-MM")), ("scope", F.col("scope")))))
+    long = df.select("score", "label", "limit", F.explode(each).alias("x")).select("x.*", "score", "label", "limit")
+    got = alerts.slices(long, F.col("limit"), ["kind", "slice"])
+    return out(got.select("kind", "slice", "rows", "events", "prevalence", "brier", "tp", "fp", "fn", "tn"))
+
+
+@query(sql(_rec(FINAL_SQL), """SELECT score_source, place, threshold, precision, recall, fpr FROM (SELECT *, row_number() OVER (PARTITION BY score_source, slot ORDER BY place) AS k FROM (SELECT *, floor((row_number() OVER w - 1) * 159 / greatest(count(*) OVER (PARTITION BY score_source) - 1, 1)) AS slot FROM curve WHERE split = 'final_test' WINDOW w AS (PARTITION BY score_source ORDER BY place))) WHERE k = 1""", "", "threshold precision recall fpr"))
+def baseline_curves(spark, sf_dir):
+    """Curves of both scores on the final split, at most 160 points each."""
+    curve = metrics.pr_curve(_rated(spark, sf_dir, "final_test"), ["score_source"])
+    return out(alerts.sample_curve(curve, ["score_source"]).select("score_source", "place", "threshold", "precision", "recall", "fpr"))
+
+
+@query(sql(_rec(FINAL_SQL) + """,
+g AS (SELECT count(*) FILTER (alert AND label = 1) AS tp, count(*) FILTER (alert) AS n, sum(label) AS events, count(*) AS rows, avg(label) AS prevalence FROM played),
+h AS (SELECT tp, events, rows, prevalence, coalesce(tp / nullif(n, 0), 1) AS precision, coalesce(tp / nullif(events, 0), 0) AS recall, coalesce((n - tp) / nullif(rows - events, 0), 0) AS fpr, (SELECT average_precision FROM ap WHERE split = 'final_test' AND score_source = 'rate') AS average_precision, (SELECT average_precision FROM ap WHERE split = 'final_test' AND score_source = 'prior') AS base FROM g),
+c AS (SELECT *, base > 0 AND average_precision / base - 1 >= 0.2 AS lift_ok, fpr <= 0.12 AS fpr_ok, recall >= 0.3 AS recall_ok, precision >= prevalence * 2 AS precision_ok, tp >= 20 AS positives_ok FROM h)""", "SELECT rows, events, precision, recall, fpr, average_precision, lift_ok, fpr_ok, recall_ok, precision_ok, positives_ok, CASE WHEN lift_ok AND fpr_ok AND recall_ok AND precision_ok AND positives_ok THEN 'alert_release' WHEN average_precision > base AND recall >= 0.2 THEN 'research_only' ELSE 'no_signal' END AS release_status FROM c", "events", "precision recall fpr average_precision"))
+def baseline_release(spark, sf_dir):
+    """The series' rate on the final split at its frozen threshold, gated against the product's prevalence."""
+    final = _rated(spark, sf_dir, "final_test")
+    base = metrics.average_precision(metrics.pr_curve(final.filter("score_source = 'prior'"), ["score_source"]), ["score_source"]).select(F.col("average_precision").alias("base"))
+    got = alerts.slices(final.filter("score_source = 'rate'").crossJoin(_limit(spark, sf_dir)), F.col("limit"), ["score_source"]).crossJoin(base)
+    gated = alerts.release_gate(got, F.col("base"))
+    return out(gated.select("rows", "events", "precision", "recall", "fpr", "average_precision", "lift_ok", "fpr_ok", "recall_ok", "precision_ok", "positives_ok", "release_status"))
+
 
 @layer
 def scored_alerts(spark, sf_dir) -> DataFrame:
