@@ -1,6 +1,7 @@
 """Small hand-computed cases."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,27 @@ def test_landed_cost(spark):
             landed.Scenario(**bad)
 
 
+def test_sources_are_near_by_road(spark):
+    """A source whose straight line is below the limit and whose road is above; limits of parameters; released bounds; nothing forecast."""
+    degree = 6371.0088 * math.pi / 180
+    rows = [("p", 7, c, 9, 10.0, 0.9, 1.0, lon, 0.0, 0.0, 0.0) for c, lon in ((1, 1000 / degree), (2, 1150 / degree), (3, 1250 / degree), (9, 0.0))]
+    pairs = spark.createDataFrame(rows, "product_id string, horizon int, city_id int, target_city int, point double, reliability double, uncertainty double, longitude double, latitude double, target_longitude double, target_latitude double")
+    s = landed.Scenario(max_distance_km=1400.0, road_factor=1.25, transport_cost=0.001)
+    costed = landed.costs(pairs, s)
+    assert {r.city_id: near(r.road_km, 1.25 * r.distance_km) for r in costed.collect()} == dict.fromkeys((1, 2, 3, 9), True)
+    assert [r.city_id for r in landed.rank_sources(costed, s).collect()] == [1]
+    asked = spark.createDataFrame([("p", 7, 9), ("p", 28, 9)], "product_id string, horizon int, target_city int")
+    got = {r.horizon: r for r in landed.funnel(costed, s, asked=asked).collect()}
+    assert (got[7].sources, got[7].near, got[7].candidates, got[7].status) == (4, 2, 1, "ok")
+    assert (got[28].sources, got[28].candidates, got[28].status) == (0, 0, "no_product_horizon_data")
+    for wrong in ({"road_factor": 0.99}, {"road_factor": float("nan")}, {"most_multiplier": 0.5}):
+        with pytest.raises(ValueError):
+            landed.Scenario(**wrong)
+    bounds = spark.createDataFrame([(10.0, 12.0, 0.5), (10.0, 9.0, 0.5), (10.0, None, 0.5)], "point double, p90 double, q double")
+    got = [r.u for r in bounds.select(landed.base_uncertainty(F.col("point"), F.col("p90"), F.col("q")).alias("u")).collect()]
+    assert got[:2] == [2.0, 0.0] and near(got[2], 10 * (math.exp(0.5) - 1))
+
+
 def test_exact_lag_does_not_bridge_gaps(spark):
     df = spark.createDataFrame([("p", "c", D(2020, 1, 1), 1.0), ("p", "c", D(2020, 1, 7), 2.0), ("p", "c", D(2020, 1, 10), 3.0)], "product_id string, city_id string, bin_start date, x double")
     got = {r.bin_start.day: r.x_lag1 for r in temporal.exact_lags(df, ["x"], [1], 3).collect()}
