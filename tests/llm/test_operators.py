@@ -642,6 +642,19 @@ def test_pipeline(spark, tmp_path):
     assert packed.filter("start + length = doc_tokens").count() == mixed.count()
 
 
+def test_pipeline_tells_texts_under_one_id_apart(spark):
+    """One id under two texts; a failing and a passing row of one id; repeats; a group whose smallest id has another text too."""
+    import corpus_pipeline
+
+    say = lambda seed: " ".join(random.Random(seed).choices([f"word{i}" for i in range(500)], k=120))
+    rows = [(1, say(1)), (1, say(2)), (2, say(3)), (2, "too short"), (3, say(1)), (3, say(1)), (4, say(1) + " more"), (5, ""), (5, None), (6, say(9)), (6, say(9)), (None, say(1)), (None, say(1))]
+    docs = common.materialize(spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4), "ids")
+    told = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    good = corpus_pipeline.quality_rules(spark, docs, "")
+    assert told(good) == Counter(r for r in rows if r[1] and r[1] != "too short")
+    assert told(corpus_pipeline.near_dedup(spark, docs, "")) == Counter([(1, say(1)), (1, say(2)), (2, say(3)), (2, "too short"), (5, ""), (5, None), (6, say(9)), (None, say(1)), (None, say(1))])
+
+
 OURS = ["row", "row_id", "spans", "own", "key", "size", "block", "d", "share", "mix_shard", "mix_copy", "good_id", "kept_id", "a.b", "place", "bucket", "guard", "guards", "known_source", "source_id", "drawn", "take", "registers", "node", "digest", "lines", "label", "held_out", "order", "tie", "`"]
 
 
