@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,11 +59,14 @@ def calendar(date: Column, prefix: str) -> dict[str, Column]:
     return {f"{prefix}_month": F.month(date), f"{prefix}_day_sin": F.sin(angle), f"{prefix}_day_cos": F.cos(angle)}
 
 
+def _compatible(names: pd.Series) -> pd.Series:
+    """Unicode's compatibility form: full- and half-width forms, ligatures and composed marks made one."""
+    return names.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
 def market_key(name: Column) -> Column:
-    """A name for finding candidate matches: full-width forms, brackets and spaces made one."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    return F.regexp_replace(F.lower(F.translate(name, wide + "　【】「」", plain + " []()")), r"[\s()\[\]]+", "")
+    """A name for finding candidate matches: its compatibility form in lower case, without spaces and brackets."""
+    return F.regexp_replace(F.lower(F.pandas_udf(_compatible, "string")(name)), r"[\s()\[\]{}<>\u3008-\u3011\u3014-\u301b]+", "")
 
 
 def bin_start(date: Column, anchor: str, days: int) -> Column:

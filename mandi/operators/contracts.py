@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tables
+
 
 def assert_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     have, want = ([(f.name, f.dataType, f.nullable) for f in s] for s in (df.schema, schema))
@@ -86,3 +88,45 @@ def assert_none(df: DataFrame, what: str) -> None:
     bad = df.take(3)
     if bad:
         raise ValueError(f"{what}: {bad}")
+
+
+# ---------------------------------------------------------------- checks in flight
+
+
+def checked(df: DataFrame, rules: dict[str, Column], tag: str, expected: dict[str, int] | None = None, splits: set[str] | None = None, schema: T.StructType | None = None, split: str = "split") -> tuple[DataFrame, dict[str, int]]:
+    """df written to the shared folder, and what was counted on the way: rows, and rows that break each rule (NULL doesn't).
+
+    Counts are observed while the table is written, so no check is a job of its own.  Raises after the write, and the
+    table isn't given out, if a rule is broken other than as often as ``expected`` says (by default never), if split
+    values aren't exactly ``splits``, or, before it, if the schema isn't the given one.
+    """
+    if schema is not None:
+        assert_schema(df, schema)
+    watch = Observation(f"checks of {tag}")
+    counts = {"rows": F.count(F.lit(1))} | {k: F.count_if(~c) for k, c in rules.items()}
+    if splits is not None:
+        counts |= {f"split {x}": F.count_if(F.col(split) == x) for x in sorted(splits)} | {"other splits": F.count_if(F.coalesce(~F.col(split).isin(*splits), F.lit(True)))}
+    written = tables.kept(df.observe(watch, *(c.alias(k) for k, c in counts.items())), tag)
+    found = {k: int(watch.get.get(k, 0) or 0) for k in counts}  # an empty table observes nothing
+    want = expected or {}
+    bad = {k: found[k] for k in rules if found[k] != want.get(k, 0)}
+    if splits is not None:
+        bad |= {k: n for k, n in found.items() if (k.startswith("split ") and not n) or (k == "other splits" and n)}
+    if bad:
+        raise ValueError(f"{tag}: {bad} of {found['rows']} rows")
+    return written, found
+
+
+def joined_checked(left: DataFrame, right: DataFrame, key: list[str], tag: str, many: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """left with right's columns, written: raises if right's key repeats or a row of left has none, and with many False if left's key repeats.
+
+    How often a key stands on the right is counted where the right side is grouped for the join, so cardinality
+    and missing keys show in the one write.
+    """
+    others = [c for c in right.columns if c not in key]
+    held = right.groupBy(*key).agg(F.count("*").alias("times__"), *(F.first(c).alias(c) for c in others))
+    rows = left if many else left.withColumn("same__", F.count("*").over(Window.partitionBy(*key)))
+    df = rows.join(held, key, "left")
+    rules = {"missing on the right": F.col("times__").isNotNull(), "repeated on the right": F.coalesce(F.col("times__") == 1, F.lit(True))} | ({} if many else {"repeated on the left": F.col("same__") == 1})
+    written, found = checked(df, rules, tag)
+    return written.drop("times__", "same__"), found

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mandi.functions.scalar import market_key
+
 from . import contracts, tables
 
 STATUSES = ("mapped_existing_city", "unmapped_new_city", "unmapped_unknown")
@@ -69,3 +71,22 @@ def product_price_level(quotes: DataFrame) -> DataFrame:
     thirds = stats.agg(F.percentile("p50", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("t"))
     level = F.when(F.col("p50") <= F.col("t")[0], "low").when(F.col("p50") <= F.col("t")[1], "medium").otherwise("high")
     return stats.join(F.broadcast(thirds)).withColumn("price_level", level).drop("t")
+
+
+def name_candidates(raw: DataFrame, known: DataFrame, most: int = 1) -> DataFrame:
+    """raw_name, known_name, distance: names (column name) whose keys are at most ``most`` (1 or 0) edits apart.
+
+    Names meet in blocks: keys one edit apart have a form in common among themselves and their forms with one
+    character left out, so only names of one block are compared, and none that are near are missed.
+    """
+    if most not in (0, 1):
+        raise ValueError("one edit at most")
+
+    def forms(df: DataFrame, name: str, key: str) -> DataFrame:
+        keyed = df.select(F.col("name").alias(name), market_key(F.col("name")).alias(key)).filter(F.col(key).isNotNull()).distinct()
+        less = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.substring(F.col(key), F.lit(1), i - 1), F.substring(F.col(key), i + 1, F.length(key))))
+        every = F.array_union(F.array(key), F.when(F.length(key) > 0, less).otherwise(F.array().cast("array<string>"))) if most else F.array(key)
+        return keyed.withColumn("form", F.explode(every))
+
+    met = forms(raw, "raw_name", "raw_key").join(forms(known, "known_name", "known_key"), "form").drop("form").distinct()
+    return met.withColumn("distance", F.levenshtein("raw_key", "known_key")).filter(F.col("distance") <= most).select("raw_name", "known_name", "distance")

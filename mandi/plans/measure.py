@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import split_of
-from mandi.operators import cityday, contracts, coverage, mapping, monitor, quality
+from mandi.operators import cityday, contracts, coverage, mapping, monitor, quality, tables
 from mandi.sources import files, given, sinks
 
 from .common import DAYS_SQL, FLAGS_SQL, city_days, flagged, folder_of, market_days, out, sql
@@ -90,9 +92,91 @@ def product_json_roundtrip(spark, sf_dir):
     return out(each.groupBy("product_id", "rows").agg(F.sum("r.price").alias("total"), F.min("r.date").alias("first_date")).select("product_id", "rows", "total", "first_date"), 0)
 
 
+# ---------------------------------------------------------------- files written and read
+
+
+def _folder(spark, tag: str) -> str:
+    return f"{tables.shared_dir(spark)}/mandi-{tag}-{uuid.uuid4().hex}"
+
+
+@query(sql(G, "SELECT product_id, market_id::VARCHAR AS raw_market, date, price, previous_price, round_even(reported_change_pct, 2) AS reported_change_pct, count(*) AS rows, true AS numbered FROM quotes LEFT JOIN mapping USING (market_id) WHERE previous_price IS NOT NULL AND reported_change_pct IS NOT NULL GROUP BY ALL", "", "price previous_price reported_change_pct", 2))
+def csv_quotes(spark, sf_dir):
+    """Quotes written as CSV files, a file set for each product, and read by the quote reader: header, text, types, products, row numbers."""
+    df = given.quotes(spark, sf_dir).join(given.mapping(spark, sf_dir).select("market_id", "province"), "market_id", "left").filter("previous_price IS NOT NULL AND reported_change_pct IS NOT NULL")
+    text = {"raw_date": F.date_format("date", "yyyy-MM-dd"), "raw_index": F.col("trace").cast("string"), "raw_province": F.coalesce("province", F.lit("")), "raw_market": F.col("market_id").cast("string"), "raw_price": F.col("price").cast("string"), "raw_previous_price": F.col("previous_price").cast("string"), "raw_change": F.concat(F.bround("reported_change_pct", 2).cast("string"), F.lit("%"))}
+    df = df.select("product_id", *(c.alias(k) for k, c in text.items()))
+    path, names = _folder(spark, "csv"), []
+    df = tables.kept(df, "csv-rows")
+    for i, r in enumerate(df.select("product_id").distinct().orderBy("product_id").collect()):  # a dimension of some dozens
+        df.filter(F.col("product_id") == r.product_id).drop("product_id").write.option("header", True).csv(f"{path}/{i}")
+        names += [(f.rpartition("/")[2], r.product_id) for f in spark.read.text(f"{path}/{i}").inputFiles()]
+    raw = files.read_quotes(spark, f"{path}/*", spark.createDataFrame(names, "source_file string, product_id string"))
+    raw = tables.kept(raw, "csv-read")
+    numbers = raw.groupBy("source_file").agg((F.count_distinct("row_in_file") == F.count("*")).alias("once"), (F.max("row_in_file") == F.count("*")).alias("last"))
+    parsed = files.assert_parsed(files.parse_quotes(raw)).join(F.broadcast(numbers), "source_file")
+    return out(parsed.groupBy("product_id", "raw_market", "date", "price", "previous_price", "reported_change_pct").agg(F.count("*").alias("rows"), F.bool_and(F.col("once") & F.col("last")).alias("numbered")), 2)
+
+
+@query("SELECT n_nationkey::BIGINT AS city_id, n_name AS city, r_name AS province FROM nation JOIN region ON n_regionkey = r_regionkey")
+def csv_dimension(spark, sf_dir):
+    """The city dimension as CSV, read with its key checked."""
+    path = _folder(spark, "dimension")
+    cities = given.table(spark, sf_dir, "nation").join(given.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("city_id"), F.col("n_name").alias("city"), F.col("r_name").alias("province"))
+    cities.write.option("header", True).csv(path)
+    return out(files.read_dimension(spark, path, cities.schema, ["city_id"], rows=cities.count()))
+
+
+@query(sql(DAYS_SQL, "SELECT product_id, count(*) AS rows, sum(price) AS total, product_id = (SELECT min(product_id) FROM city_day) AS replaced FROM city_day WHERE quality = 'good' OR product_id <> (SELECT min(product_id) FROM city_day) GROUP BY 1", "", "total", 0))
+def partitioned_table(spark, sf_dir):
+    """City-days by product; one product is written again, in its place; then each is read from its own directory."""
+    days, path = city_days(spark, sf_dir), _folder(spark, "table")
+    sinks.write_table(days, path, days.schema, files=2, rows=5000)
+    first = days.agg(F.min("product_id").alias("p")).first().p
+    sinks.write_table(days.filter((F.col("product_id") == F.lit(first)) & (F.col("quality") == "good")), path)
+    whole = spark.read.parquet(path)
+    one = files.scan(spark, path, ["product_id", "price"], F.col("product_id") == F.lit(first)).withColumn("replaced", F.lit(True))
+    rest = files.scan(spark, path, ["product_id", "price"], F.col("product_id") != F.lit(first)).withColumn("replaced", F.lit(False))
+    assert set(whole.columns) == set(days.columns)
+    return out(one.unionByName(rest).groupBy("product_id", "replaced").agg(F.count("*").alias("rows"), F.sum("price").alias("total")), 0)
+
+
 # ---------------------------------------------------------------- contracts
 
 
+@query(sql(DAYS_SQL, "SELECT * FROM (SELECT unnest(['rows', 'price_positive', 'share_bounds', 'rows_per_market', 'high_reliability', 'split final_test', 'split train', 'split validation', 'other splits']) AS name, unnest([count(*), count(*) FILTER (NOT price > 0), count(*) FILTER (NOT (stale_share >= 0 AND stale_share <= 1)), count(*) FILTER (NOT source_rows >= markets), count(*) FILTER (NOT reliability >= 0.9), count(*) FILTER (year(date) = 2001), count(*) FILTER (year(date) BETWEEN 1995 AND 1999), count(*) FILTER (year(date) = 2000), 0]) AS found FROM city_day WHERE year(date) BETWEEN 1995 AND 2001)"))
+def checks_in_flight(spark, sf_dir):
+    """What the city-days' contract counts while the table is written: bounds, splits, schema; no check reads the table again."""
+    df = city_days(spark, sf_dir).withColumn("split", split_of(F.col("date"), given.SPLITS)).filter("split IS NOT NULL")
+    rules = {"price_positive": F.col("price") > 0, "share_bounds": F.col("stale_share").between(0, 1), "rows_per_market": F.col("source_rows") >= F.col("markets"), "high_reliability": F.col("reliability") >= 0.9}
+    known = df.filter("NOT reliability >= 0.9").count()  # a rule that real tables break, as often as said
+    _, found = contracts.checked(df, rules, "city-days", {"high_reliability": known}, set(given.SPLITS), df.schema)
+    return spark.createDataFrame(list(found.items()), "name string, found long")
+
+
+@query(sql(G, "SELECT count(*) AS rows, 0 AS missing, 0 AS repeated, count(DISTINCT city_id) AS cities FROM quotes JOIN mapping USING (market_id)", "missing repeated"))
+def join_in_flight(spark, sf_dir):
+    """Quotes with their mapping, many to one: keys are counted in the join that is written."""
+    joined, found = contracts.joined_checked(given.quotes(spark, sf_dir), given.mapping(spark, sf_dir), ["market_id"], "mapped")
+    counts = {"missing": found["missing on the right"], "repeated": found["repeated on the right"]}
+    return out(joined.agg(F.count("*").alias("rows"), *(F.lit(n).cast("long").alias(k) for k, n in counts.items()), F.count_distinct("city_id").alias("cities")))
+
+
+# Names as they come: full-width, bracketed, or with a letter missing; SQL knows what each one's plain form is.
+@query("""WITH r AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 2 THEN left(s_name, 2) || substr(s_name, 4) ELSE s_name END AS plain FROM supplier),
+k AS (SELECT s_suppkey, lower(s_name) AS key FROM supplier UNION ALL SELECT -1 - n_nationkey, lower(replace(n_name, ' ', '')) FROM nation),
+raw AS (SELECT s_suppkey, lower(plain) AS key FROM r UNION ALL SELECT -1 - n_nationkey, lower(replace(replace(n_name, ' ', ''), 'O', '')) FROM nation)
+SELECT raw.s_suppkey::BIGINT AS raw_id, k.s_suppkey::BIGINT AS known_id, levenshtein(raw.key, k.key)::BIGINT AS distance FROM raw, k WHERE levenshtein(raw.key, k.key) <= 1""")
+def name_candidates(spark, sf_dir):
+    s, n = given.table(spark, sf_dir, "supplier"), given.table(spark, sf_dir, "nation")
+    letters = "".join(chr(c) for c in range(0x21, 0x7F))
+    name, code = F.col("s_name"), F.col("s_suppkey") % 3
+    odd = F.when(code == 0, F.translate(name, letters, "".join(chr(ord(c) + 0xFEE0) for c in letters))).when(code == 1, F.concat(F.lit("【"), F.lower(name), F.lit("】 "))).otherwise(F.concat(F.substring(name, 1, 2), F.substring(name, 4, 99)))
+    ids = lambda x, y: s.select(F.col("s_suppkey").cast("long").alias("id"), x.alias("name")).unionByName(n.select((-1 - F.col("n_nationkey")).cast("long").alias("id"), y.alias("name")))
+    raw, known = ids(odd, F.replace("n_name", F.lit("O"), F.lit(" "))), ids(name, F.col("n_name"))
+    got = mapping.name_candidates(raw, known)
+    return out(got.join(raw.select(F.col("id").alias("raw_id"), F.col("name").alias("raw_name")), "raw_name").join(known.select(F.col("id").alias("known_id"), F.col("name").alias("known_name")), "known_name").select("raw_id", "known_id", "distance"))
+
+
 @query(sql(G, "SELECT product_id, market_id, date, count(*) AS n FROM quotes GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 def key_duplicates(spark, sf_dir):
     return out(contracts.duplicates(given.quotes(spark, sf_dir), ["product_id", "market_id", "date"]))

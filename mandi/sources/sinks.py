@@ -9,12 +9,16 @@ from pyspark.sql import types as T
 from mandi.operators import contracts, tables
 
 
-def write_table(df: DataFrame, path: str, schema: T.StructType | None = None, by: str = "product_id", files: int = 1) -> None:
-    """Parquet (zstd), one directory per product; ``files`` spreads a large product over several tasks."""
+def write_table(df: DataFrame, path: str, schema: T.StructType | None = None, by: str = "product_id", files: int = 1, rows: int = 0) -> None:
+    """Parquet (zstd), one directory per product; ``files`` spreads a large product over several tasks, ``rows`` cuts files (0: not).
+
+    Only products of df are replaced: those that the table has beside them stay as they are.
+    """
     if schema is not None:
         contracts.assert_schema(df, schema)
     spread = df.repartition(by) if files == 1 else df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(files)))
-    spread.write.partitionBy(by).option("compression", "zstd").parquet(path)
+    how = {"compression": "zstd", "partitionOverwriteMode": "dynamic"} | ({"maxRecordsPerFile": rows} if rows else {})
+    spread.write.mode("overwrite").partitionBy(by).options(**how).parquet(path)
 
 
 def product_json(df: DataFrame, by: str | list[str], records: list[str], order: list[str], meta: dict[str, F.Column] | None = None) -> DataFrame:
@@ -51,12 +55,13 @@ def statistics(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """One row: rows of a Parquet table, and least and greatest value of each column, from the files' footers.
 
     Read by the version-2 source, to which Spark pushes counts, minima and maxima of whole numbers, doubles and dates; a
-    column of another type (a timestamp, a string) is scanned alone.  An empty table has nulls.
+    column of another type (a timestamp, a string) is scanned alone.  An empty table has no rows and nulls.
     """
     own = spark.newSession()  # settings of a session: the caller's stay as they are
     own.conf.set("spark.sql.sources.useV1SourceList", "")
     own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    return own.read.parquet(path).agg(F.coalesce(F.count("*"), F.lit(0)).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("first", F.min), ("last", F.max))))
+    n = F.count("*")  # pushed, it is null where there is no file to ask
+    return own.read.parquet(path).agg(F.when(n > 0, n).otherwise(0).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("first", F.min), ("last", F.max))))
 
 
 def date_range(spark: SparkSession, path: str, date: str) -> DataFrame:

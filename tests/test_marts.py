@@ -2,13 +2,16 @@
 
 import json
 import random
+import unicodedata
 from datetime import date, timedelta
 from glob import glob
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mandi.operators import shocks
+from mandi.functions.scalar import market_key
+from mandi.operators import contracts, mapping, shocks
 from mandi.sources import sinks
 
 
@@ -63,3 +66,59 @@ def test_correlations_from_partial_products(spark, bins):
             assert r[f"n_{c}"] == len(common)
             want = None if c == "y" and r.a == "c0" else pytest.approx(np.corrcoef([a[d] for d in common], [b[d] for d in common])[0, 1])
             assert r[f"rho_{c}"] == want
+
+
+def test_checks_in_flight_raise_after_the_write(spark):
+    rows = [(1, 2.0, "train"), (2, -1.0, "train"), (3, None, "validation")]
+    df = spark.createDataFrame(rows, "k int, x double, split string").repartition(2)
+    rule, splits = {"positive": F.col("x") > 0}, {"train", "validation"}
+    written, found = contracts.checked(df, rule, "t", {"positive": 1}, splits, df.schema)
+    assert found == {"rows": 3, "positive": 1, "split train": 2, "split validation": 1, "other splits": 0} and sorted(map(tuple, written.collect())) == sorted(rows)
+    for how in ({"rules": rule}, {"rules": {}, "splits": {"train"}}, {"rules": {}, "splits": {*splits, "final"}}, {"rules": {}, "schema": df.select("k").schema}):
+        with pytest.raises(ValueError):
+            contracts.checked(df, tag="t", **how)
+    assert contracts.checked(df.filter("k > 9"), rule, "t")[1] == {"rows": 0, "positive": 0}
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, y string")
+    joined, _ = contracts.joined_checked(df, right, ["k"], "j", many=False)
+    assert sorted((r.k, r.y) for r in joined.collect()) == [(1, "a"), (2, "b"), (3, "c")] and joined.columns == ["k", "x", "split", "y"]
+    for a, b, many in ((df, right.filter("k < 3"), True), (df, right.union(right), True), (df.union(df), right, False)):
+        with pytest.raises(ValueError):
+            contracts.joined_checked(a, b, ["k"], "j", many)
+    assert contracts.joined_checked(df.union(df), right, ["k"], "j")[0].count() == 6
+
+
+def test_partitions_are_replaced_and_pruned(spark, tmp_path):
+    df = spark.range(100).select((F.col("id") % 3).cast("string").alias("product_id"), "id")
+    path = str(tmp_path / "t")
+    sinks.write_table(df, path, rows=10)
+    sinks.write_table(df.filter("product_id = '1' AND id > 50"), path)
+    got = {r.product_id: r["count"] for r in spark.read.schema("id long, product_id string").parquet(path).groupBy("product_id").count().collect()}
+    assert got == {"0": 34, "1": 16, "2": 33} and len(glob(f"{path}/product_id=0/*.parquet")) == 4
+    one = spark.read.schema("id long, product_id string").parquet(path).filter("product_id = '1'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(product_id" in plan and one.count() == 16
+
+
+def test_names_one_edit_apart(spark):
+    """Full- and half-width forms, ligatures, composed marks, brackets; all pairs against brute force."""
+    rng = random.Random(7)
+    odd = {"ﾄﾏﾄ市場": "トマト市場", "ＡＢＣ　市場": "abc市場", "ﬁsh (old)": "fishold", "Cafe\u0301【x】": "caféx", "㌔ market": "キロmarket", "ｶﾞ": "ガ", "": "", "[ ]": ""}
+    got = spark.createDataFrame([(k,) for k in odd] + [(None,)], "name string").select("name", market_key(F.col("name")).alias("key")).collect()
+    assert {r.name: r.key for r in got if r.name is not None} == odd and [r.key for r in got if r.name is None] == [None]
+    names = ["".join(rng.choice("abＡ ") for _ in range(rng.randint(0, 6))) for _ in range(120)]
+    known, raw = (spark.createDataFrame([(n,) for n in names[i::2]] + [(None,)], "name string") for i in (0, 1))
+
+    def key(n):
+        return unicodedata.normalize("NFKC", n).lower().replace(" ", "")
+
+    def near(a, b):
+        if a == b:
+            return 0
+        if len(a) == len(b):
+            return 1 if sum(x != y for x, y in zip(a, b, strict=True)) == 1 else None
+        a, b = sorted((a, b), key=len)
+        return 1 if len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b))) else None
+
+    want = {(r, k, near(key(r), key(k))) for r in names[1::2] for k in names[0::2] if near(key(r), key(k)) is not None}
+    assert {tuple(r) for r in mapping.name_candidates(raw, known).collect()} == want and len(want) > 50
+    assert {tuple(r) for r in mapping.name_candidates(raw, known, 0).collect()} == {x for x in want if x[2] == 0}
