@@ -73,9 +73,3 @@ def bin_start(date: Column, anchor: str, days: int) -> Column:
     """First day of the anchored bin that holds the date."""
     first = F.lit(anchor).cast("date")
     return F.date_add(first, (F.floor(F.datediff(date, first) / days) * days).cast("int"))
-
-
-def row_count_rank(partition: list[str], order: list) -> Column:
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

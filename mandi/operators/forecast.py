@@ -1,16 +1,14 @@
 """Forecasts: features, ridge and hurdle models, heuristics, routes, conformal intervals, release.
 
-Models are MLlib fits; everything else is expressions and aggregates over the forecast mart.
+Ridge models are solved from cross-products that one pass sums up; everything else is expressions and aggregates over the forecast mart.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,15 +57,48 @@ def prepare(df: DataFrame, fitted: dict) -> DataFrame:
     return df.withColumns({f"x_{c}": (F.coalesce(c, F.lit(m)) - mean) / sd for c, (m, mean, sd) in fitted.items()}).withColumn("group", F.concat_ws("|", "product_id", "horizon"))
 
 
-def fit_encoder(train: DataFrame, names: list[str]) -> PipelineModel:
-    """A vector of the scaled features and of all product-horizon levels; the last place, of unknown ones, is dropped."""
-    return Pipeline(stages=[StringIndexer(inputCol="group", outputCol="group_index", handleInvalid="keep"), OneHotEncoder(inputCol="group_index", outputCol="group_vector"), VectorAssembler(inputCols=[*(f"x_{c}" for c in names), "group_vector"], outputCol="features")]).fit(train)
+def normal_equations(ready: DataFrame, names: list[str], levels: list[str], labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-products of the design (constant, features x_<name>, one column for each level of group) and the labels: of all rows, and of those with moved = 1.
 
-
-def ridge(train: DataFrame, label: str, alpha: float, prediction: str):
-    """Ridge with an unpenalised intercept; the closed form's penalty in MLlib's scale."""
-    n, sd = train.agg(F.count("*"), F.stddev_pop(label)).first()
-    return LinearRegression(featuresCol="features", labelCol=label, predictionCol=prediction, solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha / max(n, 1) * (sd or 1.0)).fit(train)
+    One pass: a task adds its rows' products up, entries are summed over tasks, and their number is fixed by the
+    columns.  Every ridge model of any label and penalty follows from them.
+    """
+    size = 1 + len(names) + len(levels)
+    width = size + len(labels)
+    place = {v: i for i, v in enumerate(levels)}
+
+    def partial(batches):
+        total = np.zeros((2, size, width))
+        for pdf in batches:
+            x = np.zeros((len(pdf), width))
+            x[:, 0] = 1
+            x[:, 1 : 1 + len(names)] = pdf[[f"x_{c}" for c in names]].to_numpy(float)
+            x[np.arange(len(pdf)), 1 + len(names) + pdf["group"].map(place).to_numpy(int)] = 1
+            x[:, size:] = pdf[labels].to_numpy(float)
+            for k, rows in enumerate((x, x[pdf["moved"].to_numpy() == 1])):
+                total[k] += rows[:, :size].T @ rows
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    sums = ready.select(*(f"x_{c}" for c in names), "group", *dict.fromkeys([*labels, "moved"])).mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(2 * size * width)
+    for r in sums.collect():
+        out[r.i] = r.v
+    return tuple(out.reshape(2, size, width))
+
+
+def ridge(products: np.ndarray, label: int, alpha: float) -> np.ndarray:
+    """Coefficients (constant first, which has no penalty) from normal_equations()."""
+    size = len(products)
+    penalty = alpha * np.eye(size)
+    penalty[0, 0] = 0
+    return np.linalg.solve(products[:, :size] + penalty, products[:, size + label])
+
+
+def linear(coefficients: np.ndarray, names: list[str], levels: list[str]) -> Column:
+    """The prediction of prepared rows; a group that wasn't learned adds nothing."""
+    own = F.aggregate(F.zip_with(F.array(*(F.col(f"x_{c}") for c in names)), F.array(*(F.lit(float(w)) for w in coefficients[1 : 1 + len(names)])), lambda x, w: x * w), F.lit(float(coefficients[0])), lambda acc, v: acc + v)
+    of_group = F.create_map(*(F.lit(x) for v, w in zip(levels, coefficients[1 + len(names) :], strict=True) for x in (v, float(w))))
+    return own + F.coalesce(F.try_element_at(of_group, F.col("group")), F.lit(0.0))
 
 
 def price_of(ret: Column, shrink: float = 1.0) -> Column:
@@ -84,27 +115,22 @@ def heuristics() -> dict[str, Column]:
 
 
 def fit_candidates(train: DataFrame, alphas=RIDGE, shrinks=SHRINK, moved: float = 0.01) -> dict:
-    """Frozen parts of all candidates: preparation, encoder, ridge and hurdle models."""
+    """Frozen parts of all candidates: preparation, levels, and for each penalty the ridge model and the hurdle's two."""
     df, names = features(train)
     fitted = fit_preparation(df, names)
     ready = prepare(df, fitted).withColumn("moved", (F.abs("target_return") > moved).cast("double"))
-    encoder = fit_encoder(ready, list(fitted))
-    ready = encoder.transform(ready).select("features", "target_return", "moved").persist()
-    models = {}
-    for i, a in enumerate(alphas):
-        models[a] = (ridge(ready, "target_return", a, f"ridge_{i}"), ridge(ready, "moved", a, f"move_{i}"), ridge(ready.filter("moved = 1"), "target_return", a, f"size_{i}"))
-    ready.unpersist()
-    return {"names": names, "fitted": fitted, "encoder": encoder, "models": models, "shrinks": shrinks}
+    levels = sorted(r.group for r in ready.select("group").distinct().collect())  # products times horizons
+    every, large = normal_equations(ready, list(fitted), levels, ["target_return", "moved"])
+    models = {a: (ridge(every, 0, a), ridge(every, 1, a), ridge(large, 0, a)) for a in alphas}
+    return {"names": names, "fitted": fitted, "levels": levels, "models": models, "shrinks": shrinks}
 
 
 def score(mart: DataFrame, frozen: dict) -> tuple[DataFrame, dict[str, str]]:
     """mart with a price column for each candidate, and the columns by candidate."""
-    df, _ = features(mart)
-    df = frozen["encoder"].transform(prepare(df, frozen["fitted"]))
-    columns = {}
-    for i, (a, trio) in enumerate(frozen["models"].items()):
-        for m in trio:
-            df = m.transform(df)
+    df = prepare(features(mart)[0], frozen["fitted"])
+    parts = {f"{kind}_{i}": linear(w, list(frozen["fitted"]), frozen["levels"]) for i, trio in enumerate(frozen["models"].values()) for kind, w in zip(("ridge", "move", "size"), trio, strict=True)}
+    df, columns = df.withColumns(parts), {}
+    for i, a in enumerate(frozen["models"]):
         for s in frozen["shrinks"]:
             columns[f"ridge_a{a}_s{s}"] = price_of(F.col(f"ridge_{i}"), s)
             columns[f"hurdle_a{a}_s{s}"] = price_of(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"move_{i}"))) * F.col(f"size_{i}"), s)
@@ -226,7 +252,3 @@ def origin_audit(spine: DataFrame, series: DataFrame, split: Column, horizons=(7
     got = asked.join(series.select("product_id", "city_id", F.col("date").alias("target_date")), ["product_id", "city_id", "target_date"]).withColumn("split", split)
     each = got.groupBy("product_id", "split", "horizon", "origin_date").agg(F.count("*").alias("series"), F.count_if(F.col("origin_fill_days") == 0).alias("exact"), F.count_if(F.col("origin_fill_days") > 0).alias("filled"))
     return each.groupBy("product_id", "split", "horizon").agg(F.count("*").alias("origins"), F.min("series").alias("least_series"), F.percentile("series", F.lit(0.5)).alias("median_series"), F.max("series").alias("most_series"), F.sum("exact").alias("exact"), F.sum("filled").alias("filled"), (F.count("*") >= need).alias("usable"))
-
-
-def probability(model_vector: str) -> Column:
-    return vector_to_array(F.col(model_vector))[1]
