@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, Words, batch_of, chunks, materialize, ragged, scratch, texts_of
 
 WINDOW, RUN = 35, 10
-BUDGET = 1 << 26  # bytes of text whose suffixes one task sorts
+BUDGET = 1 << 23  # bytes of text whose suffixes one task sorts
 FEW_KEYS = 1_000_000  # runs with more occurrences, up to which they are broadcast
 _KEYS = pa.schema([("key", pa.int64()), ("row_id", pa.int64()), ("pos", pa.int32()), ("bytes", pa.int64()), ("known", pa.int8())])
 _KEYS_DDL = "key long, row_id long, pos int, bytes long, known byte"
