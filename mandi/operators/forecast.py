@@ -243,6 +243,14 @@ def weakest_origins(df: DataFrame, model: str, baseline: str, n: int = 10) -> Da
     return df.groupBy("origin_date").agg(F.count("*").alias("rows"), e(model).alias("model_wape"), e(baseline).alias("baseline_wape")).withColumn("gap", F.col("model_wape") - F.col("baseline_wape")).orderBy(F.desc("gap"), "origin_date").limit(n)
 
 
+def default_selections(df: DataFrame, horizons: int = 3) -> DataFrame:
+    """What a page of forecasts opens with, for each product: the last origin of all, its rows, and the first city that has every horizon there (null: none)."""
+    last = df.agg(F.max("origin_date").alias("origin_date"))
+    shown = df.join(F.broadcast(last), "origin_date", "left_semi")  # one row
+    cities = shown.groupBy("product_id", "origin_date", "city_id").agg(F.count("*").alias("n"), F.count_distinct("horizon").alias("held"))
+    return cities.groupBy("product_id", "origin_date").agg(F.sum("n").alias("rows"), F.min(F.when(F.col("held") == horizons, F.col("city_id"))).alias("default_city"))
+
+
 def origin_audit(spine: DataFrame, series: DataFrame, split: Column, horizons=(7, 14, 28), need: int = 12) -> DataFrame:
     """Origins with a price and an observed target, per product, split and horizon."""
     from .temporal import origin_price_columns, window_join

@@ -176,6 +176,31 @@ def mart(spark, sf_dir) -> DataFrame:
     return alerts.alert_mart(labels(spark, sf_dir), weekly_spine(spark, sf_dir), series(spark, sf_dir))
 
 
+def _features_sql() -> str:
+    """Features known at each weekly origin, written from their definitions."""
+    at = lambda k: f"arg_max(price, date) FILTER (date BETWEEN origin_date - {k + 3} AND origin_date - {k})"
+    cols = ["arg_max(price, date) FILTER (date >= origin_date - 1) AS op", "origin_date - max(date) FILTER (date >= origin_date - 1) AS fill"] + [f"{at(k)} AS p{k}" for k in temporal.LAGS]
+    for w in temporal.WINDOWS:
+        near = f"FILTER (date >= origin_date - {w - 1})"
+        cols += [f"avg(price) {near} AS m{w}", f"CASE WHEN count(price) {near} = 1 THEN 0 ELSE stddev_samp(price) {near} END AS s{w}"]
+    ln = [f"CASE WHEN op > 0 AND p{k} > 0 THEN ln(op / p{k}) END AS return_{k}d" for k in temporal.LAGS]
+    level = [x for w in temporal.WINDOWS for x in (f"CASE WHEN m{w} > 0 THEN s{w} / m{w} END AS rolling_cv_{w}d", f"CASE WHEN m{w} > 0 THEN ln(l.origin_price / m{w}) END AS vs_mean_{w}d")]
+    return f"""rec AS (SELECT w.product_id, w.city_id, origin_date, {', '.join(cols)} FROM wspine w JOIN series s ON s.product_id = w.product_id AND s.city_id = w.city_id AND date BETWEEN origin_date - 89 AND origin_date GROUP BY w.product_id, w.city_id, origin_date),
+seas AS (SELECT w.product_id, w.city_id, origin_date, CASE WHEN count(*) FILTER (month(date) = month(origin_date)) >= 3 THEN median(price) FILTER (month(date) = month(origin_date)) ELSE median(price) END AS seasonal_median FROM wspine w JOIN series s ON s.product_id = w.product_id AND s.city_id = w.city_id AND date <= origin_date GROUP BY ALL),
+own AS (SELECT l.product_id, l.city_id, l.origin_date, {', '.join(ln)}, {', '.join(level)}, CASE WHEN seasonal_median > 0 THEN ln(l.origin_price / seasonal_median) END AS vs_season, q.stale_share, q.outlier_share, q.reliability, fill AS origin_fill_days
+  FROM labels_ l JOIN rec USING (product_id, city_id, origin_date) LEFT JOIN seas USING (product_id, city_id, origin_date) LEFT JOIN series q ON q.product_id = l.product_id AND q.city_id = l.city_id AND q.date = l.origin_date - fill::INT),
+feat AS (SELECT *, median(return_7d) OVER r AS regional_return_7d, median(return_14d) OVER r AS regional_return_14d, median(return_28d) OVER r AS regional_return_28d, median(rolling_cv_28d) OVER r AS regional_cv_28d, avg(coalesce((return_14d > 0)::INT, 0)) OVER r AS regional_up_share, return_14d - median(return_14d) OVER r AS city_minus_regional FROM own WINDOW r AS (PARTITION BY product_id, origin_date))"""
+
+
+_OWN = [*(f"return_{k}d" for k in temporal.LAGS), *(f"rolling_cv_{w}d" for w in temporal.WINDOWS), *(f"vs_mean_{w}d" for w in temporal.WINDOWS), "vs_season", "stale_share", "outlier_share", "reliability", *(f"regional_return_{k}d" for k in (7, 14, 28)), "regional_cv_28d", "regional_up_share", "city_minus_regional"]
+
+
+@query(sql(_rec(EVENT_SQL + ",\n" + _features_sql()), f"SELECT {K}, origin_fill_days, {', '.join(_OWN)} FROM feat", "origin_fill_days", " ".join(_OWN)))
+def alert_features(spark, sf_dir):
+    """The mart's features: returns, levels, season, quality of the origin's price, and the region's medians."""
+    return out(mart(spark, sf_dir).select(*K.split(", "), "origin_fill_days", *_OWN))
+
+
 BASE_SQL = EVENT_SQL + """,
 cvs AS (SELECT w.product_id, w.city_id, origin_date, arg_max(price, date) FILTER (date >= origin_date - 1) AS op, arg_max(price, date) FILTER (date BETWEEN origin_date - 17 AND origin_date - 14) AS p14, avg(price) FILTER (date >= origin_date - 27) AS m28,
   CASE WHEN count(price) FILTER (date >= origin_date - 27) = 1 THEN 0 ELSE stddev_samp(price) FILTER (date >= origin_date - 27) END AS s28

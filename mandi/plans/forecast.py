@@ -160,6 +160,11 @@ def forecast_snapshot(spark, sf_dir):
     return out(df.join(F.broadcast(last), "origin_date", "left_semi").select("product_id", "city_id", "horizon", "origin_date", "actual", "model", (F.abs(F.col("actual") - F.col("model")) / F.col("actual")).alias("ape")))
 
 
+@query(sql(FRAME_SQL, "SELECT product_id, origin_date, sum(n) AS rows, min(city_id) FILTER (held = 3) AS default_city FROM (SELECT product_id, origin_date, city_id, count(*) AS n, count(DISTINCT horizon) AS held FROM frame WHERE origin_date = (SELECT max(origin_date) FROM frame) GROUP BY 1, 2, 3) GROUP BY 1, 2", "rows"))
+def default_selections(spark, sf_dir):
+    return out(forecast.default_selections(frame(spark, sf_dir)))
+
+
 @query(sql(RELEASE_SQL, "SELECT product_id, horizon, DATE '2001-10-01' AS evidence_as_of, release_status, CASE WHEN release_status = 'baseline_fallback' THEN 'no_improvement' END AS fallback_reason, CASE WHEN release_status IN ('model_target', 'model_minimum') THEN 'usable' WHEN release_status = 'point_only_model' THEN 'usable_without_interval' ELSE 'reference_only' END AS decision_status FROM matrix", "horizon"))
 def evidence_envelope(spark, sf_dir):
     m = forecast.release_matrix(_with_intervals(spark, sf_dir), "model", "last_valid")
