@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,27 +268,25 @@ def fit_logistic(train: DataFrame, names: list[str], categories: list[str], ridg
         z = {f"x_{c}": F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.coalesce(c, F.lit(fill[c])) - fill[c]) / sd[c])) for c in names}
         return df.withColumns(z | {f"x_{c}": F.col(c).cast("string") for c in categories})
 
-    ready = prepare(train)
-    stages, vectors = [], []
-    for c in categories:
-        indexer = StringIndexer(inputCol=f"x_{c}", outputCol=f"x_{c}_i", handleInvalid="keep", stringOrderType="alphabetDesc").fit(ready)
-        # levels fall, so the first one comes last, before unknown ones, whose place is dropped
-        stages += [indexer, OneHotEncoder(inputCol=f"x_{c}_i", outputCol=f"x_{c}_v")]
-        if len(indexer.labels) > 1:
-            stages.append(VectorSlicer(inputCol=f"x_{c}_v", outputCol=f"x_{c}_w", indices=list(range(len(indexer.labels) - 1))))
-            vectors.append(f"x_{c}_w")
-    encoder = Pipeline(stages=[*stages, VectorAssembler(inputCols=[*(f"x_{c}" for c in names), *vectors], outputCol="features")]).fit(ready)
-    label = F.col("event_label").cast("double").alias("label")
-    ready = encoder.transform(ready).select("features", label, *(F.when(F.col("event_label"), w).otherwise(1.0).alias(f"w{j}") for j, w in enumerate(weights))).persist()
+    ready = prepare(train).withColumn("label", F.col("event_label").cast("double"))
+    levels = {c: sorted(r[0] for r in ready.select(f"x_{c}").filter(F.col(f"x_{c}").isNotNull()).distinct().collect())[:0:-1] for c in categories}
+    flags = [F.when(F.col(f"x_{c}") == v, 1.0).otherwise(0.0) for c in categories for v in levels[c]]
+    features = F.array(*(F.col(f"x_{c}") for c in names), *flags)
+    ready = ready.select(array_to_vector(features).alias("features"), "label", *(F.when(F.col("event_label"), w).otherwise(1.0).alias(f"w{j}") for j, w in enumerate(weights))).persist()
     grid = [(r, j) for r in ridges for j in range(len(weights))]
-    models = [LogisticRegression(featuresCol="features", labelCol="label", weightCol=f"w{j}", regParam=r, standardization=False, probabilityCol=f"p{i}", rawPredictionCol=f"raw{i}", predictionCol=f"y{i}").fit(ready) for i, (r, j) in enumerate(grid)]
+    models = [LogisticRegression(featuresCol="features", labelCol="label", weightCol=f"w{j}", regParam=r, standardization=False).fit(ready) for r, j in grid]
     ready.unpersist()
+    # figures only: a fitted model in a plan goes to the executors with all that it refers to, which Spark can't always serialize
+    fitted = [(m.coefficients.toArray().tolist(), float(m.intercept)) for m in models]
 
     def score(df: DataFrame, floor: float = 1e-4) -> DataFrame:
-        out = encoder.transform(prepare(df))
-        for m in models:
-            out = m.transform(out)
-        held = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), vector_to_array(F.col(c))[1]))
-        return out.select(*df.columns, *(held(f"p{i}").alias(f"s{i}") for i in range(len(models))))
+        out = prepare(df).withColumn("x_all", features)
+
+        def chance(coefficients: list[float], intercept: float) -> Column:
+            terms = F.zip_with("x_all", F.array(*map(F.lit, coefficients)), lambda x, c: x * c)
+            return 1 - 1 / (1 + F.exp(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + intercept))
+
+        held = lambda c: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), c))
+        return out.select(*df.columns, *(held(chance(*m)).alias(f"s{i}") for i, m in enumerate(fitted)))
 
     return score, {f"s{i}": (f"logistic_r{r:g}_pw{weights[j]:g}", r, weights[j]) for i, (r, j) in enumerate(grid)}

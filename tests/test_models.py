@@ -215,3 +215,27 @@ def test_logistic_grid_ranks_and_selects(spark):
     assert [r.average_precision for r in best] == sorted((r.average_precision for r in best), reverse=True) and best[0].average_precision > 0.7
     heavy = {n: scored.agg(F.avg(c)).first()[0] for c, (n, _, _) in names.items()}
     assert heavy["logistic_r0.0001_pw3"] > heavy["logistic_r0.0001_pw1"]
+
+
+def test_logistic_scores_are_plain_figures(spark):
+    """Scores follow from coefficients in the plan, which holds no fitted model; a level that train lacks is like the first."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=300)
+    event = rng.random(300) < 1 / (1 + np.exp(-(1.5 * x + np.arange(300) % 3 - 2)))
+    df = spark.createDataFrame([("abc"[i % 3], None if i % 50 == 7 else float(x[i]), bool(event[i])) for i in range(300)], "kind string, a double, event_label boolean")
+    score, names = alerts.fit_logistic(df, ["a"], ["kind"], ridges=(1e-2,), weights=(1.0, 3.0))
+    new = score(df.unionByName(df.limit(30).withColumn("kind", F.lit("new"))).unionByName(df.limit(30).withColumn("kind", F.lit("a"))))
+    assert "UDF" not in new._jdf.queryExecution().optimizedPlan().toString()
+    got = new.toPandas()
+    assert got.notna().s0.all() and (got[got.kind == "new"].s0.to_numpy() == got[300:][got.kind[300:] == "a"].s0.to_numpy()).all()
+    a = df.toPandas()
+    middle = a.a.median()
+    z = ((a.a.fillna(middle) - middle) / a.a.fillna(middle).std(ddof=0)).clip(-8, 8).to_numpy()
+    design = np.column_stack([z, a.kind == "c", a.kind == "b", np.ones(300)]).astype(float)
+    for s, w in (("s0", 1.0), ("s1", 3.0)):
+        weight, y, beta = np.where(a.event_label, w, 1.0), a.event_label.to_numpy(float), np.zeros(4)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-design @ beta))
+            ridge = 1e-2 * weight.sum() * np.diag([1.0, 1.0, 1.0, 0.0])
+            beta -= np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge, design.T @ (weight * (p - y)) + ridge @ beta)
+        np.testing.assert_allclose(got[s][:300], 1 / (1 + np.exp(-design @ beta)), rtol=1e-3)
