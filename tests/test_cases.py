@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mandi.functions.scalar import haversine
-from mandi.operators import alerts, cityday, contracts, coverage, forecast, landed, metrics, quality, shocks, temporal
+from mandi.operators import alerts, cityday, contracts, coverage, forecast, landed, mapping, metrics, quality, shocks, temporal
 from mandi.sources import files, sinks
 
 D = dt.date
@@ -181,3 +181,12 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["product_id", "month", "city_id", "province", "tier", "median_price", "valid_days", "rank"]
+
+
+def test_mapping_rules_of_every_row(spark):
+    """Each row against the rules written out; market 143 breaks two, as its status doesn't exist and it has a city."""
+    rows = [(143, 3, "x", "other", 80.0, "v1"), (110, 1, "x", "unmapped_new_city", 80.0, "v1"), (130, None, "x", "other", 80.0, "v1"), (1430, 1, "x", "other", 80.0, "v1"), (1, 1, None, "mapped_existing_city", 80.0, "v1"), (2, 2, "x", "mapped_existing_city", 80.0, "v1"), (3, None, "x", "unmapped_unknown", 1.0, "v1")]
+    m = spark.createDataFrame(rows, "market_id long, city_id long, province string, mapping_status string, longitude double, mapping_version string")
+    got = sorted((r.market_id, r.rule) for r in mapping.mapping_rule_breaks(m).collect())
+    both = [(n, r) for n in (143, 1430) for r in ("unknown_status", "unmapped_with_city")]
+    assert got == sorted([*both, (110, "unmapped_with_city"), (130, "unknown_status"), (1, "mapped_without_city"), (3, "unknown_with_place")])
