@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mandi.functions.scalar import median
-
 # Weights of the reliability score, and its bounds.
 WEIGHTS = {"stale": 0.40, "outlier": 0.25, "duplicate": 0.10, "confidence": 0.10, "markets": 0.15}
 GOOD, CAUTION = 0.85, 0.65
@@ -17,10 +15,21 @@ def eligible(flagged: DataFrame) -> DataFrame:
     return flagged.filter((F.col("mapping_status") == "mapped_existing_city") & F.col("price_valid"))
 
 
+def _middle(price: str = "price", rank: str = "rank", n: str = "n") -> Column:
+    """Aggregate: the median of prices ranked from 1 to n, as the mean of the one or two in the middle.
+
+    A market-day has mostly one quote, and a percentile keeps a map of values for each group.
+    """
+    return F.avg(F.when((2 * F.col(rank)).between(F.col(n), F.col(n) + 2), F.col(price)))
+
+
 def market_day(quotes: DataFrame) -> DataFrame:
     """One row per product, market and day: median price and whether any quote has a flag."""
-    return quotes.groupBy("product_id", "city_id", "province", "market_id", "date").agg(
-        median("price").alias("price"), F.count("*").alias("source_rows"), F.bool_or("stale").alias("stale"), F.bool_or("outlier").alias("outlier"),
+    by = ["product_id", "city_id", "province", "market_id", "date"]
+    w = Window.partitionBy(*by)
+    ranked = quotes.withColumns({"rank": F.row_number().over(w.orderBy(F.asc_nulls_last("price"))), "n": F.count("price").over(w)})
+    return ranked.groupBy(*by).agg(
+        _middle().alias("price"), F.count("*").alias("source_rows"), F.bool_or("stale").alias("stale"), F.bool_or("outlier").alias("outlier"),
         F.max("confidence").alias("confidence"), (F.count("*") > 1).alias("duplicate"),
     )
 
@@ -58,7 +67,7 @@ def city_day(days: DataFrame, trim: float = 0.10) -> DataFrame:
     ranked = days.withColumn("rank", rank).withColumn("n", n)
     inside = (F.col("rank") > cut) & (F.col("rank") <= F.col("n") - cut)
     out = ranked.groupBy(*by).agg(
-        median("price").alias("price"), F.avg(F.when(inside, F.col("price"))).alias("trimmed_mean_price"), F.count("*").alias("markets"), F.sum("source_rows").alias("source_rows"),
+        _middle().alias("price"), F.avg(F.when(inside, F.col("price"))).alias("trimmed_mean_price"), F.count("*").alias("markets"), F.sum("source_rows").alias("source_rows"),
         share("stale"), share("outlier"), share("duplicate"), F.avg("confidence").alias("mean_confidence"),
     )
     return out.withColumn("reliability", reliability()).withColumn("quality", quality_label(F.col("reliability")))

@@ -11,6 +11,7 @@ from . import contracts, tables
 
 STATUSES = ("mapped_existing_city", "unmapped_new_city", "unmapped_unknown")
 CONFIDENCE = {"high": 1.0, "medium": 0.75, "low": 0.5}  # fixed values; any other is 0
+MOST_MARKETS = 1_000_000  # a row each of about 100 bytes: more are joined, which moves all quotes once more
 
 
 def map_markets(quotes: DataFrame, mapping: DataFrame, key: str = "market_id", check: bool = True) -> DataFrame:
@@ -21,7 +22,7 @@ def map_markets(quotes: DataFrame, mapping: DataFrame, key: str = "market_id", c
     if check:
         contracts.assert_unique(mapping, [key])
         contracts.assert_none(quotes.select(key).distinct().join(mapping, key, "left_anti"), "markets that the mapping lacks")
-    return quotes.join(tables.small(mapping), key, "left")
+    return quotes.join(tables.small(mapping, MOST_MARKETS), key, "left")
 
 
 def mapping_rule_breaks(mapping: DataFrame) -> DataFrame:

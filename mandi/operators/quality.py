@@ -17,12 +17,16 @@ from mandi.functions.scalar import price_valid
 SERIES = ["product_id", "market_id"]
 
 
-def _quantile(ordered: str, q: float) -> Column:
-    """The interpolated quantile of a sorted array."""
-    place = (F.size(ordered) - 1) * q
-    low, high = F.floor(place), F.ceil(place)
-    a, b = (F.try_element_at(ordered, (x + 1).cast("int")) for x in (low, high))
-    return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+def _quantiles(ordered: str, qs: tuple[float, ...]) -> Column:
+    """Interpolated quantiles of a sorted array: one lambda, as three written out make a row dearer."""
+
+    def one(q: Column) -> Column:
+        place = (F.size(ordered) - 1) * q
+        low, high = F.floor(place), F.ceil(place)
+        a, b = (F.get(F.col(ordered), x.cast("int")) for x in (low, high))
+        return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+
+    return F.transform(F.array(*map(F.lit, qs)), one)
 
 
 def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.011, stale_after: int = 7, window: int = 90, at_least: int = 30, widths: float = 6.0, flat_ratio: float = 1.5, series: list[str] = SERIES) -> DataFrame:
@@ -59,7 +63,7 @@ def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.01
         "days_since_valid": F.datediff("date", last_valid),
         "earlier": F.sort_array(F.collect_list("log_price").over(before)),  # a short array: cheaper than a percentile for each frame
     })
-    df = df.withColumn("quartiles", F.when(F.size("earlier") >= at_least, F.array(*(_quantile("earlier", q) for q in (0.25, 0.5, 0.75)))))
+    df = df.withColumn("quartiles", F.when(F.size("earlier") >= at_least, _quantiles("earlier", (0.25, 0.5, 0.75))))
     scale = (F.col("quartiles")[2] - F.col("quartiles")[0]) / 1.349
     far = F.abs(F.col("log_price") - F.col("quartiles")[1])
     outlier = F.when(scale > 0, far > widths * scale).otherwise(far > math.log(flat_ratio))

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,28 @@ def test_mapping_rules_of_every_row(spark):
     got = sorted((r.market_id, r.rule) for r in mapping.mapping_rule_breaks(m).collect())
     both = [(n, r) for n in (143, 1430) for r in ("unknown_status", "unmapped_with_city")]
     assert got == sorted([*both, (110, "unmapped_with_city"), (130, "unknown_status"), (1, "mapped_without_city"), (3, "unknown_with_place")])
+
+
+def test_medians_by_rank(spark):
+    """Market-days and city-days have the interpolated median, for odd and even counts, ties and missing prices; no percentile keeps a map for each group."""
+    prices = [[3.0], [1.0, 2.0], [5.0, 1.0, 2.0], [4.0, 4.0, 1.0, 9.0], [None], [7.0, None, 2.5], [0.1, 0.7, 0.3, 0.2, 0.6]]
+    rows = [("p", 1 if m % 3 else 2, "north", m, D(2000, 1, 1 + d), x, False, m == 2, 1.0) for m, day in enumerate(prices) for d in (0, 1) for x in day[: len(day) - d]]
+    df = spark.createDataFrame(rows, "product_id string, city_id int, province string, market_id long, date date, price double, stale boolean, outlier boolean, confidence double")
+    days = cityday.market_day(df)
+    middle = lambda xs: float(np.median(xs)) if xs else None
+    want = {(m, D(2000, 1, 1 + d)): (middle([x for x in day[: len(day) - d] if x is not None]), len(day) - d) for m, day in enumerate(prices) for d in (0, 1) if day[: len(day) - d]}
+    assert {(r.market_id, r.date): (r.price, r.source_rows) for r in days.collect()} == want
+    cities = cityday.city_day(days.filter("price IS NOT NULL"))
+    got = {(r.city_id, r.date): r.price for r in cities.collect()}
+    of = lambda c, at: [p for (m, d), (p, _) in want.items() if p is not None and (1 if m % 3 else 2) == c and d == at]
+    assert got == {(c, at): middle(of(c, at)) for c, at in got} and len(got) == 4
+    for plan in (days, cities):
+        assert "percentile" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mapping_of_many_markets_leaves_quotes_in_place(spark):
+    """300,000 markets are broadcast: the quotes are not moved for them."""
+    m = spark.range(300_000).select(F.col("id").alias("market_id"), (F.col("id") % 7).alias("city_id"))
+    q = spark.range(1000).select((F.col("id") * 300).alias("market_id"), F.col("id").alias("n"))
+    joined = mapping.map_markets(q, m, check=False)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.filter(F.col("city_id") == F.col("market_id") % 7).count() == 1000
