@@ -16,22 +16,28 @@ def eligible(flagged: DataFrame) -> DataFrame:
 
 
 def _middle(price: str = "price", rank: str = "rank", n: str = "n") -> Column:
-    """Aggregate: the median of prices ranked from 1 to n, as the mean of the one or two in the middle.
-
-    A market-day has mostly one quote, and a percentile keeps a map of values for each group.
-    """
+    """Aggregate: the median of prices ranked from 1 to n, as the mean of the one or two in the middle."""
     return F.avg(F.when((2 * F.col(rank)).between(F.col(n), F.col(n) + 2), F.col(price)))
 
 
 def market_day(quotes: DataFrame) -> DataFrame:
-    """One row per product, market and day: median price and whether any quote has a flag."""
+    """One row per product, market and day: median price and whether any quote has a flag.
+
+    A market-day has mostly one quote, so there are almost as many as quotes: they are told from one sort, whose first quote
+    of each stays with what the window found, and not from a hash table of them.
+    """
     by = ["product_id", "city_id", "province", "market_id", "date"]
-    w = Window.partitionBy(*by)
-    ranked = quotes.withColumns({"rank": F.row_number().over(w.orderBy(F.asc_nulls_last("price"))), "n": F.count("price").over(w)})
-    return ranked.groupBy(*by).agg(
-        _middle().alias("price"), F.count("*").alias("source_rows"), F.bool_or("stale").alias("stale"), F.bool_or("outlier").alias("outlier"),
-        F.max("confidence").alias("confidence"), (F.count("*") > 1).alias("duplicate"),
+    # the number first: sorts compare it at once
+    w = Window.partitionBy("market_id", "product_id", "date", "city_id", "province").orderBy(F.asc_nulls_last("price"))
+    day = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = quotes.select(
+        *by, F.row_number().over(w).alias("first"), F.collect_list("price").over(day).alias("prices"), F.count("*").over(day).alias("source_rows"),
+        F.bool_or("stale").over(day).alias("stale"), F.bool_or("outlier").over(day).alias("outlier"), F.max("confidence").over(day).alias("confidence"),
     )
+    n = F.size("prices")
+    at = lambda k: F.try_element_at("prices", F.floor(k / 2).cast("int"))
+    price = F.when(n > 0, (at(n + 1) + at(n + 2)) / 2)
+    return found.filter("first = 1").select(*by, price.alias("price"), "source_rows", "stale", "outlier", "confidence", (F.col("source_rows") > 1).alias("duplicate"))
 
 
 def trimmed_mean(days: DataFrame, by: list[str], share: float = 0.10) -> DataFrame:
@@ -60,8 +66,9 @@ def city_day(days: DataFrame, trim: float = 0.10) -> DataFrame:
     """One row per product, city and day from market-days; markets count alike."""
     by = ["product_id", "city_id", "province", "date"]
     share = lambda c: F.avg(F.col(c).cast("double")).alias(f"{c}_share")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("price", "market_id"))
-    n = F.count("*").over(Window.partitionBy(*by))
+    w = Window.partitionBy("date", "city_id", "product_id", "province")  # the day first: sorts compare it at once
+    rank = F.row_number().over(w.orderBy("price", "market_id"))
+    n = F.count("*").over(w)
     cut = F.floor(F.col("n") * trim)
     # the trimmed mean rides on the same grouping: one sort, one shuffle
     ranked = days.withColumn("rank", rank).withColumn("n", n)

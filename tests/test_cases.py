@@ -216,3 +216,15 @@ def test_mapping_of_many_markets_leaves_quotes_in_place(spark):
     q = spark.range(1000).select((F.col("id") * 300).alias("market_id"), F.col("id").alias("n"))
     joined = mapping.map_markets(q, m, check=False)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.filter(F.col("city_id") == F.col("market_id") % 7).count() == 1000
+
+
+def test_market_days_come_from_one_sort(spark):
+    """Almost every quote is a market-day: no hash table of them, and sorts start with the number."""
+    rows = [(p, m, D(2000, 1, 1 + d), x, s, o) for p in ("a", "b") for m in (1, 2) for d, x, s, o in ((0, 3.0, False, False), (1, 5.0, True, False), (1, 2.0, False, True), (2, 1.0, False, False), (2, None, False, False), (2, 4.0, False, False), (2, 4.0, True, True), (3, None, False, False))]
+    df = spark.createDataFrame(rows, "product_id string, market_id long, date date, price double, stale boolean, outlier boolean").withColumns({"city_id": F.col("market_id") * 10, "province": F.lit("x"), "confidence": F.when(F.col("price") > 4, 1.0).otherwise(0.5)})
+    days = cityday.market_day(df)
+    got = {(r.product_id, r.market_id, r.date.day): (r.price, r.source_rows, r.stale, r.outlier, r.confidence, r.duplicate) for r in days.collect()}
+    want = {1: (3.0, 1, False, False, 0.5, False), 2: (3.5, 2, True, True, 1.0, True), 3: (4.0, 4, True, True, 0.5, True), 4: (None, 1, False, False, 0.5, False)}
+    assert got == {(p, m, d): w for p in ("a", "b") for m in (1, 2) for d, w in want.items()}
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort [market_id" in plan
