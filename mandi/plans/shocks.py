@@ -161,14 +161,20 @@ FEW = {"least_fit": 40, "least_test": 5}  # the given tables are shorter
 FOLLOWS = {"ASIA": "AMERICA", "AFRICA": "EUROPE"}
 
 
+@layer
+def basket_days(spark, sf_dir) -> DataFrame:
+    """Days of two baskets (all products of a half of the markets) by region: a row for each basket, region and day, from all market-days once."""
+    quotes = market_days(spark, sf_dir).withColumns({"product_id": F.concat(F.lit("basket "), (F.col("market_id") % 2).cast("string")), "city_id": F.col("province")})
+    return cityday.city_day(quotes)
+
+
 def coupled_days(spark, sf_dir) -> DataFrame:
     """Days of two baskets (all products of a half of the markets) by region, in which two regions also follow another's price of a bin before.
 
     Baskets have a price on almost every day.  Unit prices of the given tables move on their own, so no gate would ever open: the coupling gives the edge models
     something that is there to find, beside the pairs in which it is not.  A follower's days after a bin without leader go.
     """
-    quotes = market_days(spark, sf_dir).withColumns({"product_id": F.concat(F.lit("basket "), (F.col("market_id") % 2).cast("string")), "city_id": F.col("province")})
-    days = cityday.city_day(quotes).filter("quality <> 'poor'").withColumn("bin", F.floor(F.datediff("date", F.lit(ANCHOR).cast("date")) / BIN))
+    days = basket_days(spark, sf_dir).filter("quality <> 'poor'").withColumn("bin", F.floor(F.datediff("date", F.lit(ANCHOR).cast("date")) / BIN))
     follower = F.create_map(*(F.lit(x) for f, leader in FOLLOWS.items() for x in (leader, f)))
     lead = days.groupBy("product_id", F.try_element_at(follower, F.col("city_id")).alias("city_id"), (F.col("bin") + 1).alias("bin")).agg(F.percentile("price", F.lit(0.5)).alias("lead")).filter("city_id IS NOT NULL")
     got = days.join(lead, ["product_id", "city_id", "bin"], "left").filter(F.col("lead").isNotNull() | ~F.col("city_id").isin(*FOLLOWS))

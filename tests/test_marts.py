@@ -122,3 +122,14 @@ def test_names_one_edit_apart(spark):
     want = {(r, k, near(key(r), key(k))) for r in names[1::2] for k in names[0::2] if near(key(r), key(k)) is not None}
     assert {tuple(r) for r in mapping.name_candidates(raw, known).collect()} == want and len(want) > 50
     assert {tuple(r) for r in mapping.name_candidates(raw, known, 0).collect()} == {x for x in want if x[2] == 0}
+
+
+def test_basket_days_are_measured_once(spark, monkeypatch):
+    """Panels of three days and of a week share the baskets' days: market-days are read for them once."""
+    from mandi.plans import common, shocks
+
+    asked = []
+    monkeypatch.setattr(shocks, "market_days", lambda s, d: asked.append(d) or common.market_days(s, d))
+    sf = "/root/testdata/sf0.001"
+    first, again = shocks.coupled_days(spark, sf).count(), shocks.coupled_days(spark, sf).count()
+    assert first == again > 0 and asked == [sf]
