@@ -103,7 +103,7 @@ def _folder(spark, tag: str) -> str:
 def csv_quotes(spark, sf_dir):
     """Quotes written as CSV files, a file set for each product, and read by the quote reader: header, text, types, products, row numbers."""
     df = given.quotes(spark, sf_dir).join(given.mapping(spark, sf_dir).select("market_id", "province"), "market_id", "left").filter("previous_price IS NOT NULL AND reported_change_pct IS NOT NULL")
-    text = {"raw_date": F.date_format("date", "yyyy-MM-dd"), "raw_index": F.col("trace").cast("string"), "raw_province": F.coalesce("province", F.lit("")), "raw_market": F.col("market_id").cast("string"), "raw_price": F.col("price").cast("string"), "raw_previous_price": F.col("previous_price").cast("string"), "raw_change": F.concat(F.bround("reported_change_pct", 2).cast("string"), F.lit("%"))}
+    text = {"raw_date": F.col("date").cast("string"), "raw_index": F.col("trace").cast("string"), "raw_province": F.coalesce("province", F.lit("")), "raw_market": F.col("market_id").cast("string"), "raw_price": F.col("price").cast("string"), "raw_previous_price": F.col("previous_price").cast("string"), "raw_change": F.concat(F.bround("reported_change_pct", 2).cast("string"), F.lit("%"))}
     df = df.select("product_id", *(c.alias(k) for k, c in text.items()))
     path, names = _folder(spark, "csv"), []
     df = tables.kept(df, "csv-rows")
@@ -111,9 +111,10 @@ def csv_quotes(spark, sf_dir):
         df.filter(F.col("product_id") == r.product_id).drop("product_id").write.option("header", True).csv(f"{path}/{i}")
         names += [(f.rpartition("/")[2], r.product_id) for f in spark.read.text(f"{path}/{i}").inputFiles()]
     raw = files.read_quotes(spark, f"{path}/*", spark.createDataFrame(names, "source_file string, product_id string"))
-    raw = tables.kept(raw, "csv-read")
-    numbers = raw.groupBy("source_file").agg((F.count_distinct("row_in_file") == F.count("*")).alias("once"), (F.max("row_in_file") == F.count("*")).alias("last"))
-    parsed = files.assert_parsed(files.parse_quotes(raw)).join(F.broadcast(numbers), "source_file")
+    read = ["source_file", "row_in_file", "product_id", "raw_market", "date", "row_index", "price", "previous_price", "reported_change_pct"]
+    parsed = files.assert_parsed(tables.kept(files.parse_quotes(raw).select(*read), "csv-read"))  # texts are parsed once
+    numbers = parsed.groupBy("source_file").agg((F.count_distinct("row_in_file") == F.count("*")).alias("once"), (F.max("row_in_file") == F.count("*")).alias("last"))
+    parsed = parsed.join(F.broadcast(numbers), "source_file")
     return out(parsed.groupBy("product_id", "raw_market", "date", "price", "previous_price", "reported_change_pct").agg(F.count("*").alias("rows"), F.bool_and(F.col("once") & F.col("last")).alias("numbered")), 2)
 
 

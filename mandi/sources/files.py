@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,14 +22,24 @@ def read_quotes(spark: SparkSession, paths, products: DataFrame, columns: tuple[
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
-    named = raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
-    out = with_trace_key(named.withColumn("place", F.monotonically_increasing_id()), "source_file", ["block", "place"])
+    named = raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    out = _in_file_order(named)
     contracts.assert_unique(products, ["source_file"])
     files = spark.createDataFrame([(unquote(f.rpartition("/")[2]),) for f in raw.inputFiles()], "source_file string")
     unlisted = files.join(products, "source_file", "left_anti").take(3)
     if unlisted:
         raise ValueError(f"files without a product: {[r.source_file for r in unlisted]}")
-    return out.drop("block", "place").join(products, "source_file", "left")
+    return out.join(products, "source_file", "left")
+
+
+def _in_file_order(named: DataFrame) -> DataFrame:
+    """named with row_in_file: a task reads a file's split in its order and whole, so lines are counted where they lie and never sorted."""
+    split = ["path", "block"]
+    lines = tables.kept(named.withColumn("place", F.monotonically_increasing_id()), "lines")
+    counted = lines.groupBy("source_file", *split).agg(F.count("*").alias("rows"), F.min("place").alias("first"))
+    before = Window.partitionBy("source_file").orderBy("block", "first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(*split, (F.coalesce(F.sum("rows").over(before), F.lit(0)) + 1 - F.col("first")).alias("start"))
+    return lines.join(tables.small(starts, tables.MOST_GROUPS), split).withColumn("row_in_file", F.col("start") + F.col("place")).drop(*split, "place", "start")
 
 
 def with_trace_key(df: DataFrame, file: str, order: list) -> DataFrame:

@@ -161,6 +161,30 @@ def test_quote_files(spark, tmp_path):
         files.read_quotes(spark, str(tmp_path / "b.csv"), products).collect()
 
 
+def test_lines_of_split_files_are_numbered_where_they_lie(spark, tmp_path, monkeypatch):
+    """A file of many splits, files of one name in two folders, and a file without lines: numbers follow the file, and no line is dealt or sorted."""
+    header = ",".join(files.RAW_COLUMNS) + "\n"
+    line = lambda f, i: f"2020-01-02,{i},{f},M,2.5,2.0,25%\n"
+    for f, n in (("x/a.csv", 3000), ("y/b.csv", 700), ("x/same.csv", 5), ("y/same.csv", 4), ("y/none.csv", 0)):
+        (tmp_path / f).parent.mkdir(exist_ok=True)
+        (tmp_path / f).write_text(header + "".join(line(f, i) for i in range(1, n + 1)))
+    products = spark.createDataFrame([(f, f"p-{f}") for f in ("a.csv", "b.csv", "same.csv", "none.csv")], "source_file string, product_id string")
+    monkeypatch.setattr(files.tables, "numbered", lambda *_: pytest.fail("lines are sorted"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        raw = files.read_quotes(spark, str(tmp_path / "*"), products)
+        got = raw.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert {*raw.columns} == {*files.RAW_COLUMNS, "source_file", "row_in_file", "product_id"} and len(got) == 3709
+    assert all(r.row_in_file == int(r.raw_index) and r.product_id == f"p-{r.source_file}" for r in got if r.source_file in ("a.csv", "b.csv"))
+    same = sorted((r.row_in_file, r.raw_province, int(r.raw_index)) for r in got if r.source_file == "same.csv")
+    assert [n for n, _, _ in same] == list(range(1, 10)) and all([i for _, f, i in same if f == g] == list(range(1, k + 1)) for g, k in (("x/same.csv", 5), ("y/same.csv", 4)))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("p", 1, 2.0), ("q", 2, 3.0)], "product_id string, city_id int, price double")
     sinks.write_table(df, str(tmp_path / "t"))
