@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,7 +272,9 @@ def fit_logistic(train: DataFrame, names: list[str], categories: list[str], ridg
     levels = {c: sorted(r[0] for r in ready.select(f"x_{c}").filter(F.col(f"x_{c}").isNotNull()).distinct().collect())[:0:-1] for c in categories}
     flags = [F.when(F.col(f"x_{c}") == v, 1.0).otherwise(0.0) for c in categories for v in levels[c]]
     features = F.array(*(F.col(f"x_{c}") for c in names), *flags)
-    ready = ready.select(array_to_vector(features).alias("features"), "label", *(F.when(F.col("event_label"), w).otherwise(1.0).alias(f"w{j}") for j, w in enumerate(weights))).persist()
+    shown = {f"x_level_{i}": flag for i, flag in enumerate(flags)}
+    assembler = VectorAssembler(inputCols=[*(f"x_{c}" for c in names), *shown], outputCol="features")
+    ready = assembler.transform(ready.withColumns(shown)).select("features", "label", *(F.when(F.col("event_label"), w).otherwise(1.0).alias(f"w{j}") for j, w in enumerate(weights))).persist()
     grid = [(r, j) for r in ridges for j in range(len(weights))]
     models = [LogisticRegression(featuresCol="features", labelCol="label", weightCol=f"w{j}", regParam=r, standardization=False).fit(ready) for r, j in grid]
     ready.unpersist()
