@@ -1,7 +1,7 @@
 """Flags of market quotes.  No row is dropped and none is changed; all windows share one sort.
 
-Input: product_id, market_id, date, price, previous_price, reported_change_pct and a trace column
-that orders quotes of one day.
+Input: product_id, market_id, date, price, previous_price, reported_change_pct and a trace column, or
+more than one, that orders quotes of one day.
 """
 
 from __future__ import annotations
@@ -17,15 +17,24 @@ from mandi.functions.scalar import price_valid
 SERIES = ["market_id", "product_id"]  # the number first: sorts compare it at once, products are few
 
 
-def _quantile(ordered: str, q: float) -> Column:
-    """The interpolated quantile of a sorted array."""
-    place = (F.size(ordered) - 1) * q
-    low, high = F.floor(place), F.ceil(place)
-    a, b = (F.try_element_at(ordered, (x + 1).cast("int")) for x in (low, high))
-    return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+def _with_quantiles(df: DataFrame, ordered: str, shares: list[float]) -> DataFrame:
+    """df with q0, q1, ...: interpolated quantiles of a sorted array.
 
+    Each step is a column of its own: written out in one expression they repeat each other, and the code Spark makes of it is too long to be compiled.
+    """
+    n, names = F.size(ordered), [f"q{i}" for i in range(len(shares))]
+    df = df.withColumns({f"{q}_place": (n - 1) * share for q, share in zip(names, shares)})
+    df = df.withColumns({f"{q}_{end}": f(f"{q}_place").cast("int") for q in names for end, f in (("low", F.floor), ("high", F.ceil))})
+    df = df.withColumns({f"{q}_{end}_value": F.get(ordered, F.col(f"{q}_{end}")) for q in names for end in ("low", "high")})
+
+    def between(q: str) -> Column:
+        place, low, high, a, b = (F.col(f"{q}_{c}") for c in ("place", "low", "high", "low_value", "high_value"))
+        return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+
+    return df.withColumns({q: between(q) for q in names}).drop(*(f"{q}_{c}" for q in names for c in ("place", "low", "high", "low_value", "high_value")))
 
-def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.011, stale_after: int = 7, window: int = 90, at_least: int = 30, widths: float = 6.0, flat_ratio: float = 1.5, series: list[str] = SERIES) -> DataFrame:
+
+def add_quality(quotes: DataFrame, trace: str | list[str] = "trace", tolerance: float = 0.011, stale_after: int = 7, window: int = 90, at_least: int = 30, widths: float = 6.0, flat_ratio: float = 1.5, series: list[str] = SERIES) -> DataFrame:
     """quotes and their flags.
 
     price_valid, invalid_reason; change_consistent (NULL where it can't be judged); duplicate (all
@@ -34,7 +43,7 @@ def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.01
     valid one); outlier (log price far from the earlier ``window`` rows' quartiles, of which
     ``at_least`` are valid; where they coincide, a factor of flat_ratio).
     """
-    w = Window.partitionBy(*series).orderBy("date", trace)
+    w = Window.partitionBy(*series).orderBy("date", *([trace] if isinstance(trace, str) else trace))
     before = w.rowsBetween(-window, -1)
     valid = price_valid(F.col("price"))
     reason = F.when(F.col("price").isNull() | F.isnan("price"), "missing").when(F.col("price") <= 0, "not_positive").when(~valid, "not_finite")
@@ -49,21 +58,21 @@ def add_quality(quotes: DataFrame, trace: str = "trace", tolerance: float = 0.01
         "duplicate": reduce(Column.__or__, (F.coalesce(near(F.struct("date")).over(w).eqNullSafe(F.struct("date")), F.lit(False)) for near in (F.lag, F.lead))),
         "zero_change": zero,
         "log_price": F.when(valid, F.ln("price")),
+        "earlier": F.collect_list(F.when(valid, F.ln("price"))).over(before),
     })
+    # a short array, sorted: cheaper than a percentile for each frame; it is left behind before the next window
+    df = df.withColumn("earlier", F.sort_array("earlier"))
+    df = _with_quantiles(df, "earlier", [0.25, 0.5, 0.75]).withColumn("enough", F.size("earlier") >= at_least).drop("earlier")
+    df = df.withColumns({"scale": (F.col("q2") - F.col("q0")) / 1.349, "far": F.abs(F.col("log_price") - F.col("q1"))})
+    outlier = F.col("enough") & F.when(F.col("scale") > 0, F.col("far") > widths * F.col("scale")).otherwise(F.col("far") > math.log(flat_ratio))
+    df = df.withColumn("outlier", F.coalesce(outlier, F.lit(False))).drop("log_price", "enough", "scale", "far", "q0", "q1", "q2")
     # zero changes so far, less those before the last quote that changed: all windows have one order
-    df = df.withColumn("zeros", F.sum(F.col("zero_change").cast("int")).over(w))
+    zero = F.col("zero_change").cast("int")
+    df = df.withColumns({"zeros": F.sum(zero).over(w), "stale": F.sum(zero).over(w.rowsBetween(1 - stale_after, 0)) == stale_after})
     run = F.col("zeros") - F.coalesce(F.last(F.when(~F.col("zero_change"), F.col("zeros")), ignorenulls=True).over(w), F.lit(0))
     last_valid = F.last(F.when(F.col("price_valid"), F.col("date")), ignorenulls=True).over(w)
-    df = df.withColumns({
-        "zero_run": F.when(F.col("zero_change"), run).otherwise(0).cast("int"),
-        "days_since_valid": F.datediff("date", last_valid),
-        "earlier": F.sort_array(F.collect_list("log_price").over(before)),  # a short array: cheaper than a percentile for each frame
-    })
-    df = df.withColumn("quartiles", F.when(F.size("earlier") >= at_least, F.array(*(_quantile("earlier", q) for q in (0.25, 0.5, 0.75)))))
-    scale = (F.col("quartiles")[2] - F.col("quartiles")[0]) / 1.349
-    far = F.abs(F.col("log_price") - F.col("quartiles")[1])
-    outlier = F.when(scale > 0, far > widths * scale).otherwise(far > math.log(flat_ratio))
-    return df.withColumns({"stale": F.col("zero_run") >= stale_after, "outlier": F.coalesce(outlier, F.lit(False))}).drop("zeros", "log_price", "earlier", "quartiles")
+    df = df.withColumns({"zero_run": F.when(F.col("zero_change"), run).otherwise(0).cast("int"), "days_since_valid": F.datediff("date", last_valid)})
+    return df.drop("zeros")
 
 
 def quality_summary(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:

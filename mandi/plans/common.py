@@ -76,7 +76,10 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @layer
 def market_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cityday.market_day(cityday.eligible(flagged(spark, sf_dir)))
+    """A market's quotes are flagged among themselves, so those of markets without a city go first, and columns that no market-day shows."""
+    mapped = given.mapping(spark, sf_dir).filter(F.col("mapping_status") == mapping.STATUSES[0]).select("market_id", "city_id", "province", "mapping_status", "confidence")
+    quotes = mapping.map_markets(given.prices(spark, sf_dir, mapped), mapped, check=False)
+    return cityday.market_day(cityday.eligible(quality.add_quality(quotes, given.PRICED, at_least=10, window=90)))
 
 
 @layer

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mandi.operators import tables
+from mandi.operators.mapping import MOST_MARKETS
+
 TIES = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+PRICED = TIES[:6]  # lines that tie in these have one day and one price, so their order is the same for prices
 CALENDAR = ("1995-01-02", "2001-11-04")
 SPLITS = {"train": ("1995-01-01", "1999-12-31"), "validation": ("2000-01-01", "2000-12-31"), "final_test": ("2001-01-01", "2001-12-31")}
 
@@ -33,15 +37,24 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """product_id, market_id, date, price, discount and the line's own columns, in cents-exact arithmetic."""
+def raw_quotes(spark: SparkSession, sf_dir: str, markets: DataFrame | None = None) -> DataFrame:
+    """product_id, market_id, date, price, discount and the line's own columns, in cents-exact arithmetic; of these markets only, if given."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    if markets is not None:
+        line = line.join(tables.small(markets.select(F.col("market_id").alias("l_suppkey")), MOST_MARKETS), "l_suppkey", "left_semi")
     cents, qty = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
     unit = F.expr("div(2 * cents + qty, 2 * qty)") / 100.0
     rows = line.withColumns({"cents": cents, "qty": qty}).join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("p_type").alias("product_id"), F.col("l_suppkey").alias("market_id"), F.col("l_shipdate").cast("date").alias("date"), unit.alias("price"), F.col("l_discount").alias("discount"), *TIES)
 
 
+def prices(spark: SparkSession, sf_dir: str, markets: DataFrame) -> DataFrame:
+    """Quotes of the given markets with what market-days are made of; ("date", *PRICED) is their order and stands for the trace."""
+    w = Window.partitionBy("market_id", "product_id").orderBy("date", *PRICED)
+    df = raw_quotes(spark, sf_dir, markets).select("product_id", "market_id", "date", "price", *PRICED)
+    return df.withColumns({"previous_price": F.lag("price").over(w), "reported_change_pct": F.lit(None).cast("double")})
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with previous price, reported change and a trace number within product and market."""
     w = Window.partitionBy("market_id", "product_id").orderBy(*TIES)  # the number first: sorts compare it at once, products are few

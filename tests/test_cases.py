@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import haversine
 from mandi.operators import alerts, cityday, contracts, coverage, forecast, landed, mapping, metrics, quality, shocks, temporal
-from mandi.sources import files, sinks
+from mandi.plans import common
+from mandi.sources import files, given, sinks
 
 D = dt.date
 
@@ -252,3 +253,38 @@ def test_market_days_come_from_one_sort(spark):
     assert got == {(p, m, d): w for p in ("a", "b") for m in (1, 2) for d, w in want.items()}
     plan = days._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Sort [market_id" in plan
+
+
+def test_market_days_of_mapped_markets_only(spark):
+    """Lines of unmapped markets are neither moved nor numbered, one sort serves numbers and flags, and rows are those of all flagged quotes."""
+    sf = "/root/testdata/sf0.001"
+    mapped = given.mapping(spark, sf).filter("city_id IS NOT NULL")
+    quotes = given.prices(spark, sf, mapped)
+    assert quotes.filter("market_id % 10 = 0").count() == 0 and not {"l_discount", "l_tax", "l_returnflag", "l_linestatus"} & set(quotes.columns)
+    assert quotes.count() == given.quotes(spark, sf).filter("market_id % 10 <> 0").count() > 0
+    flags = cityday.eligible(quality.add_quality(mapping.map_markets(quotes, mapped, check=False), given.PRICED, at_least=10, window=90))
+    plan = flags.select("market_id", "product_id", "date", "price", "stale", "outlier")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    want = cityday.market_day(cityday.eligible(common.flagged(spark, sf)))
+    got = common.market_days(spark, sf)
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+
+
+def test_flags_ordered_by_more_than_one_column(spark):
+    """Stale rows and outliers against lists, where quotes of one day follow by two columns and some prices are missing."""
+    rng = np.random.default_rng(5)
+    prices = [float(x) if x != 3 else None for x in rng.integers(1, 9, 120)] + [4.0] * 15 + [400.0, 4.0]
+    order = [(D(2000, 1, 1) + dt.timedelta(i // 2 if i < 120 else i), i % 2, -i) for i in range(len(prices))]
+    rows = [("p", 1, d, a, b, x, y) for (d, a, b), x, y in zip(order, prices, [None, *prices])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(r) for r in rows], "product_id string, market_id int, date date, a int, b int, price double, previous_price double").withColumn("reported_change_pct", F.lit(None).cast("double"))
+    got = {r.b: r for r in quality.add_quality(df, ["a", "b"], stale_after=3, window=20, at_least=5).collect()}
+    run = 0
+    for i, x in enumerate(prices):
+        same = i > 0 and x is not None and prices[i - 1] == x and (order[i][0] - order[i - 1][0]).days == 1
+        run = run + 1 if same else 0
+        past = [math.log(y) for y in prices[max(0, i - 20) : i] if y is not None]
+        low, middle, high = np.quantile(past, [0.25, 0.5, 0.75]) if len(past) >= 5 and x is not None else (0, 0, 0)
+        far = x is not None and len(past) >= 5 and abs(math.log(x) - middle) > (6 * (high - low) / 1.349 if high > low else math.log(1.5))
+        assert (got[-i].zero_run, got[-i].stale, got[-i].outlier) == (run, run >= 3, far), i
+    assert any(r.stale for r in got.values()) and any(r.outlier for r in got.values())
