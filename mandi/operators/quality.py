@@ -20,7 +20,7 @@ SERIES = ["market_id", "product_id"]  # the number first: sorts compare it at on
 def _with_quantiles(df: DataFrame, ordered: str, shares: list[float]) -> DataFrame:
     """df with q0, q1, ...: interpolated quantiles of a sorted array.
 
-    Each step is a column of its own: written out in one expression they repeat each other, and the code Spark makes of it is too long to be compiled.
+    Each step is a column of its own: written out in one expression they repeat each other, and the code that Spark makes of it gets long and slow.
     """
     n, names = F.size(ordered), [f"q{i}" for i in range(len(shares))]
     df = df.withColumns({f"{q}_place": (n - 1) * share for q, share in zip(names, shares)})
