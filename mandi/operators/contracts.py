@@ -30,6 +30,18 @@ def assert_unique(df: DataFrame, key: list[str]) -> DataFrame:
     return df
 
 
+def counted_up(df: DataFrame, by: str, number: str) -> DataFrame:
+    """by, whole: whether a group's numbers are 1, 2, ... up to its rows, each once.
+
+    Numbers are marked in words of 64 bits where the rows lie, so what moves is a word for up to 64 rows, and no row.
+    """
+    bit = F.pmod(F.col(number), F.lit(64))
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    words = df.groupBy(by, (F.col(number) - bit).alias("word")).agg(F.bit_or(mark).alias("bits"), F.count("*").alias("rows"), F.min(number).alias("least"), F.max(number).alias("most"))
+    found = words.groupBy(by).agg(F.sum(F.bit_count("bits")).alias("different"), F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return found.select(by, F.coalesce((F.col("different") == F.col("rows")) & (F.col("least") == 1) & (F.col("most") == F.col("rows")), F.lit(False)).alias("whole"))
+
+
 def missing(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Keys of one side that the other lacks, with the side that has them."""
     a, b = left.select(*key).distinct(), right.select(*key).distinct()

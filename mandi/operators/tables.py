@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 MOST_GROUPS = 500_000  # rows of offsets that are broadcast; more are joined
+TASK_ROWS = 1_000_000  # rows of some 100 to 300 bytes that a task sorts or groups in memory
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,16 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(context.applicationId, _own_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="mandi-"))
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
+def kept(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends, and what it holds is decided."""
     path = f"{shared_dir(df.sparkSession)}/mandi-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df, to be broadcast in a join if it has at most ``most`` rows; a larger one is joined as Spark chooses."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 200_000, otherwise: str | None = None) -> DataFrame:
+    """df, to be broadcast in a join if it has at most ``most`` rows; a larger one is joined as Spark chooses, or by the hint ``otherwise``."""
+    if df.limit(most + 1).count() <= most:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
+
+
+def parts(df: DataFrame) -> int:
+    """Tasks to deal df's rows to, so that none holds more than about TASK_ROWS."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:

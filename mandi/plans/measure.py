@@ -101,21 +101,25 @@ def _folder(spark, tag: str) -> str:
 
 @query(sql(G, "SELECT product_id, market_id::VARCHAR AS raw_market, date, price, previous_price, round_even(reported_change_pct, 2) AS reported_change_pct, count(*) AS rows, true AS numbered FROM quotes LEFT JOIN mapping USING (market_id) WHERE previous_price IS NOT NULL AND reported_change_pct IS NOT NULL GROUP BY ALL", "", "price previous_price reported_change_pct", 2))
 def csv_quotes(spark, sf_dir):
-    """Quotes written as CSV files, a file set for each product, and read by the quote reader: header, text, types, products, row numbers."""
-    df = given.quotes(spark, sf_dir).join(given.mapping(spark, sf_dir).select("market_id", "province"), "market_id", "left").filter("previous_price IS NOT NULL AND reported_change_pct IS NOT NULL")
+    """Quotes written as CSV files, a file set for each product, and read by the quote reader: header, text, types, products, row numbers.
+
+    Lines are moved twice to be written (once if parts can be broadcast) and once to be grouped; on disk they are text and typed rows.
+    """
+    products, tasks = given.products(spark, sf_dir), tables.parts(given.table(spark, sf_dir, "lineitem"))
+    markets = tables.small(given.mapping(spark, sf_dir).select("market_id", "province"), mapping.MOST_MARKETS)
+    df = given.numbered_quotes(spark, sf_dir, products, tasks).filter("previous_price IS NOT NULL AND reported_change_pct IS NOT NULL").join(markets, "market_id", "left")
     text = {"raw_date": F.col("date").cast("string"), "raw_index": F.col("trace").cast("string"), "raw_province": F.coalesce("province", F.lit("")), "raw_market": F.col("market_id").cast("string"), "raw_price": F.col("price").cast("string"), "raw_previous_price": F.col("previous_price").cast("string"), "raw_change": F.concat(F.bround("reported_change_pct", 2).cast("string"), F.lit("%"))}
-    df = df.select("product_id", *(c.alias(k) for k, c in text.items()))
-    path, names = _folder(spark, "csv"), []
-    df = tables.kept(df, "csv-rows")
-    for i, r in enumerate(df.select("product_id").distinct().orderBy("product_id").collect()):  # a dimension of some dozens
-        df.filter(F.col("product_id") == r.product_id).drop("product_id").write.option("header", True).csv(f"{path}/{i}")
-        names += [(f.rpartition("/")[2], r.product_id) for f in spark.read.text(f"{path}/{i}").inputFiles()]
-    raw = files.read_quotes(spark, f"{path}/*", spark.createDataFrame(names, "source_file string, product_id string"))
-    read = ["source_file", "row_in_file", "product_id", "raw_market", "date", "row_index", "price", "previous_price", "reported_change_pct"]
-    parsed = files.assert_parsed(tables.kept(files.parse_quotes(raw).select(*read), "csv-read"))  # texts are parsed once
-    numbers = parsed.groupBy("source_file").agg((F.count_distinct("row_in_file") == F.count("*")).alias("once"), (F.max("row_in_file") == F.count("*")).alias("last"))
-    parsed = parsed.join(F.broadcast(numbers), "source_file")
-    return out(parsed.groupBy("product_id", "raw_market", "date", "price", "previous_price", "reported_change_pct").agg(F.count("*").alias("rows"), F.bool_and(F.col("once") & F.col("last")).alias("numbered")), 2)
+    path = _folder(spark, "csv")
+    df.select("product", *(c.alias(k) for k, c in text.items())).write.partitionBy("product").option("header", True).csv(path)
+    written = [f.split("/")[-2:] for f in spark.read.text(path).inputFiles()]
+    named = spark.createDataFrame([("/".join(f), products[int(f[0].removeprefix("product="))]) for f in written], "source_file string, product_id string")
+    read = ["raw_market", "date", "row_index", "price", "previous_price", "reported_change_pct"]
+    parsed = files.assert_parsed(files.read_quotes(spark, path, named, parsed=read, depth=2))
+    parsed = parsed.join(F.broadcast(contracts.counted_up(parsed, "source_file", "row_in_file")), "source_file")
+    key = ["product_id", "raw_market", "date", "price", "previous_price", "reported_change_pct"]
+    # most quotes are alone in their group: they are dealt to the tasks that group them, and not grouped before
+    dealt = parsed.withColumn("raw_market", F.nullif("raw_market", F.lit(""))).select(*key, "whole").repartition(tasks, "product_id", "raw_market")
+    return out(dealt.groupBy(*key).agg(F.count("*").alias("rows"), F.bool_and("whole").alias("numbered")), 2)
 
 
 @query("SELECT n_nationkey::BIGINT AS city_id, n_name AS city, r_name AS province FROM nation JOIN region ON n_regionkey = r_regionkey")

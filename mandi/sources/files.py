@@ -13,32 +13,38 @@ from mandi.operators import contracts, tables
 RAW_COLUMNS = ("raw_date", "raw_index", "raw_province", "raw_market", "raw_price", "raw_previous_price", "raw_change")
 
 
-def read_quotes(spark: SparkSession, paths, products: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataFrame:
+def read_quotes(spark: SparkSession, paths, products: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS, parsed: list[str] | None = None, depth: int = 1) -> DataFrame:
     """Rows of quote CSVs as text, with file name, place in the file and product.
 
     The header must have exactly these columns, else the read fails.  An empty field is an empty
     string.  products (source_file, product_id) says which product a file has; a file that isn't
-    listed fails the check.
+    listed fails the check.  With ``parsed``, lines are written once as these columns of parse_quotes() and not as
+    text.  A file's name is the last ``depth`` pieces of its path: with 2, files of one name in two folders are two.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
-    named = raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    out = _in_file_order(named)
+    # a pruned column would not be looked for in the header
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnPruning", False).csv(paths)
+    lines = raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    if parsed is not None:
+        lines = parse_quotes(lines).select(*parsed, "path", "block", "place")
     contracts.assert_unique(products, ["source_file"])
-    files = spark.createDataFrame([(unquote(f.rpartition("/")[2]),) for f in raw.inputFiles()], "source_file string")
+    files = spark.createDataFrame([("/".join(unquote(f).split("/")[-depth:]),) for f in raw.inputFiles()], "source_file string")
     unlisted = files.join(products, "source_file", "left_anti").take(3)
     if unlisted:
         raise ValueError(f"files without a product: {[r.source_file for r in unlisted]}")
-    return out.join(products, "source_file", "left")
+    return _in_file_order(lines, products, depth)
 
 
-def _in_file_order(named: DataFrame) -> DataFrame:
-    """named with row_in_file: a task reads a file's split in its order and whole, so lines are counted where they lie and never sorted."""
+def _in_file_order(lines: DataFrame, products: DataFrame, depth: int) -> DataFrame:
+    """lines with source_file, product_id and row_in_file: a task reads a file's split in its order and whole, so lines are
+    counted where they lie and never sorted; what a file has for all its lines is joined by split and not written with each."""
     split = ["path", "block"]
-    lines = tables.kept(named.withColumn("place", F.monotonically_increasing_id()), "lines")
-    counted = lines.groupBy("source_file", *split).agg(F.count("*").alias("rows"), F.min("place").alias("first"))
+    lines = tables.kept(lines, "lines", "zstd")
+    counted = lines.groupBy(*split).agg(F.count("*").alias("rows"), F.min("place").alias("first"))
+    counted = counted.withColumn("source_file", F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/", -depth))
     before = Window.partitionBy("source_file").orderBy("block", "first").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(*split, (F.coalesce(F.sum("rows").over(before), F.lit(0)) + 1 - F.col("first")).alias("start"))
+    starts = counted.select(*split, "source_file", (F.coalesce(F.sum("rows").over(before), F.lit(0)) + 1 - F.col("first")).alias("start"))
+    starts = tables.kept(starts.join(products, "source_file", "left"), "starts")
     return lines.join(tables.small(starts, tables.MOST_GROUPS), split).withColumn("row_in_file", F.col("start") + F.col("place")).drop(*split, "place", "start")
 
 

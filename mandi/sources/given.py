@@ -7,7 +7,7 @@ need a price on most days.  SQL is the same in DuckDB, for the checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mandi.operators import tables
@@ -55,13 +55,38 @@ def prices(spark: SparkSession, sf_dir: str, markets: DataFrame) -> DataFrame:
     return df.withColumns({"previous_price": F.lag("price").over(w), "reported_change_pct": F.lit(None).cast("double")})
 
 
+def reported_change() -> Column:
+    """Change to the previous price in percent; every seventh is wrong by one point."""
+    return F.bround(F.try_divide(F.col("price") - F.col("previous_price"), F.col("previous_price")) * 100, 2) + F.when(F.col("l_orderkey") % 7 == 0, 1.0).otherwise(0.0)
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with previous price, reported change and a trace number within product and market."""
     w = Window.partitionBy("market_id", "product_id").orderBy(*TIES)  # the number first: sorts compare it at once, products are few
     df = raw_quotes(spark, sf_dir).withColumns({"trace": F.row_number().over(w), "previous_price": F.lag("price").over(w)})
-    # every seventh reported change is wrong by one point
-    change = F.bround(F.try_divide(F.col("price") - F.col("previous_price"), F.col("previous_price")) * 100, 2) + F.when(F.col("l_orderkey") % 7 == 0, 1.0).otherwise(0.0)
-    return df.select("product_id", "market_id", "date", "price", "previous_price", change.alias("reported_change_pct"), "discount", F.col("trace").cast("long").alias("trace"), "l_orderkey")
+    return df.select("product_id", "market_id", "date", "price", "previous_price", reported_change().alias("reported_change_pct"), "discount", F.col("trace").cast("long").alias("trace"), "l_orderkey")
+
+
+def products(spark: SparkSession, sf_dir: str) -> list[str | None]:
+    """The products in order: a dimension of some dozens."""
+    return [r.p_type for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").collect()]
+
+
+def numbered_quotes(spark: SparkSession, sf_dir: str, names: list[str | None], tasks: int) -> DataFrame:
+    """quotes() by the product's place in names (product) and sorted by it within tasks, for a job that takes every quote to disk.
+
+    Lines travel in as few columns as order them and are priced where they arrive: lines that tie in PRICED have one
+    day, price and order, so these stand for TIES.
+    """
+    line, numbers = table(spark, sf_dir, "lineitem"), spark.createDataFrame(list(enumerate(names)), "product int, product_id string")
+    part = table(spark, sf_dir, "part").join(F.broadcast(numbers), F.col("p_type").eqNullSafe(F.col("product_id"))).select(F.col("p_partkey").alias("l_partkey"), "product")
+    by = ["product", "l_suppkey"]
+    moved = line.select("l_suppkey", *PRICED).join(tables.small(part, MOST_MARKETS, "shuffle_hash"), "l_partkey").select(*by, *PRICED).repartition(tasks, *by)
+    cents, qty = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
+    priced = moved.withColumns({"cents": cents, "qty": qty}).withColumns({"price": F.expr("div(2 * cents + qty, 2 * qty)") / 100.0, "date": F.col("l_shipdate").cast("date")})
+    w = Window.partitionBy(*by).orderBy(*PRICED)
+    df = priced.withColumns({"trace": F.row_number().over(w).cast("long"), "previous_price": F.lag("price").over(w)})
+    return df.select("product", F.col("l_suppkey").alias("market_id"), "date", "price", "previous_price", reported_change().alias("reported_change_pct"), "trace")
 
 
 def discounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mandi.functions.scalar import haversine
 from mandi.operators import alerts, cityday, contracts, coverage, forecast, landed, mapping, metrics, quality, shocks, temporal
-from mandi.plans import common
+from mandi.plans import common, measure
 from mandi.sources import files, given, sinks
 
 D = dt.date
@@ -288,3 +288,64 @@ def test_flags_ordered_by_more_than_one_column(spark):
         far = x is not None and len(past) >= 5 and abs(math.log(x) - middle) > (6 * (high - low) / 1.349 if high > low else math.log(1.5))
         assert (got[-i].zero_run, got[-i].stale, got[-i].outlier) == (run, run >= 3, far), i
     assert any(r.stale for r in got.values()) and any(r.outlier for r in got.values())
+
+
+def test_numbers_that_count_up(spark):
+    """1 to n, each once: gaps, repeats, zeros, negative ones and missing ones against a set; rows aren't moved one by one."""
+    groups = {"a": [*range(1, 201)], "b": [1], "c": [2], "d": [1, 2, 2], "e": [1, 1, 3], "f": [0, 1, 2], "g": [*range(1, 64), 65], "h": [1, None], "i": [None], "j": [-1, 1, 2], "k": [*range(64, 129)], "l": [1, 2, 64], "m": [*range(300, 0, -1)]}
+    df = spark.createDataFrame([(g, n) for g, ns in groups.items() for n in ns], "g string, n long")
+    found = contracts.counted_up(df, "g", "n")
+    assert {r.g: r.whole for r in found.collect()} == {g: sorted(ns, key=lambda n: (n is None, n)) == [*range(1, len(ns) + 1)] for g, ns in groups.items()}
+    assert found.filter("whole").count() == 3
+    many = contracts.counted_up(spark.range(1, 64_001, 1, 2).select(F.lit("g").alias("g"), F.col("id").alias("n")), "g", "n")
+    assert [r.whole for r in many.collect()] == [True] and "distinct" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quote_files_of_one_name_in_two_folders(spark, tmp_path):
+    """Two pieces of the path tell files apart, also odd names; a header's wrong column is seen if its text isn't kept; text isn't written again."""
+    header = ",".join(files.RAW_COLUMNS) + "\n"
+    for f, n in (("product=0/q.csv", 3), ("product=1/q.csv", 5), ("product=1/a b+c%41.csv", 2)):
+        (tmp_path / "in" / f).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / "in" / f).write_text(header + "".join(f"2020-01-0{i},{i},X,{i},2.5,2.0,25%\n" for i in range(1, n + 1)))
+    products = spark.createDataFrame([("product=0/q.csv", "p"), ("product=1/q.csv", None), ("product=1/a b+c%41.csv", "r")], "source_file string, product_id string")
+    keep = ["raw_market", "date", "row_index", "price"]
+    got = files.read_quotes(spark, str(tmp_path / "in"), products, parsed=keep, depth=2)
+    assert {*got.columns} == {*keep, "source_file", "row_in_file", "product_id"}
+    want = {(f, p, i, D(2020, 1, i)) for f, p, n in (("product=0/q.csv", "p", 3), ("product=1/q.csv", None, 5), ("product=1/a b+c%41.csv", "r", 2)) for i in range(1, n + 1)}
+    rows = got.collect()
+    assert {(r.source_file, r.product_id, r.row_in_file, r.date) for r in rows} == want and len(rows) == 10 and all(r.row_in_file == r.row_index for r in rows)
+    wrong = tmp_path / "wrong" / "product=0" / "q.csv"
+    wrong.parent.mkdir(parents=True)
+    wrong.write_text(header.replace("raw_province", "raw_place") + "2020-01-01,1,X,1,2.5,2.0,25%\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_quotes(spark, str(tmp_path / "wrong"), products, parsed=keep, depth=2).collect()
+
+
+@pytest.mark.parametrize("parts", [1_000_000, 0])
+def test_csv_quotes_of_odd_lines_on_less_disk(spark, tmp_path, monkeypatch, parts):
+    """Tied, copied and unpriced lines, a part without a type and a supplier listed twice, with parts broadcast or not: rows are the quotes'.
+
+    On disk there are the text and the parsed rows, once each; rows are moved once to be grouped.
+    """
+    sf, odd = "/root/testdata/sf0.001", str(tmp_path / "odd")
+    line, part, supplier = (given.table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
+    some = line.filter("l_orderkey % 5 = 0")
+    lines = line.unionByName(some).unionByName(some.withColumn("l_discount", F.col("l_discount") + 0.01)).unionByName(some.limit(50).withColumn("l_extendedprice", F.lit(0.0)))
+    lines.withColumn("l_suppkey", F.when(F.col("l_orderkey") % 31 != 0, F.col("l_suppkey"))).write.parquet(f"{odd}/lineitem.parquet")
+    part.withColumn("p_type", F.when(F.col("p_partkey") % 7 != 0, F.col("p_type"))).write.parquet(f"{odd}/part.parquet")
+    supplier.unionByName(supplier.filter("s_suppkey % 4 = 0")).write.parquet(f"{odd}/supplier.parquet")
+    for t in ("nation", "region"):
+        given.table(spark, sf, t).write.parquet(f"{odd}/{t}.parquet")
+    monkeypatch.setattr(given, "MOST_MARKETS", parts)
+    written = []
+    kept = files.tables.kept
+    monkeypatch.setattr(files.tables, "kept", lambda df, tag, *how: written.append((tag, set(df.columns))) or kept(df, tag, *how))
+    got = measure.csv_quotes(spark, odd)
+    assert [tag for tag, _ in written] == ["lines", "starts"] and not {"raw_date", "raw_price", "source_file", "product_id"} & written[0][1]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and plan.count("RepartitionByExpression") == 1
+    quotes = given.quotes(spark, odd).join(given.mapping(spark, odd), "market_id", "left").filter("previous_price IS NOT NULL AND reported_change_pct IS NOT NULL")
+    quotes = quotes.withColumn("reported_change_pct", F.bround("reported_change_pct", 2))
+    want = common.out(quotes.groupBy("product_id", F.col("market_id").cast("string").alias("raw_market"), "date", "price", "previous_price", "reported_change_pct").agg(F.count("*").alias("rows"), F.lit(True).alias("numbered")), 2)
+    assert got.columns == want.columns and got.filter("product_id IS NULL").count() > 0 and got.filter("rows > 2").count() > 0
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
